@@ -17,7 +17,7 @@ import numpy as np
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries of one generation of a store; two are kept, so that memory is bounded and frequent entries stay.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 def default_path() -> str:
@@ -75,8 +75,7 @@ class Counter:
         self.vocabulary = Vocabulary(path or default_path())
         self.cut = regex.compile(PATTERN).findall
         self.special = re.compile("|".join(map(re.escape, self.vocabulary.specials))) if self.vocabulary.specials else None
-        self.bare = Remembered(lambda x: self.unit(x))
-        self.spaced = Remembered(lambda x: self.unit(" " + x))
+        self.known, self.signs = Remembered(self.part), Remembered(self.unit)
 
     def merged(self, piece: bytes) -> int:
         """Symbols left of a pretoken when no pair merges any more.
@@ -121,6 +120,11 @@ class Counter:
     def unit(self, text: str) -> int:
         return sum(self.merged(x.encode()) for x in self.cut(text))
 
+    def part(self, x: str) -> int:
+        if m := TAIL.match(x):
+            return self.known[m[1]] + self.signs[m[2]]
+        return self.unit(lead(x))
+
     def count(self, text: str | None) -> int:
         """Tokens of text as the library gives them by default: a special token's string is one token."""
         if not text:
@@ -131,32 +135,35 @@ class Counter:
         return self.plain(text)
 
     def plain(self, text: str) -> int:
-        total = 0
-        if lines := unit_lines(text):
-            bare, spaced = self.bare, self.spaced
-            for units in lines:
-                total += bare[units[0]]
-                for x in units[1:]:
-                    total += spaced[x]
-            return total + len(lines) - 1
+        if units := parts(text):
+            known = self.known
+            return self.unit(units[0]) + sum([known[x] for x in units[1:]])
         return self.unit(text) if text else 0
 
 
-def unit_lines(text: str) -> list[list[str]] | None:
-    """The parts of text between single spaces, by line; None unless single spaces and line feeds are its only white space.
+#: A part that ends in signs: letters and signs are never in one pretoken.
+TAIL = re.compile(r"(.*[A-Za-z])([.,;:!?%$&#*]+)\Z", re.S)
+
 
-    No pretoken then reaches across a line feed (a token of its own) or from one part into the next but
-    for the space, which belongs to the part after it.
+def parts(text: str) -> list[str] | None:
+    """The parts of text between single spaces and before line feeds, which go with the part behind; None if it has other white space.
+
+    No pretoken then reaches from one part into the next, but for the space, which belongs to the part
+    behind it (lead).
     """
-    if text.replace("\n", " ").split(" ") != text.split():
+    flat = text.replace("\n", " ")
+    if not flat or flat[0] == " " or flat[-1] == " " or "  " in flat or not flat.isprintable():
         return None
-    return [line.split(" ") for line in text.split("\n")]
+    return text.replace("\n", " \n").split(" ")
 
 
-class Encoder:
-    """Identifiers from the tokenizers library, as arrays; the library sees each frequent part once."""
+def lead(part: str) -> str:
+    """A part as it stands in the text: behind a space, unless it has the line feed before it."""
+    return part if part[0] == "\n" else " " + part
 
-    TAIL = re.compile(r"(.*[A-Za-z])([.,;:!?%$&#*]+)\Z", re.S)
+
+class Encoder:
+    """Identifiers from the tokenizers library, as bytes; the library sees each frequent part once."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -165,54 +172,51 @@ class Encoder:
         self.library = Tokenizer.from_file(path or default_path())
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.feed = self.whole("\n")
-        self.bare = Remembered(self.part)
-        self.spaced = Remembered(lambda x: self.part(" " + x))
+        self.known, self.signs = Remembered(self.part), Remembered(self.whole)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def part(self, text: str) -> bytes:
-        if m := self.TAIL.match(text):  # letters and signs are never in one pretoken
-            core = m[1]
-            return (self.spaced[core[1:]] if core[0] == " " else self.bare[core]) + self.bare[m[2]]
-        return self.whole(text)
-
-    def ahead(self, texts: list[str]) -> None:
-        """Have the library encode the parts of texts that aren't known yet, all in one call."""
-        for store, lead, parts in ((self.spaced, " ", {x for t in texts for line in t.split("\n") for x in line.split(" ")[1:]}), (self.bare, "", {line.partition(" ")[0] for t in texts for line in t.split("\n")})):
-            older = store.older
-            new = {(m[1] if (m := self.TAIL.match(x)) else x) for x in parts if x not in store and x not in older}
-            new = [x for x in new if x and x not in store and x not in older]
-            if len(store) + len(new) > store.size:
-                store.older = dict(store)
-                store.clear()
-            for x, e in zip(new, self.library.encode_batch_fast([lead + x for x in new], add_special_tokens=False), strict=True):
-                store[x] = np.array(e.ids, self.dtype).tobytes()
+    def part(self, x: str) -> bytes:
+        if m := TAIL.match(x):
+            return self.known[m[1]] + self.signs[m[2]]
+        return self.whole(lead(x))
+
+    def learn(self, new: set[str]) -> None:
+        """Have the library encode the parts that aren't known, all in one call."""
+        known, older = self.known, self.known.older
+        new = {(m[1] if (m := TAIL.match(x)) else x) for x in new}
+        new = [x for x in new if x not in known and x not in older]
+        if len(known) + len(new) > known.size:
+            known.older = dict(known)
+            known.clear()
+        for x, e in zip(new, self.library.encode_batch_fast([lead(x) for x in new], add_special_tokens=False), strict=True):
+            known[x] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The identifiers of text, little-endian, as the library gives them without begin or end tokens."""
-        if not text:
-            return b""
-        if any(s in text for s in self.specials) or not (lines := unit_lines(text)):
-            return self.whole(text)
-        bare, spaced, out = self.bare, self.spaced, []
-        for units in lines:
-            out.append(bare[units[0]] + b"".join([spaced[x] for x in units[1:]]))
-        return self.feed.join(out)
+        return next(self.encode_all([text]))
 
     def encode_all(self, texts: list[str | None], most: int = 1 << 20):
         """encode() of each text; texts are looked over in runs of about most characters."""
         at = 0
         while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size < most):
-                size += len(texts[to] or "")
-                to += 1
-            self.ahead([t for t in texts[at:to] if t])
-            for t in texts[at:to]:
-                yield self.encode(t)
-            at = to
+            run, size = [], 0
+            while at < len(texts) and (not run or size < most):
+                t = texts[at] or ""
+                units = None if any(s in t for s in self.specials) else parts(t)
+                run.append((t, units, [self.known.get(x) for x in units[1:]] if units else None))
+                size += len(t)
+                at += 1
+            self.learn({x for _, units, got in run if units for x, v in zip(units[1:], got, strict=True) if v is None})
+            for t, units, got in run:
+                if not units:
+                    yield self.whole(t) if t else b""
+                    continue
+                for k, v in enumerate(got):
+                    if v is None:
+                        got[k] = self.known[units[k + 1]]
+                yield self.whole(units[0]) + b"".join(got)
 
 
 _MADE: dict = {}

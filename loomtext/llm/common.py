@@ -147,20 +147,22 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, h, low
 
 
-def text_slices(column: pa.Array, most: int = 1 << 21):
-    """(first row, UTF-8 bytes, offsets) for runs of rows of about most bytes; one longer text is a run. Null is empty."""
-    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
+def text_slices(column: pa.Array, gap: bytes = b" ", most: int = 1 << 21):
+    """(first row, bytes, offsets) for runs of rows of about most bytes; a longer text is a run of its own.
+
+    bytes has the UTF-8 of the texts, each with gap (one byte) behind it; text k lies from
+    offsets[k] to offsets[k + 1] - 1. Null is empty.
+    """
     n = len(column)
     if not n:
         return
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
-    at = 0
-    total = np.cumsum(lengths)
+    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64) + 1
+    total, at = np.cumsum(lengths), 0
     while at < n:
         before = total[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
         part = column.slice(at, to - at)
-        data = b"".join(x for x in part.to_pylist() if x)
+        data = b"".join([x + gap if x else gap for x in part.cast(pa.binary() if pa.types.is_string(part.type) else pa.large_binary()).to_pylist()])
         offsets = np.zeros(to - at + 1, np.int64)
         np.cumsum(lengths[at:to], out=offsets[1:])
         yield at, np.frombuffer(data, np.uint8), offsets
