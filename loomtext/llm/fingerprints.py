@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +12,9 @@ BINS = 256
 BITS = 4
 WORDS = 5
 SEED = 29
-#: Bins looked at first for an empty one; the others are looked at only if all these are empty too.
-FIRST_LOOKS = 24
-
-
-def _shuffled_bins() -> list[list[int]]:
-    """For each bin the order in which it looks for a filled one: a seeded shuffle of all bins."""
-    out = []
-    for i in range(BINS):
-        order = list(range(BINS))
-        random.Random(SEED * BINS + i).shuffle(order)
-        out.append(order)
-    return out
+#: Bins that an empty one tries by a hash of its number and the try. If all are empty, it walks over all bins
+#: from a hashed place on.
+TRIES = 24
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -35,7 +24,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     run of WORDS words is a shingle, hashed once to 64 bits: the upper 8 choose its bin and
     each bin keeps its least hash. With fewer words all of them are one shingle; with none the
     fingerprint is BINS dashes, like only to another such. An empty bin takes the value of a filled one,
-    chosen uniformly by its own seeded order of the bins (optimal densification). Null text is empty.
+    found by hashing its own number and the count of tries (optimal densification). Null text is empty.
     """
     a, b, c, d = (f"_{out}_{k}" for k in "abcd")
     words = F.filter(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))
@@ -50,11 +39,11 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(c, first)
     low = lambda x: F.conv(x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("string"), 10, 16)
     filled = lambda p: F.get(F.col(c), p).bitwiseAND(empty) != empty
-    orders = F.lit(_shuffled_bins())
 
     def dense(x: Column, i: Column) -> Column:
-        order = F.get(orders, i)
-        at = F.coalesce(F.get(F.filter(F.slice(order, 1, FIRST_LOOKS), filled), F.lit(0)), F.get(F.filter(order, filled), F.lit(0)))
+        tries = F.transform(F.sequence(F.lit(1), F.lit(TRIES)), lambda j: F.pmod(F.xxhash64(i, j), F.lit(BINS)).cast("int"))
+        walk = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.pmod(F.pmod(F.xxhash64(i), F.lit(BINS)) + j, F.lit(BINS)).cast("int"))
+        at = F.coalesce(F.get(F.filter(tries, filled), F.lit(0)), F.get(F.filter(walk, filled), F.lit(0)))
         return F.when(x.bitwiseAND(empty) != empty, x).otherwise(F.get(F.col(c), at))
 
     df = df.withColumn(d, F.when(F.size(a) > 0, F.transform(F.col(c), dense)))
