@@ -5,39 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
-
-BINS = 256
-#: Low-order bits kept of each bin's minimum: one hexadecimal digit.
-BITS = 4
+from .common import written
+
+BINS = 128
+#: Low-order bits kept of each bin's minimum, as hexadecimal digits.
+BITS = 8
+DIGITS = BITS // 4
+#: Bits of a shingle's hash below those that choose its bin.
+LOW = 64 - (BINS.bit_length() - 1)
 WORDS = 5
 SEED = 29
 #: Bins that an empty one tries by a hash of its number and the try. If all are empty, it walks over all bins
 #: from a hashed place on.
-TRIES = 24
+TRIES = 10
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with out: the fingerprint of the column text, BINS hexadecimal digits.
+    """df with out: the fingerprint of the column text, BITS of each of BINS bins in hexadecimal digits.
 
-    Words are the runs between white space (space, tab to carriage return), A-Z in lower case. Each
-    run of WORDS words is a shingle, hashed once to 64 bits: the upper 8 choose its bin and
+    Words are the runs between white space (space, tab to carriage return), in lower case. Each
+    run of WORDS words is a shingle, hashed once to 64 bits: the upper ones choose its bin and
     each bin keeps its least hash. With fewer words all of them are one shingle; with none the
-    fingerprint is BINS dashes, like only to another such. An empty bin takes the value of a filled one,
+    fingerprint is dashes, like only to another such. An empty bin takes the value of a filled one,
     found by hashing its own number and the count of tries (optimal densification). Null text is empty.
     """
     a, b, c, d = (f"_{out}_{k}" for k in "abcd")
-    words = F.filter(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))
     df = df.withColumn(a, F.transform(words, lambda w: F.xxhash64(w)))
     whole = F.array(F.xxhash64(F.lit(SEED), F.col(a)))
     runs = F.transform(F.slice(F.col(a), F.lit(1), F.greatest(F.size(a) - F.lit(WORDS - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(F.col(a), i + F.lit(k)) for k in range(1, WORDS)]))
     # A sentinel in each bin is larger than all hashes there, so that the first of a bin is its least hash, or the sentinel if the bin is empty.
-    empty = F.lit((1 << 56) - 1)
-    sentinels = F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)), lambda k: F.shiftleft(k.cast("long"), 56).bitwiseOR(empty))
+    empty = F.lit((1 << LOW) - 1)
+    sentinels = F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)), lambda k: F.shiftleft(k.cast("long"), LOW).bitwiseOR(empty))
     df = df.withColumn(b, F.sort_array(F.concat(F.when(F.size(a) >= WORDS, runs).when(F.size(a) > 0, whole).otherwise(F.array().cast("array<bigint>")), sentinels)))
-    first = F.filter(F.col(b), lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(F.col(b), i - F.lit(1)), 56)))
+    first = F.filter(F.col(b), lambda x, i: (i == 0) | (F.shiftright(x, LOW) != F.shiftright(F.get(F.col(b), i - F.lit(1)), LOW)))
     df = df.withColumn(c, first)
-    low = lambda x: F.conv(x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("string"), 10, 16)
+    low = lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1)))), DIGITS, "0")
     filled = lambda p: F.get(F.col(c), p).bitwiseAND(empty) != empty
 
     def dense(x: Column, i: Column) -> Column:
@@ -48,15 +51,16 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     df = df.withColumn(d, F.when(F.size(a) > 0, F.transform(F.col(c), dense)))
     digits = F.array_join(F.transform(F.col(d), low), "")
-    return df.withColumn(out, F.coalesce(digits, F.lit("-" * BINS))).drop(a, b, c, d)
+    return df.withColumn(out, F.coalesce(digits, F.lit("-" * (BINS * DIGITS)))).drop(a, b, c, d)
 
 
 def likeness(x: str, y: str) -> Column:
     """Estimated Jaccard similarity of two fingerprints, 0 to 1.
 
-    Digits agree by chance in one of 2**BITS bins: J = (share - 1/2**BITS) / (1 - 1/2**BITS), at least 0.
+    Bins agree by chance in one of 2**BITS bins: J = (share - 1/2**BITS) / (1 - 1/2**BITS), at least 0.
     """
-    same = F.size(F.filter(F.zip_with(F.split(F.col(x), ""), F.split(F.col(y), ""), lambda p, q: p == q), lambda z: z))
+    part = lambda c, k: F.substr(F.col(c), k * F.lit(DIGITS) + F.lit(1), F.lit(DIGITS))
+    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: part(x, k) == part(y, k)))
     chance = 1.0 / (1 << BITS)
     share = (same / F.lit(float(BINS)) - chance) / (1 - chance)
     return F.when(F.col(x) == F.col(y), F.lit(1.0)).when(F.col(x).startswith("-") | F.col(y).startswith("-"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), share))

@@ -14,6 +14,8 @@ from .common import byte_table, mix, text_slices, word_hashes, written
 #: is missed with probability 1 - (1 - (1 - s**WIDTH)**HALVES)**2: 0.0004 at 0.8, 0.00002 at 0.85.
 HALVES, WIDTH = 12, 3
 LINK = 0.8
+#: Rounds of leaders; what they leave far from all leaders is compared within its buckets, in blocks.
+ROUNDS = 3
 #: Shingles in a block of documents that one task compares with another.
 BLOCK_SHINGLES = 300_000
 IS_WORD = byte_table(gaps=b"\x20\x09\x0a\x0b\x0c\x0d")
@@ -205,7 +207,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 1
        of two others is made. Jaccard distance is a metric, so with 1 - percent/100 = d a node farther than 3d from
        the leader has no link to one within 2d: nodes farther than 2d go on to a round with another leader.
     3. Nodes within 3d of a leader form groups, by connected components. A group in which not all
-       comparisons are links is compared whole, in blocks of bounded size, each block with each.
+       comparisons are links is compared whole, in blocks of bounded size, each block with each; so are
+       the nodes of a bucket that are left after ROUNDS rounds.
     4. Components of all links.
 
     Texts are shuffled once, to the nodes that share a bucket. Null and empty texts, and those without words, are
@@ -227,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 1
     buckets = members.select("node", "n", "lead", F.explode("tables").alias("bucket"))
     # 2. rounds of leaders
     sets, found = None, []
-    while True:
+    for _ in range(ROUNDS):
         leaders = buckets.groupBy("bucket").agg(F.max(F.struct("lead", "node", "n")).alias("l"), F.count(F.lit(1)).alias("times")).where("times > 1")
         led = buckets.join(leaders, "bucket").where("node <> l.node").select("bucket", "node", "n", "lead", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
         led = written(led, "led")
@@ -243,7 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 1
         found.append(compared)
         near = compared.where(F.col("both") > F.col("either") * F.lit(1 - 2 * far)).select("node", "leader")
         buckets = led.join(near, ["node", "leader"], "left_anti").select("node", "n", "lead", "bucket")
-    if not found:
+    if not found:  # no two nodes share a bucket
         return made.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     every = found[0]
     for f in found[1:]:
@@ -254,7 +257,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 1
     unsure = close.where(~F.col("linked")).select("node").distinct()
     root_of = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     open_roots = unsure.join(root_of, "node").select("root").distinct()
-    inside = written(root_of.join(open_roots, "root").join(sets, "node"), "inside")
+    late = buckets.select(F.col("bucket").alias("root"), "node")
+    crowded = late.groupBy("root").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("root")
+    rest = root_of.join(open_roots, "root").select("root", "node").unionByName(late.join(crowded, "root"))
+    inside = written(rest.join(sets, "node"), "inside")
     blocks = inside.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = inside.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
