@@ -101,13 +101,13 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     nexts = written(next_ids(docs, id_col, text_col), "nexts")
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("x", F.xxhash64("text"))
-    own = with_fingerprint(own, "text", "fingerprint").withColumn("n_chars", F.char_length("text").cast("long"))
+    own = with_fingerprint(own, "text", "fingerprint")  # both joins read these columns, so that they share one exchange
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     lengths = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("x"), F.char_length(text).alias("n_chars")).distinct()
     wants = nexts.join(lengths, ["doc_id", "x"]).select(F.col("next_id").alias("doc_id"), F.col("next_x").alias("x"), F.col("doc_id").alias("to_id"), F.col("x").alias("to_x"), quarter.alias("need"))
     gives = own.join(wants, ["doc_id", "x"]).select(F.col("to_id").alias("doc_id"), F.col("to_x").alias("x"), F.expr("substring(text, 1, need)").alias("tail"), F.col("fingerprint").alias("next_fingerprint"))
     gives = gives.groupBy("doc_id", "x").agg(F.first("tail").alias("tail"), F.first("next_fingerprint").alias("next_fingerprint"))
-    both = own.join(gives, ["doc_id", "x"])
+    both = own.join(gives, ["doc_id", "x"]).withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.col("tail")))
     both = both.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", "edited", F.sha2("edited", 256).alias("edited_sha256"))
     both = with_fingerprint(both, "edited", "edited_fingerprint")
