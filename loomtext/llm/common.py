@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one ordered window handles; ranks are offset by counts of the windows before.
-ROWS_A_BUCKET = 4096
+ROWS_A_BUCKET = 1024
 
 
 def shared_root(spark: SparkSession) -> str:
