@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import record_queries, text_queries
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in (text_queries, record_queries) for name, (f, _) in part.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in (text_queries, record_queries) for name, (_, sql) in part.Q.items() if sql}
