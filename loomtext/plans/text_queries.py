@@ -242,12 +242,12 @@ def quality_gate(spark, d):
 
 _COUNTS = {"cue_count": "30 + doc_id % 50", "exact_duplicate_cue_count": "doc_id % 7", "overlap_trim_count": "doc_id % 11", "overlap_collapsed_cue_count": "doc_id % 3", "collapsed_cjk_spacing_count": "doc_id % 13", "tightened_punctuation_spacing_count": "doc_id % 5", "tightened_bracket_spacing_count": "doc_id % 2", "markup_tag_count": "doc_id % 17", "nbsp_entity_count": "doc_id % 4", "empty_cue_count": "doc_id % 6"}
 _PEN = ", ".join(
-    f"round(least({most}::DOUBLE, greatest(0::DOUBLE, ({many}) / CAST(greatest(30 + doc_id % 50, 20) AS DOUBLE) - {safe}::DOUBLE) * {scale}::DOUBLE), 4) AS p{k}"
+    f"round(least({most}::DOUBLE, greatest(0::DOUBLE, ({many}) / CAST(greatest(30 + doc_id % 50, 20) AS DOUBLE) - {safe}::DOUBLE) * {scale}::DOUBLE), 4)::DECIMAL(9, 4) AS p{k}"
     for k, (many, safe, scale, most) in enumerate((("doc_id % 7", 0.04, 3.5, 0.35), ("doc_id % 11 + doc_id % 3", 0.06, 3.0, 0.3), ("doc_id % 13 + doc_id % 5 + doc_id % 2", 0.1, 2.0, 0.2), ("doc_id % 17 + doc_id % 4", 0.15, 1.2, 0.08), ("doc_id % 6", 0.05, 2.0, 0.1)))
 )
 
 
-@query(f"""WITH p AS (SELECT doc_id, {_PEN} FROM documents), s AS (SELECT doc_id, CAST(round(CAST(greatest(0::DOUBLE, 1::DOUBLE - (0::DOUBLE + p0 + p1 + p2 + p3 + p4 + 0::DOUBLE)) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS score FROM p)
+@query(f"""WITH p AS (SELECT doc_id, {_PEN} FROM documents), s AS (SELECT doc_id, CAST(round(greatest(0::DECIMAL(9, 4), 1 - (p0 + p1 + p2 + p3 + p4)), 3) AS DOUBLE) AS score FROM p)
 SELECT doc_id, score, CASE WHEN score >= 0.92 THEN 'excellent' WHEN score >= 0.78 THEN 'good' WHEN score >= 0.58 THEN 'fair' WHEN score >= 0.35 THEN 'poor' ELSE 'critical' END AS band FROM s""")
 def subtitle_quality(spark, d):
     t = docs(spark, d).select("doc_id", "text", *[F.expr(e).alias(c) for c, e in _COUNTS.items()])
