@@ -56,6 +56,17 @@ def shingle_sets(column: pa.Array, words: int):
         yield np.searchsorted(of, np.arange(len(n) + 1)), s
 
 
+def _node_hashes(first: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the sets, 0 for empty ones."""
+    size = np.diff(first)
+    some = np.flatnonzero(size)
+    out = np.zeros(len(size), np.uint64)
+    if len(some):
+        with np.errstate(over="ignore"):
+            out[some] = mix(np.add.reduceat(mix(s ^ _SEEDS[-1]), first[:-1][some]) + size[some].astype(np.uint64))
+    return out
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, node, halves): size of the set of shingles, its hash, and the half-keys; the lowest bit of one tells its collection."""
 
@@ -66,11 +77,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 size = np.diff(first)
                 some = np.flatnonzero(size)
                 keys = np.zeros((len(size), 2 * HALVES), np.uint64)
-                sums = np.zeros(len(size), np.uint64)
+                sums = _node_hashes(first, s)
                 if len(some):
                     at = first[:-1][some]
                     with np.errstate(over="ignore"):
-                        sums[some] = mix(np.add.reduceat(mix(s ^ _SEEDS[-1]), at) + size[some].astype(np.uint64))
                         for k in range(2 * HALVES):
                             key = np.full(len(some), _SEEDS[k], np.uint64)
                             for j in range(WIDTH):
@@ -87,17 +97,18 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, node long, halves array<long>")
 
 
-def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the sorted set of each node's shingles, 8 bytes each; rows are (node, text)."""
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): each node's sorted set of shingles, 8 bytes each; texts that share a doc_id are told apart by their sets."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for first, s in shingle_sets(b.column(1), words):
+            node, out = [], []
+            for first, s in shingle_sets(b.column(0), words):
+                node.append(_node_hashes(first, s).view(np.int64))
                 out += [s[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node) if node else np.zeros(0, np.int64)), pa.array(out, pa.binary())], names=["node", "shingles"])
 
-    return rows.mapInArrow(run, "node long, shingles binary")
+    return texts.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -239,19 +250,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 1
             break
         if sets is None:
             wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes, "node")
-            sets = written(_sets(wanted.join(rows, "doc_id").select("node", "text"), words).dropDuplicates(["node"]), "sets")
+            sets = written(_sets(rows.join(wanted.select("doc_id").distinct(), "doc_id").select("text"), words), "sets")
         # sets whose sizes alone keep them apart need no comparing
         apart = F.least("n", "leader_n") < F.greatest("n", "leader_n") * F.lit(1 - 3 * far)
         compared = written(_compared(pairs.where(~apart).select("node", "leader"), sets), "compared")
         found.append(compared)
         near = compared.where(F.col("both") > F.col("either") * F.lit(1 - 2 * far)).select("node", "leader")
         buckets = led.join(near, ["node", "leader"], "left_anti").select("node", "n", "lead", "bucket")
-    if not found:  # no two nodes share a bucket
-        return made.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    roots = components(_links(found, buckets, sets, percent, far)) if found else None  # else no two nodes share a bucket
+    joined = made.select("doc_id", "n", "node")
+    joined = joined.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if found else joined.withColumn("root", F.col("node"))
+    least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    out = joined.join(least, "root", "left")
+    own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+
+
+def _links(found: list[DataFrame], buckets: DataFrame, sets: DataFrame, percent: int, far: float) -> DataFrame:
+    """All links (u, v) that join components: those with leaders, and those within the groups that leaders leave open."""
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    # 3. groups that comparisons with leaders leave open
     close = every.where(F.col("both") >= F.col("either") * F.lit(1 - 3 * far)).withColumn("linked", _linked(percent))
     groups = written(components(close.select(F.col("node").alias("u"), F.col("leader").alias("v"))), "groups")
     unsure = close.where(~F.col("linked")).select("node").distinct()
@@ -266,14 +285,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 1
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
     more = dealt.select(task.alias("task"), "block", "node", "shingles").groupBy("task").applyInArrow(lambda t: _block_links(t, percent), "u long, v long")
-    # 4. components of the links
-    links = close.where("linked").select(F.col("node").alias("u"), F.col("leader").alias("v")).unionByName(more)
-    roots = components(links)
-    joined = made.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = joined.join(least, "root", "left")
-    own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    return close.where("linked").select(F.col("node").alias("u"), F.col("leader").alias("v")).unionByName(more)
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
