@@ -41,42 +41,46 @@ class Model:
             for size in range(1, LONGEST_GRAM + 1):
                 for g in self.grams(word, size):
                     grams[g][at[lang]] += count
-        self.words = self.logs(words)
-        self.by_gram: dict[str, np.ndarray] = {}
+        self.words, self.word_scores = self.logs(words)
+        merged: dict[str, int] = {}
+        parts = []
         for size in range(1, LONGEST_GRAM + 1):
-            self.by_gram |= self.logs({g: v for g, v in grams.items() if len(g) == size})
+            index, scores = self.logs({g: v for g, v in grams.items() if len(g) == size})
+            merged |= {g: k + len(merged) for g, k in index.items()}
+            parts.append(scores)
+        self.by_gram, self.gram_scores = merged, np.concatenate(parts)
 
     @staticmethod
     def grams(word: str, size: int) -> list[str]:
         marked = f" {word} "
         return [marked[k : k + size] for k in range(len(marked) - size + 1)]
 
-    @staticmethod
-    def logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def logs(self, counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+        """(row of each key, log frequencies by row and language against their mean over the languages)."""
         if not counts:
-            return {}
-        total = sum(counts.values()) + SMOOTHING * len(counts)
-        return {k: np.log((v + SMOOTHING) / total).astype(np.float32) for k, v in counts.items()}
+            return {}, np.zeros((0, len(self.languages)), np.float32)
+        table = np.array(list(counts.values()))
+        table = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * len(counts)))
+        return {k: i for i, k in enumerate(counts)}, (table - table.mean(1, keepdims=True)).astype(np.float32)
 
     def backed_off(self, word: str) -> np.ndarray:
-        """Of an unseen word: the mean over its places of the longest known n-gram that begins there, against the languages' mean."""
-        marked = f" {word} "
-        out = np.zeros(len(self.languages), np.float32)
+        """Of an unseen word: the sum over its places of the longest known n-gram that begins there, by the word's length."""
+        marked, get, rows = f" {word} ", self.by_gram.get, []
         for k in range(len(marked) - 1):
             for size in range(min(LONGEST_GRAM, len(marked) - k), 0, -1):
-                v = self.by_gram.get(marked[k : k + size])
-                if v is not None:
-                    out += v - v.mean()
+                row = get(marked[k : k + size])
+                if row is not None:
+                    rows.append(row)
                     break
-        return out * (2.0 / len(marked))
+        return self.gram_scores[rows].sum(0) * (2.0 / len(marked))
 
     def of_part(self, part: str) -> tuple[np.ndarray, int]:
-        """Sum of scores of the words in a part of a text, against the languages' mean, and the number of words."""
+        """Sum of scores of the words in a part of a text, and the number of words."""
         words = _LETTERS.findall(part.lower())
         out = np.zeros(len(self.languages), np.float32)
         for w in words:
-            v = self.words.get(w)
-            out += (v - v.mean()) if v is not None else self.backed_off(w)
+            row = self.words.get(w)
+            out += self.word_scores[row] if row is not None else self.backed_off(w)
         return out, len(words)
 
 
@@ -104,11 +108,13 @@ class Scorer:
         parts = text.split() if text else []
         if len(self.rows) > self.size:
             self.reset()
-        get, add = self.rows.get, self.add
-        at = []
-        for x in parts:
-            k = get(x)
-            at.append(add(x) if k is None else k)
+        get = self.rows.get
+        at = [get(x) for x in parts]
+        if None in at:
+            for k, row in enumerate(at):
+                if row is None:
+                    row = get(parts[k])
+                    at[k] = self.add(parts[k]) if row is None else row
         n = int(self.words[at].sum()) if at else 0
         if not n or not self.model.languages:
             return "und", 0.0
