@@ -68,37 +68,36 @@ def _chunk_numbers(units: Column, target: int, cap: int, mode: str) -> Column:
     return F.aggregate(units, start, step, lambda a: a["out"])
 
 
-def pack(units: Column, target: int, cap: int, mode: str = "tokens", fresh: Column | None = None) -> Column:
-    """Array of chunks, each struct(content, units, size), of an array of texts in order, greedily.
+def pack(units: Column, target: int, cap: int, mode: str = "tokens", fresh: Column | None = None, sizes: Column | None = None) -> Column:
+    """Array of chunks, each struct(content, units, first, chars, tokens), of an array of texts in order, greedily.
 
-    fresh: an array of booleans beside units; a unit with true begins a chunk.
+    fresh: an array of booleans beside units; a unit with true begins a chunk. sizes: the units' sizes, if known.
     """
-    sized = F.transform(units, lambda u, i: F.struct(T.estimate_tokens(u, mode).alias("size"), (F.get(fresh, i) if fresh is not None else F.lit(False)).alias("fresh")))
-    # One element holds the numbers, so that the fold runs once.
-    both = F.array(F.struct(units.alias("u"), _chunk_numbers(sized, target, cap, mode).alias("n")))
+    size = (lambda u, i: F.get(sizes, i)) if sizes is not None else (lambda u, i: T.estimate_tokens(u, mode))
+    sized = F.transform(units, lambda u, i: F.struct(size(u, i).alias("size"), (F.get(fresh, i) if fresh is not None else F.lit(False)).alias("fresh")))
 
     def chunk(b: Column, k: Column) -> Column:
         first = F.array_position(b["n"], k).cast("int")
         count = F.size(F.filter(b["n"], lambda n: n == k))
-        texts = F.slice(b["u"], first, count)
-        content = F.array_join(texts, SEPARATOR)
-        return F.struct(content.alias("content"), count.alias("units"), (first - 1).alias("first"), F.length(content).alias("chars"), T.estimate_tokens(content).alias("tokens"))
+        content = F.array_join(F.slice(b["u"], first, count), SEPARATOR)
+        return T.let(content, lambda c: F.struct(c.alias("content"), count.alias("units"), (first - 1).alias("first"), F.length(c).alias("chars"), T.estimate_tokens(c).alias("tokens")))
 
     last = lambda b: F.coalesce(F.array_max(b["n"]), F.lit(-1))
-    made = F.transform(both, lambda b: F.when(last(b) >= 0, F.transform(F.sequence(F.lit(0), last(b)), lambda k: chunk(b, k))))
-    return F.get(made, F.lit(0))
+    return T.let(F.struct(units.alias("u"), _chunk_numbers(sized, target, cap, mode).alias("n")), lambda b: F.when(last(b) >= 0, F.transform(F.sequence(F.lit(0), last(b)), lambda k: chunk(b, k))))
 
 
 def fitted(units: Column, cap: int, mode: str) -> Column:
-    """units with those longer than cap cut into pieces that are not."""
+    """Array of struct(u, size) of units, those longer than cap cut into pieces that are not. Sizes are worked out once."""
     cut = (lambda u: T.hard_split(u, cap)) if mode == "chars" else (lambda u: T.split_by_tokens(u, cap))
-    return F.flatten(F.transform(units, lambda u: F.when(T.estimate_tokens(u, mode) > cap, cut(u)).otherwise(F.array(u))))
+    one = lambda u: F.struct(u.alias("u"), T.estimate_tokens(u, mode).alias("size"))
+    return F.flatten(F.transform(units, lambda u: T.let(one(u), lambda v: F.when(v["size"] > cap, F.transform(cut(v["u"]), one)).otherwise(F.array(v)))))
 
 
 def chunk_text(docs: DataFrame, target: int = 1200, cap: int = 1596, mode: str = "tokens") -> DataFrame:
     """(doc_id, chunk_id, content, n_sentences, chars, tokens): documents (doc_id, text) split into sentences and packed."""
-    units = docs.select("doc_id", fitted(T.split_sentences("text"), cap, mode).alias("units"))
-    return units.select("doc_id", F.posexplode(pack(F.col("units"), target, cap, mode)).alias("chunk_id", "c")).select("doc_id", "chunk_id", "c.content", F.col("c.units").alias("n_sentences"), "c.chars", "c.tokens")
+    units = docs.select("doc_id", fitted(T.split_sentences("text"), cap, mode).alias("f"))
+    chunks = pack(F.col("f")["u"], target, cap, mode, sizes=F.col("f")["size"])
+    return units.select("doc_id", F.posexplode(chunks).alias("chunk_id", "c")).select("doc_id", "chunk_id", "c.content", F.col("c.units").alias("n_sentences"), "c.chars", "c.tokens")
 
 
 def _coalesced(mode: str, target: int, cap: int):
@@ -208,7 +207,7 @@ def replan(chunks: DataFrame, breaks: DataFrame | None, target: int, cap: int, m
     """
     pending = chunks.where(~F.col("status").isin("done", "superseded"))
     top = chunks.groupBy("doc_id").agg(F.max("id").alias("top"))
-    units = pending.select("doc_id", "id", F.posexplode(fitted(T.split_sentences("text"), cap, mode)).alias("s", "u"))
+    units = pending.select("doc_id", "id", F.posexplode(fitted(T.split_sentences("text"), cap, mode)).alias("s", "f")).select("doc_id", "id", "s", F.col("f.u").alias("u"))
     if breaks is not None:
         units = units.join(breaks.select("doc_id", "id", F.lit(True).alias("_b")), ["doc_id", "id"], "left").withColumn("fresh", F.coalesce("_b", F.lit(False)) & (F.col("s") == 0))
     else:

@@ -134,7 +134,9 @@ def subtitle_quality(docs: DataFrame, mode: str = "chinese", text: str = "text")
     parts.append((broken, "subtitle_fragmentation_high"))
     for k, (p, _) in enumerate(parts):
         d = d.withColumn(f"_p{k}", p)
-    score = F.round(F.greatest(F.lit(0.0), 1.0 - sum((F.col(f"_p{k}") for k in range(len(parts))), F.lit(0.0))), 3)
+    # Penalties have four places; as decimals their sum is exact and so is its rounding.
+    taken = sum((F.col(f"_p{k}").cast("decimal(9,4)") for k in range(1, len(parts))), F.col("_p0").cast("decimal(9,4)"))
+    score = F.round(F.greatest(F.lit(0).cast("decimal(12,4)"), (1 - taken).cast("decimal(12,4)")), 3).cast("double")
     reasons = F.array_compact(F.array(*[F.when(F.col(f"_p{k}") > 0, r) for k, (_, r) in enumerate(parts)]))
     d = d.withColumn("subtitle_quality_score", score).withColumn("subtitle_quality_band", band(F.col("subtitle_quality_score"))).withColumn("subtitle_quality_reasons", reasons)
     d = d.withColumn("overlap_reduction_count", many(("overlap_trim_count", "overlap_collapsed_cue_count"))).withColumn("fragment_line_ratio", F.round(fragments, 3))

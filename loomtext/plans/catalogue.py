@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import record_queries, text_queries
+from . import more_queries, record_queries, text_queries
+
+_PARTS = (text_queries, record_queries, more_queries)
 
 
 def queries() -> dict:
-    return {name: f for part in (text_queries, record_queries) for name, (f, _) in part.Q.items()}
+    return {name: f for part in _PARTS for name, (f, _) in part.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in (text_queries, record_queries) for name, (_, sql) in part.Q.items() if sql}
+    return {name: sql for part in _PARTS for name, (_, sql) in part.Q.items() if sql}
