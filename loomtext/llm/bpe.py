@@ -10,6 +10,8 @@ import heapq
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -17,7 +19,7 @@ import numpy as np
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries of one generation of a store; two are kept, so that memory is bounded and frequent entries stay.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def default_path() -> str:
@@ -190,8 +192,12 @@ class Encoder:
         if len(known) + len(new) > known.size:
             known.older = dict(known)
             known.clear()
+        kind = "H" if self.dtype.itemsize == 2 else "I"
         for x, e in zip(new, self.library.encode_batch_fast([lead(x) for x in new], add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, self.dtype).tobytes()
+            ids = array(kind, e.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            known[x] = ids.tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The identifiers of text, little-endian, as the library gives them without begin or end tokens."""
