@@ -40,6 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, with underscores before them until df has no such columns."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def bucket_bits(total: int) -> int:
     """Bits of a hash that deal total rows into buckets of about ROWS_A_BUCKET."""
     return max(0, (max(total, 1) // ROWS_A_BUCKET).bit_length())

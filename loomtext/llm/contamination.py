@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, mix, text_slices, word_hashes, written
+from .common import byte_table, fresh, mix, text_slices, word_hashes, written
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows are broadcast at once; more is scanned for in blocks of this size.
@@ -169,8 +169,10 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
     for n, windows in _blocks(benchmark, "item_id", "text", most_bytes, window):
         if n > 1:
             windows.unpersist()
-            bad = contamination(docs.withColumn("doc_id", F.xxhash64(text_col)), benchmark, window, most_bytes, "doc_id", text_col).where("contaminated").select(F.col("doc_id").alias("_x")).distinct()
-            return docs.withColumn("_x", F.xxhash64(text_col)).join(bad, "_x", "left_anti").select(*names)
+            (x,) = fresh(docs, "_x")
+            keyed = docs.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
+            bad = contamination(keyed, benchmark, window, most_bytes).where("contaminated").select(F.col("doc_id").alias(x)).distinct()
+            return docs.withColumn(x, F.xxhash64(text_col)).join(bad, x, "left_anti").select(*names)
         blocks.append(windows)
 
     def run(batches):

@@ -63,25 +63,19 @@ class Model:
         table = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * len(counts)))
         return {k: i for i, k in enumerate(counts)}, (table - table.mean(1, keepdims=True)).astype(np.float32)
 
-    def backed_off(self, word: str) -> np.ndarray:
-        """Of an unseen word: the sum over its places of the longest known n-gram that begins there, by the word's length."""
-        marked, get, rows = f" {word} ", self.by_gram.get, []
-        for k in range(len(marked) - 1):
-            for size in range(min(LONGEST_GRAM, len(marked) - k), 0, -1):
-                row = get(marked[k : k + size])
-                if row is not None:
-                    rows.append(row)
-                    break
-        return self.gram_scores[rows].sum(0) * (2.0 / len(marked))
-
-    def of_part(self, part: str) -> tuple[np.ndarray, int]:
-        """Sum of scores of the words in a part of a text, and the number of words."""
-        words = _LETTERS.findall(part.lower())
-        out = np.zeros(len(self.languages), np.float32)
-        for w in words:
-            row = self.words.get(w)
-            out += self.word_scores[row] if row is not None else self.backed_off(w)
-        return out, len(words)
+    def backed_off(self, word: str) -> list[int]:
+        """Of an unseen word the rows of the longest known n-gram that begins at each of its places."""
+        marked, get = f" {word} ", self.by_gram.get
+        rows = [get(marked[k : k + LONGEST_GRAM]) for k in range(len(marked) - 1)]
+        if None in rows:
+            for k, row in enumerate(rows):
+                size = LONGEST_GRAM
+                while row is None and size > 1:
+                    size -= 1
+                    row = get(marked[k : k + size])
+                rows[k] = row
+            rows = [r for r in rows if r is not None]
+        return rows
 
 
 class Scorer:
@@ -89,7 +83,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.size = max(1000, min(300_000, 4_000_000 // max(1, len(model.languages))))
+        self.size = max(1000, min(600_000, 4_000_000 // max(1, len(model.languages))))
+        # words, then n-grams, then a row of zeros
+        self.table = np.concatenate([model.word_scores, model.gram_scores, np.zeros((1, len(model.languages)), np.float32)])
         self.reset()
 
     def reset(self) -> None:
@@ -97,28 +93,57 @@ class Scorer:
         self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
         self.words = np.zeros(1024, np.int64)
 
-    def add(self, part: str) -> int:
-        k = self.rows[part] = len(self.rows)
-        if k >= len(self.words):
+    def learn(self, parts: list[str]) -> None:
+        """Score parts that aren't known yet: sums over their words, of the word's row or of its n-grams', by the word's length."""
+        known, off, none = self.model.words.get, len(self.model.word_scores), len(self.table) - 1
+        rows, first, weight, begins, counts = [], [], [], [], []
+        for part in parts:
+            words = _LETTERS.findall(part.lower())
+            begins.append(len(first))
+            counts.append(len(words))
+            for w in words or [""]:
+                first.append(len(rows))
+                row = known(w)
+                if row is not None:
+                    rows.append(row)
+                    weight.append(1.0)
+                else:
+                    found = [off + r for r in self.model.backed_off(w)] if w else []
+                    rows += found or [none]
+                    weight.append(2.0 / (len(w) + 2))
+        by_word = np.add.reduceat(self.table[rows], first, axis=0) * np.array(weight, np.float32)[:, None]
+        at = len(self.rows)
+        while at + len(parts) > len(self.words):
             self.scores, self.words = np.concatenate([self.scores] * 2), np.concatenate([self.words] * 2)
-        self.scores[k], self.words[k] = self.model.of_part(part)
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        parts = text.split() if text else []
-        if len(self.rows) > self.size:
-            self.reset()
-        get = self.rows.get
-        at = [get(x) for x in parts]
-        if None in at:
-            for k, row in enumerate(at):
-                if row is None:
-                    row = get(parts[k])
-                    at[k] = self.add(parts[k]) if row is None else row
-        n = int(self.words[at].sum()) if at else 0
-        if not n or not self.model.languages:
+        self.scores[at : at + len(parts)] = np.add.reduceat(by_word, begins, axis=0)
+        self.words[at : at + len(parts)] = counts
+        self.rows.update(zip(parts, range(at, at + len(parts)), strict=True))
+
+    def predict_all(self, texts: list[str | None], most: int = 1 << 20):
+        """(language, score) of each text; texts are looked over in runs of about most characters."""
+        at = 0
+        while at < len(texts):
+            if len(self.rows) > self.size:
+                self.reset()
+            run, size = [], 0
+            while at < len(texts) and (not run or size < most):
+                run.append(texts[at].split() if texts[at] else [])
+                size += len(texts[at] or "")
+                at += 1
+            get = self.rows.get
+            got = [[get(x) for x in parts] for parts in run]
+            new = {x: None for parts, rows in zip(run, got, strict=True) if None in rows for x, r in zip(parts, rows, strict=True) if r is None}
+            if new:
+                self.learn(list(new))
+            for parts, rows in zip(run, got, strict=True):
+                if None in rows:
+                    rows = [get(x) if r is None else r for x, r in zip(parts, rows, strict=True)]
+                yield self.best(rows)
+
+    def best(self, rows: list[int]) -> tuple[str, float]:
+        if not rows or not self.model.languages or not self.words[rows].sum():
             return "und", 0.0
-        total = self.scores[at].sum(0, dtype=np.float64)
+        total = self.scores[rows].sum(0, dtype=np.float64)
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.model.languages[best], float(share[best] / share.sum())
@@ -170,7 +195,7 @@ def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches):
         scorer = _scorer(shared)
         for b in batches:
-            found = [scorer.predict(t.as_py()) for t in b.column(2)]
+            found = list(scorer.predict_all(b.column(2).to_pylist()))
             lang, score = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -187,6 +212,6 @@ def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str
     def run(batches):
         scorer = _scorer(shared)
         for b in batches:
-            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in (scorer.predict(t.as_py()) for t in b.column(k))], pa.bool_()))
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in scorer.predict_all(b.column(k).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, mix, text_slices, word_hashes, written
+from .common import byte_table, fresh, mix, text_slices, word_hashes, written
 
 #: Half-keys in each of the two collections, and minima in a half-key. A table's key combines a half-key of either
 #: collection: HALVES**2 tables of 2 * WIDTH minima from 2 * HALVES * WIDTH minima in all. At similarity s a pair
@@ -290,5 +290,6 @@ def _links(found: list[DataFrame], buckets: DataFrame, sets: DataFrame, percent:
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one document of each component: that of the least doc_id; rows alike in doc_id stay or go together."""
-    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
