@@ -14,7 +14,7 @@ from loomtext.llm.automaton import _Parser, compile_rules, reverse
 from loomtext.llm.common import hash_rank, ordered_position, shared_root
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, r long, x long, n int, node long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, r long, x long, n int, node long, _x long, _gone int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -40,7 +40,7 @@ TEXTS = made_texts()
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(k, t, ["en", "fr", None][k % 3], ["big", "big", "small", None][k % 4], 1, 2, 3, 4, 5, 6) for k, t in enumerate(TEXTS)]
+    rows = [(k, t, ["en", "fr", None][k % 3], ["big", "big", "small", None][k % 4], 1, 2, 3, 4, 5, 6, 7, 8) for k, t in enumerate(TEXTS)]
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 
@@ -322,7 +322,7 @@ def test_line_dedup(spark):
     passage = line(60)
     rows = [(k, "\n".join([line(6), shared, line(7)] if k % 2 else [line(9), passage, line(3)])) for k in range(12)]
     rows += [(20, None), (21, ""), (22, "short\nshort"), (23, "\n\n\n"), (24, shared), (24, shared), (25, passage + "\n" + passage)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(1)).withColumn("first", F.lit(2)).withColumn("lines", F.lit(3))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(1)).withColumn("first", F.lit(2)).withColumn("lines", F.lit(3)).withColumn("_x", F.lit(4)).withColumn("_lines", F.lit(5))
     want = brute_lines(rows)
     got = lines.without_repeated_lines(df).collect()
     assert len(got) == len(rows)
