@@ -318,7 +318,7 @@ def brute_lines(rows):
 def test_line_dedup(spark):
     rnd = random.Random(4)
     line = lambda n: " ".join(str(rnd.randrange(1000)) for _ in range(n))
-    shared = "\n".join(line(8) for _ in range(12))
+    shared = "\n".join(line(8) for _ in range(40))
     passage = line(60)
     rows = [(k, "\n".join([line(6), shared, line(7)] if k % 2 else [line(9), passage, line(3)])) for k in range(12)]
     rows += [(20, None), (21, ""), (22, "short\nshort"), (23, "\n\n\n"), (24, shared), (24, shared), (25, passage + "\n" + passage)]
