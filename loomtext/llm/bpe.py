@@ -19,7 +19,7 @@ import numpy as np
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries of one generation of a store; two are kept, so that memory is bounded and frequent entries stay.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def default_path() -> str:

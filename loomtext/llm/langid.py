@@ -83,7 +83,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.size = max(1000, min(600_000, 4_000_000 // max(1, len(model.languages))))
+        self.size = max(1000, min(250_000, 4_000_000 // max(1, len(model.languages))))
         # words, then n-grams, then a row of zeros
         self.table = np.concatenate([model.word_scores, model.gram_scores, np.zeros((1, len(model.languages)), np.float32)])
         self.reset()
