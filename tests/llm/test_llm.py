@@ -335,6 +335,28 @@ def test_line_dedup(spark):
     assert lines.without_repeated_lines(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("sizes", [[30] * 2, [20] * 4, [45] * 6, [8] * 12, [1] * 60, [60, 3, 3]])
+def test_line_dedup_of_runs(spark, sizes):
+    """A run of lines of 50 words or more appears once afterwards, whatever its lines are; the lines around it stay."""
+    rnd = random.Random(sum(sizes))
+    line = lambda n: " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+    runs = ["\n".join(map(line, sizes)) for _ in range(8)]
+    around = [(line(6), line(7)) for _ in range(48)]
+    rows = [(k, "\n".join([around[k][0], runs[k % 8], around[k][1]])) for k in range(48)]
+    got = by_id(lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    for k, text in rows:
+        assert got[k]["text"] == (text if k < 8 else "\n".join(around[k]))
+        assert got[k]["lines_removed"] == (0 if k < 8 else len(sizes))
+
+
+def test_line_dedup_of_overlaps(spark):
+    """Of a line that repeats itself the first run of 50 words stays; in a later document all of it goes."""
+    rows = [(k, "\n".join([f"first {k}", *["ten words in a line that is once more said"] * 9, f"last {k}"])) for k in (1, 2)]
+    got = by_id(lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1]["text"].split("\n") == ["first 1", *["ten words in a line that is once more said"] * 5, "last 1"]
+    assert got[2]["text"] == "first 2\nlast 2"
+
+
 def test_chunks_resist_shifts():
     rnd = random.Random(6)
     text = "\n".join(str(rnd.random()) for _ in range(200))
