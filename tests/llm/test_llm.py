@@ -349,6 +349,17 @@ def test_line_dedup_of_runs(spark, sizes):
         assert got[k]["lines_removed"] == (0 if k < 8 else len(sizes))
 
 
+def test_line_dedup_of_exact_copies(spark):
+    """Nothing but white space is left of a copy of two lines with words or more, wherever its chunks end."""
+    rnd = random.Random(8)
+    line = lambda n: " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+    texts = ["\n".join(["", *(line(rnd.choice([1, 4, 9, 60]) if k % 3 else rnd.randint(1, 4)) for _ in range(rnd.randint(2, 12))), "", ""]) for k in range(120)]
+    rows = [(k, texts[k % 120]) for k in range(240)]
+    got = by_id(lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[k]["text"] for k in range(120)] == texts
+    assert all(not got[k]["text"].strip() for k in range(120, 240))
+
+
 def test_line_dedup_of_overlaps(spark):
     """Of a line that repeats itself the first run of 50 words stays; in a later document all of it goes."""
     rows = [(k, "\n".join([f"first {k}", *["ten words in a line that is once more said"] * 9, f"last {k}"])) for k in (1, 2)]
