@@ -303,6 +303,14 @@ def token_sources(spark, d):
     return E.token_source(e).join(e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id").select(F.col("doc_id").alias("user_id"), F.col("token_source").alias("source"), "n")
 
 
+@query("""SELECT user_id, CASE WHEN count(DISTINCT nullif(trim(event_type), '')) > 1 THEN 'mixed' ELSE coalesce(min(nullif(trim(event_type), '')), '') END AS source, count(*) AS n FROM events GROUP BY 1""")
+def token_sources_all(spark, d):
+    """As token_sources, over every event."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("token_source"))
+    counts = e.groupBy(F.col("doc_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
+    return E.token_source(e).join(counts, F.col("doc_id").eqNullSafe(F.col("user_id"))).select("user_id", F.col("token_source").alias("source"), "n")
+
+
 @query("SELECT command AS command, CASE command WHEN 'parse-vtt' THEN 'source' WHEN 'chunk-text' THEN 'planning' WHEN 'verify-quality' THEN 'verify' ELSE 'unknown' END AS stage FROM (VALUES ('parse-vtt'), ('chunk-text'), ('verify-quality'), ('nothing')) AS t(command)")
 def command_stages(spark, d):
     rows = spark.createDataFrame([("parse-vtt",), ("chunk-text",), ("verify-quality",), ("nothing",)], "command string")

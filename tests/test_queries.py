@@ -37,3 +37,8 @@ def test_query(spark, db, name):
     have = [c[0] for c in cur.description]
     want = sorted((tuple(value(dict(zip(have, r, strict=True))[c]) for c in names) for r in cur.fetchall()), key=repr)
     assert sorted(have) == names and got == want
+
+
+def test_token_sources_of_every_event(spark):
+    got = catalogue.queries()["token_sources_all"](spark, DATA)
+    assert got.agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{DATA}/events.parquet").count()
