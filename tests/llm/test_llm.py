@@ -335,6 +335,21 @@ def test_line_dedup(spark):
     assert lines.without_repeated_lines(df.limit(0)).collect() == []
 
 
+def test_line_dedup_of_twelve_lines(spark):
+    """Twelve lines of 8 words and one of 60, with unique lines around: once afterwards, told from the texts alone."""
+    rnd = random.Random(4)
+    line = lambda n: " ".join(str(rnd.randrange(1000)) for _ in range(n))
+    shared = "\n".join(line(8) for _ in range(12))
+    passage = line(60)
+    around = [(line(9), line(3)) for _ in range(12)]
+    rows = [(k, "\n".join([around[k][0], shared if k % 2 else passage, around[k][1]])) for k in range(12)]
+    rows += [(20, None), (21, ""), (22, "short\nshort"), (23, "\n\n\n"), (24, shared), (24, shared), (25, passage + "\n" + passage)]
+    got = lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(k, t if k < 2 else "\n".join(around[k])) for k, t in rows[:12]] + rows[12:16] + [(24, ""), (24, ""), (25, "")]
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == [(k, t or "") for k, t in want]
+    assert all("\n".join(r["text"] or "" for r in got).count(x) == 1 for x in [passage, *shared.split("\n")])
+
+
 @pytest.mark.parametrize("sizes", [[30] * 2, [20] * 4, [45] * 6, [8] * 12, [1] * 60, [60, 3, 3]])
 def test_line_dedup_of_runs(spark, sizes):
     """A run of lines of 50 words or more appears once afterwards, whatever its lines are; the lines around it stay."""
