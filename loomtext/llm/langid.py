@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 
-#: Bounds of what is learned: labelled documents of each language, words of each language, languages.
+#: Bounds of what is learned: labelled documents of each language, words of each, n-grams of each.
 DOCS_A_LANGUAGE = 3000
 WORDS_A_LANGUAGE = 20_000
-LANGUAGES = 64
+GRAMS_A_LANGUAGE = 100_000
+#: Scores of words, and of n-grams, by language: with more than 64 languages (28 for n-grams) each has fewer than above.
+CELLS = 64 * 64 * 20_000
 LONGEST_GRAM = 4
 #: What is added to each count.
 SMOOTHING = 0.5
@@ -29,8 +32,8 @@ def learn_from(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 class Model:
     """Log frequencies by language of words and of n-grams of characters."""
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        """counts: (language, word, count)."""
+    def __init__(self, counts: list[tuple[str, str, int]], gram_counts: list[tuple[str, str, int]] | None = None):
+        """counts: (language, word, count); gram_counts: the same of n-grams, those of the words if None."""
         self.languages = sorted({lang for lang, _, _ in counts})
         at = {lang: k for k, lang in enumerate(self.languages)}
         n = len(self.languages)
@@ -38,9 +41,10 @@ class Model:
         grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
         for lang, word, count in counts:
             words[word][at[lang]] += count
-            for size in range(1, LONGEST_GRAM + 1):
-                for g in self.grams(word, size):
-                    grams[g][at[lang]] += count
+        if gram_counts is None:
+            gram_counts = [(lang, g, count) for lang, word, count in counts for size in range(1, LONGEST_GRAM + 1) for g in self.grams(word, size)]
+        for lang, g, count in gram_counts:
+            grams[g][at[lang]] += count
         self.words, self.word_scores = self.logs(words)
         merged: dict[str, int] = {}
         parts = []
@@ -152,21 +156,41 @@ class Scorer:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Count words of a bounded sample of labelled rows: DOCS_A_LANGUAGE of each language in expectation, by a hash of doc_id.
 
-    The sample's bound is the only one on rows; each sampled text counts whole. The driver gets
-    WORDS_A_LANGUAGE words of each of at most LANGUAGES languages, those with the most rows.
+    The sample's bound is the only one on rows; each sampled text counts whole. All languages are learned, and n-grams
+    are counted over all words of the sample. The driver gets the WORDS_A_LANGUAGE and GRAMS_A_LANGUAGE most frequent
+    of each language, fewer if there are so many languages that the scores would be more than CELLS.
     """
     rows = learn_from(docs, id_col).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return Model([])
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, DOCS_A_LANGUAGE / r["n"]))])
     chance = F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(chance < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    return Model([tuple(r) for r in counts.withColumn("k", first).where(F.col("k") <= WORDS_A_LANGUAGE).select("lang", "word", "n").orderBy("lang", "word").collect()])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, DOCS_A_LANGUAGE / r["n"])) for r in sizes], "lang string, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where(chance < F.col("share"))
+    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("part")).where("part <> ''")
+    counts = written(words.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")), "words")
+    grams = counts.mapInArrow(_grams, "lang string, part string, n long").groupBy("lang", "part").agg(F.sum("n").alias("n"))
+    most = max(1, CELLS // len(sizes) ** 2)
+    return Model(_frequent(counts, min(most, WORDS_A_LANGUAGE)), _frequent(grams, min(most, GRAMS_A_LANGUAGE)))
+
+
+def _grams(batches):
+    """(lang, n-gram, count) of (lang, word, count), summed up within a batch."""
+    for b in batches:
+        found: Counter = Counter()
+        for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for size in range(1, LONGEST_GRAM + 1):
+                for g in Model.grams(word, size):
+                    found[lang, g] += n
+        lang, gram = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "part", "n"])
+
+
+def _frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
+    """The most frequent parts of each language, at most so many."""
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "part"))
+    return [tuple(r) for r in counts.withColumn("k", first).where(F.col("k") <= most).select("lang", "part", "n").orderBy("lang", "part").collect()]
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -190,7 +214,7 @@ def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     is read, with no shuffle; rows alike get rows alike; an empty table gives an empty result; only
     the text is looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: LANGUAGES x WORDS_A_LANGUAGE words and their n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: CELLS scores of words, and as many of n-grams
 
     def run(batches):
         scorer = _scorer(shared)

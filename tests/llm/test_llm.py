@@ -301,6 +301,22 @@ def test_language_ignores_the_labels(spark):
     assert held.languages == ["en", "fr"]
 
 
+def test_language_of_many_languages(spark):
+    """Each of more than 64 values of lang can be predicted."""
+    rows = [(k, " ".join(chr(97 + v % 26) + chr(97 + v // 26) + "".join(chr(97 + (v * j + j) % 26) for j in range(2, 5)) for _ in range(4)), f"l{v}") for k in range(800) for v in [k % 80]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(langid.predictions(df, langid.fit(df)))
+    assert all(got[k]["lang_pred"] == lang for k, _, lang in rows)
+
+
+def test_language_counts_n_grams_of_all_words(spark, monkeypatch):
+    """N-grams of words that are too rare to be learned themselves count too."""
+    df = spark.createDataFrame([(k, "often often rarely", "en") for k in range(20)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "WORDS_A_LANGUAGE", 1)
+    model = langid.fit(df)
+    assert list(model.words) == ["often"] and {"rare", "ely ", "y"} <= set(model.by_gram)
+
+
 # ---- 5 -----------------------------------------------------------------------------------------
 
 
