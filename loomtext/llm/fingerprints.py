@@ -92,7 +92,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The edited text: the last floor(n_chars / 4) code points replaced by the first as many (or all) of
     the next document's by doc_id; after the last comes the first. Equal doc_ids follow each
     other by the hash of their text; rows equal in both are one document and get equal results. Null text is
-    empty. An empty table gives an empty result; a table of one document is its own next. Other columns
+    empty; null doc_ids are alike and come first. An empty table gives an empty result; a table of one document is its own next. Other columns
     of docs are not looked at.
 
     Texts are shuffled once, by document; both joins read that exchange. Only the part that replaces
@@ -100,10 +100,12 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     nexts = written(next_ids(docs, id_col, text_col), "nexts")
-    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("x", F.xxhash64("text"))
+    boxed = lambda c: F.struct(F.col(c).alias("id"))  # noqa: E731  # equal to another null where a bare null isn't
+    nexts = nexts.select(boxed("doc_id").alias("doc_id"), "x", boxed("next_id").alias("next_id"), "next_x")
+    own = docs.select(boxed(id_col).alias("doc_id"), text.alias("text")).withColumn("x", F.xxhash64("text"))
     own = with_fingerprint(own, "text", "fingerprint")  # both joins read these columns, so that they share one exchange
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    lengths = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("x"), F.char_length(text).alias("n_chars")).distinct()
+    lengths = docs.select(boxed(id_col).alias("doc_id"), F.xxhash64(text).alias("x"), F.char_length(text).alias("n_chars")).distinct()
     wants = nexts.join(lengths, ["doc_id", "x"]).select(F.col("next_id").alias("doc_id"), F.col("next_x").alias("x"), F.col("doc_id").alias("to_id"), F.col("x").alias("to_x"), quarter.alias("need"))
     gives = own.join(wants, ["doc_id", "x"]).select(F.col("to_id").alias("doc_id"), F.col("to_x").alias("x"), F.expr("substring(text, 1, need)").alias("tail"), F.col("fingerprint").alias("next_fingerprint"))
     gives = gives.groupBy("doc_id", "x").agg(F.first("tail").alias("tail"), F.first("next_fingerprint").alias("next_fingerprint"))
@@ -112,7 +114,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = both.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", "edited", F.sha2("edited", 256).alias("edited_sha256"))
     both = with_fingerprint(both, "edited", "edited_fingerprint")
     return both.select(
-        "doc_id",
+        F.col("doc_id.id").alias("doc_id"),
         "n_chars",
         "edited_sha256",
         "fingerprint",

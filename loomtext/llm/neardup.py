@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 1
             break
         if sets is None:
             wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes, "node")
-            sets = written(_sets(rows.join(wanted.select("doc_id").distinct(), "doc_id").select("text"), words), "sets")
+            ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()  # null for a node that has no other
+            sets = written(_sets(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text"), words), "sets")
         # sets whose sizes alone keep them apart need no comparing
         apart = F.least("n", "leader_n") < F.greatest("n", "leader_n") * F.lit(1 - 3 * far)
         compared = written(_compared(pairs.where(~apart).select("node", "leader"), sets), "compared")

@@ -510,6 +510,23 @@ def test_fingerprints(spark, docs, none):
     assert fingerprints.edited_likeness(twice).count() == 3
 
 
+def test_fingerprints_of_null_ids(spark):
+    rows = [(None, "a b c d e f g h"), (None, None), (None, "z y x w"), (1, "one two three four five six"), (2, "last of all the rows")]
+    got = fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got) == sorted((k or 0, len(t or "")) for k, t in rows)
+    first = min((r for r in got if r["doc_id"] is None), key=lambda r: r["n_chars"])
+    assert first["n_chars"] == 0 and all(r["near_next"] is not None for r in got)
+
+
+def test_neardup_of_null_ids(spark):
+    """A text without any doc_id links two that are too far from each other."""
+    words = [f"w{k}" for k in range(400)]
+    a, b, c = (" ".join(words[k : k + 340]) for k in (0, 30, 60))
+    df = spark.createDataFrame([(1, a), (None, b), (2, c), (3, "some other text that is not like the rest of them")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 5, 80).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, None: 1}
+
+
 # ---- pipeline ----------------------------------------------------------------------------------
 
 
