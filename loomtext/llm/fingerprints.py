@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +18,23 @@ DIGITS = BITS // 4
 LOW = 64 - (BINS.bit_length() - 1)
 WORDS = 5
 SEED = 29
-#: Bins that an empty one tries by a hash of its number and the try. If all are empty, it walks over all bins
-#: from a hashed place on.
+#: Bins that an empty one tries by a hash of its number and the try, before what further tries meet is looked up.
 TRIES = 10
 
 
+@cache
+def _met() -> str:
+    """For each bin all bins, in the order in which its tries (xxhash64 of its number and the try) first meet them; comma separated."""
+    out: list[int] = []
+    for i in range(BINS):
+        seed, seen, j = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42), {}, 0
+        while len(seen) < BINS:
+            j += 1
+            seen.setdefault(xxhash.xxh64_intdigest(j.to_bytes(4, "little"), seed) % BINS)
+        out += seen
+    return ",".join(map(str, out))
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with out: the fingerprint of the column text, BITS of each of BINS bins in hexadecimal digits.
 
@@ -27,7 +42,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     run of WORDS words is a shingle, hashed once to 64 bits: the upper ones choose its bin and
     each bin keeps its least hash. With fewer words all of them are one shingle; with none the
     fingerprint is dashes, like only to another such. An empty bin takes the value of a filled one,
-    found by hashing its own number and the count of tries (optimal densification). Null text is empty.
+    found by hashing its own number and the count of tries until it meets one (optimal densification). Null text is empty.
     """
     a, b, c, d = (f"_{out}_{k}" for k in "abcd")
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))
@@ -43,10 +58,12 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     low = lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1)))), DIGITS, "0")
     filled = lambda p: F.get(F.col(c), p).bitwiseAND(empty) != empty
 
+    met = F.split(F.lit(_met()), ",").cast("array<int>")  # a constant, worked out once
+
     def dense(x: Column, i: Column) -> Column:
         tries = F.transform(F.sequence(F.lit(1), F.lit(TRIES)), lambda j: F.pmod(F.xxhash64(i, j), F.lit(BINS)).cast("int"))
-        walk = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.pmod(F.pmod(F.xxhash64(i), F.lit(BINS)) + j, F.lit(BINS)).cast("int"))
-        at = F.coalesce(F.get(F.filter(tries, filled), F.lit(0)), F.get(F.filter(walk, filled), F.lit(0)))
+        later = F.slice(met, i * F.lit(BINS) + F.lit(1), F.lit(BINS))
+        at = F.coalesce(F.get(F.filter(tries, filled), F.lit(0)), F.get(F.filter(later, filled), F.lit(0)))
         return F.when(x.bitwiseAND(empty) != empty, x).otherwise(F.get(F.col(c), at))
 
     df = df.withColumn(d, F.when(F.size(a) > 0, F.transform(F.col(c), dense)))

@@ -510,6 +510,23 @@ def test_fingerprints(spark, docs, none):
     assert fingerprints.edited_likeness(twice).count() == 3
 
 
+def test_fingerprint_hashes_on(spark):
+    """An empty bin takes the value of the first filled one that the hash of its number and the try meets, however many tries."""
+    n = fingerprints.BINS
+    texts = [" ".join(f"v{k}x{j}" for j in range(5 + k % 6)) for k in range(12)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    shingles = F.expr("transform(sequence(0, size(split(text, ' ')) - 5), i -> slice(transform(split(text, ' '), w -> xxhash64(w)), i + 1, 5))")
+    hashed = F.transform(shingles, lambda s: F.xxhash64(*[s[j] for j in range(5)]))
+    tried = [r["p"] for r in spark.range(n).coalesce(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda j: F.pmod(F.xxhash64(F.col("id").cast("int"), j), F.lit(n))).alias("p")).orderBy("id").collect()]
+    for r in fingerprints.with_fingerprint(df, "text", "out").select("out", hashed.alias("h")).collect():
+        least = {}
+        for h in r["h"]:
+            at = (h >> fingerprints.LOW) + n // 2
+            least[at] = min(h, least.get(at, h))
+        at = [i if i in least else next(p for p in tried[i] if p in least) for i in range(n)]
+        assert r["out"] == "".join(f"{least[p] % 256:02x}" for p in at)
+
+
 def test_fingerprints_of_null_ids(spark):
     rows = [(None, "a b c d e f g h"), (None, None), (None, "z y x w"), (1, "one two three four five six"), (2, "last of all the rows")]
     got = fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
