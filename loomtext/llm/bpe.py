@@ -1,7 +1,7 @@
 """Byte-pair encoding: token counts by own merging, and identifiers from the tokenizers library.
 
-Both work on pretokens, which the byte-level scheme encodes one by one, and remember what they made of
-frequent ones in a store of bounded size.
+Both work on pretokens, which the byte-level scheme encodes one by one: texts are cut into units that no pretoken
+reaches across, and each distinct unit of a slice of texts is worked out once.
 """
 
 from __future__ import annotations
@@ -10,16 +10,18 @@ import heapq
 import json
 import os
 import re
-import sys
-from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+
+from .common import _NO_SPACE, _SPACE, Known, column_slices, gathered, kept_in_worker, sums_by, text_bytes, units
 
 #: The pattern that cuts a text into pretokens before merging (also public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Entries of one generation of a store; two are kept, so that memory is bounded and frequent entries stay.
-REMEMBERED = 500_000
+#: Bytes of text whose parts are looked up at once.
+SLICE = 8 << 20
 
 
 def default_path() -> str:
@@ -36,24 +38,6 @@ def byte_symbols() -> dict[int, str]:
     return out
 
 
-class Remembered(dict):
-    """What make(key) gave, in two generations: the older is dropped when the newer is full."""
-
-    def __init__(self, make, size: int = REMEMBERED):
-        super().__init__()
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -77,7 +61,7 @@ class Counter:
         self.vocabulary = Vocabulary(path or default_path())
         self.cut = regex.compile(PATTERN).findall
         self.special = re.compile("|".join(map(re.escape, self.vocabulary.specials))) if self.vocabulary.specials else None
-        self.known, self.signs = Remembered(self.part), Remembered(self.unit)
+        self.known = Known(lambda new: (np.array([self.unit(x) for x in new.to_pylist()], np.uint32), np.ones(len(new), np.int64)), np.uint32)
 
     def merged(self, piece: bytes) -> int:
         """Symbols left of a pretoken when no pair merges any more.
@@ -119,118 +103,109 @@ class Counter:
                     heapq.heappush(heap, (m[0], left, pair, m[1]))
         return count
 
-    def unit(self, text: str) -> int:
-        return sum(self.merged(x.encode()) for x in self.cut(text))
-
-    def part(self, x: str) -> int:
-        if m := TAIL.match(x):
-            return self.known[m[1]] + self.signs[m[2]]
-        return self.unit(lead(x))
+    def unit(self, piece: bytes) -> int:
+        return sum(self.merged(x.encode()) for x in self.cut(piece.decode()))
 
     def count(self, text: str | None) -> int:
         """Tokens of text as the library gives them by default: a special token's string is one token."""
-        if not text:
-            return 0
-        if self.special and self.special.search(text):
-            parts = self.special.split(text)
-            return len(parts) - 1 + sum(map(self.plain, parts))
-        return self.plain(text)
-
-    def plain(self, text: str) -> int:
-        if units := parts(text):
-            known = self.known
-            return self.unit(units[0]) + sum([known[x] for x in units[1:]])
-        return self.unit(text) if text else 0
-
-
-#: A part that ends in signs: letters and signs are never in one pretoken.
-TAIL = re.compile(r"(.*[A-Za-z])([.,;:!?%$&#*]+)\Z", re.S)
-
-
-def parts(text: str) -> list[str] | None:
-    """The parts of text between single spaces and before line feeds, which go with the part behind; None if it has other white space.
-
-    No pretoken then reaches from one part into the next, but for the space, which belongs to the part
-    behind it (lead).
-    """
-    flat = text.replace("\n", " ")
-    if not flat or flat[0] == " " or flat[-1] == " " or "  " in flat or not flat.isprintable():
-        return None
-    return text.replace("\n", " \n").split(" ")
-
-
-def lead(part: str) -> str:
-    """A part as it stands in the text: behind a space, unless it has the line feed before it."""
-    return part if part[0] == "\n" else " " + part
+        parts = self.special.split(text or "") if self.special else [text or ""]
+        return len(parts) - 1 + sum(self.unit(x.encode()) for x in parts)
+
+    def count_all(self, column: pa.Array) -> np.ndarray:
+        """count() of each text; no pretoken reaches from one unit into the next, so that each distinct unit is counted once a slice."""
+        out = np.zeros(len(column), np.int64)
+        for at, texts in column_slices(column, SLICE):
+            plain, special = without_specials(texts, self.vocabulary.specials)
+            first, number, distinct = units(plain, signs=True)
+            counts, place, _ = self.known.runs(distinct)
+            out[at : at + len(texts)] = sums_by(counts[place][number].astype(np.int64), first)
+            for k in special:
+                out[at + k] = self.count(texts[k].as_py())
+        return out
+
+
+def without_specials(texts: pa.Array, specials: list[str]) -> tuple[pa.Array, list[int]]:
+    """texts with those that contain a special token's string made empty, and the rows of these."""
+    found = None
+    for s in specials:
+        hit = pa.compute.match_substring(texts, s)
+        found = hit if found is None else pa.compute.or_(found, hit)
+    rows = np.flatnonzero(np.asarray(found)).tolist() if found is not None else []
+    return (pa.compute.if_else(found, "", texts) if rows else texts), rows
 
 
 class Encoder:
-    """Identifiers from the tokenizers library, as bytes; the library sees each frequent part once."""
+    """Identifiers from the tokenizers library, which sees each distinct unit of a slice of texts once."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or default_path())
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.library.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.specials = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.known, self.signs = Remembered(self.part), Remembered(self.whole)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def part(self, x: str) -> bytes:
-        if m := TAIL.match(x):
-            return self.known[m[1]] + self.signs[m[2]]
-        return self.whole(lead(x))
-
-    def learn(self, new: set[str]) -> None:
-        """Have the library encode the parts that aren't known, all in one call."""
-        known, older = self.known, self.known.older
-        new = {(m[1] if (m := TAIL.match(x)) else x) for x in new}
-        new = [x for x in new if x not in known and x not in older]
-        if len(known) + len(new) > known.size:
-            known.older = dict(known)
-            known.clear()
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        for x, e in zip(new, self.library.encode_batch_fast([lead(x) for x in new], add_special_tokens=False), strict=True):
-            ids = array(kind, e.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            known[x] = ids.tobytes()
+        # a symbol stands for a byte, so that an identifier's bytes are its symbols
+        self.n_bytes = np.zeros(size, np.int64)
+        for token, k in self.library.get_vocab(with_added_tokens=False).items():
+            self.n_bytes[k] = len(token)
+        self.known = Known(self.encode_units, self.dtype)
 
     def encode(self, text: str | None) -> bytes:
         """The identifiers of text, little-endian, as the library gives them without begin or end tokens."""
-        return next(self.encode_all([text]))
-
-    def encode_all(self, texts: list[str | None], most: int = 1 << 20):
-        """encode() of each text; texts are looked over in runs of about most characters."""
-        at = 0
-        while at < len(texts):
-            run, size = [], 0
-            while at < len(texts) and (not run or size < most):
-                t = texts[at] or ""
-                units = None if any(s in t for s in self.specials) else parts(t)
-                run.append((t, units, [self.known.get(x) for x in units[1:]] if units else None))
-                size += len(t)
-                at += 1
-            self.learn({x for _, units, got in run if units for x, v in zip(units[1:], got, strict=True) if v is None})
-            for t, units, got in run:
-                if not units:
-                    yield self.whole(t) if t else b""
-                    continue
-                for k, v in enumerate(got):
-                    if v is None:
-                        got[k] = self.known[units[k + 1]]
-                yield self.whole(units[0]) + b"".join(got)
-
-
-_MADE: dict = {}
+        return np.array(self.library.encode(text or "", add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def encode_units(self, distinct: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(identifiers, number of each unit's): units that begin with a white space before other than white space are put together for the library.
+
+        Nothing is merged across such a white space, and the bytes of the identifiers tell where each unit ends.
+        """
+        data, offsets = text_bytes(distinct)
+        size = np.diff(offsets)
+        joins = np.zeros(len(size), bool)
+        long = np.flatnonzero(size > 1)
+        joins[long] = _SPACE[data[offsets[long]]] & _NO_SPACE[data[offsets[long] + 1]]
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        n = int(joins.sum())
+        flat = data[gathered(offsets[:-1][order[:n]], size[order[:n]])].tobytes()
+        ends = np.cumsum(size[order[:n]])
+        runs, a = [], 0
+        while a < n:  # runs of about 64 KB, which keep the library's working memory small
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 16), "right")))
+            runs.append(flat[ends[a - 1] if a else 0 : ends[z - 1]].decode())
+            a = z
+        single = distinct.take(pa.array(order[n:])).to_pylist()
+        ids = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(runs + [x.decode() for x in single], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in ids[len(runs) :]], np.int64)
+        joined = np.concatenate(ids[: len(runs)]) if runs else np.zeros(0, self.dtype)
+        at = np.searchsorted(np.cumsum(self.n_bytes[joined]), ends, "left") + 1
+        counts = np.zeros(len(size), np.int64)
+        counts[order[:n]] = np.diff(at, prepend=0)
+        counts[order[n:]] = sizes
+        first = np.zeros(len(size), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate([joined, *ids[len(runs) :]])[gathered(first, counts)], counts
+
+    def encode_all(self, column: pa.Array, end_id: int):
+        """(identifiers, ends) for runs of texts: those of the texts one after another, each with end_id behind it, and where each ends."""
+        for _, texts in column_slices(column, SLICE):
+            plain, special = without_specials(texts, self.specials)
+            first, number, distinct = units(plain, signs=True)
+            ids, start, count = self.known.runs(distinct)
+            of_unit = count[number]
+            n = sums_by(of_unit, first)
+            out = ids[gathered(start[number], of_unit)]
+            if special:
+                ends = np.cumsum(n)
+                parts, at = [], 0
+                for k in special:
+                    own = np.frombuffer(self.encode(texts[k].as_py()), self.dtype)
+                    parts += [out[at : ends[k]], own]
+                    at, n[k] = ends[k], len(own)
+                out = np.concatenate([*parts, out[at:]])
+            yield np.insert(out, np.cumsum(n), end_id), np.cumsum(n + 1)
 
 
 def of(kind, path: str | None):
     """The Counter or Encoder of this worker process for a vocabulary file."""
-    key = (kind, path)
-    if key not in _MADE:
-        _MADE[key] = kind(path)
-    return _MADE[key]
+    return kept_in_worker((kind, path), lambda: kind(path))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one ordered window handles; ranks are offset by counts of the windows before.
@@ -16,30 +17,59 @@ ROWS_A_BUCKET = 1024
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+    """The folder that the driver and all executors see: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder takes its place.
+    Only a local master, as in tests, whose executors are the driver itself, may do without: a temporary
+    folder takes its place. On a cluster an unset folder is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="loomtext-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomtext-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputing."""
+def written(df: DataFrame, name: str, among: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputing.
+
+    The table's folder is added to among, which removed() takes when no more is read from it.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/loomtext-{uuid.uuid4().hex}/{name}"
     schema = df.schema
     df.write.parquet(path)
+    if among is not None:
+        among.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing will read any more, through Spark's own file systems."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    paths.clear()
+
+
+_KEPT: dict = {}
+
+
+def kept_in_worker(key, make):
+    """What make() gave for key, kept by this worker process until a task asks for another key.
+
+    A worker serves the tasks of many stages one after another. It keeps one tool at a time, a tokenizer or a language
+    model, so that what stages before have left doesn't add up.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """names, with underscores before them until df has no such columns."""
     have, out = {c.lower() for c in df.columns}, []
@@ -65,15 +95,17 @@ def hash_rank(df: DataFrame, group: str, key: str, ties: list[str], total: int,
     """out: 0-based rank of each row within its group, by the hash in key, then ties.
 
     No task gets a whole group: the upper bits of the hash deal a group into buckets, each ranked
-    alone, and a bucket's rank starts at the count of the buckets before. Null groups are a group.
+    alone, and a bucket's rank starts at the count of the buckets before, a running sum over two levels. Null
+    groups are a group.
     Also adds ``{out}_of``, the group's number of rows.
     """
     bits = bucket_bits(total)
     deal = F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
     dealt = df.withColumn("_g", F.struct(F.col(group).alias("v"))).withColumn("_b", deal)
-    counts = dealt.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    whole = F.sum("_n").over(Window.partitionBy("_g"))
-    counts = running_before(counts, "_b", "_n", ["_g"], "_before").withColumn("_of", whole).drop("_n")
+    counts = dealt.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", F.floor(F.col("_b") / ROWS_A_BUCKET))
+    fine = running_before(counts, "_b", "_n", ["_g", "_c"], "_fine")
+    sums = running_before(counts.groupBy("_g", "_c").agg(F.sum("_n").alias("_m")), "_c", "_m", ["_g"], "_base").withColumn("_of", F.sum("_m").over(Window.partitionBy("_g")))
+    counts = fine.join(sums, ["_g", "_c"]).select("_g", "_b", (F.col("_fine") + F.col("_base")).alias("_before"), "_of")
     within = F.row_number().over(Window.partitionBy("_g", "_b").orderBy(key, *ties)) - 1
     ranked = dealt.withColumn("_r", within).join(counts, ["_g", "_b"])
     return ranked.withColumn(out, F.col("_before") + F.col("_r")).withColumn(f"{out}_of", F.col("_of")).drop("_g", "_b", "_r", "_before", "_of")
@@ -95,11 +127,6 @@ def ordered_position(df: DataFrame, place: str, ties: list[str], total: int, out
     return ranked.withColumn(out, F.col("_before") + F.col("_r")).drop("_b", "_r", "_before")
 
 
-def ascii_lower(c: Column) -> Column:
-    """A-Z in lower case, every other letter as it is."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 # ---- scans of bytes: one numpy pass over many texts -------------------------------------------
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -178,3 +205,108 @@ def text_slices(column: pa.Array, gap: bytes = b" ", most: int = 1 << 21):
         np.cumsum(lengths[at:to], out=offsets[1:])
         yield at, np.frombuffer(data, np.uint8), offsets
         at = to
+
+
+# ---- units: texts as numbers of distinct short pieces -----------------------------------------
+
+_SPACE = byte_table(b"\x20\x09\x0a\x0b\x0c\x0d")
+#: Bytes that begin no white space: U+0085, U+00A0, U+1680, U+2000 on and U+3000 begin with one of the last four.
+_NO_SPACE = byte_table(gaps=b"\x20\x09\x0a\x0b\x0c\x0d\xc2\xe1\xe2\xe3")
+_LETTER = byte_table(bytes([*range(65, 91), *range(97, 123)]))
+_SIGN = byte_table(bytes(b for b in range(33, 127) if not chr(b).isalnum()))
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a column of strings without nulls; text k lies from offsets[k] to offsets[k + 1]. Nothing is copied."""
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, kind, len(column) + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64) if offsets else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def column_slices(column: pa.Array, most: int):
+    """(first row, rows) for runs of rows of about most bytes, nulls made empty; a longer text is a run of its own."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return
+    column = pa.compute.fill_null(column, "")
+    total, at = np.cumsum(np.asarray(pa.compute.binary_length(column)).astype(np.int64)), 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, column.slice(at, to - at)
+        at = to
+
+
+def units(column: pa.Array, signs: bool = False) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    """(first, number, distinct): the units of text k are distinct[number[first[k] : first[k + 1]]].
+
+    A text is cut before each ASCII white space that ends a run of white space and isn't the last of the text, and with
+    signs also between an ASCII letter and an ASCII sign. Put together the units are the text.
+    No more is cut than that where other white space may follow, which costs nothing but repetition.
+    """
+    data, offsets = text_bytes(column)
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        here, after = data[:-1], data[1:]
+        cut[:-2] = _SPACE[here] & _NO_SPACE[after]
+        if signs:
+            cut[1:-1] |= _LETTER[here] & _SIGN[after]
+        last = offsets[1:][np.diff(offsets) > 0] - 1
+        cut[last[_SPACE[data[last]]]] = False
+    cut[offsets] = True
+    starts = np.flatnonzero(cut)
+    if starts[-1] != len(data):
+        starts = np.append(starts, len(data))
+    pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)])
+    coded = pieces.dictionary_encode()
+    return np.searchsorted(starts, offsets), np.asarray(coded.indices), coded.dictionary
+
+
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs one after another: starts[k], starts[k] + 1 and so on, sizes[k] of them."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def sums_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of values[first[k] : first[k + 1]], 0 for empty runs; equal runs have equal sums."""
+    out = np.zeros((len(first) - 1, *values.shape[1:]), values.dtype)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        out[some] = np.add.reduceat(values, first[:-1][some], axis=0)
+    return out
+
+
+class Known:
+    """What was made of units before: for each a run of numbers. Bounded in bytes; when full, the units of the last slice stay."""
+
+    def __init__(self, make, dtype, most: int = 32 << 20):
+        """make(units) gives (numbers, size of each unit's run)."""
+        self.make, self.most = make, most
+        self.keys, self.flat, self.sizes = pa.array([], pa.binary()), np.zeros(0, dtype), np.zeros(0, np.int32)
+
+    def runs(self, distinct: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, first of each unit's run, size of each unit's run)."""
+        found = pa.compute.index_in(distinct, value_set=self.keys)
+        new = np.asarray(pa.compute.is_null(found))
+        old = np.asarray(found.drop_null())
+        flat, sizes = self.make(distinct.filter(pa.array(new)))
+        starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        known = self.flat[gathered(starts[old], self.sizes[old])]
+        size = np.zeros(len(distinct), np.int64)
+        size[~new], size[new] = self.sizes[old], sizes
+        first = np.zeros(len(distinct), np.int64)
+        first[~new] = np.cumsum(self.sizes[old]) - self.sizes[old]
+        first[new] = len(known) + np.cumsum(sizes) - sizes
+        out = np.concatenate([known, flat])
+        if len(flat) or new.any():
+            if self.keys.nbytes + self.flat.nbytes + self.sizes.nbytes + distinct.nbytes + out.nbytes > self.most:
+                self.keys, self.flat, self.sizes = self.keys.take(pa.array(old)), known, self.sizes[old]
+            if self.keys.nbytes + distinct.nbytes + out.nbytes > self.most:  # one slice alone is too much to keep
+                self.keys, self.flat, self.sizes = self.keys.slice(0, 0), self.flat[:0], self.sizes[:0]
+            else:
+                self.keys = pa.concat_arrays([self.keys, distinct.filter(pa.array(new))])
+                self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes.astype(np.int32)])
+        return out, first, size

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Counter, Encoder, of
-from .common import hash_rank, shared_root, written
+from .common import gathered, hash_rank, shared_root, written
 
 # ---- counts ------------------------------------------------------------------------------------
 
@@ -30,11 +30,11 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, id_
     """
 
     def run(batches):
-        count = of(Counter, path).count
+        counter = of(Counter, path)
         for b in batches:
             texts = b.column(1)
             n_bytes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
-            n = pa.array([count(t.as_py()) for t in texts], pa.int64())
+            n = pa.array(counter.count_all(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), n_bytes, n, pa.compute.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -43,7 +43,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, id_
 
 # ---- token files -------------------------------------------------------------------------------
 
-MAGIC = b"LOOMTOK1"
+MAGIC = b"LOOMTOK2"
 
 
 def _file_system(uri: str):
@@ -57,13 +57,14 @@ def write_token_files(docs: DataFrame, root: str | None = None, path: str | None
 
     A folder holds parts in order. ``part.bin`` is flat little-endian unsigned integers (16 bits if the
     vocabulary fits, else 32); ``part.idx`` is the magic, the width in bytes and the number of documents
-    (64 bits each), the doc_ids, then documents + 1 64-bit offsets in identifiers. ``manifest.json`` names
+    (64 bits each), the doc_ids, documents + 1 64-bit offsets in identifiers, then a byte for each document, 1 if
+    its doc_id is null (and 0 stands in its place). ``manifest.json`` names
     the parts and, by prefix sums of their sizes, the first document and identifier of each. A part's
     name is that of its task attempt and only finished attempts are in the manifest, so a task that is
     run again, or twice, does no harm. root must be in a folder that all executors see.
 
-    Null text is empty: its document is the end_id alone. Equal doc_ids stand by the hash of their text. An
-    empty table gives a folder without parts.
+    Null text is empty: its document is the end_id alone. Equal doc_ids stand by the hash of their text, null ones
+    first, and come back null. An empty table gives a folder without parts.
     """
     spark = docs.sparkSession
     root = root or f"{shared_root(spark)}/loomtext-{uuid.uuid4().hex}/tokens"
@@ -72,23 +73,23 @@ def write_token_files(docs: DataFrame, root: str | None = None, path: str | None
         encoder, fs, at = of(Encoder, path), *_file_system(root)
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        ids, lengths, out = [], [], None
-        end = np.array([end_id], encoder.dtype).tobytes()
+        ids, nulls, offsets, written_ids, out = [], [], [np.zeros(1, "<u8")], 0, None
         for b in batches:
             if out is None:
                 fs.create_dir(at, recursive=True)
                 out = fs.open_output_stream(f"{at}/{name}.bin")
-            ids += b.column(0).to_pylist()
-            for x in encoder.encode_all(b.column(1).to_pylist()):
-                out.write(x + end)
-                lengths.append(len(x) // encoder.dtype.itemsize + 1)
+            ids.append(np.asarray(pa.compute.fill_null(b.column(0), 0)).astype("<i8"))
+            nulls.append(np.asarray(pa.compute.is_null(b.column(0))).astype(np.uint8))
+            for flat, ends in encoder.encode_all(b.column(1), end_id):
+                out.write(flat.tobytes())
+                offsets.append((ends + written_ids).astype("<u8"))
+                written_ids += len(flat)
         if out is not None:
             out.close()
-            offsets = np.zeros(len(ids) + 1, "<u8")
-            np.cumsum(lengths, out=offsets[1:])
+            n = sum(map(len, ids))
             with fs.open_output_stream(f"{at}/{name}.idx") as f:
-                f.write(MAGIC + np.array([encoder.dtype.itemsize, len(ids)], "<u8").tobytes() + np.array([x if x is not None else -1 for x in ids], "<i8").tobytes() + offsets.tobytes())
-            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "n_docs": [len(ids)], "n_ids": [int(offsets[-1])]})
+                f.write(MAGIC + np.array([encoder.dtype.itemsize, n], "<u8").tobytes() + b"".join(x.tobytes() for x in [*ids, *offsets, *nulls]))
+            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "n_docs": [n], "n_ids": [written_ids]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -104,17 +105,18 @@ def write_token_files(docs: DataFrame, root: str | None = None, path: str | None
     return root
 
 
-def open_part(root: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, offsets, identifiers) of a part, memory-mapped where the folder is a file system's."""
+def open_part(root: str, name: str) -> tuple[np.ma.MaskedArray, np.ndarray, np.ndarray]:
+    """(doc_ids, null ones masked; offsets; identifiers) of a part, memory-mapped where the folder is a file system's."""
     fs, at = _file_system(root)
     with fs.open_input_stream(f"{at}/{name}.idx") as f:
         head = f.read()
     if head[:8] != MAGIC:
         raise ValueError(f"{name}.idx is not an index of tokens")
     width, n = np.frombuffer(head, "<u8", 2, 8)
-    ids = np.frombuffer(head, "<i8", int(n), 24)
-    offsets = np.frombuffer(head, "<u8", int(n) + 1, 24 + 8 * int(n))
-    kind = {2: "<u2", 4: "<u4"}[int(width)]
+    width, n = int(width), int(n)
+    ids = np.ma.array(np.frombuffer(head, "<i8", n, 24), mask=np.frombuffer(head, np.uint8, n, 32 + 16 * n) > 0)
+    offsets = np.frombuffer(head, "<u8", n + 1, 24 + 8 * n)
+    kind = {2: "<u2", 4: "<u4"}[width]
     if isinstance(fs, pa.fs.LocalFileSystem):
         return ids, offsets, np.memmap(f"{at}/{name}.bin", kind, "r")
     with fs.open_input_file(f"{at}/{name}.bin") as f:
@@ -139,10 +141,11 @@ def read_token_files(spark: SparkSession, root: str) -> DataFrame:
                 part = manifest[k]
                 ids, offsets, flat = open_part(root, part["name"])
                 step = 4096
+                masked = np.ma.getmaskarray(ids)
                 for i in range(0, len(ids), step):
                     o = offsets[i : i + step + 1].astype(np.int64)
                     crc = [zlib.crc32(flat[a:z].astype("<u4").tobytes()) for a, z in zip(o[:-1], o[1:], strict=True)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": ids[i : i + step], "start": o[:-1] + part["first_id"], "n_tokens": np.diff(o), "ids_crc32": np.array(crc, np.int64)})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids.data[i : i + step], mask=masked[i : i + step]), "start": o[:-1] + part["first_id"], "n_tokens": np.diff(o), "ids_crc32": np.array(crc, np.int64)})
 
     return spark.range(0, n, 1, max(n, 1)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -194,13 +197,19 @@ def pieces(docs: DataFrame, size: int, end_id: int, path: str | None, id_col: st
 
     def run(batches):
         encoder = of(Encoder, path)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for b in batches:
-            out = []
-            for doc, x in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(x + end, encoder.dtype).astype("<u4")
-                out += [(doc, a, min(size, len(ids) - a), zlib.crc32(ids[a : a + size].tobytes()), len(ids)) for a in range(0, len(ids), size)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            at = 0
+            for flat, ends in encoder.encode_all(b.column(1), end_id):
+                tokens = np.diff(ends, prepend=0)
+                cuts = -(-tokens // size)
+                row = np.repeat(np.arange(len(ends)), cuts)
+                start = size * gathered(np.zeros(len(ends), np.int64), cuts)
+                length = np.minimum(size, tokens[row] - start)
+                wide, begin = flat.astype("<u4"), (ends - tokens)[row] + start
+                crc = [zlib.crc32(wide[a:z]) for a, z in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + at)), *map(pa.array, (start, length, np.array(crc, np.int64), tokens[row]))], names=names)
+                at += len(ends)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
