@@ -1,4 +1,4 @@
-"""Text functions: Column to Column, all of them expressions that Catalyst sees; no Python code runs on rows."""
+"""Text functions: Column to Column, expressions that Catalyst sees; only cuts by tokens and overlaps pass through folds."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import chars as C
+from . import folds
 
 
 def col(x: Column | str) -> Column:
@@ -199,40 +200,9 @@ def hard_split(x: Column | str, size: int) -> Column:
 
 
 def split_by_tokens(x: Column | str, size: int) -> Column:
-    """Pieces, from the left, each as long as its estimate stays within size; stripped, blank ones left out.
-
-    One step for each character: its class moves the counts of CJK characters, of the running word, of finished words
-    and of other marks, and where their sum would pass size a piece begins, with counts anew.
-    """
-    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("done"), F.lit(0).alias("word"), F.lit(0).alias("rest"), F.lit(0).alias("n"))
-
-    def step(a: Column, letters: Column, i: Column) -> Column:
-        c = F.get(letters, i)
-
-        def moved(done: Column, word: Column, rest: Column, n: Column) -> Column:
-            inner = (word > 0) & c.isin("'", "-") & F.coalesce(F.get(letters, i + 1).rlike("[A-Za-z0-9]"), F.lit(False))
-            in_word = c.rlike("[A-Za-z0-9]") | inner
-            ended = F.when(in_word, done).otherwise(done + quarter_up(word).cast("int")) + c.rlike(f"[{C.FAMILY}]").cast("int")
-            other = rest + (~in_word & ~c.rlike(rf"(?U)[\s{C.FAMILY}]")).cast("int")
-            return F.struct(ended.alias("done"), F.when(in_word, word + 1).otherwise(0).alias("word"), other.alias("rest"), (n + 1).alias("n"))
-
-        def placed(m: Column) -> Column:
-            full = (a["n"] > 0) & (m["done"] + quarter_up(m["word"]) + quarter_up(m["rest"]) > size)
-            none = F.lit(0)
-            fresh = moved(none, none, none, none)
-            return F.when(full, F.struct(F.concat(a["cuts"], F.array(i)).alias("cuts"), fresh["done"].alias("done"), fresh["word"].alias("word"), fresh["rest"].alias("rest"), fresh["n"].alias("n"))).otherwise(
-                F.struct(a["cuts"].alias("cuts"), m["done"].alias("done"), m["word"].alias("word"), m["rest"].alias("rest"), m["n"].alias("n"))
-            )
-
-        return let(moved(a["done"], a["word"], a["rest"], a["n"]), placed)
-
-    def pieces(t: Column) -> Column:
-        letters = F.filter(F.split(t, ""), lambda c: c != "")
-        cuts = let(letters, lambda ls: F.aggregate(F.when(F.size(ls) > 0, F.sequence(F.lit(0), F.size(ls) - 1)).otherwise(F.array().cast("array<int>")), start, lambda a, i: step(a, ls, i), lambda a: a["cuts"]))
-        edges = F.concat(F.array(F.lit(0)), cuts, F.array(F.length(t)))
-        return let(edges, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: strip(F.substr(t, F.get(e, k) + 1, F.get(e, k + 1) - F.get(e, k)))))
-
-    return F.filter(let(text_of(x), pieces), lambda p: p != "")
+    """Pieces, from the left, each as long as its estimate stays within size; stripped, blank ones left out. See folds.cut_by_tokens."""
+    t = text_of(x)
+    return F.get(folds.pieces_of(F.array(t), F.array(F.lit(size + 1)), size), F.lit(0))
 
 
 def truncate_tail(x: Column | str, size: int) -> Column:
@@ -271,15 +241,29 @@ def is_meaningful(x: Column) -> Column:
 def leading_overlap(previous: Column | str, current: Column | str) -> Column:
     """The longest beginning of current that previous ends with and that is_meaningful; else empty.
 
-    Candidate lengths are those where previous ends with current's beginning, so the costlier test of
-    meaning runs on few.
+    Candidate lengths are found in one pass over both, so the costlier test of meaning runs on few.
     """
+    a, b = rstrip(text_of(previous)), lstrip(text_of(current))
+
+    def longest(p: Column) -> Column:
+        said = F.filter(p["n"], lambda n: is_meaningful(F.left(p["b"], n)))
+        return F.left(p["b"], F.coalesce(F.get(said, F.lit(0)), F.lit(0)))
+
+    return let(F.struct(b.alias("b"), folds.shared_lengths(a, b).alias("n")), longest)
+
+
+def leading_overlap_in_fold(previous: Column, current: Column) -> Column:
+    """leading_overlap for use inside higher-order functions, where no Arrow function can stand.
+
+    Only places where previous has the first characters of current are compared further.
+    """
+
     def longest(p: Column) -> Column:
-        a, b = p["a"], p["b"]
+        a, b, head = p["a"], p["b"], F.left(p["b"], F.lit(8))
         most = F.least(F.length(a), F.length(b))
         lengths = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        fits = F.filter(lengths, lambda n: F.endswith(a, F.left(b, n)))
-        said = F.filter(fits, lambda n: is_meaningful(F.left(b, n)))
+        near = F.filter(lengths, lambda n: F.substr(a, F.length(a) - n + 1, F.least(n, F.lit(8))) == F.left(head, n))
+        said = F.filter(near, lambda n: F.endswith(a, F.left(b, n)) & is_meaningful(F.left(b, n)))
         return F.left(b, F.coalesce(F.get(said, F.lit(0)), F.lit(0)))
 
     return let(F.struct(rstrip(text_of(previous)).alias("a"), lstrip(text_of(current)).alias("b")), longest)
@@ -292,7 +276,7 @@ def trim_overlap(previous: Column | str, current: Column | str) -> Column:
         rest = F.when(n > 0, lstrip(F.substr(b, n + 1))).otherwise(b)
         return F.struct(rest.alias("text"), (n > 0).alias("overlap_trimmed"), (rest == "").alias("collapsed_to_empty"), n.alias("overlap_chars"))
 
-    return let(strip(text_of(current)), lambda b: let(F.struct(b.alias("b"), F.length(leading_overlap(previous, b)).alias("n")), cut))
+    return let(strip(text_of(current)), lambda b: let(F.struct(b.alias("b"), F.length(leading_overlap_in_fold(previous, b)).alias("n")), cut))
 
 
 # ---- names, dates, escapes ---------------------------------------------------------------------
@@ -320,13 +304,13 @@ def yaml_scalar(x: Column | str) -> Column:
 
 
 def escape_markdown(x: Column | str) -> Column:
-    return sub(text_of(x), r"([\\`*_{}\[\]()#+\-.!|>])", r"\\$1")
+    return sub(text_of(x), r"([\\`*_{}\[\]()#+!<>|])", r"\\$1")
 
 
 def encode_url(x: Column | str) -> Column:
     """Percent-encoded but for the characters that URLs use as they are."""
     out = F.replace(F.url_encode(text_of(x)), F.lit("+"), F.lit("%20"))
-    for c in ":/?&=#%~+,;@":
+    for c in ":/?&=#%~+,@":
         out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
     return out
 

@@ -9,14 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions import text as T
 from . import segments as S
 
 SEPARATOR = "\n\n"
-# The budgets of the tasks in tokens: target, request cap, output ratio, largest output.
+# The budgets of the tasks in tokens, and those of other tasks.
 TARGET = {"structure_only": 1200, "quick_cleanup": 1000, "cleanup_zh": 1000, "translate_only": 900, "summarize": 2500}
 REQUEST_CAP = {"structure_only": 3000, "quick_cleanup": 4500, "cleanup_zh": 4500, "translate_only": 2600, "summarize": 4500}
-WINDOW, UTILISATION = 32_000, 0.12
+OUTPUT_RATIO = {"structure_only": 1.15, "quick_cleanup": 1.05, "cleanup_zh": 1.05, "translate_only": 1.10, "summarize": 0.15}
+MOST_OUTPUT = {"structure_only": 1800, "quick_cleanup": 3200, "cleanup_zh": 3200, "translate_only": 1500, "summarize": 384}
+OTHER_TARGET, OTHER_CAP, OTHER_RATIO, OTHER_OUTPUT = 900, 2600, 1.0, 1400
+WINDOW, UTILISATION, BUFFER = 32_000, 0.12, 400
 
 
 @dataclass(frozen=True)
@@ -24,20 +28,27 @@ class Budget:
     target: int
     hard_cap: int
     available: int
+    #: Output that is expected, and what a request may ask for.
     output: int
+    planned_output: int
     effective: int
 
 
-def solve_budget(task: str, prompt_tokens: int, output_ratio: float = 1.1, most_output: int = 2000, reserve: int = 0, buffer: int = 200, multiplier: float = 1.33, window: int = WINDOW) -> Budget:
-    """Sizes for a task, on the driver: target and output depend on each other, so they are worked out twice over."""
-    target, effective = TARGET.get(task, 1000), min(REQUEST_CAP.get(task, 4500), int(window * UTILISATION))
-    for _ in range(3):
-        output = min(most_output, math.ceil(target * output_ratio))
-        available = max(1, effective - prompt_tokens - reserve - output - buffer)
-        target = min(target, available)
-    output = min(most_output, math.ceil(target * output_ratio))
-    available = max(1, effective - prompt_tokens - reserve - output - buffer)
-    return Budget(target, max(target, min(math.ceil(target * min(2.0, max(1.0, multiplier))), available)), available, output, effective)
+def solve_budget(task: str, prompt_tokens: int, reserve: int = 0, multiplier: float = 1.33, window: int = WINDOW, buffer: int = BUFFER, target: int = 0) -> Budget:
+    """Sizes for a task, on the driver. reserve: tokens for the text that goes on from the chunk before; target: the size wanted, if not the task's.
+
+    A target that the budget has no room for shrinks, which shrinks the output expected, which makes room: two rounds settle it.
+    """
+    want = target or TARGET.get(task, OTHER_TARGET)
+    ratio, most = OUTPUT_RATIO.get(task, OTHER_RATIO), MOST_OUTPUT.get(task, OTHER_OUTPUT)
+    effective = min(REQUEST_CAP.get(task, OTHER_CAP), int(max(1024, window) * UTILISATION))
+    free = effective - prompt_tokens - reserve - buffer
+    expected = lambda n: min(most, math.ceil(n * ratio))
+    room = lambda n: max(1, free - expected(n))
+    for _ in range(2):
+        want = min(want, room(want))
+    cap = max(want, min(math.ceil(want * min(2.0, max(1.0, multiplier))), room(want)))
+    return Budget(want, cap, room(want), expected(want), max(expected(want), min(most, free - want)), effective)
 
 
 def plan_sizes(task: str = "", size: int = 0, mode: str = "tokens", prompt_tokens: int = 0, multiplier: float = 1.33) -> dict:
@@ -54,52 +65,51 @@ def _gap(mode: str) -> int:
     return len(SEPARATOR) if mode == "chars" else 1
 
 
-def _chunk_numbers(units: Column, target: int, cap: int, mode: str) -> Column:
-    """For an array of struct(size, fresh) the number of each unit's chunk: a new one where fresh, or where the sum would pass the target."""
-    limit = min(target, cap)
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("n"), F.lit(0).cast("long").alias("now"))
-
-    def step(a: Column, u: Column) -> Column:
-        longer = a["now"] + u["size"] + _gap(mode)
-        new = (a["n"] < 0) | u["fresh"] | (longer > limit)
-        n = F.when(new, a["n"] + 1).otherwise(a["n"])
-        return F.struct(F.concat(a["out"], F.array(n)).alias("out"), n.alias("n"), F.when(new, u["size"]).otherwise(longer).cast("long").alias("now"))
-
-    return F.aggregate(units, start, step, lambda a: a["out"])
-
-
 def pack(units: Column, target: int, cap: int, mode: str = "tokens", fresh: Column | None = None, sizes: Column | None = None) -> Column:
     """Array of chunks, each struct(content, units, first, chars, tokens), of an array of texts in order, greedily.
 
-    fresh: an array of booleans beside units; a unit with true begins a chunk. sizes: the units' sizes, if known.
+    fresh: an array of booleans beside units; a unit with true begins a chunk. sizes: the units' sizes, if known. Only sizes go
+    through the fold; a chunk is a slice of the units.
     """
-    size = (lambda u, i: F.get(sizes, i)) if sizes is not None else (lambda u, i: T.estimate_tokens(u, mode))
-    sized = F.transform(units, lambda u, i: F.struct(size(u, i).alias("size"), (F.get(fresh, i) if fresh is not None else F.lit(False)).alias("fresh")))
+    sizes = F.transform(units, lambda u: T.estimate_tokens(u, mode)) if sizes is None else sizes
+    ranges = folds.chunk_ranges(sizes, fresh, min(target, cap), _gap(mode))
 
-    def chunk(b: Column, k: Column) -> Column:
-        first = F.array_position(b["n"], k).cast("int")
-        count = F.size(F.filter(b["n"], lambda n: n == k))
-        content = F.array_join(F.slice(b["u"], first, count), SEPARATOR)
-        return T.let(content, lambda c: F.struct(c.alias("content"), count.alias("units"), (first - 1).alias("first"), F.length(c).alias("chars"), T.estimate_tokens(c).alias("tokens")))
+    def chunk(u: Column, r: Column) -> Column:
+        content = F.array_join(F.slice(u, r["first"] + 1, r["units"]), SEPARATOR)
+        return T.let(content, lambda c: F.struct(c.alias("content"), r["units"].alias("units"), r["first"].alias("first"), F.length(c).alias("chars"), T.estimate_tokens(c).alias("tokens")))
 
-    last = lambda b: F.coalesce(F.array_max(b["n"]), F.lit(-1))
-    return T.let(F.struct(units.alias("u"), _chunk_numbers(sized, target, cap, mode).alias("n")), lambda b: F.when(last(b) >= 0, F.transform(F.sequence(F.lit(0), last(b)), lambda k: chunk(b, k))))
+    return T.let(F.struct(units.alias("u"), ranges.alias("r")), lambda b: F.transform(b["r"], lambda r: chunk(b["u"], r)))
 
 
-def fitted(units: Column, cap: int, mode: str) -> Column:
-    """Array of struct(u, size) of units, those longer than cap cut into pieces that are not. Sizes are worked out once."""
-    cut = (lambda u: T.hard_split(u, cap)) if mode == "chars" else (lambda u: T.split_by_tokens(u, cap))
+def fitted(docs: DataFrame, units: Column, cap: int, mode: str, out: str = "f") -> DataFrame:
+    """docs with out: array of struct(u, size) of units, those larger than cap cut into pieces that are not. Only units that are cut are measured again."""
     one = lambda u: F.struct(u.alias("u"), T.estimate_tokens(u, mode).alias("size"))
-    return F.flatten(F.transform(units, lambda u: T.let(one(u), lambda v: F.when(v["size"] > cap, F.transform(cut(v["u"]), one)).otherwise(F.array(v)))))
+    made = docs.withColumn(out, F.transform(units, one))
+    f = F.col(out)
+    pieces = F.transform(f["u"], lambda u: T.hard_split(u, cap)) if mode == "chars" else folds.pieces_of(f["u"], f["size"], cap)
+    many = F.exists(f["size"], lambda n: n > cap)
+    crowded = made.where(many).withColumn("_pieces", pieces)
+    cut = F.flatten(F.transform(F.arrays_zip(f.alias("v"), F.col("_pieces").alias("p")), lambda z: F.when(z["v"]["size"] > cap, F.transform(z["p"], one)).otherwise(F.array(z["v"]))))
+    return made.where(~F.coalesce(many, F.lit(False))).unionByName(crowded.withColumn(out, cut).drop("_pieces"))
 
 
 def chunk_text(docs: DataFrame, target: int = 1200, cap: int = 1596, mode: str = "tokens") -> DataFrame:
     """(doc_id, chunk_id, content, n_sentences, chars, tokens): documents (doc_id, text) split into sentences and packed."""
-    units = docs.select("doc_id", fitted(T.split_sentences("text"), cap, mode).alias("f"))
+    units = fitted(docs.select("doc_id", T.split_sentences("text").alias("_s")), F.col("_s"), cap, mode).select("doc_id", "f")
     chunks = pack(F.col("f")["u"], target, cap, mode, sizes=F.col("f")["size"])
     return units.select("doc_id", F.posexplode(chunks).alias("chunk_id", "c")).select("doc_id", "chunk_id", "c.content", F.col("c.units").alias("n_sentences"), "c.chars", "c.tokens")
 
 
+def _numbered(listed: DataFrame, units: str, limit: int, gap: int) -> DataFrame:
+    """A row for each of the array column units (struct with size and fresh): its fields, k, its place, and chunk_id."""
+    u = F.col(units)
+    ranged = listed.withColumn("_r", folds.chunk_ranges(u["size"], u["fresh"], limit, gap))
+    each = ranged.select("*", F.posexplode("_r").alias("chunk_id", "_c"))
+    parts = F.transform(F.slice(u, F.col("_c.first") + 1, F.col("_c.units")), lambda v, i: F.struct((F.col("_c.first") + i).alias("k"), v.alias("v")))
+    rest = [c for c in listed.columns if c != units]
+    return each.select(*rest, "chunk_id", F.inline(parts)).select(*rest, "chunk_id", "k", "v.*")
+
+
 def _coalesced(mode: str, target: int, cap: int):
     floor = max(60, min(120, max(1, target // 6))) if mode == "tokens" else max(40, min(80, max(1, target // 6)))
     slack, gap = max(10, floor // 2), _gap(mode)
@@ -157,8 +167,7 @@ def chunk_segments(segments: DataFrame, target: int, cap: int, mode: str = "toke
     else:
         parts = parts.join(breaks.select("doc_id", "id", F.lit(True).alias("_b")), ["doc_id", "id"], "left").withColumn("fresh", F.coalesce("_b", F.lit(False)) & (F.col("part_index") == 0)).drop("_b")
     listed = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "part_index", "text", "start_time", "end_time", "fresh", T.estimate_tokens("text", mode).alias("size")))).alias("p"))
-    numbered = listed.withColumn("n", _chunk_numbers(F.transform("p", lambda u: F.struct(u["size"].alias("size"), u["fresh"].alias("fresh"))), target, cap, mode))
-    rows = numbered.select("doc_id", F.posexplode(F.arrays_zip("p", "n")).alias("k", "z")).select("doc_id", "k", "z.p.*", F.col("z.n").alias("chunk_id"))
+    rows = _numbered(listed, "p", min(target, cap), _gap(mode))
     if join_small:
         sizes = rows.groupBy("doc_id", "chunk_id").agg((F.sum("size") + _gap(mode) * (F.count(F.lit(1)) - 1)).cast("long").alias("size_"), F.countDistinct("id").cast("int").alias("segments"), F.min_by("fresh", "k").alias("fresh"))
         rows = rows.join(coalesce_small(sizes, target, cap, mode), ["doc_id", "chunk_id"]).withColumn("chunk_id", F.col("merged_id"))
@@ -207,14 +216,14 @@ def replan(chunks: DataFrame, breaks: DataFrame | None, target: int, cap: int, m
     """
     pending = chunks.where(~F.col("status").isin("done", "superseded"))
     top = chunks.groupBy("doc_id").agg(F.max("id").alias("top"))
-    units = pending.select("doc_id", "id", F.posexplode(fitted(T.split_sentences("text"), cap, mode)).alias("s", "f")).select("doc_id", "id", "s", F.col("f.u").alias("u"))
+    units = fitted(pending.select("doc_id", "id", T.split_sentences("text").alias("_s")), F.col("_s"), cap, mode)
+    units = units.select("doc_id", "id", F.posexplode("f").alias("s", "f")).select("doc_id", "id", "s", F.col("f.u").alias("u"), F.col("f.size").alias("size"))
     if breaks is not None:
         units = units.join(breaks.select("doc_id", "id", F.lit(True).alias("_b")), ["doc_id", "id"], "left").withColumn("fresh", F.coalesce("_b", F.lit(False)) & (F.col("s") == 0))
     else:
         units = units.withColumn("fresh", F.lit(False))
-    listed = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "s", "u", "fresh"))).alias("x"))
-    sized = F.transform("x", lambda v: F.struct(T.estimate_tokens(v["u"], mode).alias("size"), v["fresh"].alias("fresh")))
-    rows = listed.withColumn("n", _chunk_numbers(sized, target, cap, mode)).select("doc_id", F.inline(F.arrays_zip("x", "n"))).select("doc_id", "x.*", "n").join(top, "doc_id")
+    listed = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "s", "u", "fresh", "size"))).alias("x"))
+    rows = _numbered(listed, "x", min(target, cap), _gap(mode)).withColumnRenamed("chunk_id", "n").join(top, "doc_id")
     rows = rows.withColumn("new_id", F.col("top") + 1 + F.col("n"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("id", "s", "u"))), lambda v: v["u"])
     made = rows.groupBy("doc_id", "new_id").agg(F.array_join(texts, SEPARATOR).alias("text")).select("doc_id", F.col("new_id").alias("id"), F.lit("pending").alias("status"), "text")

@@ -31,7 +31,7 @@ def _step(a: Column, raw: Column) -> Column:
 
     def judged(b: Column) -> Column:
         bodies = some & (b["kind"] == "body") & (b["before"] == "body")
-        overlap = F.when(bodies & ~b["same"], T.leading_overlap(last, b["text"])).otherwise("")
+        overlap = F.when(bodies & ~b["same"], T.leading_overlap_in_fold(last, b["text"])).otherwise("")
 
         def cut(o: Column) -> Column:
             n = F.when(T.is_strong_seam(o), F.length(o)).otherwise(0)
@@ -94,8 +94,44 @@ def merge_chunks(chunks: DataFrame, chapters: DataFrame | None = None) -> DataFr
 
 
 def assemble(docs: DataFrame) -> DataFrame:
-    """(doc_id, content): front matter, heading, body and foot of documents (doc_id, title, channel, upload_date, url, duration, text)."""
-    front = [F.lit("---"), *[F.concat(F.lit(f"{k}: "), v) for k, v in (("title", T.yaml_scalar("title")), ("channel", T.yaml_scalar("channel")), ("date", T.yaml_scalar(T.frontmatter_date("upload_date"))), ("url", T.yaml_scalar("url")), ("duration", F.coalesce(F.col("duration").cast("string"), F.lit('""'))))], F.lit("---")]
-    head = F.concat(F.lit("# "), T.escape_markdown("title"))
-    source = F.concat(F.lit("> ["), T.escape_markdown("channel"), F.lit("]("), T.encode_url("url"), F.lit(")"))
-    return docs.select("doc_id", F.concat_ws("\n", *front, F.lit(""), head, F.lit(""), source, F.lit(""), T.strip(T.text_of("text")), F.lit("")).alias("content"))
+    """(doc_id, content, total_chars, total_lines): the final document, front matter, heading, body and foot.
+
+    docs: (doc_id, title, channel, upload_date, created, url, duration in seconds, transcript_source, bilingual, text). An empty
+    upload_date has no line.
+    """
+    one_line = lambda c: T.collapse(T.text_of(c))
+    minutes = F.greatest(F.floor(F.coalesce(F.col("duration").try_cast("bigint"), F.lit(0)) / 60), F.lit(0)).cast("string")
+    both, source = F.coalesce("bilingual", F.lit(False)), T.text_of("transcript_source")
+    line = lambda k, v: F.concat(F.lit(f"{k}: "), T.yaml_scalar(v))
+    date = T.frontmatter_date(T.strip(T.text_of("upload_date")))
+    front = F.concat_ws(
+        "\n",
+        F.lit("---"),
+        line("title", "title"),
+        line("source", "url"),
+        line("url", "url"),
+        line("channel", "channel"),
+        line("author", "channel"),
+        F.when(date != "", line("date", date)),
+        line("created", T.frontmatter_date(T.strip(T.text_of("created")))),
+        F.lit("type: video-transcript"),
+        F.concat(F.lit("bilingual: "), both.cast("string")),
+        line("duration", F.concat(minutes, F.lit("m"))),
+        line("transcript_source", "transcript_source"),
+        F.lit("tags: [youtube, video-transcript]"),
+        F.lit('via: "youtube"'),
+        F.lit("---"),
+    )
+    head = F.concat_ws(
+        "\n",
+        F.lit(""),
+        F.concat(F.lit("# "), T.escape_markdown(one_line("title"))),
+        F.lit(""),
+        F.concat(F.lit("> Video source: [YouTube - "), T.escape_markdown(one_line("channel")), F.lit("]("), T.encode_url(one_line("url")), F.lit(")")),
+        F.concat(F.lit("> Language mode: "), F.when(both, "Bilingual").otherwise("Chinese")),
+        F.concat(F.lit("> Duration: "), minutes, F.lit(" minutes")),
+        *map(F.lit, ("", "---", "")),
+    )
+    foot = F.concat_ws("\n", *map(F.lit, ("", "---", "")), F.concat(F.lit("*This article was generated by AI voice transcription ("), source, F.lit("), for reference only.*")), F.lit(""))
+    made = docs.select("doc_id", F.concat_ws("\n", front, F.concat(head, T.strip(T.text_of("text"))), foot).alias("content"))
+    return made.select("doc_id", "content", F.length("content").alias("total_chars"), (F.length("content") - F.length(F.translate("content", "\n", "")) + 1).alias("total_lines"))

@@ -92,7 +92,7 @@ def seam_count(blocks: Column) -> Column:
     """Adjacent blocks that are equal, or overlap strongly."""
     flat = F.filter(F.transform(blocks, T.collapse), lambda b: b != "")
     pairs = T.let(flat, lambda f: F.transform(F.slice(f, F.lit(1), F.greatest(F.size(f) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get(f, i + 1).alias("b"))))
-    return F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) | T.is_strong_quality_overlap(T.leading_overlap(p["a"], p["b"]))))
+    return F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) | T.is_strong_quality_overlap(T.leading_overlap_in_fold(p["a"], p["b"]))))
 
 
 def bilingual_count(blocks: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 
 def matching(events: DataFrame, command: str = "", trace_id: str = "", document_id: str = "", success: bool | None = None) -> DataFrame:
@@ -65,34 +69,39 @@ def autotune(events: DataFrame, by: str, order: str, start: int = 1000, least: i
     """(by, order, success, timeout, target, event): the target that the controller sets after each event (by, order, success, timeout, latency_ms).
 
     A fold over each group's events in order: a latency whose 95th percentile over the last ``window`` is above the
-    threshold, or a timeout, shrinks the target; ``window`` successes in a row grow it.
+    threshold, or a timeout, shrinks the target; ``window`` successes in a row grow it. Groups are dealt over tasks and sorted
+    there; a task holds the last ``window`` latencies of one group at a time, however long the group is.
     """
-    first = F.struct(F.array().cast("array<bigint>").alias("window"), F.lit(0).alias("good"), F.lit(start).alias("target"), F.lit("").alias("event"))
-    trace = f"array<struct<{order}:bigint,success:boolean,timeout:boolean,target:int,event:string>>"
-    state = F.struct(F.array().cast(trace).alias("out"), first.alias("s"))
-
-    def moved(now: Column, to: Column, word: str) -> Column:
-        return F.when(to != now, word).otherwise("steady")
-
-    def step(a: Column, e: Column) -> Column:
-        s = a["s"]
-        added = F.when(e["success"] & (e["latency_ms"] > 0), F.concat(s["window"], F.array(e["latency_ms"]))).otherwise(s["window"])
-        kept = F.slice(added, F.greatest(F.size(added) - window + 1, F.lit(1)), F.lit(window))
-        rank = F.ceil(F.size(kept) * 0.95).cast("int")
-        slow = e["success"] & (F.size(kept) > 0) & F.coalesce(F.try_element_at(F.array_sort(kept), F.greatest(rank, F.lit(1))) > threshold_ms, F.lit(False))
-        good = F.when(e["success"], s["good"] + 1).otherwise(0)
-        full = e["success"] & ~slow & (good >= window)
-        less = F.greatest(F.lit(least), F.floor(s["target"] * (1 - reduce)).cast("int"))
-        more = F.least(F.lit(most), F.ceil(s["target"] * (1 + increase)).cast("int"))
-        down = slow | (~e["success"] & e["timeout"])
-        to = F.when(down, F.least(less, s["target"])).when(full, F.greatest(more, s["target"])).otherwise(s["target"])
-        word = F.when(down, moved(s["target"], to, "shrink")).when(full, moved(s["target"], to, "increase")).when(~e["success"], "observe").otherwise("")
-        after = F.struct(kept.alias("window"), F.when(slow | full, 0).otherwise(good).alias("good"), to.alias("target"), word.alias("event"))
-        row = F.struct(e[order].cast("bigint").alias(order), e["success"].alias("success"), e["timeout"].alias("timeout"), to.alias("target"), word.alias("event"))
-        return F.struct(F.concat(a["out"], F.array(row)).alias("out"), after.alias("s"))
-
-    listed = events.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "success", "timeout", F.col("latency_ms").cast("bigint").alias("latency_ms")))).alias("e"))
-    return listed.select(by, F.inline(F.aggregate("e", state, step, lambda a: a["out"])))
+    schema = events.select(by, F.col(order).cast("bigint").alias(order), "success", "timeout").schema.add("target", IntegerType()).add("event", StringType())
+
+    def run(batches):
+        group, target, good, last = object(), start, 0, []
+        for b in batches:
+            targets, words = [], []
+            for g, ok, late, ms in zip(*(b.column(c).to_pylist() for c in (by, "success", "timeout", "latency_ms")), strict=True):
+                if g != group:
+                    group, target, good, last = g, start, 0, []
+                word, was = "", target
+                if ok:
+                    good += 1
+                    last = [*last, ms][-window:] if ms is not None and ms > 0 else last
+                    slow = bool(last) and sorted(last)[max(1, math.ceil(len(last) * 0.95)) - 1] > threshold_ms
+                    if slow:
+                        target, word = min(was, max(least, math.floor(was * (1 - reduce)))), "shrink"
+                    elif good >= window:
+                        target, word = max(was, min(most, math.ceil(was * (1 + increase)))), "increase"
+                    good = 0 if word else good
+                else:
+                    good, word = 0, "observe"
+                    if late:
+                        target, word = min(was, max(least, math.floor(was * (1 - reduce)))), "shrink"
+                targets.append(target)
+                words.append("steady" if word in ("shrink", "increase") and target == was else word)
+            kept = b.drop_columns(["latency_ms"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(targets, pa.int32()), pa.array(words, pa.string())], names=schema.names)
+
+    rows = events.select(by, F.col(order).cast("bigint").alias(order), "success", "timeout", F.col("latency_ms").cast("bigint").alias("latency_ms"))
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
 
 
 def run_totals(runs: DataFrame) -> DataFrame:
@@ -111,11 +120,3 @@ def ledger(results: DataFrame) -> DataFrame:
     names = ("processed_count", "failed_count", "skipped_count", "warning_count", "replan_count", "timeout_count")
     have = set(results.columns)
     return results.select("doc_id", *[F.greatest(F.coalesce(F.col(n).try_cast("bigint"), F.lit(0)), F.lit(0)).alias(n) if n in have else F.lit(0).cast("bigint").alias(n) for n in names])
-
-
-def overlap_in_time(events: DataFrame, by: str, start: str, end: str) -> DataFrame:
-    """events with ``active``: how many intervals of the same group, itself included, contain its start."""
-    w = Window.partitionBy(by).orderBy("_t", "_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = events.select(by, F.col(start).alias("_t"), F.lit(1).alias("_d")).unionByName(events.select(by, F.col(end).alias("_t"), F.lit(-1).alias("_d")))
-    running = ends.withColumn("active", F.sum("_d").over(w)).where("_d = 1").groupBy(by, F.col("_t").alias(start)).agg(F.max("active").alias("active"))
-    return events.join(running, [by, start])

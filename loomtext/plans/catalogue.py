@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import more_queries, record_queries, text_queries
+from . import control_queries, more_queries, record_queries, table_queries, text_queries
 
-_PARTS = (text_queries, record_queries, more_queries)
+_PARTS = (text_queries, record_queries, more_queries, control_queries, table_queries)
 
 
 def queries() -> dict:

@@ -88,18 +88,6 @@ def remap_chapters(spark, d):
     return S.remap_chapters(c, moved).select("doc_id", "chapter", "start_chunk", "original_start_chunk")
 
 
-@query("""SELECT doc_id, CASE WHEN quality = 0 THEN 'fail' WHEN toxic = 1 THEN 'warn' ELSE 'pass' END AS verdict, CASE WHEN quality = 0 THEN 'repair_chunk' WHEN toxic = 1 THEN 'retry_action' ELSE 'accept_output' END AS recommended_action, NOT (quality = 1 AND toxic = 0) AS resumable FROM labels""")
-def evaluator_reports(spark, d):
-    r = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("passed"), F.when(F.col("toxic") == 1, F.array(F.lit("w"))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.array().cast("array<string>").alias("hard_failures"))
-    return runtime.evaluator_report(r).select("doc_id", "verdict", "recommended_action", "resumable")
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'aborted' WHEN event_id % 7 = 0 THEN 'paused' WHEN event_id % 2 = 0 AND event_type <> 'error' THEN 'completed' WHEN event_type = 'error' THEN 'failed' ELSE 'planning' END AS state FROM events""")
-def lifecycle_states(spark, d):
-    stage = runtime.stage_of(F.when(F.col("event_id") % 2 == 0, "verify-quality").otherwise("chunk-text"))
-    return table(spark, d, "events").select("event_id", runtime.lifecycle_state(stage, F.col("event_type") != "error", F.col("event_id") % 7 == 0, F.col("event_id") % 11 == 0).alias("state"))
-
-
 @query("SELECT page_id, 'id ' || strftime(DATE '2024-01-01' + CAST(page_id % 300 AS INTEGER), '%Y%m%d') || ' x20240101 20241399' AS s, strftime(DATE '2024-01-01' + CAST(page_id % 300 AS INTEGER), '%Y%m%d') AS dates FROM pages")
 def compact_dates(spark, d):
     day = F.date_format(F.expr("date_add(date'2024-01-01', cast(page_id % 300 as int))"), "yyyyMMdd")
@@ -107,11 +95,6 @@ def compact_dates(spark, d):
     return p.select("page_id", "s", F.array_join(T.compact_dates("s"), ",").alias("dates"))
 
 
-@query(r"""SELECT page_id, '"' || replace(replace(url, '\', '\\'), '"', '\"') || '"' AS yaml, regexp_replace(url, '([\\`*_{}\[\]()#+\-.!|>])', '\\\1', 'g') AS markdown FROM pages""")
-def escapes(spark, d):
-    return table(spark, d, "pages").select("page_id", T.yaml_scalar("url").alias("yaml"), T.escape_markdown("url").alias("markdown"))
-
-
 @query("SELECT conv_id AS doc_id, count(*) AS n, count(*) FILTER (trim(role) = 'user') AS users FROM conversations GROUP BY 1")
 def role_counts(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "role")

@@ -124,11 +124,6 @@ def nearest_point(spark, d):
     return speech.split_points(audio, silences)
 
 
-@query()
-def prorate_times(spark, d):
-    return S.split_timed(turns(spark, d), 100, "chars").select("doc_id", "id", "part_index", F.length("text").alias("chars"), "start_time", "end_time")
-
-
 @query(f"""WITH {TURNS}, a AS (SELECT doc_id, id, text FROM turns WHERE id % 3 <> 1)
 SELECT doc_id, CAST(id AS BIGINT) AS id, CAST(lag(id) OVER (PARTITION BY doc_id ORDER BY id) AS BIGINT) AS previous_id FROM a""")
 def continuity_lag(spark, d):
@@ -156,16 +151,6 @@ def replan_remaining(spark, d):
     return every.select("doc_id", "id", "status", F.length("text").alias("chars"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars // 10 >= 1800 THEN 'duration' WHEN n_chars > l THEN 'tokens' ELSE '' END AS long_reason, l AS token_limit, CASE WHEN n_chars // 10 >= 1800 OR n_chars > l THEN
-  'chunk,glossary,process:' || CASE WHEN lang = 'de' THEN 'cleanup_zh,merge' ELSE 'structure_only,merge' END || CASE WHEN lang = 'fr' THEN ',process:translate_only' ELSE '' END
-  ELSE 'prompt:' || CASE WHEN lang = 'de' THEN 'cleanup_zh' ELSE 'structure_only' END || CASE WHEN lang = 'fr' THEN ',prompt:translate_only' ELSE '' END END || ',assemble,verify' AS operations
-FROM (SELECT *, CAST(CASE WHEN lang = 'fr' THEN 4100 WHEN doc_id % 2 = 0 THEN 4500 ELSE 4800 END AS BIGINT) AS l FROM documents)""")
-def route_plan(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "deepgram").otherwise("youtube").alias("source"), F.when(F.col("lang") == "de", "chinese").when(F.col("lang") == "fr", "bilingual").otherwise("mono").alias("mode"), F.expr("n_chars div 10").alias("duration"), F.col("n_chars").alias("tokens"))
-    p = planning.plan(t)
-    return p.select("doc_id", "long_reason", *long("token_limit"), F.array_join(F.transform("operations", lambda o: o["operation"]), ",").alias("operations"))
-
-
 @query("""SELECT doc_id, CASE WHEN s = 'deepgram' THEN 'deepgram_source_selected' WHEN s = 'youtube' AND b = 'critical' AND m = 'chinese' THEN 'subtitle_quality_critical_deepgram_recommended'
   WHEN s = 'youtube' AND b = 'critical' THEN 'subtitle_quality_critical_manual_review_only' WHEN s = 'youtube' AND b = 'poor' THEN 'subtitle_quality_poor_review_subtitle_path'
   WHEN s = 'youtube' AND b <> '' THEN 'subtitle_quality_acceptable' WHEN s = 'youtube' THEN 'subtitle_quality_pending' WHEN s <> '' THEN s || '_source_selected' ELSE 'source_route_unknown' END AS reason,
@@ -177,98 +162,11 @@ def source_routing(spark, d):
     return planning.route(t).select("doc_id", F.col("source_route_reason").alias("reason"), F.col("reroute_recommended").alias("again"))
 
 
-def _signals(spark, d):
-    pick = F.element_at(F.array(*map(F.lit, ("processing", "verify", "assemble", "planning"))), (F.col("event_id") % 4 + 1).cast("int"))
-    bit = lambda k: F.expr(f"event_id div {k} % 2 = 1")
-    return table(spark, d, "events").select("event_id", pick.alias("active_stage"), F.lit("running").alias("effective_status"), bit(4).alias("success"), bit(8).alias("passed"), bit(16).alias("paused"), bit(32).alias("aborted"), bit(64).alias("replan_required"), bit(128).alias("timeout"), bit(256).alias("reroute"), F.expr("event_id div 512 % 2").alias("failed_count"), F.expr("event_id div 1024 % 2").alias("warning_count"))
-
-
-_BITS = "s(event_id, stage, success, passed, paused, aborted, replan, timeout, reroute, failed, warned) AS (SELECT event_id, ['processing', 'verify', 'assemble', 'planning'][event_id % 4 + 1], " + ", ".join(f"event_id // {k} % 2 = 1" for k in (4, 8, 16, 32, 64, 128, 256)) + ", event_id // 512 % 2, event_id // 1024 % 2 FROM events)"
-_ACTS = """a AS (SELECT *, CASE stage WHEN 'processing' THEN ['continue_stage', 'pause_run', 'abort_run'] || CASE WHEN replan THEN ['replan_remaining', 'request_human_escalation'] ELSE [] END
-  || CASE WHEN paused THEN ['resume_run'] ELSE [] END || CASE WHEN aborted AND NOT replan THEN ['request_human_escalation'] ELSE [] END || CASE WHEN failed + warned > 0 THEN ['retry_action', 'repair_chunk'] ELSE [] END
-  || CASE WHEN timeout THEN ['shrink_chunk_size', 'switch_model_profile'] ELSE [] END
-  WHEN 'verify' THEN CASE WHEN passed THEN ['accept_output'] ELSE ['repair_chunk', 'replan_remaining', 'degrade_output_mode', 'request_human_escalation', 'abort_run'] END
-  WHEN 'planning' THEN CASE WHEN reroute THEN ['fallback_to_deepgram', 'request_human_escalation', 'abort_run'] ELSE ['continue_stage', 'request_human_escalation', 'abort_run'] END ELSE ['continue_stage', 'abort_run'] END AS acts,
-  CASE WHEN timeout THEN 'high' WHEN warned > 0 THEN 'medium' ELSE 'normal' END AS pressure FROM s)"""
-
-
-@query(f"WITH {_BITS}, {_ACTS} SELECT event_id, array_to_string(list_sort(acts), ',') AS acts, pressure, aborted AND NOT success AS escalate FROM a")
-def policy_actions(spark, d):
-    p = runtime.policy(_signals(spark, d))
-    return p.select("event_id", F.array_join(F.sort_array("allowed_actions"), ",").alias("acts"), F.col("budget_pressure_level").alias("pressure"), F.col("escalation_required").alias("escalate"))
-
-
-@query(f"""WITH {_BITS}, {_ACTS} SELECT event_id, CASE WHEN reroute AND list_contains(acts, 'fallback_to_deepgram') THEN 'fallback_to_deepgram' WHEN passed AND list_contains(acts, 'accept_output') THEN 'accept_output'
-  WHEN replan AND list_contains(acts, 'replan_remaining') THEN 'replan_remaining' WHEN paused AND list_contains(acts, 'resume_run') THEN 'resume_run' WHEN aborted AND list_contains(acts, 'request_human_escalation') THEN 'request_human_escalation'
-  WHEN pressure = 'high' AND list_contains(acts, 'shrink_chunk_size') THEN 'shrink_chunk_size' WHEN stage = 'verify' AND NOT passed AND list_contains(acts, 'repair_chunk') THEN 'repair_chunk'
-  WHEN stage = 'processing' AND warned > 0 AND list_contains(acts, 'retry_action') THEN 'retry_action' WHEN list_contains(acts, 'continue_stage') THEN 'continue_stage' ELSE acts[1] END AS action FROM a""")
-def decisions(spark, d):
-    return runtime.decide(runtime.policy(_signals(spark, d))).select("event_id", "action")
-
-
-@query("""WITH RECURSIVE e(f, t) AS (SELECT 'region' || r_regionkey, 'nation' || n_nationkey FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'nation' || n_nationkey, 'supplier' || s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey),
-w(f, t, h) AS (SELECT f, t, 1 FROM e UNION ALL SELECT w.f, e.t, h + 1 FROM w JOIN e ON e.f = w.t) SELECT f AS from_id, t AS to_id, CAST(min(h) AS BIGINT) AS hops FROM w GROUP BY 1, 2""")
-def artifact_reach(spark, d):
-    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
-    up = n.select(F.concat(F.lit("region"), "n_regionkey").alias("from_id"), F.concat(F.lit("nation"), "n_nationkey").alias("to_id"))
-    down = s.select(F.concat(F.lit("nation"), "s_nationkey").alias("from_id"), F.concat(F.lit("supplier"), "s_suppkey").alias("to_id"))
-    return runtime.reachable(up.unionByName(down)).select("from_id", "to_id", *long("hops"))
-
-
 @query("SELECT event_id, json_valid(props) AS valid, json_extract_string(props, '$.k') AS k FROM events")
 def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("valid"), F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("""WITH s AS (SELECT conv_id AS doc_id, turn AS id, ['pending', 'running', 'done', 'interrupted'][turn % 4 + 1] AS status, turn % 3 > 0 AS has FROM conversations)
-SELECT doc_id, CAST(id AS BIGINT) AS id, CASE WHEN status IN ('running', 'interrupted') AND has THEN 'done' WHEN status = 'running' OR (status = 'done' AND NOT has) THEN 'interrupted' ELSE status END AS status FROM s""")
-def resume_repair(spark, d):
-    t = turns(spark, d)
-    status = F.element_at(F.array(*map(F.lit, ("pending", "running", "done", "interrupted"))), F.col("id") % 4 + 1)
-    outputs = t.where("id % 3 > 0").select("doc_id", "id", F.lit("cleanup_zh").alias("prompt_name"), F.lit("raw_path").alias("input_key"), F.lit(10).alias("size"))
-    return runtime.repair_for_resume(t.select("doc_id", "id", status.alias("status")), outputs, "cleanup_zh").select("doc_id", *long("id"), "status")
-
-
-@query("""WITH s AS (SELECT conv_id AS doc_id, ['done', 'failed', 'pending', 'superseded'][(turn + conv_id) % 4 + 1] AS status FROM conversations), a AS (SELECT doc_id, list(DISTINCT status) FILTER (status <> 'superseded') AS s FROM s GROUP BY 1)
-SELECT doc_id, CASE WHEN s IS NULL OR len(s) = 0 THEN 'empty' WHEN NOT list_contains(s, 'pending') AND NOT list_contains(s, 'failed') THEN 'completed' WHEN NOT list_contains(s, 'pending') THEN 'failed' WHEN list_contains(s, 'done') THEN 'resumable' ELSE 'pending' END AS runtime_status FROM a""")
-def runtime_status(spark, d):
-    c = table(spark, d, "conversations")
-    status = F.element_at(F.array(*map(F.lit, ("done", "failed", "pending", "superseded"))), ((F.col("turn") + F.col("conv_id")) % 4 + 1).cast("int"))
-    return runtime.runtime_status(c.select(F.col("conv_id").alias("doc_id"), status.alias("status")))
-
-
-@query("""SELECT page_id AS doc_id, CASE WHEN page_id % 5 = 0 THEN 'title' ELSE '' END AS missing, CASE WHEN page_id % 3 = 0 THEN 'channel' ELSE '' END AS unknown, page_id % 5 <> 0 AND page_id % 3 <> 0 AS passed FROM pages""")
-def validate_state(spark, d):
-    p = table(spark, d, "pages")
-    lines = F.concat(F.lit("# state\nurl: "), "url", F.lit("\nsource_type: youtube\ntitle: "), F.when(F.col("page_id") % 5 == 0, "").otherwise("T"), F.lit("\nchannel: "), F.when(F.col("page_id") % 3 == 0, "unknown").otherwise("C"), F.lit("\n- note: x\nupload_date: 20240101\nduration: 10\nduration: 12"))
-    v = planning.validate(p.select(F.col("page_id").alias("doc_id"), records.state_map(lines).alias("fields")), "normalize")
-    return v.select("doc_id", F.array_join("missing", ",").alias("missing"), F.array_join("unknown", ",").alias("unknown"), "passed")
-
-
-_VTT = "WEBVTT\nKind: captions\nLanguage: en\n\nNOTE made by hand\nstill the note\n\n00:00:00.000 --> 00:00:02.000\nHello <c>world</c>.\n\n00:00:02.000 --> 00:00:04.000 align:start\nHello world.\n\n00:00:04.000 --> 00:00:06.500\nSecond line\nThird line\n\n1\n00:06.500 --> 00:08.000\nThird line\n\n00:00:08,000 --> 00:00:09,000\n大家好今天\n\n00:00:09.000 --> 00:00:10.000\n好今天我们来聊测试\n"
-
-
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'Hello world.', 0.0::DOUBLE, 4.0::DOUBLE), (1, 'Second line Third line', 4.0, 8.0), (2, '大家好今天', 8.0, 9.0), (3, '我们来聊测试', 9.0, 10.0)) AS t(id, text, start_time, end_time)")
-def vtt_segments(spark, d):
-    return subtitles.vtt_segments(spark.createDataFrame([("a", _VTT)], "doc_id string, text string")).select(*long("id"), "text", "start_time", "end_time")
-
-
-_ASR = '{"results":{"channels":[{"alternatives":[{"transcript":"hello there. bye","words":[{"word":"hello","punctuated_word":"Hello","start":0.0,"end":0.5,"speaker":0},{"word":"bye","start":2.0,"end":2.5,"speaker":1}],"paragraphs":{"paragraphs":[{"speaker":0,"sentences":[{"text":"Hello there.","start":0.0,"end":1.0}]},{"speaker":1,"sentences":[{"text":"Bye","start":2.0,"end":2.5},{"text":" ","start":3.0,"end":3.1}]}]}}]}]}}'
-
-
-@query("SELECT 'a' AS doc_id, CAST(2 AS BIGINT) AS paragraph_count, CAST(3 AS BIGINT) AS sentence_count, CAST(2 AS BIGINT) AS sentence_with_text_count, CAST(2 AS BIGINT) AS word_count, CAST(2 AS BIGINT) AS speaker_count, 'Hello there.' || chr(10) || 'Bye' AS transcript, 'sentences' AS source")
-def speech_transcript(spark, d):
-    p = speech.parse(spark.createDataFrame([("a", _ASR)], "doc_id string, json string"))
-    counts = speech.inspect(p).select("doc_id", *long("paragraph_count", "sentence_count", "sentence_with_text_count", "word_count", "speaker_count"))
-    return counts.join(speech.transcripts(p), "doc_id")
-
-
-@query("SELECT * FROM (VALUES (CAST(5 AS BIGINT), 'Hello there.', 10.0::DOUBLE, 11.0::DOUBLE), (6, 'Bye', 12.0, 12.5)) AS t(id, text, start_time, end_time)")
-def speech_segments(spark, d):
-    p = speech.parse(spark.createDataFrame([("a", _ASR)], "doc_id string, json string"))
-    return speech.segments(p, 10.0, 5).select(*long("id"), "text", "start_time", "end_time")
-
-
 @query("SELECT page_id, ['running', 'success', 'limit'][page_id % 3 + 1] AS x, CASE WHEN page_id % 4 IN (0, 1) THEN 'rate_limited' WHEN page_id % 4 = 2 THEN 'bot_verification' ELSE 'download_failed' END AS kind FROM pages")
 def download_failures(spark, d):
     p = table(spark, d, "pages")
@@ -277,14 +175,6 @@ def download_failures(spark, d):
     return p.select("page_id", x.alias("x"), subtitles.classify_download_failure(log).alias("kind"))
 
 
-@query("""SELECT event_id, CASE WHEN s IN (408, 504) THEN 'timeout' WHEN s = 429 THEN 'rate_limit' WHEN s IN (413, 422) THEN 'request_too_large' WHEN s >= 500 THEN 'server_error' WHEN s IN (401, 403) THEN 'auth' ELSE 'request_error' END AS kind,
-  s IN (408, 409, 425, 429) OR s >= 500 AS again FROM (SELECT event_id, [400, 401, 408, 409, 413, 422, 425, 429, 500, 504][event_id % 10 + 1] AS s FROM events)""")
-def error_classes(spark, d):
-    s = F.element_at(F.array(*map(F.lit, (400, 401, 408, 409, 413, 422, 425, 429, 500, 504))), (F.col("event_id") % 10 + 1).cast("int"))
-    e = table(spark, d, "events").select("event_id", runtime.classify_error(s, F.lit("")).alias("e"))
-    return e.select("event_id", F.col("e.error_type").alias("kind"), F.col("e.retryable").alias("again"))
-
-
 @query()
 def manifest_entries(spark, d):
     chunks = chunking.chunk_text(table(spark, d, "documents").select("doc_id", "text"))
@@ -295,31 +185,3 @@ def manifest_entries(spark, d):
 def output_health(spark, d):
     c = turns(spark, d).withColumn("result", F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, F.expr("left(text, 10)")).otherwise(F.col("text")))
     return quality.output_health(c, "cleanup_zh").select("doc_id", "id", F.round("ratio", 3).alias("ratio"), F.array_join("retry_reasons", ",").alias("reasons"))
-
-
-@query("SELECT user_id, CASE WHEN count(DISTINCT event_type) > 1 THEN 'mixed' ELSE min(event_type) END AS source, count(*) AS n FROM events WHERE event_id % 50 = 0 GROUP BY 1")
-def token_sources(spark, d):
-    e = table(spark, d, "events").where("event_id % 50 = 0").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("token_source"))
-    return E.token_source(e).join(e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id").select(F.col("doc_id").alias("user_id"), F.col("token_source").alias("source"), "n")
-
-
-@query("""SELECT user_id, CASE WHEN count(DISTINCT nullif(trim(event_type), '')) > 1 THEN 'mixed' ELSE coalesce(min(nullif(trim(event_type), '')), '') END AS source, count(*) AS n FROM events GROUP BY 1""")
-def token_sources_all(spark, d):
-    """As token_sources, over every event."""
-    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("token_source"))
-    counts = e.groupBy(F.col("doc_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
-    return E.token_source(e).join(counts, F.col("doc_id").eqNullSafe(F.col("user_id"))).select("user_id", F.col("token_source").alias("source"), "n")
-
-
-@query("SELECT command AS command, CASE command WHEN 'parse-vtt' THEN 'source' WHEN 'chunk-text' THEN 'planning' WHEN 'verify-quality' THEN 'verify' ELSE 'unknown' END AS stage FROM (VALUES ('parse-vtt'), ('chunk-text'), ('verify-quality'), ('nothing')) AS t(command)")
-def command_stages(spark, d):
-    rows = spark.createDataFrame([("parse-vtt",), ("chunk-text",), ("verify-quality",), ("nothing",)], "command string")
-    return rows.select("command", runtime.stage_of(F.col("command")).alias("stage"))
-
-
-@query()
-def assembled(spark, d):
-    from ..operators import merge
-
-    p = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit('A "title" #'), "page_id").alias("title"), F.lit("Channel_1").alias("channel"), F.lit("20240115").alias("upload_date"), "url", F.lit(12).alias("duration"), T.strip_markup("html").alias("text"))
-    return merge.assemble(p)

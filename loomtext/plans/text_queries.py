@@ -68,30 +68,6 @@ def pack_chunks(spark, d):
     return chunking.chunk_text(docs(spark, d))
 
 
-@query("""WITH units AS (
-  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS u FROM documents
-), folded AS (
-  SELECT doc_id, list_reduce(list_transform(u, lambda s: {'o': CAST([] AS BIGINT[]), 'c': CAST(length(s) AS BIGINT)}),
-    lambda a, x: CASE WHEN a.c + x.c + 2 > 2000 THEN {'o': list_append(a.o, a.c), 'c': x.c} ELSE {'o': a.o, 'c': a.c + x.c + 2} END) AS f FROM units WHERE len(u) > 0
-), sizes AS (SELECT doc_id, list_append(f.o, f.c) AS s FROM folded)
-SELECT doc_id, CAST(i - 1 AS BIGINT) AS chunk_id, s[i] AS chars FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM sizes)""")
-def pack_lines(spark, d):
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.btrim(s)), lambda s: s != "")
-    packed = docs(spark, d).select("doc_id", chunking.pack(lines, 2000, 2000, "chars").alias("c"))
-    return packed.select("doc_id", F.posexplode("c").alias("chunk_id", "p")).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("p.chars").cast("long").alias("chars"))
-
-
-@query("""WITH p AS (SELECT doc_id, text, unnest(range(0, (length(text) + 499) // 500)) AS k FROM documents), q AS (SELECT doc_id, k, substr(text, CAST(k * 500 + 1 AS BIGINT), 500) AS s FROM p)
-SELECT doc_id, count(*) AS pieces, max(length(s)) AS longest, sum(length(s)) AS total FROM q WHERE trim(s, ' ' || chr(10)) <> '' GROUP BY doc_id""")
-def hard_split(spark, d):
-    pieces = T.hard_split("text", 500)
-    # Blank pieces go; what is stripped from the others is counted back in, as the oracle does not strip.
-    raw = F.transform(F.sequence(F.lit(1), F.length("text"), F.lit(500)), lambda i: F.substr("text", i, F.lit(500)))
-    kept = F.filter(raw, lambda s: T.strip(s) != "")
-    rows = docs(spark, d).where("length(text) > 0").select("doc_id", F.size(pieces).alias("pieces"), F.transform(kept, F.length).alias("n"))
-    return rows.where("pieces > 0").select("doc_id", F.col("pieces").cast("long").alias("pieces"), F.array_max("n").cast("long").alias("longest"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
-
-
 @query()
 def split_by_tokens(spark, d):
     c = table(spark, d, "conversations")
@@ -197,26 +173,6 @@ def anchor_missing(spark, d):
     return t.select("page_id", F.array_join(A.missing(F.col("a"), "r"), "|").alias("missing"))
 
 
-_SPACED = [("大家 好 ，今天 天气", "大家好，今天天气"), ("（ 你好 ） world", "（你好） world"), ("a . b , c", "a. b, c"), ("한 국 어 text 日 本", "한국어 text 日本"), ("plain words here", "plain words here")]
-_SPOKEN = [("你 好 ！ 世 界", "你好！ 世界"), ("c0ntext 5tack he1lo", "context stack hello"), ("gpt-4o abc12345", "gpt-4o abc12345"), ("测试测试测试 好", "测试测试测试好"), ("今天天气今天天气今天天气", "今天天气")]
-
-
-def _literal(rows) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{y}')" for k, (_, y) in enumerate(rows)) + ") AS t(id, out)"
-
-
-@query(_literal(_SPACED).replace("SELECT *", "SELECT CAST(id AS BIGINT) AS id, out"))
-def cjk_spacing(spark, d):
-    rows = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(_SPACED)], "id bigint, x string")
-    return rows.select("id", T.tighten_spacing("x").alias("out"))
-
-
-@query(_literal(_SPOKEN).replace("SELECT *", "SELECT CAST(id AS BIGINT) AS id, out"))
-def asr_normalise(spark, d):
-    rows = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(_SPOKEN)], "id bigint, x string")
-    return rows.select("id", T.normalize_speech("x").alias("out"))
-
-
 @query(rf"""WITH {TURNS}, b AS (SELECT doc_id, id, CASE WHEN id % 3 = 1 THEN '译文' ELSE text END AS t FROM turns),
 n AS (SELECT doc_id, t, lead(t) OVER (PARTITION BY doc_id ORDER BY id) AS f FROM b WHERE trim(t) <> '')
 SELECT doc_id, count(*) FILTER (regexp_matches(t, '[A-Za-z]') AND coalesce(regexp_matches(f, '[\x{{4E00}}-\x{{9FFF}}]'), false)) AS pairs FROM n GROUP BY 1""")
@@ -254,13 +210,6 @@ def subtitle_quality(spark, d):
     return quality.subtitle_quality(t).select("doc_id", F.col("subtitle_quality_score").alias("score"), F.col("subtitle_quality_band").alias("band"))
 
 
-@query("SELECT conv_id AS doc_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE turn % 4 <> 3 GROUP BY 1")
-def merge_concat(spark, d):
-    t = table(spark, d, "conversations").where("turn % 4 <> 3")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.btrim("text").alias("t")))), lambda s: s["t"])
-    return t.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(parts, "\n\n").alias("text"))
-
-
 @query()
 def merge_chunks(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("id"), F.when(F.col("turn") % 5 == 4, "superseded").otherwise("done").alias("status"), F.col("text").alias("result"))
@@ -284,12 +233,6 @@ def file_names(spark, d):
     return p.select("page_id", T.sanitize_filename("url").alias("name"), T.frontmatter_date(compact).alias("date"))
 
 
-@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[{CJK}]')) AS n_tokens, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+|[{CJK}]'), lambda x: lower(x))[1 : 20], ' ') AS head FROM documents""")
-def quality_tokens(spark, d):
-    t = T.quality_tokens("text")
-    return docs(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(F.slice(t, 1, 20), " ").alias("head"))
-
-
 @query()
 def block_types(spark, d):
     p = table(spark, d, "pages").select("page_id", F.posexplode(T.blocks(T.strip_markup("html"))).alias("block", "content"))

@@ -17,13 +17,13 @@ def rows(df, *names):
 
 
 def test_vtt(spark):
-    text = "WEBVTT\n\n00:00.000 --> 00:01.000\n大家好今天\n\n00:01.000 --> 00:02.000\n好今天我们来聊测试\n\nbad --> line\nx\n\n00:02.000 --> 00:03.000\n<i></i>\n"
+    text = "WEBVTT\n\n00:00.000 --> 00:01.500\n我们下午去公园\n\n00:01.500 --> 00:03.000\n下午去公园看花吧\n\nbad --> line\nx\n\n00:03.000 --> 00:04.000\n<b></b>\n"
     docs = spark.createDataFrame([("a", text)], "doc_id string, text string")
     folded = subtitles.fold_cues(subtitles.cues(docs)).collect()[0]
-    assert [s["text"] for s in folded["segments"]] == ["大家好今天", "我们来聊测试"]
+    assert [s["text"] for s in folded["segments"]] == ["我们下午去公园", "看花吧"]
     d = folded["diagnostics"].asDict()
-    assert (d["cue_count"], d["empty_cue_count"], d["overlap_trim_count"], d["overlap_trimmed_chars"], d["markup_tag_count"]) == (3, 1, 1, 3, 2)
-    assert rows(subtitles.vtt_text(subtitles.vtt_segments(docs)), "text") == [("大家好今天我们来聊测试",)]
+    assert (d["cue_count"], d["empty_cue_count"], d["overlap_trim_count"], d["overlap_trimmed_chars"], d["markup_tag_count"]) == (3, 1, 1, 5, 2)
+    assert rows(subtitles.vtt_text(subtitles.vtt_segments(docs)), "text") == [("我们下午去公园看花吧",)]
 
 
 def test_vtt_of_nothing(spark):
@@ -89,10 +89,11 @@ def test_chunks_of_segments(spark):
 
 
 def test_small_chunks_join(spark):
-    sizes = [(0, 300, 3, False), (1, 10, 1, False), (2, 300, 3, False), (3, 5, 1, True), (4, 20, 1, False)]
+    """A small chunk joins the one before it; one that begins a chapter only the chunk behind it."""
+    sizes = [(0, 310, 3, False), (1, 12, 1, False), (2, 290, 3, False), (3, 7, 1, True), (4, 25, 1, False)]
     df = spark.createDataFrame([("a", *s) for s in sizes], "doc_id string, chunk_id int, size_ long, segments int, fresh boolean")
     got = dict(rows(chunking.coalesce_small(df, 600, 800), "chunk_id", "merged_id"))
-    assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: 2} or got[3] == got[4]
+    assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: 2}
 
 
 @pytest.mark.parametrize("mode,target,cap", [("chars", 60, 80), ("tokens", 15, 20)])
@@ -114,20 +115,30 @@ def test_split_timed_shares_out_time(spark):
 
 
 def test_budget_fits():
-    for task in chunking.TARGET:
+    for task in (*chunking.TARGET, "another"):
         for prompt in (0, 500, 3000):
             b = chunking.solve_budget(task, prompt)
-            assert 1 <= b.target <= b.hard_cap <= max(b.target, b.available) and b.target + b.output <= max(b.effective, b.output + 1)
+            assert 1 <= b.target <= b.hard_cap <= max(b.target, b.available) and b.output <= b.planned_output
+
+
+def test_budgets_of_tasks():
+    """Worked out by hand: a task with room, one that the prompt squeezes, one of no known name."""
+    b = chunking.solve_budget("cleanup_zh", 500, reserve=60)
+    assert (b.target, b.hard_cap, b.available, b.output, b.planned_output, b.effective) == (1000, 1330, 3840 - 560 - 1050 - 400, 1050, 1880, 3840)
+    b = chunking.solve_budget("structure_only", 500)
+    assert (b.target, b.hard_cap, b.available, b.output, b.planned_output, b.effective) == (720, 958, 1272, 828, 1380, 3000)
+    b = chunking.solve_budget("another", 100, window=4096)
+    assert (b.target, b.available, b.effective) == (1, 1, 491)
 
 
 def test_merge(spark):
-    chunks = [("a", 0, "done", "## One\n\n这是第一句。\n\n这是重复句。"), ("a", 1, "done", "这是重复句。\n\n这是最后一句。"), ("a", 2, "superseded", "gone"), ("a", 3, "failed", None)]
+    chunks = [("a", 0, "done", "## Start\n\n早上下了一场雨。\n\n街上没有人。"), ("a", 1, "done", "街上没有人。\n\n中午天晴了。"), ("a", 2, "superseded", "old"), ("a", 3, "failed", None)]
     df = spark.createDataFrame(chunks, "doc_id string, id int, status string, result string")
     r = merge.merge_chunks(df).collect()[0]
-    assert r["text"].count("这是重复句。") == 1 and r["missing"] == [3] and "gone" not in r["text"]
-    heads = spark.createDataFrame([("a", 0, "One", 0)], "doc_id string, chapter int, title string, start_chunk int")
+    assert r["text"].count("街上没有人。") == 1 and r["missing"] == [3] and "old" not in r["text"]
+    heads = spark.createDataFrame([("a", 0, "Start", 0)], "doc_id string, chapter int, title string, start_chunk int")
     r = merge.merge_chunks(df, heads).collect()[0]
-    assert r["text"].count("## One") == 1 and r["diagnostics"]["heading_line_dedup_count"] >= 1
+    assert r["text"].count("## Start") == 1 and r["diagnostics"]["heading_line_dedup_count"] >= 1
 
 
 def test_merge_of_fragments(spark):
@@ -145,7 +156,7 @@ def test_replan(spark):
 
 
 def test_subtitle_quality_is_critical(spark):
-    counters = {"cue_count": 20, "empty_cue_count": 3, "exact_duplicate_cue_count": 5, "overlap_trim_count": 5, "overlap_collapsed_cue_count": 2, "markup_tag_count": 8, "nbsp_entity_count": 4, "collapsed_cjk_spacing_count": 12, "tightened_punctuation_spacing_count": 6, "tightened_bracket_spacing_count": 2}
+    counters = {"cue_count": 40, "empty_cue_count": 9, "exact_duplicate_cue_count": 8, "overlap_trim_count": 11, "overlap_collapsed_cue_count": 5, "markup_tag_count": 13, "nbsp_entity_count": 7, "collapsed_cjk_spacing_count": 15, "tightened_punctuation_spacing_count": 9, "tightened_bracket_spacing_count": 3}
     df = spark.createDataFrame([("a", "\n".join(["短句子啊"] * 12))], "doc_id string, text string").select("*", *[F.lit(v).alias(k) for k, v in counters.items()])
     r = quality.subtitle_quality(df).select("*", F.lit("youtube").alias("source"), F.lit("chinese").alias("mode"))
     r = planning.route(r).collect()[0]
@@ -184,7 +195,21 @@ def test_state_and_validation(spark):
     df = spark.createDataFrame([("a", text), ("b", None)], "doc_id string, text string").select("doc_id", records.state_map("text").alias("fields"))
     got = {r["doc_id"]: r["fields"] for r in df.collect()}
     assert got == {"a": {"url": "http://x: y", "title": "B"}, "b": {}}
-    assert {r["doc_id"]: r["missing"] for r in planning.validate(df, "source").collect()} == {"a": ["source_type"], "b": ["url", "source_type"]}
+    got = {r["doc_id"]: r for r in planning.validate(df, "metadata", require=("mode", "url")).collect()}
+    assert got["a"]["present"] == ["url", "title"] and got["a"]["missing"] == ["vid", "channel", "upload_date", "duration", "output_dir", "mode"]
+    assert len(got["b"]["missing"]) == 8 and not got["b"]["passed"]
+    full = dict.fromkeys(planning.REQUIRED["final"], "v")
+    states = spark.createDataFrame([("ok", full), ("day", full | {"output_file": "t 20240115.md"}), ("vague", full | {"src": "UNKNOWN"})], "doc_id string, fields map<string,string>")
+    assert {r["doc_id"]: (r["passed"], r["file_dates"], r["unknown"]) for r in planning.validate(states, "final").collect()} == {"ok": (True, [], []), "day": (False, ["20240115"], []), "vague": (False, [], ["src"])}
+    assert planning.validate(df, require=("title",)).where("passed").count() == 1
+
+
+def test_reach_of_long_chains_and_cycles(spark):
+    edges = [(f"n{k}", f"n{k + 1}") for k in range(75)] + [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")]
+    got = {(r["from_id"], r["to_id"]): r["hops"] for r in runtime.reachable(spark.createDataFrame(edges, "from_id string, to_id string")).collect()}
+    want = {(f"n{a}", f"n{z}"): z - a for a in range(76) for z in range(a + 1, 76)}
+    want |= {("a", "b"): 1, ("a", "c"): 1, ("a", "a"): 2, ("b", "c"): 1, ("b", "a"): 2, ("b", "b"): 3, ("c", "a"): 1, ("c", "b"): 2, ("c", "c"): 2}
+    assert got == want
 
 
 def test_decisions_and_artifacts(spark):
@@ -192,6 +217,8 @@ def test_decisions_and_artifacts(spark):
     df = spark.createDataFrame([("verify", "", True, True, False, False, False, False, False, 0, 0), ("processing", "cancellation_requested", False, False, False, True, True, True, False, 1, 1), ("planning", None, None, None, None, None, None, None, True, None, None)], names)
     got = [(r["action"], r["confidence"]) for r in runtime.decide(runtime.policy(df)).collect()]
     assert got == [("accept_output", 0.95), ("request_human_escalation", 0.85), ("fallback_to_deepgram", 0.95)]
+    asked = runtime.decide(runtime.policy(df.where("active_stage = 'planning'").withColumn("reroute", F.lit(False)).withColumn("evaluator_action", F.lit("request_human_escalation")))).collect()[0]
+    assert (asked["action"], asked["confidence"], asked["decided_by"]) == ("request_human_escalation", 0.78, "rule")
     ranked = runtime.decide(runtime.policy(df.where("active_stage = 'planning'").withColumn("reroute", F.lit(False))), lambda a: F.lit("abort_run")).collect()[0]
     assert (ranked["action"], ranked["decided_by"]) == ("abort_run", "ranker")
     commands = spark.createDataFrame([("r", [("a", "t", "p", []), ("b", "t", "q", ["a"]), ("c", "t", "", ["b"])])], "run_id string, artifacts array<struct<artifact_id:string,type:string,path:string,parents:array<string>>>")

@@ -40,5 +40,5 @@ def test_query(spark, db, name):
 
 
 def test_token_sources_of_every_event(spark):
-    got = catalogue.queries()["token_sources_all"](spark, DATA)
+    got = catalogue.queries()["token_sources"](spark, DATA)
     assert got.agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{DATA}/events.parquet").count()
