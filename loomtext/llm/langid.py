@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import column_slices, gathered, mix, sums_by, units, written
 
-#: Bounds of what is learned: labelled documents of each language, words of each, n-grams of each.
-DOCS_A_LANGUAGE = 3000
-WORDS_A_LANGUAGE = 20_000
-GRAMS_A_LANGUAGE = 100_000
-#: Scores of words, and of n-grams, by language: with more than 64 languages (28 for n-grams) each has fewer than above.
-CELLS = 64 * 64 * 20_000
+#: Bounds of the sample that is learned from, in expectation: labelled documents of each language, and of all together.
+#: All words and n-grams of the sampled texts are learned.
+DOCS_A_LANGUAGE, DOCS = 3000, 48_000
 LONGEST_GRAM = 4
 #: What is added to each count.
 SMOOTHING = 0.5
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of text looked at at once, with four languages or fewer; with more languages less.
+SLICE = 4 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def learn_from(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -29,136 +26,162 @@ def learn_from(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2)
 
 
+def letter_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+    """(first, number, words): the words of text k, runs of letters in lower case, are words[number[first[k] : first[k + 1]]]."""
+    runs = pa.compute.split_pattern_regex(pa.compute.utf8_lower(texts), r"\P{L}+")
+    flat, parent = pa.compute.list_flatten(runs), pa.compute.list_parent_indices(runs)
+    some = pa.compute.greater(pa.compute.binary_length(flat), 0)
+    coded = flat.filter(some).dictionary_encode()
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.bincount(np.asarray(parent.filter(some)), minlength=len(texts)), out=first[1:])
+    return first, np.asarray(coded.indices), coded.dictionary
+
+
+def _codes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, word of each) of the words, each between two spaces."""
+    lengths = np.asarray(pa.compute.utf8_length(words)).astype(np.int64) + 2
+    codes = np.frombuffer("".join([f" {w} " for w in words.to_pylist()]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return codes, np.repeat(np.arange(len(words)), lengths)
+
+
+def _gram_keys(codes: np.ndarray, owner: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, 64-bit keys) of the n-grams of size characters that begin at places and end within their words."""
+    places = places[places + size <= len(codes)]
+    places = places[owner[places + size - 1] == owner[places]]
+    keys = np.full(len(places), size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            keys = mix(keys * _STEP + codes[places + k])
+    return places, keys
+
+
+class Table:
+    """Log frequencies by language of keys: a number for all keys, and what each key has beyond it in the languages where it was seen."""
+
+    def __init__(self, row: np.ndarray, lang: np.ndarray, n: np.ndarray, rows: int, languages: int):
+        cells, at = np.unique(row * max(languages, 1) + lang, return_inverse=True)
+        row, lang, n = cells // max(languages, 1), cells % max(languages, 1), np.bincount(at, n, minlength=len(cells))
+        self.first = np.searchsorted(row, np.arange(rows + 1))
+        self.lang, self.more = lang.astype(np.int32), np.log((n + SMOOTHING) / SMOOTHING).astype(np.float32)
+        total = np.bincount(lang, n, minlength=languages) + SMOOTHING * max(rows, 1)
+        self.least = np.log(SMOOTHING / total)
+
+    def add(self, out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+        """Add the frequencies of rows to the rows at of out."""
+        languages = out.shape[1]
+        out += np.bincount(at, minlength=len(out))[:, None] * self.least
+        size = self.first[rows + 1] - self.first[rows]
+        entries = gathered(self.first[rows], size)
+        cells = np.repeat(at, size) * languages + self.lang[entries]
+        out += np.bincount(cells, self.more[entries], minlength=out.size).reshape(out.shape)
+
+
 class Model:
     """Log frequencies by language of words and of n-grams of characters."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], gram_counts: list[tuple[str, str, int]] | None = None):
-        """counts: (language, word, count); gram_counts: the same of n-grams, those of the words if None."""
-        self.languages = sorted({lang for lang, _, _ in counts})
-        at = {lang: k for k, lang in enumerate(self.languages)}
-        n = len(self.languages)
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        for lang, word, count in counts:
-            words[word][at[lang]] += count
+    def __init__(self, counts: pa.Table | list[tuple[str, str, int]], gram_counts: pa.Table | None = None):
+        """counts: lang, part (a word), n; gram_counts: lang, size, key, n of n-grams, those of the words if None."""
+        if not isinstance(counts, pa.Table):
+            counts = pa.table({k: [c[i] for c in counts] for i, k in enumerate(("lang", "part", "n"))}, schema=pa.schema({"lang": pa.string(), "part": pa.string(), "n": pa.int64()}))
         if gram_counts is None:
-            gram_counts = [(lang, g, count) for lang, word, count in counts for size in range(1, LONGEST_GRAM + 1) for g in self.grams(word, size)]
-        for lang, g, count in gram_counts:
-            grams[g][at[lang]] += count
-        self.words, self.word_scores = self.logs(words)
-        merged: dict[str, int] = {}
-        parts = []
-        for size in range(1, LONGEST_GRAM + 1):
-            index, scores = self.logs({g: v for g, v in grams.items() if len(g) == size})
-            merged |= {g: k + len(merged) for g, k in index.items()}
-            parts.append(scores)
-        self.by_gram, self.gram_scores = merged, np.concatenate(parts)
-
-    @staticmethod
-    def grams(word: str, size: int) -> list[str]:
-        marked = f" {word} "
-        return [marked[k : k + size] for k in range(len(marked) - size + 1)]
-
-    def logs(self, counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-        """(row of each key, log frequencies by row and language against their mean over the languages)."""
-        if not counts:
-            return {}, np.zeros((0, len(self.languages)), np.float32)
-        table = np.array(list(counts.values()))
-        table = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * len(counts)))
-        return {k: i for i, k in enumerate(counts)}, (table - table.mean(1, keepdims=True)).astype(np.float32)
-
-    def backed_off(self, word: str) -> list[int]:
-        """Of an unseen word the rows of the longest known n-gram that begins at each of its places."""
-        marked, get = f" {word} ", self.by_gram.get
-        rows = [get(marked[k : k + LONGEST_GRAM]) for k in range(len(marked) - 1)]
-        if None in rows:
-            for k, row in enumerate(rows):
-                size = LONGEST_GRAM
-                while row is None and size > 1:
-                    size -= 1
-                    row = get(marked[k : k + size])
-                rows[k] = row
-            rows = [r for r in rows if r is not None]
-        return rows
-
-
-class Scorer:
-    """Scores texts; what it made of frequent parts is remembered in rows of one bounded matrix."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.size = max(1000, min(250_000, 4_000_000 // max(1, len(model.languages))))
-        # words, then n-grams, then a row of zeros
-        self.table = np.concatenate([model.word_scores, model.gram_scores, np.zeros((1, len(model.languages)), np.float32)])
-        self.reset()
-
-    def reset(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
-        self.words = np.zeros(1024, np.int64)
-
-    def learn(self, parts: list[str]) -> None:
-        """Score parts that aren't known yet: sums over their words, of the word's row or of its n-grams', by the word's length."""
-        known, off, none = self.model.words.get, len(self.model.word_scores), len(self.table) - 1
-        rows, first, weight, begins, counts = [], [], [], [], []
-        for part in parts:
-            words = _LETTERS.findall(part.lower())
-            begins.append(len(first))
-            counts.append(len(words))
-            for w in words or [""]:
-                first.append(len(rows))
-                row = known(w)
-                if row is not None:
-                    rows.append(row)
-                    weight.append(1.0)
-                else:
-                    found = [off + r for r in self.model.backed_off(w)] if w else []
-                    rows += found or [none]
-                    weight.append(2.0 / (len(w) + 2))
-        by_word = np.add.reduceat(self.table[rows], first, axis=0) * np.array(weight, np.float32)[:, None]
-        at = len(self.rows)
-        while at + len(parts) > len(self.words):
-            self.scores, self.words = np.concatenate([self.scores] * 2), np.concatenate([self.words] * 2)
-        self.scores[at : at + len(parts)] = np.add.reduceat(by_word, begins, axis=0)
-        self.words[at : at + len(parts)] = counts
-        self.rows.update(zip(parts, range(at, at + len(parts)), strict=True))
-
-    def predict_all(self, texts: list[str | None], most: int = 1 << 20):
-        """(language, score) of each text; texts are looked over in runs of about most characters."""
-        at = 0
-        while at < len(texts):
-            if len(self.rows) > self.size:
-                self.reset()
-            run, size = [], 0
-            while at < len(texts) and (not run or size < most):
-                run.append(texts[at].split() if texts[at] else [])
-                size += len(texts[at] or "")
-                at += 1
-            get = self.rows.get
-            got = [[get(x) for x in parts] for parts in run]
-            new = {x: None for parts, rows in zip(run, got, strict=True) if None in rows for x, r in zip(parts, rows, strict=True) if r is None}
-            if new:
-                self.learn(list(new))
-            for parts, rows in zip(run, got, strict=True):
-                if None in rows:
-                    rows = [get(x) if r is None else r for x, r in zip(parts, rows, strict=True)]
-                yield self.best(rows)
-
-    def best(self, rows: list[int]) -> tuple[str, float]:
-        if not rows or not self.model.languages or not self.words[rows].sum():
-            return "und", 0.0
-        total = self.scores[rows].sum(0, dtype=np.float64)
-        share = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.model.languages[best], float(share[best] / share.sum())
+            gram_counts = pa.Table.from_batches(_grams(counts.to_batches()), GRAMS)
+        self.languages = sorted(pa.compute.unique(counts["lang"]).to_pylist())
+        number = lambda c: np.asarray(pa.compute.index_in(c, value_set=pa.array(self.languages, pa.string())).combine_chunks()).astype(np.int64)
+        coded = counts["part"].combine_chunks().dictionary_encode()
+        self.words = coded.dictionary
+        self.word_table = Table(np.asarray(coded.indices).astype(np.int64), number(counts["lang"]), np.asarray(counts["n"]), len(self.words), len(self.languages))
+        self.grams, self.gram_tables = {}, {}
+        lang, size, key, n = number(gram_counts["lang"]), *(np.asarray(gram_counts[c]) for c in ("size", "key", "n"))
+        for s in range(1, LONGEST_GRAM + 1):
+            own = size == s
+            self.grams[s], row = np.unique(key[own].view(np.uint64), return_inverse=True)
+            self.gram_tables[s] = Table(row, lang[own], n[own], len(self.grams[s]), len(self.languages))
+
+    def word_scores(self, words: pa.StringArray) -> np.ndarray:
+        """Log frequencies of words by language: a known word's own, else the mean over the longest known n-gram at each place, twice."""
+        out = np.zeros((len(words), len(self.languages)))
+        found = pa.compute.index_in(words, value_set=self.words)
+        rows = np.asarray(pa.compute.fill_null(found, -1)).astype(np.int64)
+        old = np.flatnonzero(rows >= 0)
+        self.word_table.add(out, old, rows[old])
+        new = np.flatnonzero(rows < 0)
+        if not len(new):
+            return out
+        unseen = words.take(pa.array(new))
+        codes, owner = _codes(unseen)
+        sums = np.zeros((len(new), len(self.languages)))
+        last = np.ones(len(codes), bool)
+        last[:-1] = owner[1:] != owner[:-1]
+        left = np.flatnonzero(~last)
+        for size in range(LONGEST_GRAM, 0, -1):
+            places, keys = _gram_keys(codes, owner, left, size)
+            known = self.grams[size]
+            if not len(known) or not len(places):
+                continue
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            self.gram_tables[size].add(sums, owner[places[hit]], at[hit])
+            left = np.setdiff1d(left, places[hit], assume_unique=True)
+        out[new] = sums * (2.0 / np.bincount(owner, minlength=len(new)))[:, None]
+        return out
+
+    def predict_all(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        """(languages, scores) of the texts of a column."""
+        langs, scores = [], [np.zeros(0)]
+        for _, texts in column_slices(column, SLICE * 4 // max(4, len(self.languages))):
+            first, number, distinct = units(texts)
+            word_first, word_number, words = letter_runs(distinct.cast(pa.string()))
+            n_words = sums_by(np.diff(word_first)[number], first)
+            if not self.languages:
+                langs += ["und"] * len(texts)
+                scores.append(np.zeros(len(texts)))
+                continue
+            by_unit = sums_by(self.word_scores(words)[word_number], word_first)
+            total = sums_by(by_unit[number], first)
+            share = np.exp(total - total.max(1, keepdims=True))
+            share /= share.sum(1, keepdims=True)
+            best = np.argmax(total, 1)
+            langs += [self.languages[b] if n else "und" for b, n in zip(best.tolist(), n_words.tolist(), strict=True)]
+            scores.append(np.where(n_words > 0, share[np.arange(len(best)), best], 0.0))
+        return langs, np.concatenate(scores)
+
+
+WORDS = pa.schema({"lang": pa.string(), "part": pa.string(), "n": pa.int64()})
+GRAMS = pa.schema({"lang": pa.string(), "size": pa.int32(), "key": pa.int64(), "n": pa.int64()})
+
+
+def _words(batches):
+    """(lang, word, count) of (lang, text), summed up within a slice of texts of one language."""
+    for b in batches:
+        for lang in pa.compute.unique(b.column(0)).to_pylist():
+            for _, texts in column_slices(b.column(1).filter(pa.compute.equal(b.column(0), lang)), SLICE):
+                _, number, distinct = units(texts)
+                first, word_number, words = letter_runs(distinct.cast(pa.string()))
+                times = np.repeat(np.bincount(number, minlength=len(distinct)), np.diff(first))
+                n = np.bincount(word_number, times, minlength=len(words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array(n)], schema=WORDS)
+
+
+def _grams(batches):
+    """(lang, size, key, count) of (lang, word, count), summed up within a language of a batch."""
+    for b in batches:
+        for lang in pa.compute.unique(b.column(0)).to_pylist():
+            own = b.filter(pa.compute.equal(b.column(0), lang))
+            codes, owner = _codes(own.column(1))
+            n = np.asarray(own.column(2))
+            for size in range(1, LONGEST_GRAM + 1):
+                places, keys = _gram_keys(codes, owner, np.arange(len(codes)), size)
+                keys, at = np.unique(keys, return_inverse=True)
+                sums = np.bincount(at, n[owner[places]], minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), size, np.int32)), pa.array(keys.view(np.int64)), pa.array(sums)], schema=GRAMS)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Count words of a bounded sample of labelled rows: DOCS_A_LANGUAGE of each language in expectation, by a hash of doc_id.
+    """Count words and n-grams of a bounded sample of labelled rows, by a hash of doc_id.
 
-    The sample's bound is the only one on rows; each sampled text counts whole. All languages are learned, and n-grams
-    are counted over all words of the sample. The driver gets the WORDS_A_LANGUAGE and GRAMS_A_LANGUAGE most frequent
-    of each language, fewer if there are so many languages that the scores would be more than CELLS.
+    The sample is of DOCS_A_LANGUAGE documents of each language in expectation, or of an equal share of DOCS if there
+    are so many languages. That is the only bound: each sampled text counts whole, and all languages, words and n-grams
+    of the sample are learned. The driver and each worker hold counts for these, of 16 bytes for a word or n-gram and language.
     """
     rows = learn_from(docs, id_col).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
@@ -166,62 +189,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not sizes:
         return Model([])
     chance = F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, DOCS_A_LANGUAGE / r["n"])) for r in sizes], "lang string, share double")
-    sample = rows.join(F.broadcast(shares), "lang").where(chance < F.col("share"))
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("part")).where("part <> ''")
-    counts = written(words.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")), "words")
-    grams = counts.mapInArrow(_grams, "lang string, part string, n long").groupBy("lang", "part").agg(F.sum("n").alias("n"))
-    most = max(1, CELLS // len(sizes) ** 2)
-    return Model(_frequent(counts, min(most, WORDS_A_LANGUAGE)), _frequent(grams, min(most, GRAMS_A_LANGUAGE)))
-
-
-def _grams(batches):
-    """(lang, n-gram, count) of (lang, word, count), summed up within a batch."""
-    for b in batches:
-        found: Counter = Counter()
-        for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for size in range(1, LONGEST_GRAM + 1):
-                for g in Model.grams(word, size):
-                    found[lang, g] += n
-        lang, gram = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "part", "n"])
-
-
-def _frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
-    """The most frequent parts of each language, at most so many."""
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "part"))
-    return [tuple(r) for r in counts.withColumn("k", first).where(F.col("k") <= most).select("lang", "part", "n").orderBy("lang", "part").collect()]
-
-
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(shared) -> Scorer:
-    key = shared.value.__dict__.setdefault("key", id(shared.value))
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(shared.value)
-    return _SCORERS[key]
+    each = min(DOCS_A_LANGUAGE, DOCS / len(sizes))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in sizes], "lang string, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("lang", "text")
+    counts = sample.mapInArrow(_words, "lang string, part string, n long").groupBy("lang", "part").agg(F.sum("n").alias("n"))
+    counts = written(counts, "words")
+    grams = counts.mapInArrow(_grams, "lang string, size int, key long, n long").groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
+    return Model(counts.toArrow(), grams.toArrow())
 
 
 def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs.
 
-    A text's score for a language is the sum over its words (runs of letters, lower case) of the word's log
-    frequency there or, for a word not learned, of n-grams of its characters, from LONGEST_GRAM characters
-    down; score is the best language's share of the exponentials. Null texts and texts without letters, and
+    A text's score for a language is the sum over its words (runs of letters, those of Unicode's category L, in lower
+    case) of the word's log frequency there or, for a word not learned, of n-grams of its characters, from LONGEST_GRAM
+    characters down; score is the best language's share of the exponentials. Null texts and texts without letters, and
     all texts if nothing was learned, are ``und`` with score 0. Each text is scored whole where it
-    is read, with no shuffle; rows alike get rows alike; an empty table gives an empty result; only
-    the text is looked at.
+    is read, with no shuffle; rows alike get rows alike; a null doc_id is not held out; an empty table gives an empty
+    result; only the text is looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: CELLS scores of words, and as many of n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches):
-        scorer = _scorer(shared)
         for b in batches:
-            found = list(scorer.predict_all(b.column(2).to_pylist()))
-            lang, score = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            lang, score = shared.value.predict_all(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held_out = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
@@ -234,8 +226,8 @@ def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str
     k = docs.columns.index(text_col)
 
     def run(batches):
-        scorer = _scorer(shared)
         for b in batches:
-            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in scorer.predict_all(b.column(k).to_pylist())], pa.bool_()))
+            lang, score = shared.value.predict_all(b.column(k))
+            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
