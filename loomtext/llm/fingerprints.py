@@ -18,8 +18,8 @@ DIGITS = BITS // 4
 LOW = 64 - (BINS.bit_length() - 1)
 WORDS = 5
 SEED = 29
-#: Bins that an empty one tries by a hash of its number and the try, before what further tries meet is looked up.
-TRIES = 10
+#: Rows that are put in order in one task.
+ROWS_A_RANGE = 1_000_000
 
 
 @cache
@@ -61,9 +61,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     met = F.split(F.lit(_met()), ",").cast("array<int>")  # a constant, worked out once
 
     def dense(x: Column, i: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.lit(TRIES)), lambda j: F.pmod(F.xxhash64(i, j), F.lit(BINS)).cast("int"))
-        later = F.slice(met, i * F.lit(BINS) + F.lit(1), F.lit(BINS))
-        at = F.coalesce(F.get(F.filter(tries, filled), F.lit(0)), F.get(F.filter(later, filled), F.lit(0)))
+        # the first filled bin in the order of its tries; that order is looked through in two parts, the second where the first has none
+        first = lambda a, z: F.get(F.filter(F.slice(met, i * F.lit(BINS) + F.lit(a + 1), F.lit(z - a)), filled), F.lit(0))
+        at = F.coalesce(first(0, 8), first(8, BINS))
         return F.when(x.bitwiseAND(empty) != empty, x).otherwise(F.get(F.col(c), at))
 
     df = df.withColumn(d, F.when(F.size(a) > 0, F.transform(F.col(c), dense)))
@@ -86,13 +86,14 @@ def likeness(x: str, y: str) -> Column:
 def next_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x, next_id, next_x) for each distinct document, x being the hash of its text; the last's next is the first.
 
-    Order: doc_id, then x. Ranges of doc_id are ordered each in its own task; the first of each range
-    is handed to the range before, so only as many rows as there are ranges meet in one task.
+    Order: doc_id, then x. Ranges of doc_id, of about ROWS_A_RANGE rows or as many as there are shuffle partitions, are
+    ordered each in its own task; the first of each range is handed to the range before, so only as many rows as there
+    are ranges meet in one task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("x")).distinct()
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // ROWS_A_RANGE)
     ranged = written(keys.repartitionByRange(n, "doc_id", "x").withColumn("range", F.spark_partition_id()), "ranged")
     key = F.struct("doc_id", "x")
     firsts = ranged.groupBy("range").agg(F.min(key).alias("first"))

@@ -75,9 +75,9 @@ WITH RECURSIVE words AS (
 ), rows AS (SELECT doc_id, unnest(s) AS g FROM sets),
 sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 shared AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM rows a JOIN rows b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM rows a JOIN rows b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * both >= 80 * (p.n + q.n - both)
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * n_both >= 80 * (p.n + q.n - n_both)
 ), near AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM sizes UNION SELECT reach.x, near.y FROM reach JOIN near ON near.x = reach.y)
 SELECT s.doc_id, n AS n_shingles, c.y AS component_id, c.y = s.doc_id AS kept
