@@ -191,6 +191,23 @@ def chunk_table(rows: DataFrame) -> DataFrame:
     return out.withColumn("duration_sec", F.round(F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time")), 3))
 
 
+def chunk_documents(docs: DataFrame, target: int, cap: int, mode: str = "tokens", chapters: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk_id, source_kind, content, start_time, end_time, chars, tokens): each document chunked from the source it prefers.
+
+    docs: (doc_id, text, segments, preferred_chunk_source), segments an array of struct(id, text, start_time, end_time). Documents that
+    prefer segments and have some go by these, with chunks that begin where chapters (doc_id, chapter, start_time) do; all
+    others go by the sentences of their text, without times.
+    """
+    timed = (F.col("preferred_chunk_source") == "segments") & (F.size(F.coalesce("segments", F.array().cast(docs.schema["segments"].dataType))) > 0)
+    rows = docs.where(timed).select("doc_id", F.inline("segments")).select("doc_id", F.col("id").cast("int").alias("id"), "text", "start_time", "end_time")
+    breaks = S.chapter_breaks(chapters, rows) if chapters is not None else None
+    of = lambda df, kind, *times: df.select("doc_id", "chunk_id", F.lit(kind).alias("source_kind"), "content", *times, F.length("content").alias("chars"), T.estimate_tokens("content").alias("tokens"))
+    by_segments = of(chunk_segments(rows, target, cap, mode, breaks), "segments", "start_time", "end_time")
+    none = F.lit(None).cast("double")
+    by_text = of(chunk_text(docs.where(~F.coalesce(timed, F.lit(False))).select("doc_id", "text"), target, cap, mode), "text", none.alias("start_time"), none.alias("end_time"))
+    return by_segments.unionByName(by_text)
+
+
 def manifest(chunks: DataFrame, plan_id: str, tail: int = 2) -> DataFrame:
     """Entries for a run from chunks (doc_id, chunk_id, content, ...): names, sizes, tails, pending."""
     number = F.lpad(F.col("chunk_id").cast("string"), 3, "0")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import chunking
+from ..sources import subtitles
+from . import chunking, quality
 
 # Required fields by stage, and the limit of a short duration.
 _METADATA = ("vid", "url", "title", "channel", "upload_date", "duration", "output_dir")
@@ -37,6 +38,16 @@ def normalize(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "source", "mode", F.col("_text").alias("text"), F.length("_text").alias("char_count"), lines.alias("line_count"), F.size("_p").alias("segment_count"), timed.alias("has_timing"), prefer.alias("preferred_chunk_source"))
 
 
+def normalize_subtitles(files: DataFrame, mode: str = "chinese") -> DataFrame:
+    """(doc_id, segments, text, diagnostics, and the score, band and reasons of quality.subtitle_quality) from subtitle files (doc_id, text)."""
+    folded = subtitles.fold_cues(subtitles.cues(files))
+    text = subtitles.vtt_text(subtitles.vtt_segments(files)).withColumnRenamed("text", "_text")
+    d = folded.join(text, "doc_id", "left").withColumn("text", T.text_of("_text")).drop("_text")
+    names = [f.name for f in folded.schema["diagnostics"].dataType.fields]
+    wide = d.select("doc_id", "segments", "text", "diagnostics", *[F.col(f"diagnostics.{n}").alias(n) for n in names])
+    return quality.subtitle_quality(wide, mode).drop(*names)
+
+
 def route(docs: DataFrame) -> DataFrame:
     """docs (doc_id, source, mode, subtitle_quality_band, subtitle_quality_reasons) with the reason of their route and whether to take another."""
     source, mode, b = F.lower(F.btrim(T.text_of("source"))), F.lower(F.btrim(T.text_of("mode"))), T.text_of("subtitle_quality_band")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chars as C
 from ..functions import text as T
 from . import anchors as A
+from . import glossary as G
 
 
 def ngrams(tokens: Column, n: int = 5) -> Column:
@@ -198,6 +199,28 @@ def verify(docs: DataFrame, bilingual: bool = False, raw: str | None = None, emp
     return out.select("doc_id", *base, "cjk", *extra, "warnings", "hard_failures", (F.size("hard_failures") == 0).alias("passed"))
 
 
+def verify_with_glossary(docs: DataFrame, glossary: DataFrame, bilingual: bool = False, raw: str = "raw", most: int = 12, by: str | None = "doc_id") -> DataFrame:
+    """verify() of documents (doc_id, text, raw text) with the glossary's terms that the raw text has and the text lost.
+
+    Adds glossary_drift_applicable, _selected_term_count, _matched_term_count, glossary_drift_count, glossary_preservation_ratio and
+    glossary_drift_ok; lost terms warn (``glossary_drift``). A glossary (doc_id, term, ...), or one for all with by None.
+    """
+    report = verify(docs, bilingual, raw)
+    source = docs.select("doc_id", F.struct("doc_id").alias("key"), F.col(raw).alias("text"))
+    moved = G.drift(source, docs.select(F.struct("doc_id").alias("key"), F.col("text").alias("result")), glossary, most, by)
+    checks = moved.select(
+        F.col("key.doc_id").alias("doc_id"),
+        (F.size("selected_terms") > 0).alias("glossary_drift_applicable"),
+        F.size("selected_terms").alias("glossary_selected_term_count"),
+        F.size("preserved_terms").alias("glossary_matched_term_count"),
+        "glossary_drift_count",
+        F.col("preservation_ratio").alias("glossary_preservation_ratio"),
+        (F.col("glossary_drift_count") == 0).alias("glossary_drift_ok"),
+    )
+    both = report.join(checks, "doc_id")
+    return both.withColumn("warnings", F.when(F.col("glossary_drift_ok"), F.col("warnings")).otherwise(F.array_append("warnings", "glossary_drift")))
+
+
 def output_health(chunks: DataFrame, task: str, terms_missing: str | None = None) -> DataFrame:
     """chunks (doc_id, id, text, result[, array of missing terms]) with ratio and retry_reasons of the results."""
     c = chunks.withColumn("_r", T.text_of("result")).withColumn("_s", T.text_of("text"))

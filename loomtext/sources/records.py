@@ -1,9 +1,7 @@
-"""Sources of records: segments, chapters, documents, state files, event logs and settings."""
+"""Sources of records: segments, chapters, documents, metadata, state files and event logs."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,24 +66,23 @@ def parse_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, faults
 
 
-def load_config(text: str, fields: dict[str, tuple[type, object, float | None, float | None]]) -> tuple[dict, list[str]]:
-    """Settings from flat ``key: value`` lines, on the driver: fields name (type, default, least, most); what doesn't fit warns and stays default."""
-    out, warnings = {k: v[1] for k, v in fields.items()}, []
-    for line in text.splitlines():
-        m = re.match(r"""\s*([A-Za-z_]\w*)\s*:\s*("[^"]*"|'[^']*'|[^#]*)""", line)
-        if not m or m[1] not in fields:
-            continue
-        kind, default, least, most = fields[m[1]]
-        raw = m[2].strip()
-        raw = raw[1:-1] if raw[:1] in "\"'" and raw[-1:] == raw[:1] and len(raw) > 1 else raw
-        try:
-            value = raw.lower() in ("1", "true", "yes", "on") if kind is bool else kind(raw)
-            if kind in (int, float) and ((least is not None and value < least) or (most is not None and value > most)):
-                raise ValueError
-            out[m[1]] = value
-        except ValueError:
-            warnings.append(f"{m[1]}: {raw!r} is not valid; {default!r} is used")
-    return out, warnings
+def video_metadata(docs: DataFrame, json_col: str = "json") -> DataFrame:
+    """(doc_id, video_id, title, duration, upload_date, channel) from the JSON of a downloader; rows without an id are left out.
+
+    duration is in whole seconds, 0 if it is missing, NA or no number; texts that are missing are empty.
+    """
+    e = F.from_json(json_col, "struct<id:string,title:string,duration:string,upload_date:string,channel:string>")
+    d = docs.withColumn("_e", e).where(F.btrim(F.coalesce("_e.id", F.lit(""))) != "")
+    seconds = F.coalesce(F.col("_e.duration").try_cast("double").cast("bigint"), F.lit(0))
+    return d.select("doc_id", F.btrim("_e.id").alias("video_id"), *[T.text_of(f"_e.{c}").alias(c) for c in ("title", "upload_date", "channel")], seconds.alias("duration"))
+
+
+def listed_chapters(docs: DataFrame, output_col: str = "output") -> DataFrame:
+    """(doc_id, has_chapters, chapters) from what a downloader prints: ``NA``, ``null``, ``None``, nothing, or what is no list of objects, is no chapters."""
+    text = F.btrim(T.text_of(output_col))
+    some = F.when(text.startswith("["), F.from_json(text, f"array<{CHAPTER}>"))
+    chapters = F.filter(F.coalesce(some, F.array().cast(f"array<{CHAPTER}>")), lambda c: c.isNotNull())
+    return docs.select("doc_id", chapters.alias("chapters")).select("doc_id", (F.size("chapters") > 0).alias("has_chapters"), "chapters")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 import pytest
 from loomtext.operators import chunking, merge, planning, quality, runtime, telemetry
 from loomtext.operators import segments as S
-from loomtext.sources import records, speech, subtitles
+from loomtext.sources import records, settings, speech, subtitles
 from loomtext.streaming import telemetry as stream
 from pyspark.sql import functions as F
 
@@ -16,6 +16,9 @@ def rows(df, *names):
     return [tuple(r[n] for n in names) for r in df.collect()]
 
 
+rows_of = rows
+
+
 def test_vtt(spark):
     text = "WEBVTT\n\n00:00.000 --> 00:01.500\n我们下午去公园\n\n00:01.500 --> 00:03.000\n下午去公园看花吧\n\nbad --> line\nx\n\n00:03.000 --> 00:04.000\n<b></b>\n"
     docs = spark.createDataFrame([("a", text)], "doc_id string, text string")
@@ -60,10 +63,45 @@ def test_records(spark):
     assert rows(faults, "malformed", "non_object") == [(1, 1)]
 
 
-def test_config():
-    fields = {"size": (int, 5, 1, 9), "rate": (float, 0.5, 0, 1), "on": (bool, False, None, None), "name": (str, "", None, None)}
-    got, warnings = records.load_config('size: 12 # too many\nrate: 0.25\non: yes\nname: "a # b"\nother: 1', fields)
-    assert got == {"size": 5, "rate": 0.25, "on": True, "name": "a # b"} and len(warnings) == 1
+def test_settings():
+    got, warnings = settings.load('# of a run\nllm_max_retries: 7 # more\nllm_timeout_sec: 0\nautotune_reduce_percent: 0.95\nllm_backoff_sec: soon\nenable_chunk_autotune: Yes\nllm_api_key: "a # b"\nchunk_mode: CHARS\nllm_stream: maybe\nchunk_tokens_quick_cleanup: 700\nother: 1\nno colon')
+    assert (got["llm_max_retries"], got["llm_timeout_sec"], got["autotune_reduce_percent"], got["llm_backoff_sec"]) == (7, 120, 0.25, 1.5)
+    assert (got["enable_chunk_autotune"], got["llm_api_key"], got["chunk_mode"], got["llm_stream"]) == (True, "a # b", "chars", "auto")
+    assert (got["chunk_tokens_cleanup_zh"], got["chunk_tokens_structure_only"], got["output_ratio_cleanup_zh"]) == (700, 1200, 1.05)
+    assert sorted(w.split("=")[0] for w in warnings) == ["autotune_reduce_percent", "llm_backoff_sec", "llm_timeout_sec"]
+    assert settings.load("")[1] == [] and "other" not in got
+
+
+def test_metadata_and_listed_chapters(spark):
+    rows = [("a", '{"id":" v1 ","title":"T","duration":"61.9","channel":null}'), ("b", '{"title":"no id"}'), ("c", '{"id":"v3","duration":"NA"}'), ("d", "junk"), ("e", None)]
+    df = spark.createDataFrame(rows, "doc_id string, json string")
+    assert rows_of(records.video_metadata(df).orderBy("doc_id"), "video_id", "title", "duration", "channel") == [("v1", "T", 61, ""), ("v3", "", 0, "")]
+    said = spark.createDataFrame([("a", "NA"), ("b", "null"), ("c", " "), ("d", None), ("e", "[]"), ("f", '[{"title":"x","start_time":1}]'), ("g", "ERROR: no"), ("h", '{"title":"x"}')], "doc_id string, output string")
+    assert {r["doc_id"] for r in records.listed_chapters(said).where("has_chapters").collect()} == {"f"}
+
+
+def test_chunk_documents_by_preferred_source(spark):
+    seg = [(k, f"part {k}", k * 10.0, k * 10.0 + 9) for k in range(4)]
+    df = spark.createDataFrame([("s", "", seg, "segments"), ("t", "One. Two.", seg, "text"), ("n", "Three.", None, "segments"), ("x", None, None, "text")], "doc_id string, text string, segments array<struct<id:int,text:string,start_time:double,end_time:double>>, preferred_chunk_source string")
+    chapters = spark.createDataFrame([("s", 0, 0.0), ("s", 1, 20.0)], "doc_id string, chapter int, start_time double")
+    got = chunking.chunk_documents(df, 100, 100, "chars", chapters).orderBy("doc_id", "chunk_id")
+    assert rows_of(got, "doc_id", "source_kind", "content", "start_time") == [("n", "text", "Three.", None), ("s", "segments", "part 0\n\npart 1", 0.0), ("s", "segments", "part 2\n\npart 3", 20.0), ("t", "text", "One.\n\nTwo.", None)]
+
+
+def test_report_with_glossary(spark):
+    df = spark.createDataFrame([("a", "Say Alpha and beta.", "Alpha, Beta-2 and gamma."), ("b", "Nothing here.", "Nothing at all.")], "doc_id string, text string, raw string")
+    g = spark.createDataFrame([("a", "Alpha", 3, 1), ("a", "Beta-2", 2, 1), ("b", "Alpha", 1, 1)], "doc_id string, term string, score int, count int")
+    got = {r["doc_id"]: r for r in quality.verify_with_glossary(df, g).collect()}
+    assert (got["a"]["glossary_selected_term_count"], got["a"]["glossary_drift_count"], got["a"]["glossary_preservation_ratio"]) == (2, 1, 0.5)
+    assert "glossary_drift" in got["a"]["warnings"] and "glossary_drift" not in got["b"]["warnings"] and not got["b"]["glossary_drift_applicable"]
+
+
+def test_subtitles_with_their_quality(spark):
+    text = "WEBVTT\n\n" + "".join(f"00:{k:02d}.000 --> 00:{k + 1:02d}.000\n{'同一句话' if k < 20 else f'第{k}句话说完了。'}\n\n" for k in range(40))
+    r = planning.normalize_subtitles(spark.createDataFrame([("a", text), ("b", None)], "doc_id string, text string")).collect()
+    got = {x["doc_id"]: x for x in r}
+    assert got["a"]["diagnostics"]["cue_count"] == 40 and len(got["a"]["segments"]) == 21 and got["a"]["subtitle_quality_score"] < 0.92
+    assert "duplicate_cue_density_high" in got["a"]["subtitle_quality_reasons"] and got["a"]["text"].startswith("同一句话")
 
 
 def test_repeats(spark):
