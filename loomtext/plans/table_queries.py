@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import chars as C
 from ..functions import text as T
-from ..operators import chunking, merge
+from ..operators import chunking, merge, quality, runtime
 from ..operators import segments as S
-from ..sources import speech, subtitles
+from ..sources import records, speech, subtitles
 from .tables import TURNS, table, turns
 
 Q: dict = {}
@@ -138,3 +138,87 @@ SELECT doc_id, CAST(id AS BIGINT) AS id, CASE WHEN len(parts) > 1 THEN CAST(k -
 def prorate_times(spark, d):
     s = S.split_timed(turns(spark, d), 100, "chars")
     return s.select("doc_id", F.col("id").cast("long").alias("id"), F.col("part_index").cast("long").alias("part_index"), F.length("text").cast("long").alias("chars"), "start_time", "end_time")
+
+
+def _segments_json(spark, d):
+    """Each conversation as segment JSON: odd ones as a bare array, every fifth entry without an id, empty texts as they come."""
+    c = table(spark, d, "conversations").withColumn("text", F.btrim(F.regexp_replace("text", r"\s+", " ")))
+    entry = F.struct(F.when(F.col("turn") % 5 != 4, F.col("turn") + 100).alias("id"), F.when(F.col("turn") % 7 == 6, " ").otherwise(F.col("text")).alias("text"), (F.col("turn") * 2.5).cast("string").alias("start_time"), (F.col("turn") * 2.5 + 2).alias("end_time"), F.col("role").alias("speaker"))
+    listed = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))), lambda x: x["e"]).alias("segments"))
+    return listed.select(F.col("conv_id").alias("doc_id"), F.when(F.col("conv_id") % 2 == 1, F.to_json("segments")).otherwise(F.to_json(F.struct("segments"))).alias("json"))
+
+
+@query(f"""SELECT conv_id AS doc_id, CASE WHEN turn % 5 <> 4 THEN turn + 100 ELSE row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 END AS id, {_WORDS} AS text, turn * 2.5::DOUBLE AS start_time, turn * 2.5::DOUBLE + 2 AS end_time, role AS speaker
+FROM conversations QUALIFY turn % 7 <> 6 AND {_WORDS} <> ''""")
+def segment_json(spark, d):
+    s = records.load_segments(_segments_json(spark, d))
+    return s.select("doc_id", F.col("id").cast("long").alias("id"), "text", "start_time", "end_time", "speaker")
+
+
+@query("""SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chapter, role || ' ' || turn AS title, CASE WHEN turn % 2 = 0 THEN '第' || turn || '章' END AS title_zh, turn * 60.0::DOUBLE AS start_time, CASE WHEN turn % 3 <> 0 THEN turn * 60.0::DOUBLE + 59.5 END AS end_time FROM conversations""")
+def chapter_json(spark, d):
+    c = table(spark, d, "conversations")
+    entry = F.struct(F.concat_ws(" ", "role", "turn").alias("title"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("第"), "turn", F.lit("章"))).alias("title_zh"), (F.col("turn") * 60).alias("start_time"), F.when(F.col("turn") % 3 == 0, "soon").otherwise((F.col("turn") * 60 + 59.5).cast("string")).alias("end_time"))
+    listed = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))), lambda x: x["e"]).alias("chapters"))
+    got = records.load_chapters(listed.select("doc_id", F.to_json(F.struct("chapters")).alias("json")))
+    return got.select("doc_id", F.col("chapter").cast("long").alias("chapter"), "title", "title_zh", "start_time", "end_time")
+
+
+@query("""SELECT event_id AS seq, event_type AS command, CAST(user_id AS VARCHAR) AS document_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS duration_ms, event_id % 3 <> 0 AS success, CASE WHEN event_id % 6 = 0 THEN 0 ELSE event_id % 6 END AS warning_count
+FROM events WHERE event_id % 10 NOT IN (7, 8, 9)""")
+def event_log(spark, d):
+    """A log of JSON lines with broken ones, ones that are no objects, blank ones, and numbers and truths of several spellings."""
+    e = table(spark, d, "events")
+    spelled = F.when(F.col("event_id") % 3 == 0, F.element_at(F.array(*map(F.lit, ("no", "0", "False"))), (F.expr("event_id div 3 % 3") + 1).cast("int"))).otherwise("Yes")
+    line = F.to_json(F.struct(F.col("event_type").alias("command"), F.col("user_id").cast("string").alias("document_id"), F.when(F.col("event_id") % 4 == 0, "-5").otherwise(F.floor("value").cast("string")).alias("duration_ms"), spelled.alias("success"), (F.col("event_id") % 6).alias("warning_count")))
+    value = F.when(F.col("event_id") % 10 == 7, "{broken").when(F.col("event_id") % 10 == 8, "[1, 2]").when(F.col("event_id") % 10 == 9, "  ").otherwise(line)
+    events, _ = records.parse_events(e.select(F.col("event_id").alias("seq"), value.alias("value")))
+    return events.select("seq", "command", "document_id", "duration_ms", "success", "warning_count")
+
+
+@query("SELECT count(*) FILTER (event_id % 10 = 7) AS malformed, count(*) FILTER (event_id % 10 = 8) AS non_object FROM events")
+def event_log_faults(spark, d):
+    value = F.when(F.col("event_id") % 10 == 7, "{broken").when(F.col("event_id") % 10 == 8, "[1, 2]").when(F.col("event_id") % 10 == 9, "  ").otherwise("{}")
+    return records.parse_events(table(spark, d, "events").select(F.col("event_id").alias("seq"), value.alias("value")))[1]
+
+
+@query("""SELECT page_id AS doc_id, 'v' || page_id AS video_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS title, CASE page_id % 4 WHEN 0 THEN 0 WHEN 1 THEN length(html) WHEN 2 THEN 0 ELSE length(html) // 2 END AS duration, '' AS channel FROM pages WHERE page_id % 5 <> 0""")
+def video_metadata(spark, d):
+    kind = F.col("page_id") % 4
+    seconds = F.when(kind == 0, "NA").when(kind == 1, F.length("html").cast("string")).when(kind == 3, (F.length("html") / 2).cast("string"))
+    j = F.to_json(F.struct(F.when(F.col("page_id") % 5 == 0, " ").otherwise(F.concat(F.lit(" v"), "page_id")).alias("id"), F.when(F.col("page_id") % 3 != 0, F.col("url")).alias("title"), seconds.alias("duration")))
+    return records.video_metadata(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), j.alias("json"))).select("doc_id", "video_id", "title", "duration", "channel")
+
+
+@query("SELECT page_id AS doc_id, page_id % 6 = 5 AS has_chapters, CASE WHEN page_id % 6 = 5 THEN url END AS first FROM pages")
+def listed_chapters(spark, d):
+    some = F.to_json(F.array(F.struct(F.col("url").alias("title"), F.lit(0).alias("start_time"))))
+    p = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.coalesce(F.get(F.array(*map(F.lit, ("NA", "null", " None ", "[]", "ERROR: gone"))), (F.col("page_id") % 6).cast("int")), some).alias("output"))
+    return records.listed_chapters(p).select("doc_id", "has_chapters", F.get("chapters", F.lit(0))["title"].alias("first"))
+
+
+@query(rf"""SELECT doc_id, 'upload' AS source_type, regexp_replace(text, '[ \t\r\f\v]+(\n|$)', '\1', 'g') AS text FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \t]+(\n|$)', '\1', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS text FROM documents)""")
+def normalized_json(spark, d):
+    """Documents as stored JSON, read again and normalised as what isn't subtitles."""
+    j = F.to_json(F.struct(F.struct(F.lit("upload").alias("type")).alias("source"), F.struct(F.lit("mono").alias("mode")).alias("workflow"), F.struct("text").alias("content")))
+    return records.load_documents(table(spark, d, "documents").select("doc_id", j.alias("json"))).select("doc_id", "source_type", "text")
+
+
+@query("SELECT conv_id AS doc_id, turn AS id FROM conversations WHERE turn % 5 NOT IN (1, 3)")
+def pending_chunks(spark, d):
+    status = F.element_at(F.array(*map(F.lit, ("pending", "done", "interrupted", "superseded", "failed"))), (F.col("turn") % 5 + 1).cast("int"))
+    return runtime.pending(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id"), status.alias("status"))).select("doc_id", "id")
+
+
+_TERMS = ("the", "and", "no such term")
+
+
+@query(r"""WITH d AS (SELECT doc_id, lower(text) AS t, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS r FROM documents), k AS (SELECT doc_id, unnest(['the', 'and', 'no such term']) AS term, t, r FROM d),
+c AS (SELECT doc_id, regexp_matches(t, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') AS chosen, regexp_matches(r, '(^|[^A-Za-z0-9])' || term || '($|[^A-Za-z0-9])') AS kept FROM k)
+SELECT doc_id, count(*) FILTER (chosen) AS selected, count(*) FILTER (chosen AND NOT kept) AS lost, count(*) FILTER (chosen AND NOT kept) = 0 AS ok FROM c GROUP BY 1""")
+def glossary_report(spark, d):
+    """The report on documents a third of which have lost all their text."""
+    t = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("text"), F.col("text").alias("raw"))
+    g = spark.createDataFrame([(x, 3 - k, 1) for k, x in enumerate(_TERMS)], "term string, score int, count int")
+    r = quality.verify_with_glossary(t, g, by=None)
+    return r.select("doc_id", F.col("glossary_selected_term_count").cast("long").alias("selected"), F.col("glossary_drift_count").cast("long").alias("lost"), F.col("glossary_drift_ok").alias("ok"))
