@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, fresh, mix, text_slices, word_hashes, written
+from .common import _LOWER, byte_table, column_slices, fresh, gathered, mix, removed, text_bytes, written
 
 #: Half-keys in each of the two collections, and minima in a half-key. A table's key combines a half-key of either
 #: collection: HALVES**2 tables of 2 * WIDTH minima from 2 * HALVES * WIDTH minima in all. At similarity s a pair
@@ -17,67 +19,120 @@ LINK = 0.8
 #: Rounds of leaders; what they leave far from all leaders is compared within its buckets, in blocks.
 ROUNDS = 3
 #: Shingles in a block of documents that one task compares with another.
-BLOCK_SHINGLES = 300_000
+BLOCK_SHINGLES = 100_000
+#: Keys over which the nodes of one group are spread where they meet the group's sizes.
+SALTS = 32
+#: Bytes of text looked at at once.
+SLICE = 4 << 20
 IS_WORD = byte_table(gaps=b"\x20\x09\x0a\x0b\x0c\x0d")
 _STEP = np.uint64(0xD1342543DE82EF95)
 _SEEDS = mix(np.arange(1, 4 * HALVES * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    """(first, number, distinct): the words of text k, A-Z in lower case, are distinct[number[first[k] : first[k + 1]]]."""
+    data, offsets = text_bytes(column)
+    low = _LOWER[data]
+    inside = IS_WORD[low]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    begins[edges] = inside[edges]
+    packed = low[inside]
+    starts = np.append(np.flatnonzero(begins[inside]), len(packed)).astype(np.int32)
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(packed)]).dictionary_encode()
+    return np.searchsorted(np.flatnonzero(begins), offsets), np.asarray(coded.indices).astype(np.int64), coded.dictionary
+
+
 def shingle_sets(column: pa.Array, words: int):
-    """For runs of texts: (first of each text's shingles, sorted distinct 64-bit hashes of shingles), words to a shingle.
+    """For runs of texts: (first of each text's shingles, hashes of 64 bits, sorted and distinct in a text, further 64 bits of them).
 
-    A text of fewer words has all of them as its one shingle; one without words has none.
+    A shingle's hash is made of 128-bit hashes of its words. A text of fewer words has all of them as its one shingle;
+    one without words has none.
     """
-    for _, data, offsets in text_slices(column):
-        starts, _, h, _ = word_hashes(data, IS_WORD)
-        first = np.searchsorted(starts, offsets)
+    for _, texts in column_slices(column, SLICE):
+        first, number, distinct = words_of(texts)
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in distinct.to_pylist()]), np.uint64).reshape(-1, 2)
         n = np.diff(first)
         doc = np.repeat(np.arange(len(n)), n)
         short = np.flatnonzero((n > 0) & (n < words))
-        with np.errstate(over="ignore"):
-            s = np.zeros(max(0, len(h) - words + 1), np.uint64)
-            for k in range(words):
-                s = s * _STEP + h[k : k + len(s)]
-            whole = doc[: len(s)] == doc[words - 1 :] if len(s) else np.zeros(0, bool)
-            s, of = mix(s)[whole], doc[: len(s)][whole]
-            if len(short):
+        whole = doc[: max(0, len(doc) - words + 1)] == doc[words - 1 :]
+        of, parts = np.concatenate([doc[: len(whole)][whole], short]), []
+        for h in (both[:, 0][number], both[:, 1][number]):
+            s = np.zeros(len(whole), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(words):
+                    s = s * _STEP + h[k : k + len(s)]
                 more = []
                 for d in short:
                     x = np.uint64(n[d])
                     for w in h[first[d] : first[d + 1]]:
                         x = x * _STEP + w
                     more.append(x)
-                s, of = np.concatenate([s, mix(np.array(more, np.uint64))]), np.concatenate([of, short])
-        order = np.lexsort((s, of))
-        s, of = s[order], of[order]
+                parts.append(mix(np.concatenate([s[whole], np.array(more, np.uint64)])))
+        order = np.lexsort((parts[0], of))
+        s, more, of = parts[0][order], parts[1][order], of[order]
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
-        s, of = s[new], of[new]
-        yield np.searchsorted(of, np.arange(len(n) + 1)), s
+        s, more, of = s[new], more[new], of[new]
+        yield np.searchsorted(of, np.arange(len(n) + 1)), s, more
 
 
-def _node_hashes(first: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the sets, 0 for empty ones."""
+def exact_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, shingles): the sorted sets of shingles of text k, shingles[first[k] : first[k + 1]], as numbers that are equal for equal shingles only.
+
+    Numbers, not hashes: words are numbered by a dictionary and runs of words by the distinct pairs of shorter runs.
+    They are good for the texts of this call.
+    """
+    first, number, distinct = words_of(column)
+    n, total, base = np.diff(first), len(number), max(len(distinct), 1)
+    doc = np.repeat(np.arange(len(n)), n)
+
+    def runs(length: int) -> tuple[np.ndarray, int]:
+        if length == 1:
+            return number, base
+        half = length // 2 if length % 2 == 0 else length - 1
+        x, size = runs(half)
+        y, by = (x[half:], size) if length % 2 == 0 else (number[half:], base)
+        keys = x[: max(0, total - length + 1)] * by + y[: max(0, total - length + 1)]
+        kinds, out = np.unique(keys, return_inverse=True)
+        return out, max(len(kinds), 1)
+
+    s = runs(words)[0]
+    whole = doc[: len(s)] == doc[words - 1 :] if len(s) else np.zeros(0, bool)
+    short = np.flatnonzero((n > 0) & (n < words))
+    kinds: dict[bytes, int] = {}
+    few = np.array([-1 - kinds.setdefault(number[first[d] : first[d + 1]].tobytes(), len(kinds)) for d in short], np.int64)
+    s, of = np.concatenate([s[whole], few]), np.concatenate([doc[: len(s)][whole], short])
+    order = np.lexsort((s, of))
+    s, of = s[order], of[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
+    return np.searchsorted(of[new], np.arange(len(n) + 1)), s[new]
+
+
+def _set_hashes(first: np.ndarray, s: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Hashes of the sets, two of 64 bits, 0 for empty ones."""
     size = np.diff(first)
     some = np.flatnonzero(size)
-    out = np.zeros(len(size), np.uint64)
+    out = np.zeros((2, len(size)), np.uint64)
     if len(some):
         with np.errstate(over="ignore"):
-            out[some] = mix(np.add.reduceat(mix(s ^ _SEEDS[-1]), first[:-1][some]) + size[some].astype(np.uint64))
+            for k, x in enumerate((s, more)):
+                out[k, some] = mix(np.add.reduceat(mix(x ^ _SEEDS[-1 - k]), first[:-1][some]) + size[some].astype(np.uint64))
     return out
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, node, halves): size of the set of shingles, its hash, and the half-keys; the lowest bit of one tells its collection."""
+    """(doc_id, x, n, h1, h2, halves) of (doc_id, x, text): size of the set of shingles, its hashes, and the half-keys; the lowest bit of one tells its collection."""
 
     def run(batches):
         for b in batches:
-            n, node, halves = [], [], []
-            for first, s in shingle_sets(b.column(1), words):
+            n, sums, halves = [np.zeros(0, np.int64)], [np.zeros((2, 0), np.uint64)], [np.zeros((0, 2 * HALVES), np.uint64)]
+            for first, s, more in shingle_sets(b.column(2), words):
                 size = np.diff(first)
                 some = np.flatnonzero(size)
                 keys = np.zeros((len(size), 2 * HALVES), np.uint64)
-                sums = _node_hashes(first, s)
                 if len(some):
                     at = first[:-1][some]
                     with np.errstate(over="ignore"):
@@ -88,27 +143,13 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                                 key = mix(key * _STEP + np.minimum.reduceat(x ^ (x >> np.uint64(32)), at))
                             keys[some, k] = (key & ~np.uint64(1)) | np.uint64(k >= HALVES)
                 n.append(size)
-                node.append(sums)
+                sums.append(_set_hashes(first, s, more))
                 halves.append(keys)
-            m = len(b)
-            flat = pa.array(np.concatenate(halves).ravel().view(np.int64) if m else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n) if m else np.zeros(0, np.int64), pa.int64()), pa.array(np.concatenate(node).view(np.int64) if m else np.zeros(0, np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * 2 * HALVES), flat)], names=["doc_id", "n", "node", "halves"])
+            h = np.concatenate(sums, axis=1).view(np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * 2 * HALVES), pa.array(np.concatenate(halves).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n).astype(np.int64)), pa.array(h[0]), pa.array(h[1]), flat], names=["doc_id", "x", "n", "h1", "h2", "halves"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, halves array<long>")
-
-
-def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): each node's sorted set of shingles, 8 bytes each; texts that share a doc_id are told apart by their sets."""
-
-    def run(batches):
-        for b in batches:
-            node, out = [], []
-            for first, s in shingle_sets(b.column(0), words):
-                node.append(_node_hashes(first, s).view(np.int64))
-                out += [s[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node) if node else np.zeros(0, np.int64)), pa.array(out, pa.binary())], names=["node", "shingles"])
-
-    return texts.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return docs.mapInArrow(run, "doc_id long, x long, n long, h1 long, h2 long, halves array<long>")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -120,24 +161,23 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x)) if len(y) else 0
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, leader, both, either): sizes of intersection and union for the pairs (node, leader)."""
+def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, leader, both, either): sizes of intersection and union for the pairs (node, leader), worked out on whole texts."""
 
     def run(batches):
         for b in batches:
-            last, y = None, None
-            rows = []
-            for node, leader, p, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if leader != last:
-                    last, y = leader, np.frombuffer(q, np.uint64)
-                x = np.frombuffer(p, np.uint64)
-                both = _common(x, y)
-                rows.append((node, leader, both, len(x) + len(y) - both))
-            c = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in c], names=["node", "leader", "both", "either"])
-
-    left = pairs.join(sets.withColumnRenamed("shingles", "p"), "node")
-    right = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("q"))
+            sizes = np.cumsum(np.asarray(pa.compute.binary_length(b.column(2))).astype(np.int64)) // SLICE
+            edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(b)]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                part = b.slice(a, z - a)
+                leaders = part.column(3).dictionary_encode()  # the same for many rows
+                first, s = exact_sets(pa.concat_arrays([part.column(2), leaders.dictionary]), words)
+                both = np.array([_common(s[first[k] : first[k + 1]], s[first[q] : first[q + 1]]) for k, q in enumerate((np.asarray(leaders.indices) + len(part)).tolist())], np.int64)
+                n = np.diff(first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both), pa.array(n[: len(part)] + n[len(part) :][np.asarray(leaders.indices)] - both)], names=["node", "leader", "both", "either"])
+
+    left = pairs.join(texts.withColumnRenamed("text", "p"), "node")
+    right = texts.select(F.col("node").alias("leader"), F.col("text").alias("q"))
     return left.join(right, "leader").select("node", "leader", "p", "q").mapInArrow(run, "node long, leader long, both long, either long")
 
 
@@ -145,13 +185,14 @@ def _linked(percent: int):
     return F.col("both") * 100 >= F.col("either") * percent
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, among: list[str] | None = None) -> DataFrame:
     """(node, root) for the nodes of edges (u, v): root is the least node that can be reached, for all others than the roots.
 
     Large-star and small-star steps by turns until nothing changes; each is an aggregation and a join,
-    and every result is a written table.
+    and every result is a written table, which the next step's replaces. The last is added to among.
     """
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    spark, was_at, now_at = edges.sparkSession, [], []
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges", now_at)
     state = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     was = state(now)
     while was["n"]:
@@ -160,137 +201,164 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "edges")
+        was_at, now_at = now_at, []
+        now = written(small, "edges", now_at)
+        removed(spark, was_at)
         if (is_now := state(now)) == was:
             break
         was = is_now
+    if among is not None:
+        among += now_at
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _block_links(rows, percent: int):
-    """Links (spanning ones) between the documents of two blocks, or within one: columns task, block, node, shingles."""
-    block, node = rows.column("block").to_numpy(), rows.column("node").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-    order = np.argsort(block, kind="stable")
-    left = [int(k) for k in order if block[k] == block[order[0]]]
-    right = [int(k) for k in order if block[k] != block[order[0]]] or left
-    size = np.array([len(sets[k]) for k in left], np.int64)
-    flat = np.concatenate([sets[k] for k in left])
-    owner = np.repeat(np.arange(len(left)), size)
+def _block_links(rows, words: int, percent: int):
+    """Pairs of components that links join: between the texts of two blocks, those with side 1 and those with side 0. Columns side, comp, text."""
+    side, comp = (rows.column(c).to_numpy() for c in ("side", "comp"))
+    first, s = exact_sets(rows.column("text").combine_chunks(), words)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1).tolist()
+    size = np.diff(first)
+    flat = s[gathered(first[:-1][left], size[left])]
+    owner = np.repeat(np.arange(len(left)), size[left])
     by = np.argsort(flat, kind="stable")
     flat, owner = flat[by], owner[by]
-    up = list(range(len(sets)))
+    up: dict[int, int] = {}
 
     def root(k: int) -> int:
-        while up[k] != k:
+        while up.setdefault(k, k) != k:
             up[k] = up[up[k]]
             k = up[k]
         return k
 
     out = []
-    for j, k in enumerate(right):
-        a, z = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
-        n = z - a
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(left))
-        either = size + len(sets[k]) - both
-        links = np.flatnonzero(both * 100 >= either * percent)
-        for i in links.tolist():
-            if right is left and i >= j:
-                break
-            p, q = root(left[i]), root(k)
+    for k in right:
+        own = s[first[k] : first[k + 1]]
+        a, z = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        both = np.bincount(owner[gathered(a, z - a)], minlength=len(left))
+        either = size[left] + len(own) - both
+        for i in np.flatnonzero((both * 100 >= either * percent) & (both > 0)).tolist():
+            p, q = root(int(comp[left[i]])), root(int(comp[k]))
             if p != q:
                 up[p] = q
-                out.append((int(node[left[i]]), int(node[k])))
+                out.append((p, q))
     return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs.
-
-    Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of shingles; component_id is
-    the least doc_id that links lead to and kept tells that it is the row's own.
-
-    1. Documents with the same set are one node (64-bit hashes). Two collections of half-keys are made of minima
-       over the set; a half-key that no other node has is dropped, and every remaining one of the first with every
-       one of the second makes the key of a table.
-    2. In each bucket the node that shares most half-keys leads, and every other is compared with it on full sets. No pair
-       of two others is made. Jaccard distance is a metric, so with 1 - percent/100 = d a node farther than 3d from
-       the leader has no link to one within 2d: nodes farther than 2d go on to a round with another leader.
-    3. Nodes within 3d of a leader form groups, by connected components. A group in which not all
-       comparisons are links is compared whole, in blocks of bounded size, each block with each; so are
-       the nodes of a bucket that are left after ROUNDS rounds.
-    4. Components of all links.
-
-    Texts are shuffled once, to the nodes that share a bucket. Null and empty texts, and those without words, are
-    linked with nothing. Rows alike in doc_id, or in text, are linked if their sets are. An empty table gives an empty
-    result. Other columns aren't read.
-    """
+def judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates() with x, the hash of the row's text."""
     far = 1 - percent / 100
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = written(sketches(rows, words), "sketches")
-    some = made.where("n > 0")
+    spark, among = docs.sparkSession, []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("x", F.xxhash64("text"))
+    made = written(sketches(rows.select("doc_id", "x", "text"), words), "sketches")
     # 1. nodes and half-keys
-    nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    keys = some.select("node", "n", F.explode("halves").alias("key")).distinct()
+    alike = made.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first(F.struct("doc_id", "x")).alias("row"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    nodes = written(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keys = nodes.select("node", "n", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     mine = keys.join(shared, "key").groupBy("node", "n").agg(F.sum("times").alias("lead"), F.collect_list("key").alias("keys"))
     side = lambda s: F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == s)
     tables = F.flatten(F.transform(side(0), lambda a: F.transform(side(1), lambda b: F.xxhash64(a, b))))
-    members = written(mine.select("node", "n", "lead", tables.alias("tables")).where(F.size("tables") > 0), "members")
+    members = written(mine.select("node", "n", "lead", tables.alias("tables")).where(F.size("tables") > 0), "members", among)
     buckets = members.select("node", "n", "lead", F.explode("tables").alias("bucket"))
     # 2. rounds of leaders
-    sets, found = None, []
+    texts, found = None, []
     for _ in range(ROUNDS):
         leaders = buckets.groupBy("bucket").agg(F.max(F.struct("lead", "node", "n")).alias("l"), F.count(F.lit(1)).alias("times")).where("times > 1")
         led = buckets.join(leaders, "bucket").where("node <> l.node").select("bucket", "node", "n", "lead", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
-        led = written(led, "led")
-        pairs = written(led.select("node", "leader", "n", "leader_n").distinct(), "pairs")
+        led = written(led, "led", among)
+        pairs = written(led.select("node", "leader", "n", "leader_n").distinct(), "pairs", among)
         if not pairs.take(1):
             break
-        if sets is None:
-            wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes, "node")
-            ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()  # null for a node that has no other
-            sets = written(_sets(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text"), words), "sets")
+        if texts is None:
+            wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes, "node").select("node", F.col("row.doc_id").alias("its_id"), F.col("row.x").alias("its_x"))
+            its = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("x") == F.col("its_x")))
+            texts = written(its.groupBy("node").agg(F.first("text").alias("text")), "texts", among)  # rows alike once
         # sets whose sizes alone keep them apart need no comparing
         apart = F.least("n", "leader_n") < F.greatest("n", "leader_n") * F.lit(1 - 3 * far)
-        compared = written(_compared(pairs.where(~apart).select("node", "leader"), sets), "compared")
+        compared = written(_compared(pairs.where(~apart).select("node", "leader"), texts, words), "compared", among)
         found.append(compared)
         near = compared.where(F.col("both") > F.col("either") * F.lit(1 - 2 * far)).select("node", "leader")
         buckets = led.join(near, ["node", "leader"], "left_anti").select("node", "n", "lead", "bucket")
-    roots = components(_links(found, buckets, sets, percent, far)) if found else None  # else no two nodes share a bucket
-    joined = made.select("doc_id", "n", "node")
-    joined = joined.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if found else joined.withColumn("root", F.col("node"))
-    least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = joined.join(least, "root", "left")
+    nodes_of = nodes.select("h1", "h2", "node", "least")
+    if found:
+        comps, roots = _roots(found, buckets, nodes, texts, words, percent, far, among)
+        nodes_of = nodes_of.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(roots, "comp", "left").withColumn("root", F.coalesce("root", "comp"))
+        nodes_of = written(nodes_of.select("h1", "h2", "least", "root"), "roots")
+        least = nodes_of.groupBy("root").agg(F.min("least").alias("of_root"))
+        nodes_of = nodes_of.join(least, "root").select("h1", "h2", F.col("of_root").alias("least"))
+    removed(spark, among)
+    out = made.select("doc_id", "x", "n", "h1", "h2").join(nodes_of.select("h1", "h2", "least"), ["h1", "h2"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "x")
+
 
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+
+    Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of shingles; component_id is
+    the least doc_id that links lead to and kept tells that it is the row's own.
 
-def _links(found: list[DataFrame], buckets: DataFrame, sets: DataFrame, percent: int, far: float) -> DataFrame:
-    """All links (u, v) that join components: those with leaders, and those within the groups that leaders leave open."""
+    1. Documents with the same set, by 128 bits of hash, are one node. Two collections of half-keys are made of minima
+       over the set; a half-key that no other node has is dropped, and every remaining one of the first with every
+       one of the second makes the key of a table.
+    2. In each bucket the node that shares most half-keys leads, and every other is compared with it on whole texts, shingle
+       by shingle. No pair of two others is made. Jaccard distance is a metric, so with 1 - percent/100 = d a node farther
+       than 3d from the leader has no link to one within 2d: nodes farther than 2d go on to a round with another leader.
+    3. Nodes within 3d of a leader form groups, by connected components, and so do the nodes of a bucket that are left
+       after ROUNDS rounds. In a group that its links leave in several components, all nodes but those of the
+       largest component are compared with every node, in pairs of blocks of bounded size. Work on a group grows with its
+       size times that of this rest, which is what copies near the threshold leave.
+    4. Components of all links.
+
+    Texts are shuffled to the nodes that share a bucket only. Null and empty texts, and those without words, are
+    linked with nothing. Rows alike in doc_id, or in text, are linked if their sets are. A null doc_id is no
+    component_id if another can be reached; where none can, component_id is null and the row is kept. An empty table
+    gives an empty result. Other columns aren't read.
+    """
+    return judged(docs, words, percent, id_col, text_col).drop("x")
+
+
+def _roots(found: list[DataFrame], buckets: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int, far: float, among: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(node, comp) and (comp, root): components by the links with leaders, and what links within the groups that these leave open join them to.
+
+    Only the links with leaders go through components() node by node; all else is between components.
+    """
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
     close = every.where(F.col("both") >= F.col("either") * F.lit(1 - 3 * far)).withColumn("linked", _linked(percent))
-    groups = written(components(close.select(F.col("node").alias("u"), F.col("leader").alias("v"))), "groups")
-    unsure = close.where(~F.col("linked")).select("node").distinct()
-    root_of = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    open_roots = unsure.join(root_of, "node").select("root").distinct()
-    late = buckets.select(F.col("bucket").alias("root"), "node")
-    crowded = late.groupBy("root").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("root")
-    rest = root_of.join(open_roots, "root").select("root", "node").unionByName(late.join(crowded, "root"))
-    inside = written(rest.join(sets, "node"), "inside")
-    blocks = inside.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = inside.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
-    more = dealt.select(task.alias("task"), "block", "node", "shingles").groupBy("task").applyInArrow(lambda t: _block_links(t, percent), "u long, v long")
-    return close.where("linked").select(F.col("node").alias("u"), F.col("leader").alias("v")).unionByName(more)
+    comps = components(close.where("linked").select(F.col("node").alias("u"), F.col("leader").alias("v")), among).withColumnRenamed("root", "comp")
+    of = lambda df, c, out: df.join(comps.select(F.col("node").alias(c), F.col("comp").alias("_comp")), c, "left").withColumn(out, F.coalesce("_comp", c)).drop("_comp")
+    # groups of components that are near each other, and buckets whose nodes are left
+    open_pairs = of(of(close.where(~F.col("linked")).select("node", "leader"), "node", "u"), "leader", "v").where("u <> v").select("u", "v").distinct()
+    groups = components(open_pairs, among)
+    grouped = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("comp"), "root")
+    salt = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(SALTS)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    met = close.select("node").union(close.select("leader")).distinct()
+    # a component, or group, of any size is spread over SALTS keys where it meets the few rows that say where it belongs
+    inside = of(met, "node", "comp").withColumn("salt", salt).join(grouped.withColumn("salt", each), ["comp", "salt"]).select("root", "node", "comp")
+    rest = inside.unionByName(of(buckets.select(F.col("bucket").alias("root"), "node"), "node", "comp").select("root", "node", "comp"))
+    rest = written(rest.join(nodes.select("node", "n"), "node"), "rest", among)
+    if not rest.take(1):  # no group is open
+        return comps, comps.limit(0).select("comp", F.col("comp").alias("root"))
+    # in groups of several components: sizes of all, and of all but the largest
+    by_comp = rest.groupBy("root", "comp").agg(F.sum("n").alias("size"))
+    of_all = by_comp.groupBy("root").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    blocks = lambda size: F.ceil(size / BLOCK_SHINGLES).cast("int")
+    of_all = of_all.select("root", F.col("main.comp").alias("main"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("main.size")).alias("rests"))
+    dealt = rest.withColumn("salt", salt).join(of_all.withColumn("salt", each), ["root", "salt"])
+    part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    zero = dealt.withColumn("i", part(3, "blocks")).withColumn("j", upto("rests")).withColumn("side", F.lit(0))
+    one = dealt.where("comp <> main").withColumn("j", part(4, "rests")).withColumn("i", upto("blocks")).withColumn("side", F.lit(1))
+    both = zero.unionByName(one).select(F.xxhash64("root", "i", "j").alias("task"), "side", "node", "comp")
+    more = both.join(texts, "node").groupBy("task").applyInArrow(lambda t: _block_links(t, words, percent), "u long, v long")
+    return comps, components(more).withColumnRenamed("node", "comp")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one document of each component: that of the least doc_id; rows alike in doc_id stay or go together."""
-    (name,) = fresh(docs, "_gone")
-    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    """docs, all columns, with one document of each component: that of the least doc_id. Rows alike in doc_id and text stay or go together; see near_duplicates."""
+    id_, x_ = fresh(docs, "_gone", "_x")
+    gone = judged(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_), F.col("x").alias(x_)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(x_)), "left_anti")

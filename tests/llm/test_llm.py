@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from loomtext.llm import bpe, contamination, fingerprints, langid, lines, neardup, secrets, sharding, tokens
 from loomtext.llm.automaton import _Parser, compile_rules, reverse
-from loomtext.llm.common import hash_rank, ordered_position, shared_root
+from loomtext.llm.common import Known, hash_rank, kept_in_worker, ordered_position, removed, shared_root, written
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, r long, x long, n int, node long, _x long, _gone int"
@@ -154,6 +155,46 @@ def test_near_duplicates_of_little(spark, none):
     assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(twice, 2).collect()} == {(1, 1), (5, 1), (6, 1), (7, 7)}
 
 
+@pytest.mark.parametrize("words", [1, 2, 3, 5, 6])
+def test_exact_sets(words):
+    """Numbers are equal for equal shingles only, within and across texts."""
+    first, s = neardup.exact_sets(pa.array([t or "" for t in TEXTS]), words)
+    sets = [shingle_set(t, words) for t in TEXTS]
+    assert [len(x) for x in sets] == np.diff(first).tolist()
+    own = [set(s[a:z].tolist()) for a, z in zip(first[:-1], first[1:], strict=True)]
+    for a in range(len(TEXTS)):
+        for b in range(a):
+            assert len(own[a] & own[b]) == len(sets[a] & sets[b])
+
+
+def test_long_words_are_told_apart(spark):
+    """Words whose polynomials are alike modulo 2**64, whatever the base, are different words."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    texts = [one, one.translate(str.maketrans("ab", "ba")), one, f"x {one} y z", f"x {one[::-1].translate(str.maketrans('ab', 'ba'))[:-1]}b y z"]
+    want, sizes = brute_components(texts, 2)
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2))
+    assert [got[k]["component_id"] for k in range(5)] == want and want[1] == 1 and want[2] == 0
+
+
+@pytest.mark.parametrize("block", [500, 10**6])
+def test_an_open_group_with_a_large_core(spark, monkeypatch, block):
+    """Copies that the leader links, and others that only reach them through each other."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block)
+    rnd = random.Random(11)
+    base = [f"w{k}" for k in range(80)]
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 5, 6, 7, 8])):
+            copy[rnd.randrange(80)] = f"x{rnd.randrange(60)}"
+        texts.append(" ".join(copy))
+    want, _ = brute_components(texts, 2)
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2))
+    assert len(set(want)) > 3 and [got[k]["component_id"] for k in range(len(texts))] == want
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
@@ -186,9 +227,17 @@ HARD = ["", " ", "a", "  a  b \n\n c\t", "don't we'll 'tis x's", "a<|endoftext|>
 
 def test_tokens_are_the_library_s(library):
     count, encode = bpe.Counter(), bpe.Encoder()
-    for t in HARD + [x for x in TEXTS if x]:
-        ids = library.encode(t, add_special_tokens=False).ids
-        assert count.count(t) == len(ids) and np.frombuffer(encode.encode(t), encode.dtype).tolist() == ids
+    rnd = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", "a", "foo", "Bar", "'s", "'", "'ll", "1", "23", "!", "...", "é", "…", "日本", " ", "\x85", "\u3000", "\x1c", "²", "<|endoftext|>", "<|end", "\r\n", "_", "-", "x.y", "I'M"]
+    texts = HARD + TEXTS + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    want = [x.ids for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert count.count_all(pa.array(texts)).tolist() == [count.count(t) for t in texts] == [len(x) for x in want]
+    at = 0
+    for flat, ends in encode.encode_all(pa.array(texts), 2):
+        for a, z in zip([0, *ends[:-1]], ends, strict=True):
+            assert flat[a:z].tolist() == [*want[at], 2], texts[at]
+            at += 1
+    assert at == len(texts)
 
 
 def test_pretokens_of_every_character(library):
@@ -203,9 +252,28 @@ def test_pretokens_of_every_character(library):
         assert len(cut(text)) == len(pre.pre_tokenize_str(text))
 
 
-def test_remembered_is_bounded():
-    store = bpe.Remembered(len, 10)
-    assert [store["x" * k] for k in range(100)] == list(range(100)) and len(store) <= 10 and len(store.older) <= 10
+@pytest.mark.parametrize("most", [0, 300, 2000, 1 << 20])
+def test_known_is_bounded(most):
+    """A store gives what make() gives, whatever it has room for."""
+    made, rnd = [], random.Random(2)
+
+    def make(new):
+        made.append(len(new))
+        return np.array([x for u in new.to_pylist() for x in u], np.uint16), np.array([len(u) for u in new.to_pylist()], np.int64)
+
+    store = Known(make, np.uint16, most)
+    for _ in range(40):
+        some = list({bytes(rnd.choice(b"abc") for _ in range(rnd.randint(0, 4))) for _ in range(30)})
+        flat, first, size = store.runs(pa.array(some, pa.binary()))
+        assert [flat[a : a + n].tobytes() for a, n in zip(first, size, strict=True)] == [np.array(list(x), np.uint16).tobytes() for x in some]
+        assert store.keys.nbytes + store.flat.nbytes <= most
+    assert (sum(made) <= 121) == (most == 1 << 20)
+
+
+def test_a_worker_keeps_one_tool():
+    assert [kept_in_worker(k, lambda k=k: [k]) for k in ("a", "a", "b")] == [["a"], ["a"], ["b"]]
+    was = kept_in_worker("b", list)
+    assert was == ["b"] and kept_in_worker("a", lambda: "new") == "new"
 
 
 def test_token_counts(docs, none, library):
@@ -228,6 +296,10 @@ def test_token_files(spark, docs, none, library):
         assert (got[k]["start"], got[k]["n_tokens"], got[k]["ids_crc32"]) == (start, len(ids), crc(ids))
         start += len(ids)
     assert tokens.read_token_files(spark, tokens.write_token_files(none)).collect() == []
+    odd = spark.createDataFrame([(None, "b"), (-1, "a"), (None, None), (0, "c")], "doc_id long, text string")
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in tokens.read_token_files(spark, tokens.write_token_files(odd)).collect())
+    assert sorted(x[2] for x in got[:2]) == [1, 2]
+    assert [x[1] for x in got] == [None, None, -1, 0]
     twice = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "doc_id long, text string")
     assert sorted(r["start"] for r in tokens.read_token_files(spark, tokens.write_token_files(twice)).collect()) == [0, 2, 4]
 
@@ -309,12 +381,59 @@ def test_language_of_many_languages(spark):
     assert all(got[k]["lang_pred"] == lang for k, _, lang in rows)
 
 
-def test_language_counts_n_grams_of_all_words(spark, monkeypatch):
-    """N-grams of words that are too rare to be learned themselves count too."""
-    df = spark.createDataFrame([(k, "often often rarely", "en") for k in range(20)], "doc_id long, text string, lang string")
-    monkeypatch.setattr(langid, "WORDS_A_LANGUAGE", 1)
+def brute_language(model_rows, text):
+    """Scores by the definition, from (lang, word, count): a word's log frequency, else the mean of twice the longest known n-grams'."""
+    import regex
+
+    langs = sorted({r[0] for r in model_rows})
+    tables = [{} for _ in range(langid.LONGEST_GRAM + 1)]
+    for lang, word, n in model_rows:
+        tables[0].setdefault(word, Counter())[lang] += n
+        for size in range(1, langid.LONGEST_GRAM + 1):
+            m = f" {word} "
+            for k in range(len(m) - size + 1):
+                tables[size].setdefault(m[k : k + size], Counter())[lang] += n
+    total = [{x: sum(c[x] for c in t.values()) + langid.SMOOTHING * len(t) for x in langs} for t in tables]
+    log = lambda t, key, x: np.log((tables[t][key][x] + langid.SMOOTHING) / total[t][x])
+    words = regex.findall(r"\p{L}+", (text or "").lower())
+    if not words:
+        return "und", 0.0
+    score = dict.fromkeys(langs, 0.0)
+    for w in words:
+        m = f" {w} "
+        for x in langs:
+            if w in tables[0]:
+                score[x] += log(0, w, x)
+                continue
+            for k in range(len(m) - 1):
+                size = next((s for s in range(langid.LONGEST_GRAM, 0, -1) if k + s <= len(m) and m[k : k + s] in tables[s]), 0)
+                score[x] += log(size, m[k : k + size], x) * 2 / len(m) if size else 0
+    best = max(langs, key=lambda x: score[x])
+    return best, 1 / sum(np.exp(v - score[best]) for v in score.values())
+
+
+def test_language_by_brute_force(spark):
+    rnd = random.Random(3)
+    say = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 5)))
+    rows = [(lang, say(letters), rnd.randint(1, 30)) for lang, letters in (("aa", "abcé"), ("bb", "bcdß"), ("cc", "abd日本")) for _ in range(40)]
+    texts = [" ".join(say("abcdeéß日本xÉ") + rnd.choice(["", ".", "1", "’s", "\n"]) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    texts += [None, "", "²", "½ ①", "Ⅷ", "12 !!", "_", "١٢"]
+    got = by_id(langid.predictions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), langid.Model(rows)))
+    for k, t in enumerate(texts):
+        lang, score = brute_language(rows, t)
+        assert got[k]["lang_pred"] == lang and abs(got[k]["score"] - score) < 1e-5, (t, got[k])
+
+
+def test_language_learns_all_of_the_sample(spark):
+    """Rare words and their n-grams count; fit() gives what the counts by hand give, and each sampled text counts once."""
+    texts = ["Often often rarely²x", "often, l'été!", None, ""]
+    df = spark.createDataFrame([(k, texts[k % 4], "en") for k in range(40)], "doc_id long, text string, lang string")
     model = langid.fit(df)
-    assert list(model.words) == ["often"] and {"rare", "ely ", "y"} <= set(model.by_gram)
+    n = Counter(w for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2 for w in [["often", "often", "rarely", "x"], ["often", "l", "été"], [], []][k % 4])
+    want = langid.Model([("en", w, c) for w, c in n.items()])
+    assert set(model.words.to_pylist()) == set(n) and all((model.grams[s] == want.grams[s]).all() for s in want.grams)
+    both = pa.array([*n, "often unseen words", "oft"])
+    assert np.allclose(model.word_scores(both), want.word_scores(both))
 
 
 # ---- 5 -----------------------------------------------------------------------------------------
@@ -346,8 +465,7 @@ def test_line_dedup(spark):
         old = dict(rows)[r["doc_id"]]
         assert r["text"] == (want.get((r["doc_id"], old or ""), old))
     texts = [r["text"] for r in got if r["text"]]
-    inner = [chunk for _, _, chunk in lines.removable(shared)[1:-1]]
-    assert inner and all(sum(t.count(c) for t in set(texts)) == 1 for c in [passage, *inner])
+    assert all(sum(t.count(c) for t in set(texts)) == 1 for c in [passage, *shared.split("\n")])
     assert lines.without_repeated_lines(df.limit(0)).collect() == []
 
 
@@ -391,6 +509,30 @@ def test_line_dedup_of_exact_copies(spark):
     assert all(not got[k]["text"].strip() for k in range(120, 240))
 
 
+def test_line_dedup_of_null_ids_and_hot_parts(spark, monkeypatch):
+    """Documents without doc_id are told apart by their texts; a part that all documents have is spread over tasks."""
+    monkeypatch.setattr(lines, "HOT", 3)
+    rnd = random.Random(5)
+    line = lambda n: " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+    shared, other = line(60), line(70)
+    around = [line(4) for _ in range(40)]
+    rows = [(None if k % 4 == 0 else k, "\n".join([around[k], shared, *([other] if k > 37 else [])])) for k in range(40)] + [(None, None), (None, "")]
+    got = [r["text"] for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 42 and sum((t or "").count(shared) for t in got) == 1 and sum((t or "").count(other) for t in got) == 1
+    assert sorted(t.split("\n")[0] for t in got if t) == sorted(around)
+
+
+def test_line_dedup_without_passages(spark):
+    """With passage 0 only chunks and whole texts of two lines or more go."""
+    rnd = random.Random(5)
+    line = lambda n: " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+    one, many = line(60), "\n".join(line(8) for _ in range(60))
+    rows = [(k, "\n".join([line(5), one if k % 2 else many, line(6)])) for k in range(6)]
+    got = by_id(lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage=0))
+    assert [got[k]["text"].count(one) for k in (1, 3, 5)] == [1, 1, 1]
+    assert got[0]["lines_removed"] == 0 and 40 <= got[2]["lines_removed"] <= 60
+
+
 def test_line_dedup_of_overlaps(spark):
     """Of a line that repeats itself the first run of 50 words stays; in a later document all of it goes."""
     rows = [(k, "\n".join([f"first {k}", *["ten words in a line that is once more said"] * 9, f"last {k}"])) for k in (1, 2)]
@@ -441,6 +583,24 @@ def test_contamination(spark, docs, none, most):
     assert all(r["n_hit"] == 0 for r in contamination.contamination(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("most", [1 << 20, 300])
+def test_contamination_keeps_every_row(spark, most):
+    """Rows alike, and rows without doc_id, each get a row, with one block and with many; an item longer than a block is cut."""
+    rnd = random.Random(9)
+    say = lambda n: " ".join(f"w{rnd.randrange(500)}" for _ in range(n))
+    items = [(k, say(rnd.choice([3, 13, 40]))) for k in range(12)] + [(20, say(400)), (21, "x" * 1000), (22, " ".join(["y" * 400] * 14))]
+    long = items[12][1].split()
+    texts = [" ".join(long[a : a + 30]) + " " + say(20) for a in range(0, 380, 7)] + [say(5) + " " + t + " " + say(9) for _, t in items] + [None, "", "x" * 1000]
+    rows = [(k if k % 3 else None, t) for k, t in enumerate(texts)] + [(1, texts[1])] * 3 + [(None, texts[3])] * 2
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = contamination.contamination(df, bench, most_bytes=most).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted([tuple(r) for r in got], key=key) == sorted([(k, *brute_hits(t, items)) for k, t in rows], key=key)
+    left = contamination.without_contaminated(df, bench, most_bytes=most).collect()
+    assert Counter(map(tuple, left)) == Counter(r for r in rows if not brute_hits(r[1], items)[4])
+
+
 # ---- 7 -----------------------------------------------------------------------------------------
 
 KINDS = (
@@ -544,6 +704,15 @@ def test_neardup_of_null_ids(spark):
     assert got == {1: 1, 2: 1, 3: 3, None: 1}
 
 
+def test_neardup_keeps_one_of_null_ids(spark):
+    """Of a group whose row with a null doc_id isn't kept, that row goes and others with null doc_ids stay."""
+    say = lambda k: " ".join(f"w{k * 50 + i}" for i in range(50))
+    rows = [(1, say(1)), (None, say(1) + " x"), (None, say(2)), (None, None), (None, say(3)), (None, say(3) + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.without_near_duplicates(df, 5).collect())
+    assert got == sorted((k or 0, t or "") for i, (k, t) in enumerate(rows) if i != 1)
+
+
 # ---- pipeline ----------------------------------------------------------------------------------
 
 
@@ -578,4 +747,31 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_shared_folder_is_the_session_s(spark):
-    assert "://" in shared_root(spark) or shared_root(spark).startswith(("file:", "/"))
+    class Session:
+        conf = {"spark.checkpoint.dir": "hdfs://some/shared/"}
+
+    assert shared_root(Session) == "hdfs://some/shared"
+
+
+def test_written_tables_can_be_removed(spark):
+    among = []
+    assert written(spark.range(3), "three", among).count() == 3
+    folder = os.path.dirname(among[0].removeprefix("file:").replace("//", "/"))
+    assert os.path.isdir(folder)
+    removed(spark, among)
+    assert among == [] and not os.path.exists(folder)
+
+
+def test_no_shared_folder_on_a_cluster():
+    """Without the setting a cluster is refused; only a local master gets a temporary folder."""
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf = {}
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_root(Session)
