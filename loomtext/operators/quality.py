@@ -20,11 +20,12 @@ def ngrams(tokens: Column, n: int = 5) -> Column:
 def duplicate_ngrams(paragraphs: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, windows, duplicates, ratio) from paragraphs (doc_id, text): runs never reach over a paragraph's end.
 
-    Counts per document and run are aggregated before the shuffle; a document's runs are spread over all tasks.
+    Counts per document and run, told by 128 bits of hash, are aggregated before the shuffle, which carries no texts; a
+    document's runs are spread over all tasks.
     """
     tokens = paragraphs.select("doc_id", T.quality_tokens("text").alias("t"))
-    runs = tokens.select("doc_id", F.explode(ngrams(F.col("t"), n)).alias("g"))
-    counts = runs.groupBy("doc_id", F.xxhash64("g").alias("h"), "g").agg(F.count(F.lit(1)).alias("n"))
+    runs = tokens.select("doc_id", F.inline(F.transform(ngrams(F.col("t"), n), lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(F.lit(7), g).alias("k")))))
+    counts = runs.groupBy("doc_id", "h", "k").agg(F.count(F.lit(1)).alias("n"))
     out = counts.groupBy("doc_id").agg(F.sum("n").alias("windows"), F.sum(F.col("n") - 1).alias("duplicates"))
     whole = paragraphs.select("doc_id").distinct().join(out, "doc_id", "left").fillna(0, ["windows", "duplicates"])
     return whole.withColumn("ratio", F.when(F.col("windows") > 0, F.round(F.col("duplicates") / F.col("windows"), 3)).otherwise(F.lit(0.0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions import text as T
 
 
@@ -28,28 +29,40 @@ def locate(points: DataFrame, items: DataFrame, next_strategy: str = "next_segme
 
     Items are taken in id order. The first item decides for which t lies in the tolerance before the next item's start
     (that next one matches), in the item, or before it; after the last item its end decides. A null t matches the
-    first item. Items of a document are one ordered array with their next start, so that the first rule that holds is
-    found without a join of all points with all items.
+    first item.
+
+    An item decides for t if t is below its end, or at most a little behind its start: with running maxima of these bounds the first
+    such item is the one that follows t in one sort of items and points, and the near next start is that item's own or its follower's.
     """
-    timed = items.where("start_time IS NOT NULL AND end_time IS NOT NULL")
-    listed = timed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "start_time", "end_time"))).alias("items")).join(boundary_tolerance(timed), "doc_id")
-    both = points.join(listed, "doc_id", "left")
-    t, tol, last = F.col("t"), F.col("tolerance"), F.try_element_at("items", F.lit(-1))
-
-    def rule(x: Column, k: Column) -> Column:
-        following = F.get(F.col("items"), k + 1)
-        gap = following["start_time"] - t
-        inside = ((x["start_time"] <= t) & (t < x["end_time"])) | (F.abs(t - x["start_time"]) <= F.greatest(tol / 4, F.greatest(F.abs(t), F.abs(x["start_time"])) * 1e-9))
-        say = lambda i, s, c: F.struct(i.alias("id"), F.lit(s).alias("strategy"), F.lit(c).alias("confidence"))
-        return F.when(gap.between(0, tol), say(following["id"], "near_next_start", "high")).when(inside, say(x["id"], "time_contains", "high")).when(t < x["start_time"], say(x["id"], next_strategy, "medium"))
-
-    first_rule = F.get(F.filter(F.transform("items", rule), lambda r: r.isNotNull()), F.lit(0))
-    late = t - last["end_time"]
-    after = F.when(late.between(0, tol), F.struct(last["id"].alias("id"), F.lit("near_last_end").alias("strategy"), F.lit("medium").alias("confidence"))).otherwise(F.struct(last["id"].alias("id"), F.lit(after_last).alias("strategy"), F.lit("low").alias("confidence")))
-    missing = F.struct(F.get("items", F.lit(0))["id"].alias("id"), F.lit("missing_time").alias("strategy"), F.lit("low").alias("confidence"))
-    none = F.struct(F.lit(None).cast("int").alias("id"), F.lit(after_last).alias("strategy"), F.lit("low").alias("confidence"))
-    found = F.when(F.col("items").isNull(), none).when(t.isNull(), missing).otherwise(F.coalesce(first_rule, after))
-    return both.withColumn("_m", found).select("doc_id", "key", "t", F.col("_m.id").alias("matched_id"), F.col("_m.strategy").alias("strategy"), F.col("_m.confidence").alias("confidence"), F.round("tolerance", 3).alias("tolerance"))
+    timed = items.where("start_time IS NOT NULL AND end_time IS NOT NULL").select("doc_id", "id", F.col("start_time").cast("double").alias("s"), F.col("end_time").cast("double").alias("e"))
+    tolerance = boundary_tolerance(timed.withColumnsRenamed({"s": "start_time", "e": "end_time"}))
+    w = Window.partitionBy("doc_id").orderBy("id")
+    # bounds as (value, rank): a point is (t, 1), below an open end (e, 0) only if t < e and below a closed one (s, 2) also if t = s
+    bound = lambda v, rank: F.struct(v.alias("v"), F.lit(rank).alias("rank"))
+    slack = F.greatest(F.col("tolerance") / 4, F.abs("s") * 1e-9)
+    item = F.struct((F.row_number().over(w) - 1).alias("k"), F.col("id"), F.col("s"), F.col("e"), F.lead("s").over(w).alias("after"), F.lead("id").over(w).alias("next"))
+    own = timed.join(tolerance, "doc_id").withColumn("_own", F.greatest(bound(F.greatest("e", "s"), 0), bound(F.col("s") + slack, 2)))
+    upto = F.max("_own").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = own.select("doc_id", item.alias("item"), upto.alias("at"))
+    both = ranked.select("doc_id", "at", "item", F.lit(None).alias("point")).unionByName(points.select("doc_id", bound(F.col("t").cast("double"), 1).alias("at"), F.lit(None).alias("item"), F.struct("key", "t").alias("point")))
+    down = Window.partitionBy("doc_id").orderBy(F.desc("at"), F.desc(F.coalesce("item.k", F.lit(-1)))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("x", F.last("item", True).over(down)).where("point IS NOT NULL").select("doc_id", "point.key", "point.t", "x")
+    ends = timed.groupBy("doc_id").agg(F.min("id").alias("_first"), F.max("id").alias("_last"), F.max_by("e", "id").alias("_end"))
+    met = met.join(ends, "doc_id", "left").join(tolerance, "doc_id", "left")
+    t, tol, x = F.col("t"), F.col("tolerance"), F.col("x")
+    say = lambda i, said, c: F.struct(i.alias("id"), F.lit(said).alias("strategy"), F.lit(c).alias("confidence"))
+    inside = ((x["s"] <= t) & (t < x["e"])) | (F.abs(t - x["s"]) <= F.greatest(tol / 4, F.greatest(F.abs(t), F.abs(x["s"])) * 1e-9))
+    late = say(F.col("_last"), after_last, "low")
+    found = (
+        F.when(F.col("_first").isNull(), say(F.lit(None).cast(items.schema["id"].dataType), after_last, "low"))
+        .when(t.isNull(), say(F.col("_first"), "missing_time", "low"))
+        .when(x.isNull(), F.when((t - F.col("_end")).between(0, tol), say(F.col("_last"), "near_last_end", "medium")).otherwise(late))
+        .when((x["k"] > 0) & (x["s"] - t).between(0, tol), say(x["id"], "near_next_start", "high"))
+        .when((x["after"] - t).between(0, tol), say(x["next"], "near_next_start", "high"))
+        .when(inside, say(x["id"], "time_contains", "high"))
+        .otherwise(say(x["id"], next_strategy, "medium"))
+    )
+    return met.withColumn("_m", found).select("doc_id", "key", "t", F.col("_m.id").alias("matched_id"), F.col("_m.strategy").alias("strategy"), F.col("_m.confidence").alias("confidence"), F.round("tolerance", 3).alias("tolerance"))
 
 
 def chapter_breaks(chapters: DataFrame, segments: DataFrame) -> DataFrame:
@@ -78,16 +91,17 @@ def remap_chapters(plan: DataFrame, old_to_new: DataFrame) -> DataFrame:
 
 def split_timed(segments: DataFrame, size: int, mode: str = "chars") -> DataFrame:
     """Segments longer than size cut into parts (part_index from 0); times are shared out by characters and rounded to 3 places."""
-    longer = T.estimate_tokens("text", mode) > size
-    parts = F.when(longer, T.hard_split("text", size) if mode == "chars" else T.split_by_tokens("text", size)).otherwise(F.array("text"))
-    rows = segments.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("part_index", "_part"))
+    sized = segments.withColumn("_size", T.estimate_tokens("text", mode))
+    longer = F.col("_size") > size
+    cut = T.hard_split("text", size) if mode == "chars" else F.get(folds.pieces_of(F.array(T.text_of("text")), F.array("_size"), size), F.lit(0))
+    rows = sized.withColumn("_parts", F.when(longer, cut).otherwise(F.array("text"))).select("*", F.posexplode("_parts").alias("part_index", "_part"))
     before = F.aggregate(F.slice("_parts", F.lit(1), F.col("part_index")), F.lit(0), lambda a, p: a + F.length(p))
     total = F.aggregate("_parts", F.lit(0), lambda a, p: a + F.length(p))
     span = F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time"))
     at = lambda n: F.when(longer & span.isNotNull(), F.round(F.col("start_time") + n / total * span, 3))
     rows = rows.withColumn("_s", F.coalesce(at(before), F.col("start_time"))).withColumn("_e", F.coalesce(at(before + F.length("_part")), F.col("end_time")))
     index = F.when(F.size("_parts") > 1, F.col("part_index"))
-    return rows.withColumn("part_index", index).withColumn("text", F.col("_part")).withColumn("start_time", F.col("_s")).withColumn("end_time", F.col("_e")).drop("_parts", "_part", "_s", "_e")
+    return rows.withColumn("part_index", index).withColumn("text", F.col("_part")).withColumn("start_time", F.col("_s")).withColumn("end_time", F.col("_e")).drop("_parts", "_part", "_s", "_e", "_size")
 
 
 def bilingual_pairs(blocks: DataFrame) -> DataFrame:
