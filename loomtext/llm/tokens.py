@@ -157,8 +157,8 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[in
     """Shortest-pack-first over a histogram of lengths: [(number of sequences, lengths in them)].
 
     Lengths are placed longest first, each into the pattern with the most room left that has enough for
-    it; a pattern of more sequences than are needed is split. Work and result depend on the number of
-    distinct lengths, not on the number of pieces.
+    it; a pattern of more sequences than are needed is split. The result is that of placing piece by piece; work depends on
+    the number of distinct lengths, not on the number of pieces.
     """
     room: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
     for length in sorted(counts, reverse=True):
@@ -174,8 +174,11 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[in
                 left -= used
             if not left:
                 break
-        if left:
-            room[size - length].append((left, [length]))
+        fit = size // length  # of what is left, each goes to the shortest pack, which is the one just opened while it has room
+        if left >= fit:
+            room[size - fit * length].append((left // fit, [length] * fit))
+        if left % fit:
+            room[size - left % fit * length].append((1, [length] * (left % fit)))
     return [x for r in sorted(room) for x in room[r]]
 
 

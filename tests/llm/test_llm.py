@@ -76,6 +76,22 @@ def test_shards(spark, docs, none):
     assert sharding.interleave(none, n).collect() == []
 
 
+def test_shards_by_the_method(spark, docs):
+    """Rank by hash within each source, a place by rank and phase, one order of places, cut into even runs."""
+    h = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long")).alias("h")).collect()}
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    phase = {r["s"]: (r["p"] % (1 << 20)) / (1 << 20) for r in spark.createDataFrame([(s,) for s in set(source.values())], "s string").select("s", F.xxhash64(F.lit(18), F.coalesce("s", F.lit(""))).alias("p")).collect()}
+    place = {}
+    for s in set(source.values()):
+        own = sorted((k for k in source if source[k] == s), key=lambda k: h[k])
+        place |= {k: ((r + phase[s]) / len(own), h[k]) for r, k in enumerate(own)}
+    order = sorted(place, key=place.get)
+    for n in (1, 7, 24):
+        cut = [i * len(order) // n for i in range(n + 1)]
+        want = {order[p]: (s, p - cut[s]) for s in range(n) for p in range(cut[s], cut[s + 1])}
+        assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.interleave(docs, n).collect()} == want
+
+
 def test_repeated_rows_get_slots_of_their_own(spark):
     df = spark.createDataFrame([(1, "a", "s")] * 50, "doc_id long, text string, source string")
     r = sharding.interleave(df, 4).collect()
@@ -329,6 +345,23 @@ def test_packing(docs, none, library):
     assert tokens.pack(none, size).collect() == []
 
 
+def test_packing_by_the_method(docs):
+    """Longest first into the pattern with the most room, with one sequence at a time instead of counts."""
+    size = 64
+    r = tokens.pack(docs, size).collect()
+    room = []
+    for n in sorted((p["length"] for p in r), reverse=True):
+        k = max((k for k, left in enumerate(room) if left >= n), key=lambda k: room[k], default=None)
+        if k is None:
+            room.append(size - n)
+        else:
+            room[k] -= n
+    sequences = Counter()
+    for p in r:
+        sequences[p["sequence_id"]] += p["length"]
+    assert sorted(sequences.values()) == sorted(size - left for left in room)
+
+
 def test_pack_histogram_places_all():
     rnd = random.Random(2)
     counts = {k: rnd.randint(1, 500) for k in rnd.sample(range(1, 513), 200)}
@@ -339,6 +372,7 @@ def test_pack_histogram_places_all():
         for x in lengths:
             placed[x] += n
     assert placed == counts and tokens.pack_histogram({}, 512) == []
+    assert sum(n for n, _ in tokens.pack_histogram({10: 100_000, 3: 5}, 512)) == 1961
     for first, _, _ in tokens.seats(patterns).values():
         assert first[0] == 0 and (np.diff(first) > 0).all()
 
@@ -628,6 +662,27 @@ def test_secrets(spark, none):
     assert secrets.secret_spans(none).collect() == []
 
 
+ADDED = (
+    ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 1),
+    ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]+"), 40),
+    ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]+"), 20),
+    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 40),
+)
+
+
+def test_added_kinds_of_secrets(spark):
+    rnd = random.Random(12)
+    parts = ["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----", "gh", "p_", "ghs_", "A1b2" * 9, "xox", "b-", "xoxp-", "12-34-" * 4, "eyJ", ".", "eyJhbGciOi.eyJzdWIiOi.s1g_" + "x" * 30, "é", " ", "ab", "日"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(500)]
+    found = Counter()
+    for k, r in by_id(secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).items():
+        want = {f"{n}:{m.start()}:{m.end()}" for n, p, least in ADDED for m in p.finditer(texts[k]) if len(m[0].encode()) >= least}
+        got = {x for x in r["spans"].split(",") if x and x.split(":")[0] in [a[0] for a in ADDED]}
+        assert got == want, texts[k]
+        found.update(x.split(":")[0] for x in got)
+    assert set(found) == {a[0] for a in ADDED}
+
+
 @pytest.mark.parametrize("pattern", ["a(b|c)*d", "ab{2,3}c?", "[a-c]+d", r"x\x20*y", "(ab|a)(c|bcd)", "a{3,}"])
 def test_automaton(pattern):
     rnd, tree = random.Random(pattern), _Parser(pattern).parse()
