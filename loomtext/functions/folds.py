@@ -102,22 +102,46 @@ def borders(text: str) -> list[int]:
     return out
 
 
+#: First characters of a beginning that are looked for at once, and places beyond which the prefix function takes over.
+_HEAD, _PLACES = 8, 64
+
+
+def shared(a: str | None, b: str | None) -> list[int]:
+    """The lengths of the beginnings of b that a ends with, longest first. Work grows with their lengths, not with the product."""
+    if not a or not b:
+        return []
+    most = min(len(a), len(b))
+    tail, head = a[len(a) - most :], b[:most]
+    out, at = [], tail.find(head[:_HEAD]) if most >= _HEAD else -1
+    places = 0
+    while at >= 0:
+        if tail.endswith(head[: most - at]):
+            out.append(most - at)
+        places += 1
+        if places > _PLACES:
+            # \x00 is in neither: no text of the engine has it, and one that had would only shorten an overlap
+            return [n for n in borders(f"{head}\x00{tail}") if n <= most]
+        at = tail.find(head[:_HEAD], at + 1)
+    return out + [n for n in range(min(_HEAD - 1, most), 0, -1) if tail.endswith(head[:n])]
+
+
 def shared_lengths(previous: Column, current: Column) -> Column:
-    """array<int>: the lengths of the beginnings of current that previous ends with, longest first. Work grows with their lengths, not with the product."""
+    """array<int>: shared() of two texts."""
 
     @F.pandas_udf("array<int>")
     def lengths(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for before, after in batches:
             yield pd.Series([shared(a, b) for a, b in zip(before, after, strict=True)])
 
-    def shared(a: str | None, b: str | None) -> list[int]:
-        if not a or not b:
-            return []
-        most = min(len(a), len(b))
-        tail, head = a[len(a) - most :], b[:most]
-        if head[0] not in tail:
-            return []
-        # \x00 is in neither: no text of the engine has it, and one that had would only shorten an overlap
-        return [n for n in borders(f"{head}\x00{tail}") if n <= most]
-
     return lengths(previous, current)
+
+
+def neighbour_lengths(texts: Column) -> Column:
+    """array<array<int>>: shared() of each text of an array and the one behind it."""
+
+    @F.pandas_udf("array<array<int>>")
+    def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([None if t is None else [shared(a, b) for a, b in zip(t[:-1], t[1:], strict=True)] for t in rows])
+
+    return lengths(texts)

@@ -316,6 +316,7 @@ def encode_url(x: Column | str) -> Column:
 
 
 # ---- quality -----------------------------------------------------------------------------------
+# Fixed values, from here to the lenient types: the patterns, word lists and limits of the checks.
 
 
 def quality_tokens(x: Column | str) -> Column:

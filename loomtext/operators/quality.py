@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chars as C
+from ..functions import folds
 from ..functions import text as T
 from . import anchors as A
 from . import glossary as G
@@ -91,10 +92,16 @@ def with_readability(df: DataFrame, body: str) -> DataFrame:
 
 
 def seam_count(blocks: Column) -> Column:
-    """Adjacent blocks that are equal, or overlap strongly."""
+    """Adjacent blocks that are equal, or overlap strongly. Overlaps are found in one pass; what they mean is tested where there are any."""
     flat = F.filter(F.transform(blocks, T.collapse), lambda b: b != "")
-    pairs = T.let(flat, lambda f: F.transform(F.slice(f, F.lit(1), F.greatest(F.size(f) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get(f, i + 1).alias("b"))))
-    return F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) | T.is_strong_quality_overlap(T.leading_overlap_in_fold(p["a"], p["b"]))))
+
+    def faulty(f: Column, lengths: Column, i: Column) -> Column:
+        b = F.get(f, i + 1)
+        longest = F.get(F.filter(lengths, lambda n: T.is_meaningful(F.left(b, n))), F.lit(0))
+        return (F.get(f, i) == b) | (longest.isNotNull() & T.is_strong_quality_overlap(F.left(b, longest)))
+
+    both = F.struct(flat.alias("f"), folds.neighbour_lengths(flat).alias("n"))
+    return T.let(both, lambda v: F.size(F.filter(F.transform(v["n"], lambda n, i: F.coalesce(faulty(v["f"], n, i), F.lit(False))), lambda x: x)))
 
 
 def bilingual_count(blocks: Column) -> Column:

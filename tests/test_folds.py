@@ -79,6 +79,44 @@ def test_borders(text, want):
     assert folds.borders(text) == want
 
 
+def test_shared_lengths():
+    rnd = random.Random(3)
+    for _ in range(2000):
+        a, b = ("".join(rnd.choice(rnd.choice(["ab", "a", "abc 甲"])) for _ in range(rnd.randint(0, 40))) for _ in range(2))
+        if rnd.random() < 0.5:
+            b = a[rnd.randint(0, len(a)) :] + b
+        assert folds.shared(a, b) == [n for n in range(min(len(a), len(b)), 0, -1) if a.endswith(b[:n])]
+    assert folds.shared("a" * 3000, "a" * 2000) == list(range(2000, 0, -1))
+
+
+@here
+def test_seams_over_all_documents(spark):
+    """Blocks of documents that are equal to, or begin with the end of, the one before."""
+    from loomtext.operators import quality
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.split("text", "\n").alias("b"))
+    twice = docs.select("doc_id", F.flatten(F.transform("b", lambda x, i: F.when(i % 3 == 0, F.array(x, x)).when(i % 3 == 1, F.array(x, F.concat(F.substr(x, F.greatest(F.length(x) - 29, F.lit(1)), F.lit(30)), F.lit(" and more")))).otherwise(F.array(x)))).alias("b"))
+    got = {r["doc_id"]: (r["n"], r["b"]) for r in twice.select("doc_id", "b", quality.seam_count(F.col("b")).alias("n")).collect()}
+
+    def strong(t):
+        t = t.strip()
+        n = len(re.sub(r"[\s,.;:!?，。！？、；：()\[\]{}\"'“”‘’`]", "", t))
+        return n >= 4 if re.search(f"[{FAMILY}]", t) else n >= 12 and len(re.findall(rf"[A-Za-z0-9]+|[{FAMILY}]", t)) >= 3
+
+    def meant(t):
+        t = t.strip()
+        return bool(re.search(r"[^\W_]", t)) and (len(t.split()) >= 2 or len(t) >= 8)
+
+    for n, blocks in got.values():
+        flat = [x for x in (" ".join(b.split()) for b in blocks) if x]
+        want = 0
+        for a, b in zip(flat[:-1], flat[1:], strict=True):
+            longest = next((b[:k] for k in range(min(len(a), len(b)), 0, -1) if a.endswith(b[:k]) and meant(b[:k])), None)
+            want += a == b or (longest is not None and strong(longest))
+        assert n == want
+    assert sum(n for n, _ in got.values()) > 100
+
+
 @here
 def test_pack_chunks_over_all_documents(spark):
     """Sentences as they come, sizes and chunks by the definition."""
