@@ -20,6 +20,8 @@ REQUEST_CAP = {"structure_only": 3000, "quick_cleanup": 4500, "cleanup_zh": 4500
 OUTPUT_RATIO = {"structure_only": 1.15, "quick_cleanup": 1.05, "cleanup_zh": 1.05, "translate_only": 1.10, "summarize": 0.15}
 MOST_OUTPUT = {"structure_only": 1800, "quick_cleanup": 3200, "cleanup_zh": 3200, "translate_only": 1500, "summarize": 384}
 OTHER_TARGET, OTHER_CAP, OTHER_RATIO, OTHER_OUTPUT = 900, 2600, 1.0, 1400
+#: Targets where sizes are characters.
+CHARS, OTHER_CHARS = {"translate_only": 3000, "structure_only": 4000, "quick_cleanup": 4000, "summarize": 8000}, 8000
 WINDOW, UTILISATION, BUFFER = 32_000, 0.12, 400
 
 
@@ -51,14 +53,14 @@ def solve_budget(task: str, prompt_tokens: int, reserve: int = 0, multiplier: fl
     return Budget(want, cap, room(want), expected(want), max(expected(want), min(most, free - want)), effective)
 
 
-def plan_sizes(task: str = "", size: int = 0, mode: str = "tokens", prompt_tokens: int = 0, multiplier: float = 1.33) -> dict:
-    """mode, target and hard cap of a run: a size without a task counts characters."""
+def plan_sizes(task: str = "", size: int = 0, mode: str = "tokens", prompt_tokens: int = 0, multiplier: float = 1.33, reserve: int = 0) -> dict:
+    """mode, recommended, target and cap of a run: a size without a task counts characters; tokens are bounded by the task's budget."""
     if mode == "chars" or (size > 0 and not task):
-        chars = size if size > 0 else TARGET.get(task, 1000) * 2
-        return {"mode": "chars", "target": chars, "cap": chars}
-    b = solve_budget(task, prompt_tokens, multiplier=multiplier)
-    target = max(1, min(size if size > 0 else b.target, b.available))
-    return {"mode": "tokens", "target": target, "cap": max(target, min(math.ceil(target * multiplier), b.hard_cap))}
+        recommended = CHARS.get(task, OTHER_CHARS)
+        return {"mode": "chars", "recommended": recommended, "target": size or recommended, "cap": size or recommended}
+    b = solve_budget(task, prompt_tokens, reserve, multiplier)
+    target = max(1, min(size or b.target, b.available))
+    return {"mode": "tokens", "recommended": TARGET.get(task, OTHER_TARGET), "target": target, "cap": max(target, min(math.ceil(target * multiplier), b.hard_cap))}
 
 
 def _gap(mode: str) -> int:

@@ -128,5 +128,6 @@ def validate(states: DataFrame, stage: str = "", fields: str = "fields", require
 
 
 def state_hash(fields: Column) -> Column:
-    """sha256 of a map's entries in the order of the keys."""
-    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields)))), 256)
+    """sha256 of a map's ``key: value`` lines in the order of the keys."""
+    lines = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit(": "), T.text_of(e["value"])))
+    return F.sha2(F.array_join(lines, "\n"), 256)

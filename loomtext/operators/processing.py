@@ -70,6 +70,23 @@ def faults(task: str, text: str, result: str, terms: list[str], anchors: list[st
     return out
 
 
+#: Where a template takes the text, and before which heading context goes.
+PLACES, INPUT = ("{RAW_TEXT}", "{STRUCTURED_TEXT}"), "\n## Input Text\n"
+
+
+def build_prompt(template: str, text: str, *contexts: str) -> str:
+    """A template with contexts, the first nearest to the text, and the text: in its place, or behind all else."""
+    for context in reversed([c for c in contexts if c]):
+        if INPUT in template:
+            template = template.replace(INPUT, f"\n{context}\n{INPUT}", 1)
+        else:
+            template = f"{template.rstrip()}\n\n{context}\n"
+    for place in PLACES:
+        if place in template:
+            return template.replace(place, text)
+    return f"{template.rstrip()}\n\n{text}"
+
+
 SCHEMA = "id int, status string, result string, attempts int, repairs int, error_type string, warnings array<string>, event string"
 
 
@@ -77,8 +94,8 @@ def process_chunks(chunks: DataFrame, request: Callable[[str], str], task: str,
     """(doc_id, id, status, result, attempts, repairs, error_type, warnings, event) of chunks (doc_id, id, status, text, result, prompt_name, input_key).
 
     A document's chunks go to request one after another, as each gets the end of the result before it; documents run in parallel.
-    Superseded chunks stay, and so do done ones with a result of this operation, unless force. A prompt is the
-    template, the terms and anchors to keep, the context and the text. A result with faults is asked for again as often as repairs
+    Superseded chunks stay, and so do done ones with a result of this operation, unless force. A prompt is build_prompt() of the
+    template, the context, the terms and anchors to keep, and the text. A result with faults is asked for again as often as repairs
     allows, then taken with warnings. An error that asks for a new plan, or as many timeouts in a row as the limit,
     ends the document's run: event ``replan`` or ``stopped``, and the chunks behind stay pending.
     A document with its results is one group of a task, which is the unit of the engine.
@@ -120,8 +137,8 @@ def process_chunks(chunks: DataFrame, request: Callable[[str], str], task: str,
                 row[2] = "pending"
                 continue
             text, terms, marks = r.text or "", list(r.terms), list(r.anchors)
-            guards = [f"Keep these terms: {', '.join(terms)}" if terms else "", f"Keep these as they are: {', '.join(marks)}" if marks else "", f"What came before ends with:\n{tail}" if tail else ""]
-            prompt = "\n\n".join(x for x in (template, *guards, text) if x)
+            guards = (f"What came before ends with:\n{tail}" if tail else "", f"Keep these terms: {', '.join(terms)}" if terms else "", f"Keep these as they are: {', '.join(marks)}" if marks else "")
+            prompt = build_prompt(template, text, *guards)
             while True:
                 result, attempts, what, timed_out, replan = ask(prompt)
                 row[4] += attempts

@@ -169,6 +169,28 @@ def test_budgets_of_tasks():
     assert (b.target, b.available, b.effective) == (1, 1, 491)
 
 
+def test_sizes_of_plans():
+    assert chunking.plan_sizes(size=500) == {"mode": "chars", "recommended": 8000, "target": 500, "cap": 500}
+    assert chunking.plan_sizes("translate_only", mode="chars") == {"mode": "chars", "recommended": 3000, "target": 3000, "cap": 3000}
+    assert chunking.plan_sizes("cleanup_zh", prompt_tokens=500, reserve=60) == {"mode": "tokens", "recommended": 1000, "target": 1000, "cap": 1330}
+    assert chunking.plan_sizes("structure_only", 5000, prompt_tokens=500) == {"mode": "tokens", "recommended": 1200, "target": 1272, "cap": 1272}
+
+
+def test_hashes_and_urls(spark, tmp_path):
+    import hashlib
+
+    from loomtext.functions import text as T
+
+    df = spark.createDataFrame([({"b": "2", "a": "1", "c": None},)], "m map<string,string>")
+    assert df.select(planning.state_hash(F.col("m"))).first()[0] == hashlib.sha256(b"a: 1\nb: 2\nc: ").hexdigest()
+    (tmp_path / "f.txt").write_bytes(b"some bytes")
+    r = records.file_hashes(spark, str(tmp_path)).first()
+    assert (r["length"], r["sha256"]) == (10, hashlib.sha256(b"some bytes").hexdigest())
+    urls = ["https://a.b/c d?x=1&y=é#z", "a;b(c)[d]~e%20", None]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(T.encode_url("u").alias("e")).collect()
+    assert [r["e"] for r in got] == ["https://a.b/c%20d?x=1&y=%C3%A9#z", "a%3Bb%28c%29%5Bd%5D~e%20", ""]
+
+
 def test_merge(spark):
     chunks = [("a", 0, "done", "## Start\n\n早上下了一场雨。\n\n街上没有人。"), ("a", 1, "done", "街上没有人。\n\n中午天晴了。"), ("a", 2, "superseded", "old"), ("a", 3, "failed", None)]
     df = spark.createDataFrame(chunks, "doc_id string, id int, status string, result string")

@@ -116,3 +116,10 @@ def test_a_new_plan_is_processed(spark):
     out = {(r["doc_id"], r["id"]): (r["status"], r["result"]) for r in got.collect()}
     assert out["a", 0] == ("done", "SHORT ONE.") and out["a", 1][0] == "superseded" and out["b", 0] == ("done", "FINE.")
     assert [out["a", k] for k in sorted(k for d, k in out if d == "a" and k > 1)] == [("done", f"{n} LONG.") for n in ("FIRST", "SECOND", "THIRD")]
+
+
+def test_prompts():
+    build = processing.build_prompt
+    assert build("Do it.\n## Input Text\n{RAW_TEXT}", "T", "before") == "Do it.\nbefore\n\n## Input Text\nT"
+    assert build("Do it.\n## Input Text\n{RAW_TEXT}", "T", "before", "", "terms") == "Do it.\nterms\n\nbefore\n\n## Input Text\nT"
+    assert build("Do it.", "T", "before") == "Do it.\n\nbefore\n\nT" and build("", "T") == "\n\nT" and build("See {STRUCTURED_TEXT}!", "T") == "See T!"
