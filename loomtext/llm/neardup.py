@@ -253,6 +253,7 @@ def judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str
     # 1. nodes and half-keys
     alike = made.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first(F.struct("doc_id", "x")).alias("row"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     nodes = written(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    all_nodes = nodes.hint("merge")  # grows with the documents: never broadcast, also where it is small enough for once
     keys = nodes.select("node", "n", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     mine = keys.join(shared, "key").groupBy("node", "n").agg(F.sum("times").alias("lead"), F.collect_list("key").alias("keys"))
@@ -270,7 +271,7 @@ def judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str
         if not pairs.take(1):
             break
         if texts is None:
-            wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes, "node").select("node", F.col("row.doc_id").alias("its_id"), F.col("row.x").alias("its_x"))
+            wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(all_nodes, "node").select("node", F.col("row.doc_id").alias("its_id"), F.col("row.x").alias("its_x"))
             its = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("x") == F.col("its_x")))
             texts = written(its.groupBy("node").agg(F.first("text").alias("text")), "texts", among)  # rows alike once
         # sets whose sizes alone keep them apart need no comparing
@@ -281,13 +282,13 @@ def judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str
         buckets = led.join(near, ["node", "leader"], "left_anti").select("node", "n", "lead", "bucket")
     nodes_of = nodes.select("h1", "h2", "node", "least")
     if found:
-        comps, roots = _roots(found, buckets, nodes, texts, words, percent, far, among)
+        comps, roots = _roots(found, buckets, all_nodes, texts, words, percent, far, among)
         nodes_of = nodes_of.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(roots, "comp", "left").withColumn("root", F.coalesce("root", "comp"))
         nodes_of = written(nodes_of.select("h1", "h2", "least", "root"), "roots")
         least = nodes_of.groupBy("root").agg(F.min("least").alias("of_root"))
         nodes_of = nodes_of.join(least, "root").select("h1", "h2", F.col("of_root").alias("least"))
     removed(spark, among)
-    out = made.select("doc_id", "x", "n", "h1", "h2").join(nodes_of.select("h1", "h2", "least"), ["h1", "h2"], "left")
+    out = made.select("doc_id", "x", "n", "h1", "h2").join(nodes_of.select("h1", "h2", "least").hint("merge"), ["h1", "h2"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "x")
 
@@ -339,7 +340,7 @@ def _roots(found: list[DataFrame], buckets: DataFrame, nodes: DataFrame, texts:
     # a component, or group, of any size is spread over SALTS keys where it meets the few rows that say where it belongs
     inside = of(met, "node", "comp").withColumn("salt", salt).join(grouped.withColumn("salt", each), ["comp", "salt"]).select("root", "node", "comp")
     rest = inside.unionByName(of(buckets.select(F.col("bucket").alias("root"), "node"), "node", "comp").select("root", "node", "comp"))
-    rest = written(rest.join(nodes.select("node", "n"), "node"), "rest", among)
+    rest = written(rest.join(nodes, "node").select("root", "node", "comp", "n"), "rest", among)
     if not rest.take(1):  # no group is open
         return comps, comps.limit(0).select("comp", F.col("comp").alias("root"))
     # in groups of several components: sizes of all, and of all but the largest
