@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -70,6 +71,17 @@ def kept_in_worker(key, make):
     return _KEPT[key]
 
 
+def nothing_kept() -> None:
+    """Let this worker process drop what kept_in_worker() keeps, and give free memory back to the system: for tasks that use no tool."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """names, with underscores before them until df has no such columns."""
     have, out = {c.lower() for c in df.columns}, []

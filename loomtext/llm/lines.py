@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, nothing_kept, written
 
 #: Lines that a rolling hash covers, and the number of its values that end a chunk once.
 ROLL, ONE_IN = 2, 3
@@ -75,6 +75,7 @@ def _keys(batches, passage: int):
     """Rows of the removable parts: a digest of 128 bits over the digests of the lines, in two columns."""
     names = ["doc_id", "x", "first", "n", "key", "key2"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    nothing_kept()
     digest = lambda data: hashlib.blake2b(data, digest_size=16).digest()
     for b in batches:
         ids, firsts, sizes, keys = [], [], [], []

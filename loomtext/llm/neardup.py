@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, byte_table, column_slices, fresh, gathered, mix, removed, text_bytes, written
+from .common import _LOWER, byte_table, column_slices, fresh, gathered, mix, nothing_kept, removed, text_bytes, written
 
 #: Half-keys in each of the two collections, and minima in a half-key. A table's key combines a half-key of either
 #: collection: HALVES**2 tables of 2 * WIDTH minima from 2 * HALVES * WIDTH minima in all. At similarity s a pair
@@ -23,7 +23,7 @@ BLOCK_SHINGLES = 100_000
 #: Keys over which the nodes of one group are spread where they meet the group's sizes.
 SALTS = 32
 #: Bytes of text looked at at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 IS_WORD = byte_table(gaps=b"\x20\x09\x0a\x0b\x0c\x0d")
 _STEP = np.uint64(0xD1342543DE82EF95)
 _SEEDS = mix(np.arange(1, 4 * HALVES * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -127,6 +127,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, x, n, h1, h2, halves) of (doc_id, x, text): size of the set of shingles, its hashes, and the half-keys; the lowest bit of one tells its collection."""
 
     def run(batches):
+        nothing_kept()
         for b in batches:
             n, sums, halves = [np.zeros(0, np.int64)], [np.zeros((2, 0), np.uint64)], [np.zeros((0, 2 * HALVES), np.uint64)]
             for first, s, more in shingle_sets(b.column(2), words):
@@ -165,6 +166,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(node, leader, both, either): sizes of intersection and union for the pairs (node, leader), worked out on whole texts."""
 
     def run(batches):
+        nothing_kept()
         for b in batches:
             sizes = np.cumsum(np.asarray(pa.compute.binary_length(b.column(2))).astype(np.int64)) // SLICE
             edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(b)]
@@ -176,9 +178,14 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both), pa.array(n[: len(part)] + n[len(part) :][np.asarray(leaders.indices)] - both)], names=["node", "leader", "both", "either"])
 
-    left = pairs.join(texts.withColumnRenamed("text", "p"), "node")
+    left = pairs.join(_grown(texts.withColumnRenamed("text", "p")), "node")
     right = texts.select(F.col("node").alias("leader"), F.col("text").alias("q"))
-    return left.join(right, "leader").select("node", "leader", "p", "q").mapInArrow(run, "node long, leader long, both long, either long")
+    return left.join(_grown(right), "leader").select("node", "leader", "p", "q").mapInArrow(run, "node long, leader long, both long, either long")
+
+
+def _grown(df: DataFrame) -> DataFrame:
+    """df, never broadcast by a join. It grows with the documents; Spark takes its size from compressed files, without the rows that explode makes of one."""
+    return df.hint("merge")
 
 
 def _linked(percent: int):
@@ -198,9 +205,9 @@ def components(edges: DataFrame, among: list[str] | None = None) -> DataFrame:
     while was["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(_grown(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(_grown(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         was_at, now_at = now_at, []
         now = written(small, "edges", now_at)
         removed(spark, was_at)
@@ -253,10 +260,10 @@ def judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str
     # 1. nodes and half-keys
     alike = made.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first(F.struct("doc_id", "x")).alias("row"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     nodes = written(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    all_nodes = nodes.hint("merge")  # grows with the documents: never broadcast, also where it is small enough for once
+    all_nodes = _grown(nodes)
     keys = nodes.select("node", "n", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    mine = keys.join(shared, "key").groupBy("node", "n").agg(F.sum("times").alias("lead"), F.collect_list("key").alias("keys"))
+    mine = keys.join(_grown(shared), "key").groupBy("node", "n").agg(F.sum("times").alias("lead"), F.collect_list("key").alias("keys"))
     side = lambda s: F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == s)
     tables = F.flatten(F.transform(side(0), lambda a: F.transform(side(1), lambda b: F.xxhash64(a, b))))
     members = written(mine.select("node", "n", "lead", tables.alias("tables")).where(F.size("tables") > 0), "members", among)
@@ -265,30 +272,30 @@ def judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str
     texts, found = None, []
     for _ in range(ROUNDS):
         leaders = buckets.groupBy("bucket").agg(F.max(F.struct("lead", "node", "n")).alias("l"), F.count(F.lit(1)).alias("times")).where("times > 1")
-        led = buckets.join(leaders, "bucket").where("node <> l.node").select("bucket", "node", "n", "lead", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
+        led = buckets.join(_grown(leaders), "bucket").where("node <> l.node").select("bucket", "node", "n", "lead", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
         led = written(led, "led", among)
         pairs = written(led.select("node", "leader", "n", "leader_n").distinct(), "pairs", among)
         if not pairs.take(1):
             break
         if texts is None:
             wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(all_nodes, "node").select("node", F.col("row.doc_id").alias("its_id"), F.col("row.x").alias("its_x"))
-            its = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("x") == F.col("its_x")))
+            its = rows.join(_grown(wanted), F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("x") == F.col("its_x")))
             texts = written(its.groupBy("node").agg(F.first("text").alias("text")), "texts", among)  # rows alike once
         # sets whose sizes alone keep them apart need no comparing
         apart = F.least("n", "leader_n") < F.greatest("n", "leader_n") * F.lit(1 - 3 * far)
         compared = written(_compared(pairs.where(~apart).select("node", "leader"), texts, words), "compared", among)
         found.append(compared)
         near = compared.where(F.col("both") > F.col("either") * F.lit(1 - 2 * far)).select("node", "leader")
-        buckets = led.join(near, ["node", "leader"], "left_anti").select("node", "n", "lead", "bucket")
+        buckets = led.join(_grown(near), ["node", "leader"], "left_anti").select("node", "n", "lead", "bucket")
     nodes_of = nodes.select("h1", "h2", "node", "least")
     if found:
         comps, roots = _roots(found, buckets, all_nodes, texts, words, percent, far, among)
-        nodes_of = nodes_of.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(roots, "comp", "left").withColumn("root", F.coalesce("root", "comp"))
+        nodes_of = nodes_of.join(_grown(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(_grown(roots), "comp", "left").withColumn("root", F.coalesce("root", "comp"))
         nodes_of = written(nodes_of.select("h1", "h2", "least", "root"), "roots")
         least = nodes_of.groupBy("root").agg(F.min("least").alias("of_root"))
-        nodes_of = nodes_of.join(least, "root").select("h1", "h2", F.col("of_root").alias("least"))
+        nodes_of = nodes_of.join(_grown(least), "root").select("h1", "h2", F.col("of_root").alias("least"))
     removed(spark, among)
-    out = made.select("doc_id", "x", "n", "h1", "h2").join(nodes_of.select("h1", "h2", "least").hint("merge"), ["h1", "h2"], "left")
+    out = made.select("doc_id", "x", "n", "h1", "h2").join(_grown(nodes_of.select("h1", "h2", "least")), ["h1", "h2"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "x")
 
@@ -329,7 +336,7 @@ def _roots(found: list[DataFrame], buckets: DataFrame, nodes: DataFrame, texts:
         every = every.unionByName(f)
     close = every.where(F.col("both") >= F.col("either") * F.lit(1 - 3 * far)).withColumn("linked", _linked(percent))
     comps = components(close.where("linked").select(F.col("node").alias("u"), F.col("leader").alias("v")), among).withColumnRenamed("root", "comp")
-    of = lambda df, c, out: df.join(comps.select(F.col("node").alias(c), F.col("comp").alias("_comp")), c, "left").withColumn(out, F.coalesce("_comp", c)).drop("_comp")
+    of = lambda df, c, out: df.join(_grown(comps.select(F.col("node").alias(c), F.col("comp").alias("_comp"))), c, "left").withColumn(out, F.coalesce("_comp", c)).drop("_comp")
     # groups of components that are near each other, and buckets whose nodes are left
     open_pairs = of(of(close.where(~F.col("linked")).select("node", "leader"), "node", "u"), "leader", "v").where("u <> v").select("u", "v").distinct()
     groups = components(open_pairs, among)
@@ -338,7 +345,7 @@ def _roots(found: list[DataFrame], buckets: DataFrame, nodes: DataFrame, texts:
     each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     met = close.select("node").union(close.select("leader")).distinct()
     # a component, or group, of any size is spread over SALTS keys where it meets the few rows that say where it belongs
-    inside = of(met, "node", "comp").withColumn("salt", salt).join(grouped.withColumn("salt", each), ["comp", "salt"]).select("root", "node", "comp")
+    inside = of(met, "node", "comp").withColumn("salt", salt).join(_grown(grouped.withColumn("salt", each)), ["comp", "salt"]).select("root", "node", "comp")
     rest = inside.unionByName(of(buckets.select(F.col("bucket").alias("root"), "node"), "node", "comp").select("root", "node", "comp"))
     rest = written(rest.join(nodes, "node").select("root", "node", "comp", "n"), "rest", among)
     if not rest.take(1):  # no group is open
@@ -348,13 +355,13 @@ def _roots(found: list[DataFrame], buckets: DataFrame, nodes: DataFrame, texts:
     of_all = by_comp.groupBy("root").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     blocks = lambda size: F.ceil(size / BLOCK_SHINGLES).cast("int")
     of_all = of_all.select("root", F.col("main.comp").alias("main"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("main.size")).alias("rests"))
-    dealt = rest.withColumn("salt", salt).join(of_all.withColumn("salt", each), ["root", "salt"])
+    dealt = rest.withColumn("salt", salt).join(_grown(of_all.withColumn("salt", each)), ["root", "salt"])
     part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     zero = dealt.withColumn("i", part(3, "blocks")).withColumn("j", upto("rests")).withColumn("side", F.lit(0))
     one = dealt.where("comp <> main").withColumn("j", part(4, "rests")).withColumn("i", upto("blocks")).withColumn("side", F.lit(1))
     both = zero.unionByName(one).select(F.xxhash64("root", "i", "j").alias("task"), "side", "node", "comp")
-    more = both.join(texts, "node").groupBy("task").applyInArrow(lambda t: _block_links(t, words, percent), "u long, v long")
+    more = both.join(_grown(texts), "node").groupBy("task").applyInArrow(lambda t: _block_links(t, words, percent), "u long, v long")
     return comps, components(more).withColumnRenamed("node", "comp")
 
 

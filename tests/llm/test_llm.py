@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from loomtext.llm import bpe, contamination, fingerprints, langid, lines, neardup, secrets, sharding, tokens
 from loomtext.llm.automaton import _Parser, compile_rules, reverse
-from loomtext.llm.common import Known, hash_rank, kept_in_worker, ordered_position, removed, shared_root, written
+from loomtext.llm.common import Known, hash_rank, kept_in_worker, nothing_kept, ordered_position, removed, shared_root, written
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, r long, x long, n int, node long, _x long, _gone int"
@@ -211,6 +211,30 @@ def test_an_open_group_with_a_large_core(spark, monkeypatch, block):
     assert len(set(want)) > 3 and [got[k]["component_id"] for k in range(len(texts))] == want
 
 
+def test_tables_of_an_open_group_are_not_broadcast(spark, monkeypatch):
+    """Nothing that grows with the documents, least of all what explode made many rows of, goes through the driver."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 500)
+    plans = {}
+
+    def seen(df, name, among=None):
+        plans[name] = plans.get(name, "") + df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name, among)
+
+    monkeypatch.setattr(neardup, "written", seen)
+    rnd = random.Random(11)
+    texts = [" ".join(f"x{rnd.randrange(60)}" if rnd.random() < k % 9 / 80 else f"w{i}" for i in range(80)) for k in range(60)]
+    neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).collect()
+    assert {"led", "compared", "edges", "rest", "roots"} <= set(plans)
+    assert [name for name, plan in plans.items() if "BroadcastExchange" in plan] == []
+
+
+def test_a_worker_drops_its_tool():
+    kept_in_worker("a tool", lambda: [1])
+    nothing_kept()
+    assert kept_in_worker("a tool", lambda: [2]) == [2]
+    nothing_kept()
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
