@@ -96,14 +96,37 @@ def _keys(batches, passage: int):
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
+def confirmed(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (doc_id, x, line, other) whose lines have the same bytes; other is the doc_id, x and line that stays. own: (doc_id, x, text).
+
+    Only lines that pairs name are taken out of the texts. A line that stays for many is compared with their distinct
+    lines, found by an aggregation, so that it burdens no task.
+    """
+    kept = pairs.select("other.doc_id", "other.x", "other.line").distinct().withColumn("other", F.lit(None).cast(pairs.schema["other"].dataType))
+    wanted = pairs.select("doc_id", "x", "line", "other").unionByName(kept)
+    wanted = wanted.groupBy(F.col("doc_id").alias("its_id"), F.col("x").alias("its_x")).agg(F.collect_list(F.struct("line", "other")).alias("at"))
+    its = own.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("x") == F.col("its_x")))
+    bound = F.array(F.struct(F.split("text", "\n", -1).alias("all"), F.col("at").alias("at")))  # worked out once
+    each = F.transform(bound, lambda b: F.transform(b["at"], lambda k: F.struct(k["line"].alias("line"), k["other"].alias("other"), F.get(b["all"], k["line"]).alias("said"))))[0]
+    said = written(its.select("doc_id", "x", F.explode(each).alias("s")).select("doc_id", "x", "s.line", "s.other", "s.said"), "said")
+    of_kept = said.where(F.col("other").isNull()).select(F.struct("doc_id", "x", "line").alias("place"), F.col("said").alias("kept_said"))
+    wrong = said.where(F.col("other").isNotNull()).select("other", "said").distinct().join(of_kept.hint("merge"), F.col("other").eqNullSafe(F.col("place")))
+    wrong = wrong.where(~F.col("said").eqNullSafe(F.col("kept_said"))).select(F.col("other").alias("wrong_other"), F.col("said").alias("wrong_said"))
+    wrong = written(wrong.distinct(), "wrong")
+    if not wrong.take(1):
+        return pairs
+    right = said.where(F.col("other").isNotNull()).join(wrong, F.col("other").eqNullSafe(F.col("wrong_other")) & F.col("said").eqNullSafe(F.col("wrong_said")), "left_anti")
+    return right.select("doc_id", "x", "line", "other").distinct()  # rows alike once
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
     """(doc_id, x, lines): the lines to be removed from each document that has any; x is the hash of its text.
 
     Each part of a text that removable names goes where it is repeated: all occurrences but that of the least
     (doc_id, x, line), whose own lines stay if a later occurrence overlaps it; null doc_ids come first. So a line goes if it
-    lies in a run of lines of passage words or more that occurred before, or in a shorter chunk or whole text that did. Parts
-    are the same if their 128-bit BLAKE2b digests are. Texts aren't shuffled. Counts are aggregated before they are
-    shuffled, and a part that has more than one in HOT of all occurrences is spread over SALTS tasks.
+    lies in a run of lines of passage words or more that occurred before, or in a shorter chunk or whole text that did.
+    128-bit BLAKE2b digests find the parts; a line goes only if its bytes are those of its line in a part that stays. Counts are aggregated
+    before they are shuffled, and a part that has more than one in HOT of all occurrences is spread over SALTS tasks.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("x"), text.alias("text"))
@@ -112,17 +135,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = F.broadcast(often.where(F.col("times") > F.lit(keys.count() // HOT)).select("key", F.lit(True).alias("hot")))  # fewer than HOT rows
     dealt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "x", "first"), F.lit(SALTS))).otherwise(0).cast("int")
     each = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    all_keys = often.join(hot, "key", "left").select("key", each.alias("salt"))
+    all_keys = often.join(hot, "key", "left").select("key", each.alias("salt")).hint("merge")  # grows with the documents, as kept does
     parts = written(keys.join(hot, "key", "left").withColumn("salt", dealt).drop("hot").join(all_keys, ["key", "salt"]), "parts")
     place = F.struct("doc_id", "x", "first")
     # Rows alike in doc_id and text are one document: their parts have one place.
     kept = parts.groupBy("key", "key2").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where(~F.col("kept").eqNullSafe(F.col("last"))).select("key", "key2", "kept")
-    kept = kept.join(hot, "key", "left").withColumn("salt", each).drop("hot")
+    kept = kept.join(hot, "key", "left").withColumn("salt", each).drop("hot").hint("merge")
     gone = parts.join(kept, ["key", "key2", "salt"]).where(~place.eqNullSafe(F.col("kept")))
     inside = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("x") == F.col("kept.x"))
     begin = F.when(inside, F.greatest("first", F.col("kept.first") + F.col("n"))).otherwise(F.col("first"))
-    lines = F.sequence(begin, F.col("first") + F.col("n") - 1)
-    return gone.select("doc_id", "x", lines.alias("lines")).groupBy("doc_id", "x").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines"))
+    gone = gone.select("doc_id", "x", "first", "kept", begin.alias("begin"), (F.col("first") + F.col("n") - 1).alias("end")).where("begin <= end")
+    # one line that stays for each that goes; a document's rows come together before they are made many
+    each = gone.repartition("doc_id", "x").select("doc_id", "x", "first", "kept", F.explode(F.sequence("begin", "end")).alias("line"))
+    other = F.struct(F.col("kept.doc_id").alias("doc_id"), F.col("kept.x").alias("x"), (F.col("kept.first") + F.col("line") - F.col("first")).alias("line"))
+    pairs = written(each.groupBy("doc_id", "x", "line").agg(F.min(other).alias("other")), "pairs")
+    return confirmed(own, pairs).groupBy("doc_id", "x").agg(F.collect_list("line").alias("lines"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
@@ -135,7 +162,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     id_, x_, lines_ = fresh(docs, "_id", "_x", "_lines")
     gone = repeated_lines(docs, id_col, text_col, passage).withColumnsRenamed({"doc_id": id_, "x": x_, "lines": lines_})
     x = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    both = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (x == F.col(x_)), "left")
+    both = docs.join(gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (x == F.col(x_)), "left")
     bound = F.array(F.struct(F.split(F.col(text_col), "\n", -1).alias("all"), F.col(lines_).alias("gone")))  # worked out once
     left = lambda b: F.array_except(F.sequence(F.lit(0), F.size(b["all"]) - 1), b["gone"])
     kept = F.transform(bound, lambda b: F.array_join(F.transform(left(b), lambda k: F.get(b["all"], k)), "\n"))[0]

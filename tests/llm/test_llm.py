@@ -599,6 +599,37 @@ def test_line_dedup_of_overlaps(spark):
     assert got[2]["text"] == "first 2\nlast 2"
 
 
+def test_line_dedup_confirms_bytes(spark):
+    """Digests only find lines: one goes only if the line that stays for it has the same bytes, also with null doc_ids."""
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\nb\nd"), (None, "b\ne"), (3, "c")]
+    own = spark.createDataFrame(rows, "doc_id long, text string").withColumn("x", F.xxhash64("text")).select("doc_id", "x", "text")
+    x = {r["text"]: r["x"] for r in own.collect()}
+    place = lambda k, line: (rows[k][0], x[rows[k][1]], line)
+    said = [(place(2, 1), place(0, 1), True), (place(2, 2), place(0, 2), False), (place(3, 0), place(0, 1), True), (place(0, 1), place(3, 0), True), (place(4, 0), place(0, 2), True), (place(4, 0), place(0, 7), False)]
+    pairs = lambda of: spark.createDataFrame([(*p, q) for p, q, _ in of], "doc_id long, x long, line int, other struct<doc_id: long, x: long, line: int>")
+    shown = lambda df: sorted((str(r["doc_id"]), r["x"], r["line"], str(r["other"])) for r in df.collect())
+    right = [s for s in said if s[2]]
+    assert shown(lines.confirmed(own, pairs(said))) == shown(pairs(right)) == shown(lines.confirmed(own, pairs(right)))
+
+
+@pytest.mark.parametrize("stage", [lines.without_repeated_lines])
+def test_line_dedup_of_clashing_digests(spark, monkeypatch, stage):
+    """Texts that share no line stay as they are where all their parts have one digest."""
+    keys = lines._keys
+
+    def alike(batches, passage):
+        for b in keys(batches, passage):
+            zero = pa.array(np.zeros(len(b), np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], zero, zero], names=b.schema.names)
+
+    monkeypatch.setattr(lines, "_keys", alike)
+    rnd = random.Random(7)
+    line = lambda n: " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+    rows = [(k, "\n".join(line(rnd.choice([3, 9, 60])) for _ in range(12))) for k in range(12)]
+    got = stage(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(1).cast("long"))).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == rows
+
+
 def test_chunks_resist_shifts():
     rnd = random.Random(6)
     text = "\n".join(str(rnd.random()) for _ in range(200))
