@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -612,7 +613,7 @@ def test_line_dedup_confirms_bytes(spark):
     assert shown(lines.confirmed(own, pairs(said))) == shown(pairs(right)) == shown(lines.confirmed(own, pairs(right)))
 
 
-@pytest.mark.parametrize("stage", [lines.without_repeated_lines])
+@pytest.mark.parametrize("stage", [lines.without_repeated_lines, lambda docs: corpus_pipeline.line_dedup(docs.sparkSession, docs, "")])
 def test_line_dedup_of_clashing_digests(spark, monkeypatch, stage):
     """Texts that share no line stay as they are where all their parts have one digest."""
     keys = lines._keys
