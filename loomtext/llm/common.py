@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one ordered window handles; ranks are offset by counts of the windows before.
 ROWS_A_BUCKET = 1024
+#: Rows that go to a Python worker at once while a table is written: whole texts, which both sides hold.
+ARROW_ROWS, ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,7 +42,13 @@ def written(df: DataFrame, name: str, among: list[str] | None = None) -> DataFra
     spark = df.sparkSession
     path = f"{shared_root(spark)}/loomtext-{uuid.uuid4().hex}/{name}"
     schema = df.schema
-    df.write.parquet(path)
+    rows = spark.conf.get(ARROW_ROWS)  # 0 and less: no limit
+    if not 0 < int(rows) <= ROWS_A_BATCH:
+        spark.conf.set(ARROW_ROWS, ROWS_A_BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     if among is not None:
         among.append(path)
     return spark.read.schema(schema).parquet(path)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, fresh, mix, text_slices, word_hashes, written
+from .common import byte_table, fresh, mix, nothing_kept, text_slices, word_hashes, written
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows are broadcast at once; more is scanned for in blocks of about this size, longer
@@ -155,6 +155,7 @@ def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
     for _, windows in blocks:
 
         def hits(batches, windows=windows):
+            nothing_kept()
             for b in batches:
                 found = [(r, n, [v for h in hits for v in h], sorted(items)) for r, (n, hits, items) in zip(b.column(0).to_pylist(), windows.value.scan(b.column(2)), strict=True) if hits]
                 c = list(zip(*found, strict=True)) or [[]] * 4

@@ -8,7 +8,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_slices, gathered, mix, sums_by, units, written
+from .common import column_slices, gathered, mix, nothing_kept, sums_by, units, written
 
 #: Bounds of the sample that is learned from, in expectation: labelled documents of each language, and of all together.
 #: All words and n-grams of the sampled texts are learned.
@@ -152,6 +152,7 @@ GRAMS = pa.schema({"lang": pa.string(), "size": pa.int32(), "key": pa.int64(), "
 
 def _words(batches):
     """(lang, word, count) of (lang, text), summed up within a slice of texts of one language."""
+    nothing_kept()
     for b in batches:
         for lang in pa.compute.unique(b.column(0)).to_pylist():
             for _, texts in column_slices(b.column(1).filter(pa.compute.equal(b.column(0), lang)), SLICE):
@@ -164,6 +165,7 @@ def _words(batches):
 
 def _grams(batches):
     """(lang, size, key, count) of (lang, word, count), summed up within a language of a batch."""
+    nothing_kept()
     for b in batches:
         for lang in pa.compute.unique(b.column(0)).to_pylist():
             own = b.filter(pa.compute.equal(b.column(0), lang))
@@ -211,6 +213,7 @@ def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches):
+        nothing_kept()
         for b in batches:
             lang, score = shared.value.predict_all(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -226,6 +229,7 @@ def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str
     k = docs.columns.index(text_col)
 
     def run(batches):
+        nothing_kept()
         for b in batches:
             lang, score = shared.value.predict_all(b.column(k))
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))

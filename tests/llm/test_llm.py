@@ -236,6 +236,24 @@ def test_a_worker_drops_its_tool():
     nothing_kept()
 
 
+def test_written_tables_send_few_rows_at_once(spark):
+    """Batches that go to Python workers are bounded while a table is written; the session's setting stays, and holds if it is less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"])
+
+    most = lambda: max(r["n"] for r in written(spark.range(0, 9000, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect())
+    assert 1000 < most() <= 2500 and spark.conf.get(name) == was
+    try:
+        spark.conf.set(name, "40")
+        assert most() == 40 and spark.conf.get(name) == "40"
+    finally:
+        spark.conf.set(name, was)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
