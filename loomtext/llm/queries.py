@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprints, langid, lines, neardup, secrets, sharding, tokens
+from . import contamination, fingerprints, langid, lines, manifest, neardup, secrets, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"), changed=manifest.without_line_ends())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_sharding, op2_neardup, op3_token_counts, op4_language, op5_line_dedup, op6_decontamination, op7_secrets, op8_token_files, op9_packing, op10_fingerprints, pipeline)
+    own = (op1_sharding, op2_neardup, op3_token_counts, op4_language, op5_line_dedup, op6_decontamination, op7_secrets, op8_token_files, op9_packing, op10_fingerprints, op13_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -104,5 +108,40 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: Levels are lists of hashes, each made from the one below; crc32 bit by bit over the digits of doc_id (-1 stands for a shift).
+OP13_SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)] AS head, text,
+    xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 2 = 0 AS tampered FROM documents
+), hashed AS (
+  SELECT doc_id, source,
+    sha256(array_to_string(list_transform(list_append(head, text), lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END), '')) AS leaf,
+    sha256(array_to_string(list_transform(list_append(head, CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END), lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END), '')) AS now
+  FROM rows
+), leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+level AS (
+  SELECT source, 0 AS l, list(leaf ORDER BY i) AS h FROM leaves GROUP BY source
+  UNION ALL SELECT source, l + 1, list_transform(range(0, len(h), 3), lambda j: sha256(array_to_string(h[j + 1 : j + 3], ''))) FROM level WHERE len(h) > 1
+), subroots AS (SELECT source, h[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM level WHERE len(h) = 1),
+top AS (
+  SELECT 0 AS l, list(subroot ORDER BY s) AS h FROM subroots
+  UNION ALL SELECT l + 1, list_transform(range(0, len(h), 3), lambda j: sha256(array_to_string(h[j + 1 : j + 3], ''))) FROM top WHERE len(h) > 1
+), steps AS (
+  SELECT source, i, l, h, i // CAST(power(3, l) AS BIGINT) AS k FROM leaves JOIN level USING (source) WHERE len(h) > 1 AND source IS NOT NULL
+  UNION ALL SELECT v.source, i, l, h, i // CAST(power(3, l) AS BIGINT) FROM leaves v JOIN level w ON v.source IS NULL AND w.source IS NULL AND len(h) > 1
+  UNION ALL SELECT v.source, i, 1000 + l, h, s // CAST(power(3, l) AS BIGINT) FROM leaves v JOIN subroots w ON v.source IS NOT DISTINCT FROM w.source, top WHERE len(h) > 1
+), sides AS (
+  SELECT source, i, list(array_to_string(list_filter(h[k // 3 * 3 + 1 : k // 3 * 3 + 3], lambda x, n: n - 1 < k % 3), '') || '|' || array_to_string(list_filter(h[k // 3 * 3 + 1 : k // 3 * 3 + 3], lambda x, n: n - 1 > k % 3), '') ORDER BY l) AS path
+  FROM steps GROUP BY source, i
+), folded AS (
+  SELECT doc_id, leaf, subroot, (SELECT h[1] FROM top WHERE len(h) = 1) AS root, sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+    list_reduce(list_prepend(now, coalesce(path, [])), lambda a, p: sha256(split_part(p, '|', 1) || a || split_part(p, '|', 2))) AS folded_root
+  FROM leaves v JOIN subroots w ON v.source IS NOT DISTINCT FROM w.source LEFT JOIN sides p ON v.source IS NOT DISTINCT FROM p.source AND v.i = p.i
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_neardup": OP2_SQL, "op6_decontamination": OP6_SQL}
+    return {"op2_neardup": OP2_SQL, "op6_decontamination": OP6_SQL, "op13_manifest": OP13_SQL}
