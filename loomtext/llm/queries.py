@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprints, langid, lines, manifest, neardup, secrets, sharding, tokens
+from . import alignment, contamination, fingerprints, langid, lines, manifest, neardup, secrets, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(table(spark, sf_dir, "documents"), changed=manifest.without_line_ends())
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_sharding, op2_neardup, op3_token_counts, op4_language, op5_line_dedup, op6_decontamination, op7_secrets, op8_token_files, op9_packing, op10_fingerprints, op13_manifest, pipeline)
+    own = (op1_sharding, op2_neardup, op3_token_counts, op4_language, op5_line_dedup, op6_decontamination, op7_secrets, op8_token_files, op9_packing, op10_fingerprints, op12_alignment, op13_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
