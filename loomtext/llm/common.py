@@ -187,9 +187,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words in data (bytes, made lower case here), and that lower case."""
-    low = _LOWER[data]
+def word_hashes(data: np.ndarray, is_word: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words in data (bytes, made lower case here unless lower is off), and that lower case."""
+    low = _LOWER[data] if lower else data
     inside = np.zeros(len(low) + 2, np.int8)
     inside[1:-1] = is_word[low]
     edge = np.diff(inside)

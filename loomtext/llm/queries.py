@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, contamination, fingerprints, langid, lines, manifest, neardup, secrets, sharding, tokens
+from . import alignment, contamination, fingerprints, langid, lines, manifest, neardup, passages, secrets, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.without_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_sharding, op2_neardup, op3_token_counts, op4_language, op5_line_dedup, op6_decontamination, op7_secrets, op8_token_files, op9_packing, op10_fingerprints, op12_alignment, op13_manifest, pipeline)
+    own = (op1_sharding, op2_neardup, op3_token_counts, op4_language, op5_line_dedup, op6_decontamination, op7_secrets, op8_token_files, op9_packing, op10_fingerprints, op11_passages, op12_alignment, op13_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -112,6 +117,18 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: All windows, grouped by their words.
+OP11_SQL = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM split WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(doc_id) AS f FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN firsts USING (g) WHERE doc_id > f),
+lists AS (SELECT doc_id, list(k) AS k FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(k), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN k IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(k, j)) END, ' ')) AS kept_sha256
+FROM split LEFT JOIN lists USING (doc_id)
+"""
+
 #: Levels are lists of hashes, each made from the one below; crc32 bit by bit over the digits of doc_id (-1 stands for a shift).
 OP13_SQL = r"""
 WITH RECURSIVE rows AS (
@@ -148,4 +165,4 @@ SELECT *, folded_root = root AS verified FROM folded
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_neardup": OP2_SQL, "op6_decontamination": OP6_SQL, "op13_manifest": OP13_SQL}
+    return {"op2_neardup": OP2_SQL, "op6_decontamination": OP6_SQL, "op11_passages": OP11_SQL, "op13_manifest": OP13_SQL}
