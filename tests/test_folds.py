@@ -9,6 +9,7 @@ import time
 import pytest
 from loomtext.functions import folds
 from loomtext.functions import text as T
+from loomtext.functions.terms import Automaton, folded
 from loomtext.operators import chunking, glossary, telemetry
 from loomtext.plans import catalogue
 from loomtext.plans.tables import events_as_runs
@@ -178,17 +179,53 @@ def test_glossary_over_all_documents(spark):
     assert got == {k: (len(v), len(v), sorted(set(v))[:5]) for k, v in want.items()}
 
 
-def test_large_glossary_gives_what_a_small_one_gives(spark, monkeypatch):
+def test_glossary_in_blocks_gives_what_one_gives(spark, monkeypatch):
     terms = ["alpha", "Beta-2", "x_y", "日本", "a.b", "_lead", "--", "ALPHA beta", "É", ""]
     texts = [("k1", "the Alpha, beta-2 and x_y z"), ("k2", "日本語 a.b _lead"), ("k3", "alphabet beta-22 ax_y"), ("k4", "-- alpha BETA É"), ("k5", None)]
     g = spark.createDataFrame([(t, "", len(terms) - k, 1) for k, t in enumerate(terms)], "term string, preferred_output string, score int, count int")
     df = spark.createDataFrame(texts, "key string, text string")
-    small = sorted(map(tuple, glossary.select_terms(df, g, 8, None).collect()))
-    monkeypatch.setattr(glossary, "INLINE", 0)
-    assert sorted(map(tuple, glossary.select_terms(df, g, 8, None).collect())) == small and len(small) == 10, small
+    once = sorted(map(tuple, glossary.select_terms(df, g, 8, None).collect()))
+    assert len(once) == 10, once
+    monkeypatch.setattr(glossary, "BLOCK", 10)
+    assert sorted(map(tuple, glossary.select_terms(df, g, 8, None).collect())) == once
     monkeypatch.undo()
     many = g.unionByName(spark.range(600).select(F.concat(F.lit("filler"), "id").alias("term"), F.lit("").alias("preferred_output"), F.lit(0).alias("score"), F.lit(0).alias("count")))
-    assert sorted(map(tuple, glossary.select_terms(df, many, 8, None).collect())) == small
+    assert sorted(map(tuple, glossary.select_terms(df, many, 8, None).collect())) == once
+    own = df.withColumn("doc_id", F.lit(1))
+    assert sorted(map(tuple, glossary.select_terms(own, g.withColumn("doc_id", F.lit(1)), 8).collect())) == once
+
+
+def test_automaton_by_patterns():
+    """Every term against its own pattern, on texts made of pieces of terms, so that suffixes of terms are terms."""
+    rnd = random.Random(7)
+    pieces = ["a", "b", "ab", "ba", "aba", "a-b", "_", "B", "日", "日本", ".", " ", "İ", "é", "É", "1"]
+    terms = list(dict.fromkeys("".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 4))).strip() for _ in range(300)))
+    for ignore in (False, True):
+        automaton = Automaton(terms, ignore)
+        for _ in range(200):
+            text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 30)))
+            low = folded if ignore else str
+            want = set()
+            for k, t in enumerate(terms):
+                quoted = re.escape(low(t))
+                pattern = rf"(?<![A-Za-z0-9]){quoted}(?![A-Za-z0-9])" if re.fullmatch("[A-Za-z0-9_-]+", t) else quoted
+                if t and re.search(pattern, low(text)):
+                    want.add(k)
+            assert automaton.used(text) == want, text
+
+
+def test_a_glossary_of_very_many_terms_takes_one_pass():
+    """Ten thousand terms take no more than a few times as long as ten; no term is found inside another word."""
+    text = " ".join(f"w{k * 7919 % 100_003}" for k in range(60_000))
+    took = []
+    for n in (10, 10_000):
+        automaton = Automaton([f"w{k}" for k in range(n)], True)
+        began = time.time()
+        found = automaton.used(text)
+        took.append(time.time() - began)
+        assert found == {k for k in range(n)} & {int(w[1:]) for w in text.split()}
+    assert took[1] < 20 * took[0] + 1
+    assert Automaton(["API"], True).used("rapid capital") == set()
 
 
 def test_long_texts_take_time_in_proportion(spark):
