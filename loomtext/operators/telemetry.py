@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
+from ..functions.controller import Rules, Run
+from . import lineage
+
 
 def matching(events: DataFrame, command: str = "", trace_id: str = "", document_id: str = "", success: bool | None = None) -> DataFrame:
     """Events whose fields, trimmed, equal those given; a missing success is false."""
@@ -54,9 +55,40 @@ def count_map(events: DataFrame, column: str, blank: str | None = None) -> DataF
     return counted.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("counts"))
 
 
-def p95(events: DataFrame, value: str, by: str) -> DataFrame:
-    """(by, p95): nearest rank among the positive values."""
-    return events.groupBy(by).agg(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN {value} > 0 THEN {value} END)").alias("p95"))
+#: Values of one key that a task sorts at most, and parts that a range of values is cut into to get there.
+SORTED, PARTS = 1_000_000, 1024
+
+
+def p95(events: DataFrame, value: str, by: str, share: float = 0.95, most: int = SORTED) -> DataFrame:
+    """(by, p95): nearest rank among the positive values; null without any.
+
+    By selection: of a key with more than ``most`` values only the counts of PARTS ranges are made, by partial sums, until the range that holds
+    the rank has no more; then the values left are counted and only these counts are sorted. Such keys are fewer than one in
+    ``most`` of all events, which bounds what is sent to the tasks; no key's values come together in one buffer, however many they are.
+    """
+    rows = events.select(F.struct(F.col(by).alias("v")).alias("k"), F.when(F.col(value) > 0, F.col(value)).alias("x"))
+    rank = lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(share)))
+    ranges = rows.groupBy("k").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where(F.col("n") > most)
+    done, open_ = None, lineage.cut(ranges.withColumn("rank", rank(F.col("n"))).select("k", "n", "rank", "lo", "hi"))
+    while open_.take(1):
+        wide = (F.col("n") > most) & (F.col("lo").cast("double") < F.col("hi").cast("double"))
+        narrow, due = open_.where(~wide), open_.where(wide)
+        done = narrow if done is None else done.unionByName(narrow)
+        begin = F.col("lo").cast("double")
+        part = F.least(F.floor((F.col("x").cast("double") - begin) / ((F.col("hi").cast("double") - begin) / PARTS)), F.lit(PARTS - 1))
+        met = rows.join(F.broadcast(due.select("k", "rank", "lo", "hi")), "k").where("x BETWEEN lo AND hi")
+        counts = met.groupBy("k", "rank", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("k").orderBy("part"))  # at most PARTS rows a key
+        held = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        open_ = lineage.cut(held.select("k", "n", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "lo", "hi"))
+    if done is None:
+        kept = rows.withColumn("rank", F.lit(None).cast("bigint"))
+    else:
+        kept = rows.join(F.broadcast(done.select("k", "rank", "lo", "hi")), "k", "left").where("rank IS NULL OR x BETWEEN lo AND hi").select("k", "x", "rank")
+    counts = kept.groupBy("k", "rank", "x").agg(F.count("x").alias("n"))
+    w = Window.partitionBy("k")
+    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy(F.col("x").asc_nulls_first()))).withColumn("rank", F.coalesce("rank", rank(F.sum("n").over(w))))
+    return counts.groupBy("k").agg(F.min(F.when(F.col("upto") >= F.col("rank"), F.col("x"))).alias("p95")).select(F.col("k.v").alias(by), "p95")
 
 
 def status_counts(chunks: DataFrame, by: str, status: str = "status", kinds: tuple[str, ...] = ("pending", "running", "done", "failed", "superseded")) -> DataFrame:
@@ -65,45 +97,41 @@ def status_counts(chunks: DataFrame, by: str, status: str = "status", kinds: tup
     return chunks.groupBy(by).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(s == k).alias(k) for k in kinds], F.count_if(~s.isin(*kinds)).alias("other"))
 
 
-def autotune(events: DataFrame, by: str, order: str, start: int = 1000, least: int = 200, most: int = 2000, window: int = 20, threshold_ms: int = 45_000, reduce: float = 0.25, increase: float = 0.1) -> DataFrame:
-    """(by, order, success, timeout, target, event): the target that the controller sets after each event (by, order, success, timeout, latency_ms).
+def control(events: DataFrame, by: str, order: str, rules: Rules = Rules()) -> DataFrame:
+    """(by, order, success, timeout, target, event, timeouts, ended): the controller of each group after each event (by, order, success, timeout, latency_ms).
 
     A fold over each group's events in order: a latency whose 95th percentile over the last ``window`` is above the
-    threshold, or a timeout, shrinks the target; ``window`` successes in a row grow it. Groups are dealt over tasks and sorted
-    there; a task holds the last ``window`` latencies of one group at a time, however long the group is.
+    threshold, or a timeout, shrinks the target; ``window`` successes in a row grow it. ended tells that the run should have ended: ``replan``
+    if the target shrank within the canary, ``stopped`` by as many timeouts in a row as allowed. Groups are dealt over tasks and sorted
+    there; a task holds the last ``window`` latencies of one group at a time, however long the group is. streaming.controller does the same on a stream.
     """
-    schema = events.select(by, F.col(order).cast("bigint").alias(order), "success", "timeout").schema.add("target", IntegerType()).add("event", StringType())
+    added = (("target", IntegerType()), ("event", StringType()), ("timeouts", IntegerType()), ("ended", StringType()))
+    schema = events.select(by, F.col(order).cast("bigint").alias(order), "success", "timeout").schema
+    for name, kind in added:
+        schema = schema.add(name, kind)
 
     def run(batches):
-        group, target, good, last = object(), start, 0, []
+        group, now = object(), Run(rules.start)
         for b in batches:
-            targets, words = [], []
+            out = []
             for g, ok, late, ms in zip(*(b.column(c).to_pylist() for c in (by, "success", "timeout", "latency_ms")), strict=True):
                 if g != group:
-                    group, target, good, last = g, start, 0, []
-                word, was = "", target
-                if ok:
-                    good += 1
-                    last = [*last, ms][-window:] if ms is not None and ms > 0 else last
-                    slow = bool(last) and sorted(last)[max(1, math.ceil(len(last) * 0.95)) - 1] > threshold_ms
-                    if slow:
-                        target, word = min(was, max(least, math.floor(was * (1 - reduce)))), "shrink"
-                    elif good >= window:
-                        target, word = max(was, min(most, math.ceil(was * (1 + increase)))), "increase"
-                    good = 0 if word else good
-                else:
-                    good, word = 0, "observe"
-                    if late:
-                        target, word = min(was, max(least, math.floor(was * (1 - reduce)))), "shrink"
-                targets.append(target)
-                words.append("steady" if word in ("shrink", "increase") and target == was else word)
-            kept = b.drop_columns(["latency_ms"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(targets, pa.int32()), pa.array(words, pa.string())], names=schema.names)
+                    group, now = g, Run(rules.start)
+                event = now.step(rules, ok, late, ms)
+                out.append((now.target, event, now.timeouts, now.ended))
+            c = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.drop_columns(["latency_ms"]).columns, *(pa.array(v, t) for v, t in zip(c, kinds, strict=True))], names=schema.names)
 
     rows = events.select(by, F.col(order).cast("bigint").alias(order), "success", "timeout", F.col("latency_ms").cast("bigint").alias("latency_ms"))
     return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
 
 
+def autotune(events: DataFrame, by: str, order: str, **rules) -> DataFrame:
+    """(by, order, success, timeout, target, event): what control() does to the target; rules as in controller.Rules."""
+    return control(events, by, order, Rules(**rules)).drop("timeouts", "ended")
+
+
 def run_totals(runs: DataFrame) -> DataFrame:
     """(doc_id, loops, processed, failed, skipped) over the loops of a run."""
     return runs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("loops"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("processed", "failed", "skipped")])

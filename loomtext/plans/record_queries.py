@@ -52,6 +52,17 @@ def p95_latency(spark, d):
     return E.p95(events_as_runs(spark, d), "duration_ms", "document_id")
 
 
+@query(f"WITH {RUNS} SELECT command, quantile_disc(duration_ms, 0.95) FILTER (duration_ms > 0) AS p95 FROM runs GROUP BY 1")
+def p95_of_hot_commands(spark, d):
+    """A few commands that share all events: by narrowing ranges until 200 values are left."""
+    return E.p95(events_as_runs(spark, d), "duration_ms", "command", most=200)
+
+
+@query("SELECT o_orderstatus, quantile_disc(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1")
+def p95_of_prices(spark, d):
+    return E.p95(table(spark, d, "orders"), "o_totalprice", "o_orderstatus", most=200)
+
+
 @query("SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS other FROM orders GROUP BY 1")
 def status_pivot(spark, d):
     return E.status_counts(table(spark, d, "orders"), "o_custkey", "o_orderstatus", ("F", "O"))
