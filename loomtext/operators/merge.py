@@ -67,30 +67,61 @@ def clean_body(x: Column | str) -> Column:
     """
     start = F.struct(F.array().cast("array<string>").alias("out"), *[F.lit(0).alias(k) for k in _COUNTERS])
     done = F.aggregate(T.blocks(x), start, _step)
-    return T.let(done, lambda d: F.struct(T.strip(F.array_join(F.transform(d["out"], T.strip), "\n\n")).alias("text"), *[d[k].alias(k) for k in _COUNTERS]))
 
+    def joined(d: Column) -> Column:
+        text = F.array_join(F.transform(d["out"], T.strip), "\n\n")
+        return F.struct(T.strip(T.sub(text, r"\n{3,}", "\n\n")).alias("text"), *[d[k].alias(k) for k in _COUNTERS], T.count(text, r"\n{3,}").alias("blank_line_groups_collapsed"))
 
-def merge_chunks(chunks: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text, diagnostics, missing) from chunks (doc_id, id, status, result) and chapters (doc_id, chapter, title, start_chunk).
+    return T.let(done, joined)
 
-    Active chunks in order of id, seam marks between, each behind the headings of the chapters that begin in it;
-    missing lists the active chunks without result.
+
+def header_of(header: str) -> str:
+    """A text before a merged body: lines without white space at their ends, and a rule behind, if it has none."""
+    text = "\n".join(line.rstrip() for line in header.replace("\r\n", "\n").replace("\r", "\n").split("\n")).strip()
+    return text if not text or text.endswith("---") else f"{text}\n\n---"
+
+
+def headings(chapters: DataFrame) -> DataFrame:
+    """(doc_id, id, head, n): the headings of the chapters (doc_id, chapter, title[, title_en, title_zh], start_chunk) that begin in chunk id.
+
+    A chapter's heading is its English title, then its Chinese one if that differs; the title only where both are blank. One
+    without any has no heading; n counts those with.
+    """
+    stripped = lambda c: T.strip(T.text_of(c)) if c in chapters.columns else F.lit("")
+    en, zh, title = stripped("title_en"), stripped("title_zh"), stripped("title")
+    named = F.filter(F.array_distinct(F.array(en, zh)), lambda t: t != "")
+    lines = F.when(F.size(named) > 0, named).when(title != "", F.array(title)).otherwise(F.array().cast("array<string>"))
+    head = F.array_join(F.transform(lines, lambda t: F.concat(F.lit("## "), t)), "\n")
+    own = chapters.where("start_chunk IS NOT NULL").select("doc_id", F.col("start_chunk").cast("bigint").alias("id"), "chapter", head.alias("h")).where("h <> ''")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chapter", "h"))), lambda s: s["h"])
+    return own.groupBy("doc_id", "id").agg(F.array_join(ordered, "\n\n").alias("head"), F.count(F.lit(1)).alias("n"))
+
+
+def merge_chunks(chunks: DataFrame, chapters: DataFrame | None = None, header: str = "") -> DataFrame:
+    """(doc_id, text, diagnostics, missing, chapters_inserted, success, total_chars, total_lines) from chunks (doc_id, id, status, result) and chapters (see headings).
+
+    Active chunks in order of id, each behind the headings of the chapters that begin in it, whether it has a result or not, with a seam mark
+    behind each result; then the body is cleaned (clean_body), and the header put before it. missing lists the ``done`` chunks without result: others
+    may still come, and don't make a run fail. total_lines counts line ends.
     """
-    active = chunks.where("status <> 'superseded'")
+    active = chunks.where("status <> 'superseded'").withColumn("_id", F.col("id").cast("bigint"))
     if chapters is not None:
-        line = F.concat(F.lit("## "), F.col("title"))
-        heads = chapters.where("title <> ''").groupBy("doc_id", F.col("start_chunk").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter", line.alias("h")))), lambda s: s["h"]), "\n").alias("head"))
-        active = active.join(heads, ["doc_id", "id"], "left")
+        active = active.join(headings(chapters).withColumnRenamed("id", "_id"), ["doc_id", "_id"], "left")
     else:
-        active = active.withColumn("head", F.lit(None).cast("string"))
-    has = T.strip(T.text_of("result")) != ""
-    piece = F.concat_ws("\n\n", F.col("head"), T.strip(F.col("result")))
+        active = active.withColumn("head", F.lit(None).cast("string")).withColumn("n", F.lit(None).cast("long"))
+    has = F.col("result").isNotNull()
+    piece = F.concat(F.coalesce(F.concat(F.lit("\n\n"), "head", F.lit("\n\n")), F.lit("")), F.when(has, F.concat("result", F.lit(f"\n\n{T.SEAM}\n\n"))).otherwise(""))
     merged = active.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(has, F.struct("id", piece.alias("p"))))), lambda s: s["p"]), f"\n\n{T.SEAM}\n\n").alias("body"),
-        F.array_sort(F.collect_list(F.when(~has, F.col("id")))).alias("missing"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_id", piece.alias("p")))), lambda s: s["p"]), "").alias("body"),
+        F.array_sort(F.collect_list(F.when(~has & (F.lower(F.btrim("status")) == "done"), F.col("id")))).alias("missing"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("chapters_inserted"),
     )
     merged = merged.withColumn("_d", clean_body("body"))
-    return merged.select("doc_id", F.col("_d.text").alias("text"), F.struct(*[F.col(f"_d.{k}").alias(k) for k in _COUNTERS]).alias("diagnostics"), "missing")
+    front = header_of(header)
+    text = F.concat_ws("\n\n", F.lit(front or None), F.nullif(F.col("_d.text"), F.lit("")))
+    counters = F.struct(*[F.col(f"_d.{k}").alias(k) for k in (*_COUNTERS, "blank_line_groups_collapsed")])
+    out = merged.select("doc_id", text.alias("text"), counters.alias("diagnostics"), "missing", "chapters_inserted", (F.size("missing") == 0).alias("success"))
+    return out.withColumn("total_chars", F.length("text")).withColumn("total_lines", F.length("text") - F.length(F.translate("text", "\n", "")))
 
 
 def assemble(docs: DataFrame) -> DataFrame:

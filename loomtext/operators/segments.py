@@ -128,14 +128,32 @@ def previous_active(chunks: DataFrame) -> DataFrame:
     return active.withColumn("previous_id", F.lag("id").over(w)).withColumn("_t", F.lag("text").over(w)).withColumn("tail", F.when(F.col("_t").isNotNull(), T.tail_sentences("_t", 2)).otherwise("")).withColumn("section", F.when(F.col("_t").isNotNull(), T.last_section_title("_t")).otherwise("")).drop("_t")
 
 
-def continuity(chunks: DataFrame) -> DataFrame:
-    """Context for each chunk from the active one before: the processed tail, else the raw tail, else the stored tail; and the section."""
+def continuity(chunks: DataFrame, input_key: str = "raw_path", sentences: int = 1, mode: str = "reference_only", boundary: str = "Work on the chunk below only.", output: str = "Leave this context out of the output.") -> DataFrame:
+    """chunks with what goes on from the active chunk before: context_tail, context_section, source_chunk_id, context_text, context_tokens, context_mode.
+
+    chunks: (doc_id, id, status) and any of processed_input_tail_context_text, processed_tail_context_text, processed_text, tail_context_text,
+    processed_input_section_title and last_section_title; absent ones are blank. In a chain over processed text the tail is the stored
+    tail of the input, else that of the output, else the last sentences of processed_text if there is one, else the raw tail; over raw text it
+    is the raw tail alone. The section title is the one stored for the input (processed text only), else the last one stored, else the last
+    heading of processed_text. Without both there is no context: blank text, no source, no tokens.
+    """
     w = Window.partitionBy("doc_id").orderBy("id")
     active = chunks.where("status <> 'superseded'")
-    before = lambda c: F.lag(F.nullif(F.btrim(c), F.lit(""))).over(w)
-    tails = [T.tail_sentences(before("processed_text"), 2), T.tail_sentences(before("raw_text"), 2), before("tail_context_text")]
-    tail = F.coalesce(*[F.nullif(x, F.lit("")) for x in tails], F.lit(""))
-    return active.withColumn("context_tail", tail).withColumn("context_section", T.last_section_title(before("processed_text")))
+    before = lambda c: F.lag(c).over(w) if c in chunks.columns else F.lit(None).cast("string")
+    stored = lambda c: F.nullif(T.strip(T.text_of(before(c))), F.lit(""))
+    processed, raw = before("processed_text"), stored("tail_context_text")
+    again = F.when(processed.isNotNull(), T.tail_sentences(processed, sentences))
+    chain = input_key == "processed_path"
+    tail = F.coalesce(stored("processed_input_tail_context_text"), stored("processed_tail_context_text"), again, raw, F.lit("")) if chain else F.coalesce(raw, F.lit(""))
+    titles = [stored("processed_input_section_title")] if chain else []
+    section = F.coalesce(*titles, stored("last_section_title"), F.when(processed.isNotNull(), T.last_section_title(processed)), F.lit(""))
+    out = active.withColumn("context_tail", tail).withColumn("context_section", section).withColumn("_from", F.lag("id").over(w))
+    some = (F.col("context_tail") != "") | (F.col("context_section") != "")
+    part = lambda c, label: F.when(F.col(c) != "", F.concat(F.lit(f"{label}:\n"), c))
+    head = f"## Continuity Context\n\nThe chunk before, for reference only.\n{boundary}\n{output}"
+    text = T.strip(F.concat_ws("\n\n", F.lit(head), part("context_section", "Previous section title"), part("context_tail", "Previous chunk tail")))
+    out = out.withColumn("source_chunk_id", F.when(some, F.col("_from"))).withColumn("context_text", F.when(some, text).otherwise("")).drop("_from")
+    return out.withColumn("context_tokens", F.when(some, T.estimate_tokens("context_text")).otherwise(0)).withColumn("context_mode", F.lit(mode))
 
 
 def streaks(events: DataFrame, flag: str, n: int, by: str = "doc_id", order: str = "id") -> DataFrame:

@@ -142,10 +142,31 @@ def continuity_lag(spark, d):
     return S.previous_active(c).select("doc_id", *long("id", "previous_id"))
 
 
-@query()
+_SAID = {"processed_input_tail_context_text": "CASE WHEN id % 4 = 0 THEN ' in ' || id || ' ' END", "processed_tail_context_text": "CASE WHEN id % 4 < 2 THEN 'out ' || id ELSE ' ' END", "processed_text": "CASE WHEN id % 4 < 3 THEN '## Part ' || id || chr(10) || chr(10) || 'said ' || id END", "tail_context_text": "CASE WHEN id % 5 > 0 THEN 'raw ' || id END", "last_section_title": "CASE WHEN id % 3 = 0 THEN 'Kept ' || id END"}
+_BEFORE = ", ".join(f"lag({sql}) OVER w AS {name}" for name, sql in _SAID.items())
+
+
+def _continuity_sql(chain: bool) -> str:
+    tail = "coalesce(nullif(trim(processed_input_tail_context_text), ''), nullif(trim(processed_tail_context_text), ''), CASE WHEN processed_text IS NOT NULL THEN '## Part ' || previous || ' said ' || previous END, tail_context_text, '')" if chain else "coalesce(tail_context_text, '')"
+    return f"""WITH {TURNS}, b AS (SELECT doc_id, id, lag(id) OVER w AS previous, {_BEFORE} FROM turns WHERE id % 7 <> 3 WINDOW w AS (PARTITION BY doc_id ORDER BY id)),
+    c AS (SELECT doc_id, id, previous, {tail} AS context_tail, coalesce(last_section_title, CASE WHEN processed_text IS NOT NULL THEN 'Part ' || previous END, '') AS context_section FROM b)
+    SELECT doc_id, CAST(id AS BIGINT) AS id, context_tail, context_section, CAST(CASE WHEN context_tail || context_section <> '' THEN previous END AS BIGINT) AS source_chunk_id, context_tail || context_section = '' AS blank FROM c"""
+
+
+def _continuity(spark, d, key: str):
+    said = {name: F.expr(sql.replace("chr(10)", "char(10)")) for name, sql in _SAID.items()}
+    c = turns(spark, d).withColumn("status", F.when(F.col("id") % 7 == 3, "superseded").otherwise("done")).withColumns(said)
+    return S.continuity(c, key).select("doc_id", *long("id"), "context_tail", "context_section", *long("source_chunk_id"), (F.col("context_text") == "").alias("blank"))
+
+
+@query(_continuity_sql(True))
 def continuity_context(spark, d):
-    c = turns(spark, d).select("doc_id", "id", F.lit("done").alias("status"), F.col("text").alias("raw_text"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("## Part\n"), "text")).alias("processed_text"), F.lit("").alias("tail_context_text"))
-    return S.continuity(c).select("doc_id", "id", "context_tail", "context_section")
+    return _continuity(spark, d, "processed_path")
+
+
+@query(_continuity_sql(False))
+def continuity_of_raw(spark, d):
+    return _continuity(spark, d, "raw_path")
 
 
 @query()

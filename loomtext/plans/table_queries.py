@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import chars as C
 from ..functions import text as T
-from ..operators import chunking, merge, quality, runtime
+from ..operators import chunking, merge, packing, quality, runtime
+from ..operators import plans as plan_versions
 from ..operators import segments as S
 from ..sources import records, speech, subtitles
 from .tables import TURNS, table, turns
@@ -96,6 +98,24 @@ def speech_segments(spark, d):
     return speech.segments(speech.parse(_recordings(spark, d)), 10.0, 5).select("doc_id", F.col("id").cast("long").alias("id"), "text", "start_time", "end_time")
 
 
+@query("""WITH c AS (SELECT conv_id AS doc_id, turn AS id, CASE turn % 5 WHEN 4 THEN 'superseded' WHEN 3 THEN 'done' WHEN 2 THEN 'pending' ELSE 'done' END AS status,
+  CASE WHEN turn % 5 IN (0, 1, 4) THEN 'Turn ' || turn || ' by ' || role || ' has ' || length(text) || ' characters!' END AS result FROM conversations),
+h AS (SELECT *, CASE WHEN id % 3 = 0 THEN chr(10) || chr(10) || '## Part ' || id || CASE id % 2 WHEN 0 THEN chr(10) || '## 第' || id || '章' ELSE '' END WHEN id % 3 = 1 THEN chr(10) || chr(10) || '## Only ' || id ELSE '' END AS head FROM c WHERE status <> 'superseded')
+SELECT doc_id, 'Notes' || chr(10) || chr(10) || '---' || rtrim(string_agg(head || CASE WHEN result IS NOT NULL THEN chr(10) || chr(10) || result ELSE '' END, '' ORDER BY id)) AS text,
+  CAST(count(*) FILTER (id % 3 < 2) AS BIGINT) AS chapters_inserted, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (status = 'done' AND result IS NULL), '') AS missing, count(*) FILTER (status = 'done' AND result IS NULL) = 0 AS success
+FROM h GROUP BY doc_id""")
+def merge_chapters(spark, d):
+    """Headings in two languages, one for chunks without result too; of these only done ones are missing."""
+    turn = F.col("turn")
+    status = F.element_at(F.array(*map(F.lit, ("done", "done", "pending", "done", "superseded"))), (turn % 5 + 1).cast("int"))
+    said = F.concat(F.lit("Turn "), "turn", F.lit(" by "), "role", F.lit(" has "), F.length("text"), F.lit(" characters!"))
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), turn.cast("int").alias("id"), status.alias("status"), F.when((turn % 5).isin(0, 1, 4), said).alias("result"))
+    part = F.concat(F.lit("Part "), "id")
+    heads = c.where("id % 3 < 2").select("doc_id", F.col("id").alias("chapter"), F.when(F.col("id") % 3 == 0, "unused").otherwise(F.concat(F.lit(" Only "), "id")).alias("title"), F.when(F.col("id") % 3 == 0, part).alias("title_en"), F.when(F.col("id") % 3 == 0, F.when(F.col("id") % 2 == 0, F.concat(F.lit("第"), "id", F.lit("章"))).otherwise(part)).alias("title_zh"), F.col("id").alias("start_chunk"))
+    out = merge.merge_chunks(c, heads, header=" Notes  ")
+    return out.select("doc_id", "text", "chapters_inserted", F.array_join(F.transform("missing", lambda i: i.cast("string")), ",").alias("missing"), "success")
+
+
 @query("""SELECT conv_id AS doc_id, string_agg('Turn ' || turn || ' by ' || role || ' has ' || length(text) || ' characters!', chr(10) || chr(10) ORDER BY turn) FILTER (turn % 4 <> 3) AS text FROM conversations GROUP BY 1""")
 def merge_concat(spark, d):
     """Chunks without faults are put together as they are; every fourth is superseded."""
@@ -130,6 +150,43 @@ def pack_lines(spark, d):
     return packed.select("doc_id", F.posexplode("c").alias("chunk_id", "p")).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("p.chars").cast("long").alias("chars"), F.md5(F.col("p.content").cast("binary")).alias("content"))
 
 
+@query("""WITH RECURSIVE lines AS (SELECT source, doc_id, unnest(u) AS s, unnest(range(len(u))) AS k FROM (
+  SELECT source, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS u FROM documents)),
+units AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, k) - 1 AS pos, length(s) + 2 AS w FROM lines),
+sums AS (SELECT source, pos, sum(w) OVER (PARTITION BY source ORDER BY pos) AS reach, w FROM units),
+after AS (SELECT a.source, a.pos, min(b.pos) AS next FROM sums a LEFT JOIN sums b ON b.source = a.source AND b.pos > a.pos AND b.reach > a.reach - a.w + 2002 GROUP BY 1, 2),
+c AS (SELECT source, pos, next, 0 AS chunk FROM after WHERE pos = 0 UNION ALL SELECT a.source, a.pos, a.next, c.chunk + 1 FROM c JOIN after a ON a.source = c.source AND a.pos = c.next)
+SELECT c.source, CAST(chunk AS BIGINT) AS chunk, c.pos AS first, coalesce(next, n) - c.pos AS units FROM c JOIN (SELECT source, count(*) AS n FROM units GROUP BY 1) z ON z.source = c.source""")
+def pack_rows(spark, d):
+    """All lines of a source as one document, whose units are rows."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.btrim(s)), lambda s: s != "")
+    t = table(spark, d, "documents").select("source", "doc_id", lines.alias("u"))
+    before = F.sum(F.size("u")).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    units = t.withColumn("base", F.coalesce(before, F.lit(0))).select(F.col("source").alias("doc_id"), "base", F.posexplode("u").alias("k", "s"))
+    return packing.pack_rows(units.select("doc_id", (F.col("base") + F.col("k")).alias("pos"), F.length("s").alias("size")), 2000, 2).withColumnRenamed("doc_id", "source").withColumn("chunk", F.col("chunk").cast("long"))
+
+
+#: Three plans: the first moves every second chunk by 100, each later one every second of those it finds.
+_MOVES = " UNION ALL ".join(f"SELECT conv_id AS doc_id, turn + {100 * v} AS old_id, turn + {100 * v + 100} AS new_id FROM conversations WHERE turn % {2 ** (v + 1)} = 0" for v in range(3))
+
+
+@query(f"""WITH RECURSIVE m AS ({_MOVES}), way AS (SELECT conv_id AS doc_id, turn AS chapter, turn AS place FROM conversations UNION ALL SELECT w.doc_id, w.chapter, m.new_id FROM way w JOIN m ON m.doc_id = w.doc_id AND m.old_id = w.place)
+SELECT doc_id, chapter, max(place) AS start_chunk, CASE WHEN max(place) > chapter THEN chapter END AS original_start_chunk FROM way GROUP BY 1, 2""")
+def remap_over_versions(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chapter"), F.col("turn").alias("start_chunk"))
+    moves = [c.where(F.col("chapter") % 2 ** (v + 1) == 0).select("doc_id", (F.col("chapter") + 100 * v).alias("old_id"), (F.col("chapter") + 100 * v + 100).alias("new_id")) for v in range(3)]
+    return plan_versions.remap_over_versions(c, moves[0].unionByName(moves[1]).unionByName(moves[2])).select("doc_id", "chapter", "start_chunk", "original_start_chunk")
+
+
+@query("""SELECT conv_id AS doc_id, 'p' || turn AS plan_id, CASE WHEN turn > 0 THEN 'p' || (turn - 1) END AS prior_plan_id, turn AS version, 'p0' AS first_plan_id, 'p' || max(turn) OVER (PARTITION BY conv_id) AS current_plan_id,
+  CASE WHEN turn < max(turn) OVER (PARTITION BY conv_id) THEN 'p' || (turn + 1) END AS superseded_by FROM conversations""")
+def plan_chain(spark, d):
+    """Each turn of a conversation as a plan that supersedes that of the turn before."""
+    plan = lambda n: F.concat(F.lit("p"), n.cast("string"))
+    p = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), plan(F.col("turn")).alias("plan_id"), F.when(F.col("turn") > 0, plan(F.col("turn") - 1)).alias("prior_plan_id"))
+    return plan_versions.chain(p)
+
+
 @query(rf"""WITH {TURNS}, p AS (SELECT *, CASE WHEN length(text) > 100 THEN list_filter(list_transform(range(0, (length(text) + 99) // 100), lambda k: regexp_replace(substr(text, k * 100 + 1, 100), '^\s+|\s+$', '', 'g')), lambda s: s <> '') ELSE [text] END AS parts FROM turns),
 q AS (SELECT *, unnest(range(1, len(parts) + 1)) AS k, list_sum(list_transform(parts, lambda s: length(s))) AS total FROM p),
 b AS (SELECT *, CAST(coalesce(list_sum(list_transform(parts[1 : k - 1], lambda s: length(s))), 0) AS DOUBLE) AS before, length(parts[k]) AS n FROM q)

@@ -195,7 +195,9 @@ def test_merge(spark):
     chunks = [("a", 0, "done", "## Start\n\n早上下了一场雨。\n\n街上没有人。"), ("a", 1, "done", "街上没有人。\n\n中午天晴了。"), ("a", 2, "superseded", "old"), ("a", 3, "failed", None)]
     df = spark.createDataFrame(chunks, "doc_id string, id int, status string, result string")
     r = merge.merge_chunks(df).collect()[0]
-    assert r["text"].count("街上没有人。") == 1 and r["missing"] == [3] and "old" not in r["text"]
+    assert r["text"].count("街上没有人。") == 1 and r["missing"] == [] and r["success"] and "old" not in r["text"]
+    lost = merge.merge_chunks(df.withColumn("result", F.when(F.col("id") != 1, F.col("result")))).collect()[0]
+    assert lost["missing"] == [1] and not lost["success"]
     heads = spark.createDataFrame([("a", 0, "Start", 0)], "doc_id string, chapter int, title string, start_chunk int")
     r = merge.merge_chunks(df, heads).collect()[0]
     assert r["text"].count("## Start") == 1 and r["diagnostics"]["heading_line_dedup_count"] >= 1
