@@ -70,10 +70,10 @@ def shingle_sets(column: pa.Array, words: int):
                         x = x * _STEP + w
                     more.append(x)
                 parts.append(mix(np.concatenate([s[whole], np.array(more, np.uint64)])))
-        order = np.lexsort((parts[0], of))
+        order = np.lexsort((parts[1], parts[0], of))
         s, more, of = parts[0][order], parts[1][order], of[order]
         new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
+        new[1:] = (s[1:] != s[:-1]) | (more[1:] != more[:-1]) | (of[1:] != of[:-1])
         s, more, of = s[new], more[new], of[new]
         yield np.searchsorted(of, np.arange(len(n) + 1)), s, more
 
@@ -251,14 +251,51 @@ def _block_links(rows, words: int, percent: int):
     return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
 
+def _strays(rows: DataFrame, made: DataFrame, words: int, among: list[str]) -> DataFrame | None:
+    """(its_id, its_x, tag): the documents whose sets aren't those of the others with the same hashes; None if there are none.
+
+    Texts of one hash are grouped by their bytes, which takes care of copies before anything is shuffled for them; a text that differs from the
+    least of its hash is compared with that, set by set. One with another set gets a tag of its own, so that it is a node of its own.
+    """
+    crowd = made.where("n > 0").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h1", "h2")
+    members = made.select(F.col("doc_id").alias("its_id"), F.col("x").alias("its_x"), "h1", "h2").join(_grown(crowd), ["h1", "h2"]).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("x") == F.col("its_x"))
+    said = rows.join(_grown(members), same).select("doc_id", "x", "h1", "h2", "text")
+    texts = written(said.groupBy("h1", "h2", "text").agg(F.count(F.lit(1)).alias("times")), "said", among)
+    several = texts.groupBy("h1", "h2").agg(F.min("text").alias("first"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h1", "h2", "first")
+
+    def apart(batches):
+        nothing_kept()
+        for b in batches:
+            for at, part in column_slices(b.column(2), SLICE):
+                firsts = b.column(3).slice(at, len(part)).dictionary_encode()  # the same for many rows
+                first, s = exact_sets(pa.concat_arrays([part, firsts.dictionary]), words)
+                other = np.asarray(firsts.indices) + len(part)
+                differ = [not np.array_equal(s[first[k] : first[k + 1]], s[first[q] : first[q + 1]]) for k, q in enumerate(other.tolist())]
+                yield b.slice(at, len(part)).select(["h1", "h2", "text"]).filter(pa.array(differ, pa.bool_()))
+
+    pairs = texts.join(_grown(several), ["h1", "h2"]).where("text <> first").select("h1", "h2", "text", "first")
+    strays = written(pairs.mapInArrow(apart, "h1 long, h2 long, text string"), "strays", among)
+    if not strays.take(1):
+        return None
+    tagged = written(strays.withColumn("tag", F.monotonically_increasing_id() + 1), "tagged", among)
+    return said.join(_grown(tagged), ["h1", "h2", "text"]).select(F.col("doc_id").alias("its_id"), F.col("x").alias("its_x"), "tag").distinct()
+
+
 def judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """near_duplicates() with x, the hash of the row's text."""
     far = 1 - percent / 100
-    spark, among = docs.sparkSession, []
+    spark, among, mine_at = docs.sparkSession, [], []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("x", F.xxhash64("text"))
-    made = written(sketches(rows.select("doc_id", "x", "text"), words), "sketches")
+    made = written(sketches(rows.select("doc_id", "x", "text"), words), "sketches", mine_at)
+    if (strays := _strays(rows, made, words, mine_at)) is None:
+        made = made.withColumn("tag", F.lit(0).cast("long"))
+    else:
+        ids = [F.col("doc_id").eqNullSafe(F.col("its_id")), F.col("x") == F.col("its_x")]
+        made = made.join(_grown(strays), ids, "left").drop("its_id", "its_x").withColumn("tag", F.coalesce("tag", F.lit(0)))
+        made = written(made, "told_apart", mine_at)
     # 1. nodes and half-keys
-    alike = made.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first(F.struct("doc_id", "x")).alias("row"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    alike = made.where("n > 0").groupBy("h1", "h2", "tag").agg(F.min("doc_id").alias("least"), F.first(F.struct("doc_id", "x")).alias("row"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     nodes = written(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
     all_nodes = _grown(nodes)
     keys = nodes.select("node", "n", F.explode("halves").alias("key"))
@@ -287,15 +324,21 @@ def judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str
         found.append(compared)
         near = compared.where(F.col("both") > F.col("either") * F.lit(1 - 2 * far)).select("node", "leader")
         buckets = led.join(_grown(near), ["node", "leader"], "left_anti").select("node", "n", "lead", "bucket")
-    nodes_of = nodes.select("h1", "h2", "node", "least")
+    nodes_of = nodes.select("h1", "h2", "tag", "node", "least")
     if found:
+        # what is in a component: a small table, told from which the least doc_id of a root comes, before all nodes are touched
         comps, roots = _roots(found, buckets, all_nodes, texts, words, percent, far, among)
-        nodes_of = nodes_of.join(_grown(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(_grown(roots), "comp", "left").withColumn("root", F.coalesce("root", "comp"))
-        nodes_of = written(nodes_of.select("h1", "h2", "least", "root"), "roots")
-        least = nodes_of.groupBy("root").agg(F.min("least").alias("of_root"))
-        nodes_of = nodes_of.join(_grown(least), "root").select("h1", "h2", F.col("of_root").alias("least"))
+        salt, each = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        alone = comps.select("comp").union(roots.select("comp")).union(roots.select("root")).distinct().select(F.col("comp").alias("node"), "comp")
+        member = comps.select("node", "comp").unionByName(alone.join(_grown(comps.select("node")), "node", "left_anti")).withColumn("salt", salt)
+        member = member.join(_grown(roots.select("comp", "root").withColumn("salt", each)), ["comp", "salt"], "left").select("node", F.coalesce("root", "comp").alias("root"))
+        member = written(member.join(_grown(nodes.select("node", "least")), "node"), "roots", among)
+        least = member.groupBy("root").agg(F.min("least").alias("of_root")).withColumn("salt", each)
+        moved = member.select("node", "root", salt.alias("salt")).join(_grown(least), ["root", "salt"]).select("node", "of_root")
+        nodes_of = nodes_of.join(_grown(moved), "node", "left").withColumn("least", F.when(F.col("of_root").isNotNull(), F.col("of_root")).otherwise(F.col("least")))
+        nodes_of = written(nodes_of.select("h1", "h2", "tag", "least"), "leasts")
     removed(spark, among)
-    out = made.select("doc_id", "x", "n", "h1", "h2").join(_grown(nodes_of.select("h1", "h2", "least")), ["h1", "h2"], "left")
+    out = made.select("doc_id", "x", "n", "h1", "h2", "tag").join(_grown(nodes_of.select("h1", "h2", "tag", "least")), ["h1", "h2", "tag"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "x")
 
@@ -306,7 +349,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(LINK * 1
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of shingles; component_id is
     the least doc_id that links lead to and kept tells that it is the row's own.
 
-    1. Documents with the same set, by 128 bits of hash, are one node. Two collections of half-keys are made of minima
+    1. Documents with the same set are one node: 128 bits of hash find them, then their bytes are compared, and their sets where bytes differ. Two collections of half-keys are made of minima
        over the set; a half-key that no other node has is dropped, and every remaining one of the first with every
        one of the second makes the key of a table.
     2. In each bucket the node that shares most half-keys leads, and every other is compared with it on whole texts, shingle
@@ -369,4 +412,4 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = int(
     """docs, all columns, with one document of each component: that of the least doc_id. Rows alike in doc_id and text stay or go together; see near_duplicates."""
     id_, x_ = fresh(docs, "_gone", "_x")
     gone = judged(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_), F.col("x").alias(x_)).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(x_)), "left_anti")
+    return docs.join(_grown(gone), F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(x_)), "left_anti")

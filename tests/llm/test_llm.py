@@ -161,6 +161,21 @@ def test_a_crowded_bucket(spark, monkeypatch):
     assert [got[k]["component_id"] for k in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("bits", [0, 1])
+def test_equal_hashes_are_compared(spark, docs, monkeypatch, bits):
+    """All sets have one hash, or one of a few: documents that share no shingle stay apart, those with one set stay together."""
+    own = neardup._set_hashes
+
+    def clash(first, s, more):
+        return np.where(own(first, s, more) != 0, 1 + (own(first, s, more) & np.uint64(bits)), 0).astype(np.uint64)
+
+    monkeypatch.setattr(neardup, "_set_hashes", clash)
+    want, sizes = brute_components(TEXTS, 2)
+    got = by_id(neardup.near_duplicates(docs, 2))
+    assert [got[k]["component_id"] for k in range(len(TEXTS))] == want
+    assert [got[k]["n_shingles"] for k in range(len(TEXTS))] == sizes
+
+
 def test_near_duplicates_of_little(spark, none):
     assert neardup.near_duplicates(none, 2).collect() == []
     df = spark.createDataFrame([(3, None), (1, ""), (2, "a b"), (2, "a b"), (9, "A B")], "doc_id long, text string")
@@ -225,7 +240,7 @@ def test_tables_of_an_open_group_are_not_broadcast(spark, monkeypatch):
     rnd = random.Random(11)
     texts = [" ".join(f"x{rnd.randrange(60)}" if rnd.random() < k % 9 / 80 else f"w{i}" for i in range(80)) for k in range(60)]
     neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).collect()
-    assert {"led", "compared", "edges", "rest", "roots"} <= set(plans)
+    assert {"said", "led", "compared", "edges", "rest", "roots", "leasts"} <= set(plans)
     assert [name for name, plan in plans.items() if "BroadcastExchange" in plan] == []
 
 
