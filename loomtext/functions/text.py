@@ -123,15 +123,30 @@ def needs_space(left: Column, right: Column) -> Column:
     )
 
 
-def join_fragments(parts: Column) -> Column:
-    """An array of fragments as one text, spaced by needs_space; blank ones go."""
+def joined_fragments(parts: Column) -> Column:
+    """struct(text, inserted): an array of fragments as one text, spaced by needs_space, and how many spaces that put in; blank ones go."""
     clean = F.filter(F.transform(parts, lambda p: strip(strip_markup(p))), lambda p: p != "")
-    return F.aggregate(clean, F.lit(""), lambda a, p: F.when(a == "", p).when(needs_space(a, p), F.concat(a, F.lit(" "), p)).otherwise(F.concat(a, p)))
+
+    def step(a: Column, p: Column) -> Column:
+        spaced = (a["text"] != "") & needs_space(a["text"], p)
+        return let(spaced, lambda s: F.struct(F.concat(a["text"], F.when(s, " ").otherwise(""), p).alias("text"), (a["inserted"] + s.cast("int")).alias("inserted")))
+
+    return F.aggregate(clean, F.struct(F.lit("").alias("text"), F.lit(0).alias("inserted")), step)
+
+
+def join_fragments(parts: Column) -> Column:
+    """An array of fragments as one text; see joined_fragments."""
+    return joined_fragments(parts)["text"]
+
+
+def cue_line(x: Column | str) -> Column:
+    """struct(text, inserted): one cue as one line, and the spaces put between its lines."""
+    return let(joined_fragments(F.split(normalize_subtitle(x), "\n")), lambda j: F.struct(strip(j["text"]).alias("text"), j["inserted"].alias("inserted")))
 
 
 def normalize_cue(x: Column | str) -> Column:
     """One cue as one line."""
-    return strip(join_fragments(F.split(normalize_subtitle(x), "\n")))
+    return cue_line(x)["text"]
 
 
 def repair_confusables(token: Column) -> Column:

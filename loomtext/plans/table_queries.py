@@ -55,6 +55,19 @@ def asr_normalise(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.normalize_speech(F.translate("text", "eaolsn", "你好015！")).alias("out"))
 
 
+@query(r"""SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS id, 'Turn ' || turn || ' by ' || role || CASE WHEN turn % 3 < 2 THEN ' has ' || length(text) || ' characters' ELSE '' END AS text,
+  CAST(turn * 4 AS DOUBLE) AS start_time, CAST(turn * 4 + 2 AS DOUBLE) AS end_time, sum(CASE WHEN turn % 3 < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS spaces FROM conversations""")
+def vtt_notes(spark, d):
+    """Cues of two lines; in each third a note with its blank line stands between them, in another the second line is missing."""
+    at = lambda s: F.format_string("%02d:%02d:%02d.000", (s / 3600).cast("int"), (s / 60 % 60).cast("int"), (s % 60).cast("int"))
+    more = F.concat(F.when(F.col("turn") % 3 == 1, "NOTE on it\nin lines\n\n").otherwise(""), F.lit("has "), F.length("text"), F.lit(" characters\n"))
+    cue = F.concat(at(F.col("turn") * 4), F.lit(" --> "), at(F.col("turn") * 4 + 2), F.lit("\nTurn "), "turn", F.lit(" by "), "role", F.lit("\n"), F.when(F.col("turn") % 3 < 2, more).otherwise(""), F.lit("\n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"])
+    docs = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(listed, "")).alias("text"))
+    folded = subtitles.fold_cues(subtitles.cues(docs)).select("doc_id", F.col("diagnostics.inserted_ascii_space_count").cast("long").alias("spaces"), F.inline("segments"))
+    return folded.select("doc_id", F.col("id").cast("long").alias("id"), "text", "start_time", "end_time", "spaces")
+
+
 _SAID = r"'#' || turn || ' ' || trim(regexp_replace(regexp_replace(translate(text, '<>&', ''), '\s+', ' ', 'g'), ' +([,.!?;:])', '\1', 'g'))"
 
 

@@ -32,11 +32,15 @@ def cues(docs: DataFrame) -> DataFrame:
     """(doc_id, cue, start_time, end_time, text, language) from (doc_id, text): the raw cues of WebVTT texts.
 
     A line with ``-->`` begins a cue and a blank one ends it; lines outside cues are dropped, NOTE blocks
-    and lines that begin like headers everywhere. Each document's lines are numbered and folded with
-    windows over that document alone.
+    and lines that begin like headers everywhere. A NOTE may stand in a cue: the blank line behind it ends the note alone. Each
+    document's lines are numbered and folded with windows over that document alone.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(F.replace(T.text_of("text"), F.lit("﻿"), F.lit("")), r"\r\n|\r|\n")).alias("k", "raw"))
-    lines = lines.withColumn("line", T.strip(F.col("raw")))
+    return cues_of_lines(docs.select("doc_id", F.posexplode(F.split(F.replace(T.text_of("text"), F.lit("﻿"), F.lit("")), r"\r\n|\r|\n")).alias("k", "raw")))
+
+
+def cues_of_lines(lines: DataFrame) -> DataFrame:
+    """cues() of lines (doc_id, k, raw) in the order of k, as files.read_lines gives them."""
+    lines = lines.withColumn("line", T.strip(F.replace(F.col("raw"), F.lit("﻿"), F.lit(""))))
     w = Window.partitionBy("doc_id").orderBy("k")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blank = F.col("line") == ""
@@ -47,7 +51,8 @@ def cues(docs: DataFrame) -> DataFrame:
     header = F.col("line").rlike(r"\A(?:WEBVTT|Kind:|Style:|STYLE|REGION)")
     language = F.regexp_extract("line", r"\ALanguage:\s*(.*)\z", 1)
     spoken = lines.withColumn("language", F.first(F.when(F.col("line").startswith("Language:"), language), True).over(Window.partitionBy("doc_id")))
-    kept = spoken.where(~F.col("noted") & ~header)
+    ends_note = blank & F.coalesce(F.lag("noted").over(w), F.lit(False))
+    kept = spoken.withColumn("ends_note", ends_note).where(~F.col("noted") & ~header & ~F.col("ends_note"))
     timing = F.col("line").contains("-->")
     kept = kept.withColumn("part", F.sum((timing | blank).cast("int")).over(upto)).withColumn("timed", timing)
     cue = kept.groupBy("doc_id", "part").agg(
@@ -68,12 +73,13 @@ def fold_cues(cues: DataFrame) -> DataFrame:
     segment, as already trimmed, loses that overlap, and extends it if nothing is left. A document's cues
     are one array; documents are folded in parallel.
     """
-    ready = cues.withColumn("clean", T.normalize_cue("text")).withColumn("markup", T.markup_counts("text"))
+    ready = cues.withColumn("line", T.cue_line("text")).withColumn("clean", F.col("line.text")).withColumn("markup", T.markup_counts("text"))
     ready = ready.withColumn("gaps", T.tighten_counts(F.regexp_replace(T.normalize_body(T.strip_markup("text")), r"[ \t]+", " ")))
     per_doc = ready.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("cue", "clean", "start_time", "end_time"))).alias("cues"),
         F.count(F.lit(1)).alias("cue_count"),
         F.count_if(F.col("clean") == "").alias("empty_cue_count"),
+        F.sum("line.inserted").alias("inserted_ascii_space_count"),
         *[F.sum(f"markup.{c}").alias(c) for c in ("markup_tag_count", "nbsp_entity_count")],
         *[F.sum(f"gaps.{c}").alias(c) for c in ("collapsed_cjk_spacing_count", "tightened_punctuation_spacing_count", "tightened_bracket_spacing_count")],
     )
@@ -93,7 +99,7 @@ def fold_cues(cues: DataFrame) -> DataFrame:
     counters = F.struct(
         "cue_count", "empty_cue_count", F.col("f.same").alias("exact_duplicate_cue_count"), F.col("f.trimmed").alias("overlap_trim_count"),
         F.col("f.chars").alias("overlap_trimmed_chars"), F.col("f.collapsed").alias("overlap_collapsed_cue_count"), "markup_tag_count", "nbsp_entity_count",
-        "collapsed_cjk_spacing_count", "tightened_punctuation_spacing_count", "tightened_bracket_spacing_count",
+        "inserted_ascii_space_count", "collapsed_cjk_spacing_count", "tightened_punctuation_spacing_count", "tightened_bracket_spacing_count",
     )
     return out.select("doc_id", segments.alias("segments"), counters.alias("diagnostics"))
 
