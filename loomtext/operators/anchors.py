@@ -54,6 +54,12 @@ def missing(anchors: Column, result: Column | str) -> Column:
     return T.let(F.struct(r.alias("r"), bare.alias("bare")), lambda t: F.filter(anchors["ordered"], lambda v: gone(v, t)))
 
 
+def lost(ordered: list[str], numbers: list[str], result: str) -> list[str]:
+    """missing() for one result in a worker."""
+    bare = result.replace(",", "")
+    return [a for a in ordered if (a.replace(",", "") not in bare if a in numbers else a not in result)]
+
+
 def prompt_context(anchors: Column) -> Column:
     """The anchors as a list to be preserved, or the empty text."""
     head = "## Semantic Anchors\n\nKeep these anchors exactly as they are where they appear in this chunk.\n\n"

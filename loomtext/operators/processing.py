@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.controller import Rules, Run
+from ..functions.terms import Automaton
 from . import anchors as A
 from . import glossary as G
 from . import lineage, runtime
+from . import segments as S
+from .quality import faults
 
 
 class RequestError(Exception):
@@ -27,14 +31,18 @@ class RequestError(Exception):
 
 @dataclass(frozen=True)
 class Limits:
-    """Retries of a request that may pass, doubling the wait; repairs of a result that has faults; timeouts in a row that stop a run."""
+    """Retries of a request that may pass, doubling the wait; repairs of a result that has faults; failures in a row, of those that don't ask for
+    a new plan, that stop a run (0: none); sentences of the chunk before that go along; most terms and anchors of a prompt; the controller's rules."""
 
     retries: int = 3
     backoff_sec: float = 1.5
     repairs: int = 1
     repair_backoff_sec: float = 0.0
-    stop_after_timeouts: int = 2
-    tail_chars: int = 400
+    stop_after_failures: int = 0
+    tail_sentences: int = 1
+    terms: int = 8
+    anchors: int = 8
+    rules: Rules = Rules()
 
 
 def kind_of(error: RequestError) -> tuple[str, bool, bool]:
@@ -52,24 +60,6 @@ def kind_of(error: RequestError) -> tuple[str, bool, bool]:
     return ("network" if error.cause == "unreachable" else "unknown"), False, False
 
 
-def faults(task: str, text: str, result: str, terms: list[str], anchors: list[str]) -> list[str]:
-    """What a result lacks: the checks of quality.output_health that a worker can make, and terms and anchors that are gone."""
-    out, ratio = [], len(result) / len(text) if text else 0.0
-    if task != "summarize":
-        out += ["empty_output"] * (not result and bool(text)) + ["short_output"] * (ratio < 0.5)
-    if task in ("structure_only", "quick_cleanup", "cleanup_zh") and "##" not in result and len(text) > 2000:
-        out.append("missing_headers")
-    if task == "translate_only" and (sum("一" <= c <= "鿿" for c in result) / len(result) if result else 0) < 0.1:
-        out.append("translation_skipped")
-    whole = lambda t: re.search(rf"(?<![A-Za-z0-9]){re.escape(t)}(?![A-Za-z0-9])" if re.fullmatch(r"[A-Za-z0-9_-]+", t) else re.escape(t), result)
-    if any(not whole(t) for t in terms):
-        out.append("missing_glossary_terms")
-    flat = result.replace(",", "")
-    if any(a.replace(",", "") not in flat for a in anchors):
-        out.append("missing_semantic_anchors")
-    return out
-
-
 #: Where a template takes the text, and before which heading context goes.
 PLACES, INPUT = ("{RAW_TEXT}", "{STRUCTURED_TEXT}"), "\n## Input Text\n"
 
@@ -87,78 +77,109 @@ def build_prompt(template: str, text: str, *contexts: str) -> str:
     return f"{template.rstrip()}\n\n{text}"
 
 
-SCHEMA = "id int, status string, result string, attempts int, repairs int, error_type string, warnings array<string>, event string"
+SCHEMA = "id int, status string, result string, attempts int, repairs int, error_type string, warnings array<string>, event string, target int, autotune string"
 
+_TITLE = re.compile(r"(?m)^##\s+(.+?)\s*$")
 
-def process_chunks(chunks: DataFrame, request: Callable[[str], str], task: str, template: str = "", limits: Limits = Limits(), glossary: DataFrame | None = None, input_key: str = "raw_path", force: bool = False, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """(doc_id, id, status, result, attempts, repairs, error_type, warnings, event) of chunks (doc_id, id, status, text, result, prompt_name, input_key).
 
-    A document's chunks go to request one after another, as each gets the end of the result before it; documents run in parallel.
-    Superseded chunks stay, and so do done ones with a result of this operation, unless force. A prompt is build_prompt() of the
-    template, the context, the terms and anchors to keep, and the text. A result with faults is asked for again as often as repairs
-    allows, then taken with warnings. An error that asks for a new plan, or as many timeouts in a row as the limit,
-    ends the document's run: event ``replan`` or ``stopped``, and the chunks behind stay pending.
-    A document with its results is one group of a task, which is the unit of the engine.
-    """
+def _prepared(chunks: DataFrame, task: str, limits: Limits, glossary: DataFrame | None, input_key: str) -> DataFrame:
+    """chunks with what their prompts need: contexts of terms and anchors, the terms and anchors to look for, the tail before, and whether a result is of this operation."""
     names = ["doc_id", "id", "status", "text", "result", "prompt_name", "input_key"]
-    rows = chunks.select(*names).withColumn("_key", F.struct("doc_id", "id"))
-    marked = rows.withColumn("anchors", A.extract("text", 8)["ordered"]).withColumn("matches", runtime.output_matches(F.struct("prompt_name", "input_key"), task, input_key))
+    stored = [c for c in ("processed_input_tail_context_text", "processed_tail_context_text", "tail_context_text", "processed_input_section_title", "last_section_title") if c in chunks.columns]
+    rows = chunks.select(*names, *stored)
+    if "tail_context_text" not in stored:
+        rows = rows.withColumn("tail_context_text", T.tail_sentences("text", limits.tail_sentences))
+    # results of this run give the section titles that follow; those stored are of runs before
+    before = S.continuity(rows.withColumn("status", F.coalesce("status", F.lit("pending"))), input_key, limits.tail_sentences).select("doc_id", "id", F.col("context_tail").alias("tail"), F.col("context_section").alias("section"))
+    rows = rows.select(*names).join(before, ["doc_id", "id"], "left").withColumn("_a", A.extract("text", limits.anchors))
+    rows = rows.withColumn("anchors", F.col("_a.ordered")).withColumn("numbers", F.col("_a.numbers")).withColumn("anchor_context", A.prompt_context(F.col("_a"))).drop("_a")
+    rows = rows.withColumn("matches", runtime.output_matches(F.struct("prompt_name", "input_key"), task, input_key))
     if glossary is None:
-        marked = marked.withColumn("terms", F.array().cast("array<string>"))
-    else:
-        chosen = G.select_terms(rows.select("doc_id", F.col("_key").alias("key"), "text"), glossary, 8).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("terms"))
-        marked = marked.join(chosen.withColumnRenamed("key", "_key"), "_key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+        return rows.withColumn("terms", F.array().cast("array<string>")).withColumn("term_context", F.lit(""))
+    chosen = G.select_terms(rows.select("doc_id", F.struct("doc_id", "id").alias("key"), "text"), glossary, limits.terms)
+    expected = F.coalesce(F.nullif(F.col("preferred_output"), F.lit("")), F.col("term"))
+    terms = chosen.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", expected.alias("e")))), lambda s: s["e"]).alias("terms"))
+    both = terms.join(G.prompt_context(chosen).withColumnRenamed("context", "term_context"), "key").select("key.doc_id", "key.id", "terms", "term_context")
+    return rows.join(both, ["doc_id", "id"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).withColumn("term_context", F.coalesce("term_context", F.lit("")))
+
+
+def process_chunks(
+    chunks: DataFrame, request: Callable[[str], str], task: str, template: str = "", limits: Limits = Limits(), glossary: DataFrame | None = None, input_key: str = "raw_path", force: bool = False, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic
+) -> DataFrame:
+    """(doc_id, id, status, result, attempts, repairs, error_type, warnings, event, target, autotune) of chunks (doc_id, id, status, text, result, prompt_name, input_key).
+
+    A document's chunks go to request one after another; documents run in parallel. Superseded chunks stay, and so do done ones with a
+    result of this operation, unless force. A prompt is build_prompt() of the template, the continuity with the chunk before (segments.continuity:
+    stored tails, if chunks has them, else the last sentences of its text; the last heading of its result), the glossary's terms and the anchors of the text, and the text.
+    A result with faults (quality.faults; a term with a preferred output must be there in that form) is asked for again as often as repairs allows, then taken
+    with warnings. Each outcome steps the controller; target and autotune are what it then says. A document's run ends with
+    the event ``replan`` by an error that asks for a new plan, a timeout before an answer, or a target that shrinks within the canary, and with
+    ``stopped`` by as many other failures in a row as allowed; the chunks behind stay pending.
+    A document with its results is one group of a task, which is the unit of the engine.
+    """
     kind = chunks.schema["doc_id"].dataType.simpleString()
+    rules = limits.rules
 
-    def ask(prompt: str) -> tuple[str | None, int, str, bool, bool]:
-        """(result, attempts, error type, whether it timed out at last, whether a new plan is needed)."""
+    def ask(prompt: str) -> tuple[str | None, int, str, bool, bool, int]:
+        """(result, attempts, error type, whether an attempt timed out, whether a new plan is needed, milliseconds of the last attempt)."""
+        late = False
         for attempt in range(1, limits.retries + 2):
+            began = clock()
             try:
-                return request(prompt), attempt, "", False, False
+                result = request(prompt)
+                return result, attempt, "", late, late, int((clock() - began) * 1000)
             except RequestError as error:
                 what, again, replan = kind_of(error)
+                late = late or what in ("timeout", *(f"http_{s}" for s in runtime.TIMEOUTS))
                 if not again or attempt > limits.retries:
-                    return None, attempt, what, what in ("timeout", *(f"http_{s}" for s in runtime.TIMEOUTS)), replan
+                    return None, attempt, what, late, replan, 0
                 sleep(limits.backoff_sec * 2 ** (attempt - 1))
         raise AssertionError("unreachable")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        out, tail, timeouts, ended = [], "", 0, ""
+        out, section, failures, ended, control = [], None, 0, "", Run(rules.start)
         for r in group.sort_values("id").itertuples():
             status, had = r.status or "pending", r.result if isinstance(r.result, str) else None
-            row = [r.doc_id, r.id, status, had, 0, 0, "", [], ""]
+            row = [r.doc_id, r.id, status, had, 0, 0, "", [], "", control.target, ""]
             out.append(row)
             if status == "superseded":
                 continue
             if status == "done" and r.matches and had and not force:
-                row[8], tail = "skipped", had[-limits.tail_chars :]
+                row[8], section = "skipped", (_TITLE.findall(had) or [""])[-1]
                 continue
             if ended:
                 row[2] = "pending"
                 continue
-            text, terms, marks = r.text or "", list(r.terms), list(r.anchors)
-            guards = (f"What came before ends with:\n{tail}" if tail else "", f"Keep these terms: {', '.join(terms)}" if terms else "", f"Keep these as they are: {', '.join(marks)}" if marks else "")
-            prompt = build_prompt(template, text, *guards)
+            text, terms, marks, numbers = r.text or "", list(r.terms), list(r.anchors), list(r.numbers)
+            expected = Automaton(terms, False)
+            prompt = build_prompt(template, text, S.continuity_block(r.tail or "", section or r.section or ""), r.term_context, r.anchor_context)
             while True:
-                result, attempts, what, timed_out, replan = ask(prompt)
+                result, attempts, what, late, replan, took = ask(prompt)
                 row[4] += attempts
                 if result is None:
                     row[2], row[6], row[8] = "failed", what, "failed"
-                    timeouts = timeouts + 1 if timed_out else 0
-                    ended = "replan" if replan else "stopped" if timeouts >= limits.stop_after_timeouts else ""
+                    row[10] = control.step(rules, False, late, None)
+                    failures += 1
+                    ended = "replan" if replan or control.ended == "replan" else "stopped" if 0 < limits.stop_after_failures <= failures else ""
                     row[8] = ended or "failed"
                     break
-                timeouts, found = 0, faults(task, text, result, terms, marks)
+                failures, lacks = 0, len(expected.used(result)) < len(terms)
+                found = faults(task, text, result, lacks, bool(A.lost(marks, numbers, result)))
                 if found and row[5] < limits.repairs:
                     row[5] += 1
                     sleep(limits.repair_backoff_sec)
                     continue
                 row[2], row[3], row[7], row[8] = "done", result, found, "accepted_with_warnings" if found else "done"
-                tail = result[-limits.tail_chars :]
+                row[10] = control.step(rules, not late, late, took)
+                section = (_TITLE.findall(result) or [""])[-1]
+                if replan or control.ended == "replan":
+                    ended = row[8] = "replan"
                 break
-        return pd.DataFrame(out, columns=["doc_id", "id", "status", "result", "attempts", "repairs", "error_type", "warnings", "event"])
+            row[9] = control.target
+        return pd.DataFrame(out, columns=["doc_id", "id", "status", "result", "attempts", "repairs", "error_type", "warnings", "event", "target", "autotune"])
 
-    return marked.drop("_key", "prompt_name", "input_key").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, {SCHEMA}")
+    ready = _prepared(chunks, task, limits, glossary, input_key)
+    return ready.drop("prompt_name", "input_key").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, {SCHEMA}")
 
 
 def run_result(processed: DataFrame) -> DataFrame:
@@ -166,7 +187,7 @@ def run_result(processed: DataFrame) -> DataFrame:
     n = lambda c: F.count_if(c)
     event = F.col("event")
     out = processed.groupBy("doc_id").agg(
-        n(event.isin("done", "accepted_with_warnings")).alias("processed_count"),
+        n((F.col("status") == "done") & (event != "skipped")).alias("processed_count"),
         n(F.col("error_type") != "").alias("failed_count"),
         n(event == "skipped").alias("skipped_count"),
         n(F.size("warnings") > 0).alias("warning_count"),

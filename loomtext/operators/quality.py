@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -229,6 +231,18 @@ def verify_with_glossary(docs: DataFrame, glossary: DataFrame, bilingual: bool =
     return both.withColumn("warnings", F.when(F.col("glossary_drift_ok"), F.col("warnings")).otherwise(F.array_append("warnings", "glossary_drift")))
 
 
+def faults(task: str, text: str, result: str, missing_terms: bool = False, missing_anchors: bool = False) -> list[str]:
+    """The retry_reasons of output_health for one result, as a worker sees it that has just asked for it."""
+    out = []
+    if task != "summarize":
+        out += ["empty_output"] * (not result and bool(text)) + ["short_output"] * ((len(result) / len(text) if text else 0.0) < 0.5)
+    if task in ("structure_only", "quick_cleanup", "cleanup_zh") and "##" not in result and len(text) > 2000:
+        out.append("missing_headers")
+    if task == "translate_only" and (len(re.findall(f"[{C.BASIC_IDEOGRAPH}]", result)) / len(result) if result else 0.0) < 0.1:
+        out.append("translation_skipped")
+    return out + ["missing_glossary_terms"] * missing_terms + ["missing_semantic_anchors"] * missing_anchors
+
+
 def output_health(chunks: DataFrame, task: str, terms_missing: str | None = None) -> DataFrame:
     """chunks (doc_id, id, text, result[, array of missing terms]) with ratio and retry_reasons of the results."""
     c = chunks.withColumn("_r", T.text_of("result")).withColumn("_s", T.text_of("text"))

@@ -128,7 +128,17 @@ def previous_active(chunks: DataFrame) -> DataFrame:
     return active.withColumn("previous_id", F.lag("id").over(w)).withColumn("_t", F.lag("text").over(w)).withColumn("tail", F.when(F.col("_t").isNotNull(), T.tail_sentences("_t", 2)).otherwise("")).withColumn("section", F.when(F.col("_t").isNotNull(), T.last_section_title("_t")).otherwise("")).drop("_t")
 
 
-def continuity(chunks: DataFrame, input_key: str = "raw_path", sentences: int = 1, mode: str = "reference_only", boundary: str = "Work on the chunk below only.", output: str = "Leave this context out of the output.") -> DataFrame:
+_HEAD, _SECTION, _TAIL = "## Continuity Context\n\nThe chunk before, for reference only.\n{}\n{}", "Previous section title", "Previous chunk tail"
+BOUNDARY, OUTPUT = "Work on the chunk below only.", "Leave this context out of the output."
+
+
+def continuity_block(tail: str, section: str, boundary: str = BOUNDARY, output: str = OUTPUT) -> str:
+    """The context_text of continuity() for one chunk in a worker."""
+    parts = [f"{label}:\n{x}" for label, x in ((_SECTION, section), (_TAIL, tail)) if x]
+    return "\n\n".join([_HEAD.format(boundary, output), *parts]).strip() if parts else ""
+
+
+def continuity(chunks: DataFrame, input_key: str = "raw_path", sentences: int = 1, mode: str = "reference_only", boundary: str = BOUNDARY, output: str = OUTPUT) -> DataFrame:
     """chunks with what goes on from the active chunk before: context_tail, context_section, source_chunk_id, context_text, context_tokens, context_mode.
 
     chunks: (doc_id, id, status) and any of processed_input_tail_context_text, processed_tail_context_text, processed_text, tail_context_text,
@@ -150,8 +160,7 @@ def continuity(chunks: DataFrame, input_key: str = "raw_path", sentences: int =
     out = active.withColumn("context_tail", tail).withColumn("context_section", section).withColumn("_from", F.lag("id").over(w))
     some = (F.col("context_tail") != "") | (F.col("context_section") != "")
     part = lambda c, label: F.when(F.col(c) != "", F.concat(F.lit(f"{label}:\n"), c))
-    head = f"## Continuity Context\n\nThe chunk before, for reference only.\n{boundary}\n{output}"
-    text = T.strip(F.concat_ws("\n\n", F.lit(head), part("context_section", "Previous section title"), part("context_tail", "Previous chunk tail")))
+    text = T.strip(F.concat_ws("\n\n", F.lit(_HEAD.format(boundary, output)), part("context_section", _SECTION), part("context_tail", _TAIL)))
     out = out.withColumn("source_chunk_id", F.when(some, F.col("_from"))).withColumn("context_text", F.when(some, text).otherwise("")).drop("_from")
     return out.withColumn("context_tokens", F.when(some, T.estimate_tokens("context_text")).otherwise(0)).withColumn("context_mode", F.lit(mode))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars as C
 from ..functions import text as T
-from ..operators import chunking, merge, packing, quality, runtime
+from ..operators import chunking, merge, packing, processing, quality, runtime
 from ..operators import plans as plan_versions
 from ..operators import segments as S
 from ..sources import records, speech, subtitles
@@ -179,6 +179,29 @@ def pack_rows(spark, d):
     return packing.pack_rows(units.select("doc_id", (F.col("base") + F.col("k")).alias("pos"), F.length("s").alias("size")), 2000, 2).withColumnRenamed("doc_id", "source").withColumn("chunk", F.col("chunk").cast("long"))
 
 
+def _answer(prompt: str) -> str:
+    """Stands for a model: the text in upper case; some texts are too long for it, and some answers lose most of the text."""
+    text = prompt.split("\n\n")[-1]
+    if "of length 7" in text:
+        raise processing.RequestError("too large", 413)
+    return text.upper() if "of length 5" not in text else text[:9].upper()
+
+
+@query("""WITH t AS (SELECT conv_id AS doc_id, turn AS id, 'Turn ' || turn || ' by ' || role || ' of length ' || length(text) AS text FROM conversations),
+e AS (SELECT *, min(id) FILTER (contains(text, 'of length 7')) OVER (PARTITION BY doc_id) AS last FROM t), d AS (SELECT *, id % 4 = 1 AS had, contains(text, 'of length 5') AS half FROM e)
+SELECT doc_id, CAST(id AS BIGINT) AS id, CASE WHEN had THEN 'done' WHEN id > last THEN 'pending' WHEN id = last THEN 'failed' ELSE 'done' END AS status,
+  CASE WHEN had THEN 'kept' WHEN id >= last THEN NULL WHEN half THEN upper(left(text, 9)) ELSE upper(text) END AS result,
+  CASE WHEN had THEN 'skipped' WHEN id > last THEN '' WHEN id = last THEN 'replan' WHEN half THEN 'accepted_with_warnings' ELSE 'done' END AS event,
+  CAST(CASE WHEN had OR id > last THEN 0 WHEN id = last THEN 1 WHEN half THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM (SELECT doc_id, id, text, half, had, min(CASE WHEN NOT had THEN CASE WHEN contains(text, 'of length 7') THEN id END END) OVER (PARTITION BY doc_id) AS last FROM d)""")
+def processed_chunks(spark, d):
+    """Turns sent to a function in place of a model; every fourth is done already."""
+    had = F.col("turn") % 4 == 1
+    said = F.concat(F.lit("Turn "), "turn", F.lit(" by "), "role", F.lit(" of length "), F.length("text"))
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("id"), F.when(had, "done").otherwise("pending").alias("status"), said.alias("text"), F.when(had, "kept").alias("result"), F.lit("quick_cleanup").alias("prompt_name"), F.lit("raw_path").alias("input_key"))
+    out = processing.process_chunks(c, _answer, "quick_cleanup", limits=processing.Limits(repair_backoff_sec=0.0))
+    return out.select("doc_id", F.col("id").cast("long").alias("id"), "status", "result", "event", F.col("attempts").cast("long").alias("attempts"))
+
+
 #: Three plans: the first moves every second chunk by 100, each later one every second of those it finds.
 _MOVES = " UNION ALL ".join(f"SELECT conv_id AS doc_id, turn + {100 * v} AS old_id, turn + {100 * v + 100} AS new_id FROM conversations WHERE turn % {2 ** (v + 1)} = 0" for v in range(3))
 

@@ -1,20 +1,21 @@
 """The processing loop against requests that answer, fail and time out as told."""
 
 import pytest
+from loomtext.functions.controller import Rules
 from loomtext.operators import chunking, processing
 from loomtext.operators.processing import Limits, RequestError
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id string, id int, status string, text string, result string, prompt_name string, input_key string"
-QUICK = Limits(retries=2, backoff_sec=0.0, repairs=1, stop_after_timeouts=2)
+QUICK = Limits(retries=2, backoff_sec=0.0, repairs=1, stop_after_failures=2)
 
 
 def chunk(doc, k, text, status="pending", result=None, task=None):
     return (doc, k, status, text, result, task, "raw_path" if task else None)
 
 
-def run(spark, rows, request, **options):
-    got = processing.process_chunks(spark.createDataFrame(rows, SCHEMA), request, "quick_cleanup", limits=QUICK, sleep=lambda s: None, **options)
+def run(spark, rows, request, limits=QUICK, **options):
+    got = processing.process_chunks(spark.createDataFrame(rows, SCHEMA), request, "quick_cleanup", limits=limits, sleep=lambda s: None, **options)
     return {(r["doc_id"], r["id"]): r for r in got.collect()}
 
 
@@ -24,7 +25,7 @@ upper = lambda prompt: prompt.split("\n\n")[-1].upper()
 
 def test_chunks_go_in_order_with_the_end_of_the_one_before(spark):
     rows = [chunk("a", 1, "second text"), chunk("a", 0, "first text"), chunk("b", 0, "other")]
-    got = run(spark, rows, lambda p: f"[{p.count('What came before')}]" + p)
+    got = run(spark, rows, lambda p: f"[{p.count('Previous chunk tail')}]" + p)
     assert [got[k]["status"] for k in (("a", 0), ("a", 1), ("b", 0))] == ["done"] * 3
     assert got["a", 0]["result"].startswith("[0]") and got["a", 1]["result"].startswith("[1]") and got["b", 0]["result"].startswith("[0]")
     assert "first text" in got["a", 1]["result"]
@@ -86,6 +87,59 @@ def test_glossary_terms_guard_the_result(spark):
     assert got["a", 0]["warnings"] == ["missing_glossary_terms"] and got["a", 1]["warnings"] == []
 
 
+def test_preferred_outputs_are_what_counts(spark):
+    """A result with the preferred output is right, one with the term itself isn't."""
+    g = spark.createDataFrame([("a", "Loomery", "Weberei", 2, 1)], "doc_id string, term string, preferred_output string, score int, count int")
+    rows = [chunk("a", 0, "The loomery opens."), chunk("a", 1, "A Loomery closes.")]
+    got = run(spark, rows, lambda p: p.split("\n\n")[-1].replace("loomery", "Weberei"), glossary=g)
+    assert [(got["a", k]["warnings"], got["a", k]["repairs"]) for k in (0, 1)] == [([], 0), (["missing_glossary_terms"], 1)]
+    said = run(spark, rows, lambda p: p + " Weberei", glossary=g)
+    assert "- Loomery => Weberei" in said["a", 0]["result"]
+
+
+def test_sections_and_tails_go_along(spark):
+    rows = [chunk("a", 0, "First one. Last one."), chunk("a", 1, "old", "superseded"), chunk("a", 2, "Second. 12,345 of it.")]
+    got = run(spark, rows, lambda p: "## A title\n\n" + p)
+    said = got["a", 2]["result"]
+    assert "Previous section title:\nA title" in said and "Previous chunk tail:\nLast one." in said and "- 12,345" in said and "First one" not in said
+
+
+def test_the_controller_ends_a_run(spark):
+    """A slow answer within the canary, and a timeout before an answer, ask for a new plan; what they answered is kept."""
+    ticks = lambda step: (lambda t: lambda: t.append(1) or len(t) * step)([])
+    rows = [chunk("a", k, f"text {k}") for k in range(3)]
+    slow = run(spark, rows, upper, Limits(rules=Rules(canary=2, threshold_ms=500)), clock=ticks(1.0))
+    assert [(slow["a", k]["event"], slow["a", k]["status"]) for k in range(3)] == [("replan", "done"), ("", "pending"), ("", "pending")]
+    assert slow["a", 0]["target"] == 750 and slow["a", 0]["autotune"] == "shrink" and slow["a", 0]["result"] == "TEXT 0"
+    late = run(spark, rows, failing(1, RequestError("", None, "timeout")))
+    assert [(late["a", k]["event"], late["a", k]["attempts"]) for k in range(3)] == [("replan", 2), ("", 0), ("", 0)]
+    quick = run(spark, rows, upper, Limits(rules=Rules(window=2)), clock=ticks(0.001))
+    assert [(quick["a", k]["autotune"], quick["a", k]["target"]) for k in range(3)] == [("", 1000), ("increase", 1100), ("", 1100)]
+    down = run(spark, [chunk("a", k, f"text {k}") for k in range(5)], failing(99, RequestError("no", 401)), QUICK)
+    assert [down["a", k]["event"] for k in range(5)] == ["failed", "stopped", "", "", ""]
+
+
+def test_rules_of_a_worker_are_those_of_tables(spark):
+    """Faults, lost anchors and the continuity block, one by one and as columns."""
+    import itertools
+
+    from loomtext.operators import anchors, quality, segments
+
+    texts = ["", "short", "On 2024-01-02 at 10:30 we paid 12,500 to https://a.b/c,d v2.1 for 45%", "x" * 2500]
+    results = ["", "s", "On 2024-01-02 at 10:30 we paid 12500 to https://a.b/c,d v2.1 for 45%", "We paid 12,500 to https://a.b/cd", "## T\n" + "x" * 2400, "译文 of it", "y" * 1300]
+    rows = [(f"{a}-{b}", 0, t, r) for (a, t), (b, r) in itertools.product(enumerate(texts), enumerate(results))]
+    df = spark.createDataFrame(rows, "doc_id string, id int, text string, result string")
+    for task in ("quick_cleanup", "translate_only", "summarize"):
+        table = {r["doc_id"]: r for r in quality.output_health(df, task).withColumn("a", anchors.extract("text", 8)).withColumn("gone", anchors.missing(F.col("a"), "result")).collect()}
+        for d, _, t, r in rows:
+            lost = anchors.lost(table[d]["a"]["ordered"], table[d]["a"]["numbers"], r)
+            assert lost == table[d]["gone"]
+            assert quality.faults(task, t, r, False, bool(lost)) == table[d]["retry_reasons"], (task, t, r)
+    c = spark.createDataFrame([("a", 0, "done", "tail one", "Title"), ("a", 1, "done", " ", ""), ("a", 2, "done", "only tail", ""), ("a", 3, "done", "", "")], "doc_id string, id int, status string, tail_context_text string, last_section_title string")
+    for r in segments.continuity(c).collect():
+        assert r["context_text"] == segments.continuity_block(r["context_tail"], r["context_section"])
+
+
 def test_run_results(spark):
     rows = [chunk("a", 0, "x y", "done", "X Y", "quick_cleanup"), chunk("a", 1, "good text"), chunk("b", 0, "long"), chunk("b", 1, "later")]
 
