@@ -11,38 +11,67 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import chars as C
+from . import scan
 
 
-def chunk_ranges(sizes: Column, fresh: Column | None, limit: int, gap: int) -> Column:
-    """array<struct(first, units)>: the chunks of units of these sizes, greedily.
+def ranges_of(size: np.ndarray, fresh: np.ndarray | None, limit: int, gap: int) -> list[int]:
+    """The first units of the chunks of units of these sizes: one search in the prefix sums for each chunk."""
+    n = len(size)
+    if not n:
+        return []
+    upto = np.cumsum(size + gap, dtype=np.int64)
+    begins = np.flatnonzero(fresh) if fresh is not None else np.zeros(0, np.int64)
+    out, k = [], 0
+    while k < n:
+        out.append(k)
+        # a chunk from k holds units as long as their sizes and gaps, without the last gap, stay within limit
+        to = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + limit + gap, "right")))
+        if len(begins) and (j := int(np.searchsorted(begins, k, "right"))) < len(begins):
+            to = min(to, int(begins[j]))
+        k = to
+    return out
+
+
+def chunk_ranges(sizes: Column, fresh: Column | None, limit: int, gap: int, measures: Column | None = None) -> Column:
+    """array<struct(first, units, tokens)>: the chunks of units of these sizes, greedily.
 
-    A unit begins a chunk where fresh has true for it, or where the chunk's sizes and gaps would pass limit with it.
+    A unit begins a chunk where fresh has true for it, or where the chunk's sizes and gaps would pass limit with it. tokens is the estimate for
+    a chunk's units with white space between, from measures (scan.unit_counts), 0 without.
     """
 
-    @F.pandas_udf("array<struct<first:int,units:int>>")
-    def ranges(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for size, new in batches:
-            yield pd.Series([one(s, f) for s, f in zip(size, new, strict=True)])
-
-    def one(size, new):
-        if size is None:
-            return None
-        out, first, now = [], 0, None
-        begins = None if new is None else np.asarray(new, bool)
-        for k, s in enumerate(np.asarray(size).tolist()):
-            if now is not None and (begins is not None and begins[k] or now + s + gap > limit):
-                out.append({"first": first, "units": k - first})
-                first, now = k, None
-            now = s if now is None else now + s + gap
-        if now is not None:
-            out.append({"first": first, "units": len(size) - first})
-        return out
-
-    return ranges(sizes, F.lit(None).cast("array<boolean>") if fresh is None else fresh)
+    @F.arrow_udf("array<struct<first:int,units:int,tokens:int>>")
+    def ranges(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for size, new, measured in batches:
+            flat, flags, parts = np.asarray(size.flatten()).astype(np.int64), new.flatten(), measured.flatten()
+            fixed, rest, chars = (np.asarray(parts.field(c)).astype(np.int64) for c in ("fixed", "rest", "chars")) if len(parts) else (np.zeros(len(flat), np.int64),) * 3
+            flags = np.asarray(pa.compute.fill_null(flags, False)) if len(flags) else None
+            counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(size), 0))
+            at, firsts, units, starts, per = 0, [], [], [], []
+            for n in counts.tolist():
+                own = ranges_of(flat[at : at + n], None if flags is None else flags[at : at + n], limit, gap)
+                firsts += own
+                units += np.diff([*own, n]).tolist() if own else []
+                starts += [at + k for k in own]
+                per.append(len(own))
+                at += n
+            if starts:
+                total = [np.add.reduceat(v, starts) for v in (fixed, rest, chars)]
+                tokens = scan.estimate(total[0], total[1], total[2] + (np.array(units) > 1)) if len(parts) else np.zeros(len(starts), np.int64)
+            else:
+                tokens = np.zeros(0, np.int64)
+            rows = pa.StructArray.from_arrays([pa.array(firsts, pa.int32()), pa.array(units, pa.int32()), pa.array(tokens.astype(np.int32))], names=["first", "units", "tokens"])
+            out = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), rows)
+            yield pa.compute.if_else(pa.compute.is_valid(size), out, pa.scalar(None, out.type)) if size.null_count else out
+
+    none = F.lit(None).cast("array<boolean>")
+    unmeasured = F.lit(None).cast("array<struct<tokens:int,chars:int,fixed:int,rest:int>>")
+    return ranges(sizes, none if fresh is None else fresh, unmeasured if measures is None else measures)
 
 
 # The estimate of text.estimate_tokens, character by character.

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import folds
+from ..functions import folds, scan
 from ..functions import text as T
 from . import segments as S
 
@@ -67,38 +67,43 @@ def _gap(mode: str) -> int:
     return len(SEPARATOR) if mode == "chars" else 1
 
 
-def pack(units: Column, target: int, cap: int, mode: str = "tokens", fresh: Column | None = None, sizes: Column | None = None) -> Column:
+def pack(units: Column, target: int, cap: int, mode: str = "tokens", fresh: Column | None = None, measures: Column | None = None) -> Column:
     """Array of chunks, each struct(content, units, first, chars, tokens), of an array of texts in order, greedily.
 
-    fresh: an array of booleans beside units; a unit with true begins a chunk. sizes: the units' sizes, if known. Only sizes go
-    through the fold; a chunk is a slice of the units.
+    fresh: an array of booleans beside units; a unit with true begins a chunk. measures: scan.unit_counts of the units, if known. One scan
+    measures the units; only sizes go through the fold, a chunk is a slice of the units, and its tokens are sums.
     """
-    sizes = F.transform(units, lambda u: T.estimate_tokens(u, mode)) if sizes is None else sizes
-    ranges = folds.chunk_ranges(sizes, fresh, min(target, cap), _gap(mode))
+    measures = scan.unit_counts(units) if measures is None else measures
+    ranges = folds.chunk_ranges(measures["chars" if mode == "chars" else "tokens"], fresh, min(target, cap), _gap(mode), measures)
 
     def chunk(u: Column, r: Column) -> Column:
         content = F.array_join(F.slice(u, r["first"] + 1, r["units"]), SEPARATOR)
-        return T.let(content, lambda c: F.struct(c.alias("content"), r["units"].alias("units"), r["first"].alias("first"), F.length(c).alias("chars"), T.estimate_tokens(c).alias("tokens")))
+        return T.let(content, lambda c: F.struct(c.alias("content"), r["units"].alias("units"), r["first"].alias("first"), F.length(c).alias("chars"), r["tokens"].cast("long").alias("tokens")))
 
     return T.let(F.struct(units.alias("u"), ranges.alias("r")), lambda b: F.transform(b["r"], lambda r: chunk(b["u"], r)))
 
 
 def fitted(docs: DataFrame, units: Column, cap: int, mode: str, out: str = "f") -> DataFrame:
-    """docs with out: array of struct(u, size) of units, those larger than cap cut into pieces that are not. Only units that are cut are measured again."""
-    one = lambda u: F.struct(u.alias("u"), T.estimate_tokens(u, mode).alias("size"))
-    made = docs.withColumn(out, F.transform(units, one))
-    f = F.col(out)
-    pieces = F.transform(f["u"], lambda u: T.hard_split(u, cap)) if mode == "chars" else folds.pieces_of(f["u"], f["size"], cap)
-    many = F.exists(f["size"], lambda n: n > cap)
-    crowded = made.where(many).withColumn("_pieces", pieces)
-    cut = F.flatten(F.transform(F.arrays_zip(f.alias("v"), F.col("_pieces").alias("p")), lambda z: F.when(z["v"]["size"] > cap, F.transform(z["p"], one)).otherwise(F.array(z["v"]))))
-    return made.where(~F.coalesce(many, F.lit(False))).unionByName(crowded.withColumn(out, cut).drop("_pieces"))
+    """docs with out: struct(u, m), units and their measures (scan.unit_counts), those larger than cap cut into pieces that are not. Only documents with
+    such units are measured again."""
+    size = "chars" if mode == "chars" else "tokens"
+    made = docs.withColumn("_u", units).withColumn("_m", scan.unit_counts(F.col("_u")))
+    many = F.coalesce(F.exists(F.col("_m")[size], lambda n: n > cap), F.lit(False))
+    if mode == "chars":
+        crowded = made.where(many).withColumn("_p", F.transform("_u", lambda u: T.hard_split(u, cap)))
+    else:
+        crowded = made.where(many).withColumn("_p", folds.pieces_of(F.col("_u"), F.col("_m")[size], cap))
+    zipped = F.arrays_zip(F.col("_u").alias("u"), F.col("_m")[size].alias("n"), F.col("_p").alias("p"))
+    cut = F.flatten(F.transform(zipped, lambda z: F.when(z["n"] > cap, z["p"]).otherwise(F.array(z["u"]))))
+    crowded = crowded.withColumn("_u", cut).drop("_p").withColumn("_m", scan.unit_counts(F.col("_u")))
+    whole = made.where(~many).unionByName(crowded)
+    return whole.withColumn(out, F.struct(F.col("_u").alias("u"), F.col("_m").alias("m"))).drop("_u", "_m")
 
 
 def chunk_text(docs: DataFrame, target: int = 1200, cap: int = 1596, mode: str = "tokens") -> DataFrame:
     """(doc_id, chunk_id, content, n_sentences, chars, tokens): documents (doc_id, text) split into sentences and packed."""
     units = fitted(docs.select("doc_id", T.split_sentences("text").alias("_s")), F.col("_s"), cap, mode).select("doc_id", "f")
-    chunks = pack(F.col("f")["u"], target, cap, mode, sizes=F.col("f")["size"])
+    chunks = pack(F.col("f.u"), target, cap, mode, measures=F.col("f.m"))
     return units.select("doc_id", F.posexplode(chunks).alias("chunk_id", "c")).select("doc_id", "chunk_id", "c.content", F.col("c.units").alias("n_sentences"), "c.chars", "c.tokens")
 
 
@@ -236,7 +241,8 @@ def replan(chunks: DataFrame, breaks: DataFrame | None, target: int, cap: int, m
     pending = chunks.where(~F.col("status").isin("done", "superseded"))
     top = chunks.groupBy("doc_id").agg(F.max("id").alias("top"))
     units = fitted(pending.select("doc_id", "id", T.split_sentences("text").alias("_s")), F.col("_s"), cap, mode)
-    units = units.select("doc_id", "id", F.posexplode("f").alias("s", "f")).select("doc_id", "id", "s", F.col("f.u").alias("u"), F.col("f.size").alias("size"))
+    size = F.transform("f.m", lambda m: m["chars" if mode == "chars" else "tokens"])
+    units = units.select("doc_id", "id", F.posexplode(F.arrays_zip(F.col("f.u").alias("u"), size.alias("size"))).alias("s", "f")).select("doc_id", "id", "s", F.col("f.u").alias("u"), F.col("f.size").alias("size"))
     if breaks is not None:
         units = units.join(breaks.select("doc_id", "id", F.lit(True).alias("_b")), ["doc_id", "id"], "left").withColumn("fresh", F.coalesce("_b", F.lit(False)) & (F.col("s") == 0))
     else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions import text as T
 from ..operators import anchors as A
 from ..operators import chunking, glossary, merge, quality
@@ -35,13 +36,13 @@ def estimate(expr: str) -> str:
 
 @query(f"SELECT doc_id, {estimate('text')} AS tokens, length(text) AS chars FROM documents")
 def token_estimate(spark, d):
-    return docs(spark, d).select("doc_id", T.estimate_tokens("text").alias("tokens"), T.estimate_tokens("text", "chars").alias("chars"))
+    return docs(spark, d).select("doc_id", scan.text_counts(F.col("text")).alias("c")).select("doc_id", "c.tokens", "c.chars")
 
 
 @query(rf"""SELECT doc_id, length(regexp_replace(text, '{SPACE}', '', 'g')) AS visible, length(regexp_replace(text, '[^{CJK}]', '', 'g')) AS family,
   length(regexp_replace(text, '[^,.;:!?，。！？、；：()\[\]{{}}"''“”‘’`]', '', 'g')) AS marks FROM documents""")
 def char_class_counts(spark, d):
-    return docs(spark, d).select("doc_id", T.visible_length("text").cast("long").alias("visible"), T.family_length("text").cast("long").alias("family"), T.punctuation_length("text").cast("long").alias("marks"))
+    return docs(spark, d).select("doc_id", scan.text_counts(F.col("text")).alias("c")).select("doc_id", "c.visible", "c.family", "c.marks")
 
 
 @query("""SELECT page_id, replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' ') AS plain, len(regexp_extract_all(html, '<[^>]+>')) AS tags,
