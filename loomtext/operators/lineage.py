@@ -15,7 +15,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not spark.sparkContext.master.startswith("local"):
+        if not root and not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="loomtext-"))
     return df.checkpoint()

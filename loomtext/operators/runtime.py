@@ -273,16 +273,3 @@ def reachable(edges: DataFrame) -> DataFrame:
         further = now.join(on, "to_id").select("from_id", F.col("_t").alias("to_id"), (F.col("hops") + F.col("_h")).alias("hops"))
         now, was = lineage.cut(now.unionByName(further).groupBy("from_id", "to_id").agg(F.min("hops").alias("hops"))), is_now
     return now
-
-
-def process(chunks: DataFrame, transform: Callable, schema: str) -> DataFrame:
-    """The boundary to a model: chunks (doc_id, id, ...) of each document in order through transform(pandas frame), documents in parallel.
-
-    A result may depend on the one before it, so a document is one group; nothing else here needs that.
-    """
-    return chunks.groupBy("doc_id").applyInPandas(lambda rows: transform(rows.sort_values("id")), schema)
-
-
-def append_telemetry(events: DataFrame, path: str) -> None:
-    """Append events to a log of JSON lines."""
-    events.write.mode("append").json(path)

@@ -24,7 +24,8 @@ REAL = {
     "chunk_hard_cap_multiplier": (1.33, 1.0, 2.0), "autotune_reduce_percent": (0.25, 0.01, 0.90), "autotune_increase_percent": (0.10, 0.01, 0.50),
 }
 SWITCH = {"deepgram_enable_utterances": True, "deepgram_prefer_structured_output": True, "llm_reasoning_probe_enabled": True, "enable_token_count_probe": True, "enable_chunk_autotune": False}
-PLAIN = {"output_dir": "", "deepgram_api_key": "", "deepgram_model": "nova-2", "llm_api_key": "", "llm_base_url": "https://api.deepseek.com", "llm_model": "deepseek-v4-pro", "llm_api_format": "openai", "yt_dlp_cookies_from_browser": "", "yt_dlp_cookies_file": ""}
+# Services, models and formats have no defaults here.
+PLAIN = {"output_dir": "", "deepgram_api_key": "", "deepgram_model": "", "llm_api_key": "", "llm_base_url": "", "llm_model": "", "llm_api_format": "", "yt_dlp_cookies_from_browser": "", "yt_dlp_cookies_file": ""}
 YES, NO = ("1", "true", "yes", "on", "y"), ("0", "false", "no", "off", "n")
 
 

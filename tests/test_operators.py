@@ -288,12 +288,6 @@ def test_decisions_and_artifacts(spark):
     assert sorted(rows(nodes, "artifact_id")) == [("a",), ("b",)] and rows(edges, "from_id", "to_id") == [("a", "b")]
 
 
-def test_process_boundary(spark):
-    df = spark.createDataFrame([("a", 1, "x"), ("a", 0, "y"), ("b", 0, "z")], "doc_id string, id int, text string")
-    got = runtime.process(df, lambda p: p.assign(result=p.text.str.upper() + p.text.shift(fill_value="")), "doc_id string, id int, text string, result string")
-    assert sorted(rows(got, "doc_id", "id", "result")) == [("a", 0, "Y"), ("a", 1, "Xy"), ("b", 0, "Z")]
-
-
 def test_stream(spark, tmp_path):
     lines = [{"command": "c", "timestamp": f"2024-01-01T{h:02d}:15:00", "duration_ms": 5, "success": True, "document_id": "d"} for h in (0, 0, 1, 5)]
     (tmp_path / "in").mkdir()
