@@ -89,6 +89,48 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"chars": chars, "visible": chars - spaces, "family": cjk, "marks": total(kinds == MARK), "fixed": cjk + total(quarters), "rest": chars - total(word) - spaces - cjk} if n else {}
 
 
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(text, number) of the tokens of texts in order, and how many numbers: words of ASCII letters and digits, in lower case, and single CJK characters; equal ones have one number."""
+    first, points = code_points(data)
+    kinds = CLASSES[points]
+    letter, family = kinds == LETTER, kinds == FAMILY
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    edges = np.searchsorted(first, offsets)
+    start = edges[:-1][np.diff(edges) > 0]
+    begins[start] |= letter[start]
+    begins |= family
+    sizes = np.diff(np.append(first, len(data)))
+    inside = letter | family
+    low = np.where((data >= 65) & (data <= 90), data + 32, data)
+    packed = low[np.repeat(inside, sizes)]
+    at = np.cumsum(np.where(inside, sizes, 0)) - sizes
+    starts = np.append(at[begins], len(packed)).astype(np.int32)
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(packed)]).dictionary_encode()
+    text = np.searchsorted(edges, np.flatnonzero(begins), "right") - 1
+    return text, np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
+
+
+def repeated_runs(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(runs, repeats) for each of rows: runs of n tokens, not all the same, within the texts of a row (row[k] is that of text k), and those beyond the first of their kind.
+
+    Exact: a run of tokens is numbered by the distinct pairs of a shorter run and a token.
+    """
+    text, number, base = tokens_of(data, offsets)
+    m = len(text) - n + 1
+    if m <= 0:
+        return np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    code, differ = number[:m], np.zeros(m, bool)
+    for k in range(1, n):
+        differ |= number[k : k + m] != number[:m]
+        code = np.unique(code * base + number[k : k + m], return_inverse=True)[1]
+    at = np.flatnonzero((text[:m] == text[n - 1 :]) & differ)
+    own = row[text[at]]
+    kinds = np.unique(own * (m + 1) + code[at])
+    runs = np.bincount(own, minlength=rows)
+    return runs, runs - np.bincount(kinds // (m + 1), minlength=rows)
+
+
 def estimate(fixed: np.ndarray, rest: np.ndarray, chars: np.ndarray) -> np.ndarray:
     """Estimated tokens: text.estimate_tokens."""
     return np.where(chars > 0, np.maximum(1, fixed + (rest + 3) // 4), 0)
@@ -142,3 +184,27 @@ def unit_counts(units: Column) -> Column:
             yield pa.compute.if_else(pa.compute.is_valid(lists), out, pa.scalar(None, out.type)) if lists.null_count else out
 
     return of_batches(units)
+
+
+def run_counts(texts: Column, n: int) -> Column:
+    """struct(runs, repeats) of an array of texts: repeated_runs, none of which reaches from one text into the next."""
+
+    @F.arrow_udf("struct<runs: int, repeats: int>")
+    def of_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            flat = pa.compute.fill_null(lists.flatten(), "")
+            per = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+            lengths = np.asarray(pa.compute.binary_length(flat)).astype(np.int64)
+            ends, out, k = np.append(0, np.cumsum(per)), [], 0
+            sums = np.append(0, np.cumsum(lengths))
+            while k < len(per):  # rows of about SLICE bytes at once
+                z = max(k + 1, int(np.searchsorted(sums[ends], sums[ends[k]] + SLICE, "right")) - 1)
+                own = flat.slice(ends[k], ends[z] - ends[k])
+                data = np.frombuffer(b"".join(own.cast(pa.binary()).to_pylist()), np.uint8)
+                offsets = sums[ends[k] : ends[z] + 1] - sums[ends[k]]
+                out.append(repeated_runs(data, offsets, np.repeat(np.arange(z - k), per[k:z]), z - k, n))
+                k = z
+            both = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (0, 1)]
+            yield pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in both], names=["runs", "repeats"])
+
+    return of_batches(texts)

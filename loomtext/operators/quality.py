@@ -8,39 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chars as C
-from ..functions import folds
+from ..functions import folds, scan
 from ..functions import text as T
 from . import anchors as A
 from . import glossary as G
 
 
-def ngrams(tokens: Column, n: int = 5) -> Column:
-    """Array of the runs of n tokens that hold two different ones, each joined by spaces."""
-    runs = T.let(tokens, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.slice(t, i, F.lit(n))))
-    return F.transform(F.filter(runs, lambda r: (F.size(r) == n) & (F.size(F.array_distinct(r)) > 1)), lambda r: F.array_join(r, " "))
-
-
 def duplicate_ngrams(paragraphs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, windows, duplicates, ratio) from paragraphs (doc_id, text): runs never reach over a paragraph's end.
+    """(doc_id, windows, duplicates, ratio) from paragraphs (doc_id, text): runs of n tokens that hold two different ones; none reaches over a paragraph's end.
 
-    Counts per document and run, told by 128 bits of hash, are aggregated before the shuffle, which carries no texts; a
-    document's runs are spread over all tasks.
+    A document's paragraphs come together in a row, and its runs are numbered and counted there (scan.repeated_runs); no run leaves the row.
     """
-    tokens = paragraphs.select("doc_id", T.quality_tokens("text").alias("t"))
-    runs = tokens.select("doc_id", F.inline(F.transform(ngrams(F.col("t"), n), lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(F.lit(7), g).alias("k")))))
-    counts = runs.groupBy("doc_id", "h", "k").agg(F.count(F.lit(1)).alias("n"))
-    out = counts.groupBy("doc_id").agg(F.sum("n").alias("windows"), F.sum(F.col("n") - 1).alias("duplicates"))
-    whole = paragraphs.select("doc_id").distinct().join(out, "doc_id", "left").fillna(0, ["windows", "duplicates"])
+    counted = paragraphs.groupBy("doc_id").agg(F.collect_list(T.text_of("text")).alias("t")).select("doc_id", scan.run_counts(F.col("t"), n).alias("c"))
+    whole = counted.select("doc_id", F.col("c.runs").cast("long").alias("windows"), F.col("c.repeats").cast("long").alias("duplicates"))
     return whole.withColumn("ratio", F.when(F.col("windows") > 0, F.round(F.col("duplicates") / F.col("windows"), 3)).otherwise(F.lit(0.0)))
 
 
 def ngram_metrics(paragraphs: Column, n: int = 5) -> Column:
-    """struct(duplicate_ngram_ratio, duplicate_ngram_count, duplicate_ngram_windows) of an array of paragraphs."""
-    runs = F.flatten(F.transform(paragraphs, lambda p: ngrams(T.quality_tokens(p), n)))
-    made = F.transform(F.array(runs), lambda r: F.struct(F.size(r).alias("w"), (F.size(r) - F.size(F.array_distinct(r))).alias("d")))
-    one = F.get(made, F.lit(0))
-    ratio = F.when(one["w"] > 0, F.round(one["d"] / one["w"], 3)).otherwise(F.lit(0.0))
-    return F.struct(ratio.alias("duplicate_ngram_ratio"), one["d"].alias("duplicate_ngram_count"), one["w"].alias("duplicate_ngram_windows"))
+    """struct(runs, repeats) of an array of paragraphs: as duplicate_ngrams."""
+    return scan.run_counts(paragraphs, n)
 
 
 def body_paragraphs(x: Column | str) -> Column:
@@ -72,7 +58,8 @@ def with_readability(df: DataFrame, body: str) -> DataFrame:
     v = lambda k: F.col(f"_n.{k}")
     applies = (v("chars") >= 24) & (v("n") >= 2)
     gap_ratio, short_ratio, density = _ratio(v("gaps"), v("chars")), _ratio(v("short"), v("n")), _ratio(v("marks"), v("meant"))
-    d = lambda k: F.col(f"_m.duplicate_ngram_{k}")
+    repeats = F.col("_m.repeats")
+    repeated = F.when(F.col("_m.runs") > 0, F.round(repeats / F.col("_m.runs"), 3)).otherwise(F.lit(0.0))
     cjk = F.struct(
         applies.alias("cjk_readability_applicable"),
         v("n").alias("cjk_body_paragraph_count"),
@@ -80,10 +67,10 @@ def with_readability(df: DataFrame, body: str) -> DataFrame:
         v("gaps").alias("cjk_spacing_anomaly_count"),
         F.round(gap_ratio, 3).alias("cjk_space_ratio"),
         (~(applies & (v("gaps") >= 2) & (gap_ratio > 0.01))).alias("cjk_spacing_ok"),
-        d("ratio").alias("duplicate_ngram_ratio"),
-        d("count").alias("duplicate_ngram_count"),
-        d("windows").alias("duplicate_ngram_windows"),
-        (~(applies & (d("count") >= 4) & (d("ratio") > 0.06))).alias("duplicate_ngram_ok"),
+        repeated.alias("duplicate_ngram_ratio"),
+        repeats.alias("duplicate_ngram_count"),
+        F.col("_m.runs").alias("duplicate_ngram_windows"),
+        (~(applies & (repeats >= 4) & (repeated > 0.06))).alias("duplicate_ngram_ok"),
         v("short").alias("short_paragraph_count"),
         F.round(short_ratio, 3).alias("short_paragraph_ratio"),
         (~(applies & (v("n") >= 4) & (v("short") >= 4) & (short_ratio > 0.45))).alias("short_paragraph_ratio_ok"),

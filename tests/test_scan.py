@@ -58,3 +58,22 @@ def test_ranges_by_search():
             else:
                 now += s + gap
         assert folds.ranges_of(np.array(size, np.int64), np.array(fresh, bool), limit, gap) == want
+
+
+def test_runs_of_tokens(spark, monkeypatch):
+    """Runs within paragraphs, counted over all of a document; runs of one token only don't count; words in any case are one."""
+    import re
+    from collections import Counter
+
+    monkeypatch.setattr(scan, "SLICE", 300)
+    rnd = random.Random(6)
+    say = lambda n: "".join(rnd.choice(["a ", "b,", "A-", "你", "好", "é", "x1 ", "\n"]) for _ in range(n))
+    rows = [(k, [say(rnd.randint(0, 60)) for _ in range(rnd.randint(0, 5))]) for k in range(60)] + [(60, ["a " * 30]), (61, None), (62, ["", None])]
+    df = spark.createDataFrame(rows, "k int, t array<string>").repartition(3)
+    for n in (1, 2, 5):
+        for r in df.select("k", scan.run_counts(F.col("t"), n).alias("c")).collect():
+            found = Counter()
+            for t in rows[r["k"]][1] or []:
+                w = [x.lower() for x in re.findall(r"[A-Za-z0-9]+|[\u3400-\u9FFF\u3040-\u30FF\uAC00-\uD7AF]", t or "")]
+                found.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1) if len(set(w[i : i + n])) > 1)
+            assert (r["c"]["runs"], r["c"]["repeats"]) == (found.total(), found.total() - len(found))
