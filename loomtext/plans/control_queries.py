@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import merge, planning, runtime
+from ..operators import artifacts, merge, planning, runtime
 from ..operators import telemetry as E
 from ..sources import records
 from .tables import TURNS, table, turns
@@ -185,6 +185,34 @@ def artifact_reach(spark, d):
     return runtime.reachable(up.unionByName(down)).select("from_id", "to_id", F.col("hops").cast("long").alias("hops"))
 
 
+def _derived(spark, d):
+    """Each order as an action of its customer's run: an artifact that follows from the order before, and the customer's folder."""
+    key = F.col("o_orderkey").cast("string")
+    result = F.concat(F.lit('{"artifacts": [{"artifact_id": "o'), key, F.lit('", "artifact_type": "order", "path": "/o/'), key, F.lit('", "parent_artifacts": ["o'), (F.col("o_orderkey") - 1).cast("string"), F.lit('"]}, {"path": "/o/'), key, F.lit('"}]}'))
+    context = F.concat(F.lit('{"work_dir": "/c/'), F.col("o_custkey"), F.lit('"}'))
+    return artifacts.derive(table(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("action_id"), result.alias("result"), context.alias("context")))
+
+
+@query("""SELECT o_custkey AS run_id, 'o' || o_orderkey AS artifact_id, 'order' AS artifact_type, '/o/' || o_orderkey AS path FROM orders
+UNION ALL SELECT DISTINCT o_custkey, 'artifact_' || left(sha1('artifact:work_dir:/c/' || o_custkey || ':1'), 12), 'work_dir', '/c/' || o_custkey FROM orders""")
+def artifact_nodes(spark, d):
+    return artifacts.graph(_derived(spark, d))[0]
+
+
+@query("SELECT o_custkey AS run_id, 'o' || (o_orderkey - 1) AS from_id, 'o' || o_orderkey AS to_id FROM orders")
+def artifact_edges(spark, d):
+    return artifacts.graph(_derived(spark, d))[1]
+
+
+@query("""WITH RECURSIVE u AS (SELECT DISTINCT user_id AS v FROM events), e AS (SELECT v AS f, (v * 3 + 1) % 100 AS t FROM u UNION SELECT v, v + 1 FROM u WHERE v % 10 = 5),
+r AS (SELECT f, t FROM e UNION SELECT r.f, e.t FROM r JOIN e ON e.f = r.t)
+SELECT a.f AS node, max(a.t) AS cycle FROM r a JOIN r b ON b.f = a.t AND b.t = a.f GROUP BY 1""")
+def artifact_cycles(spark, d):
+    u = table(spark, d, "events").select(F.col("user_id").alias("from_id")).distinct()
+    far = u.select("from_id", ((F.col("from_id") * 3 + 1) % 100).alias("to_id"))
+    return artifacts.cycles(far.unionByName(u.where("from_id % 10 = 5").select("from_id", (F.col("from_id") + 1).alias("to_id"))))
+
+
 _FIELDS = ("vid", "url", "title", "channel", "upload_date", "duration", "output_dir", "mode", "src", "source_language", "subtitle_source", "output_file")
 _FILES = ("", "talk 2024-01-15.md", "talk 20240115.md", "x20240115.md", "UNKNOWN", "99999999 20231301.md")
 
