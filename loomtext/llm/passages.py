@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _powers, byte_table, fresh, kept_in_worker, mix, nothing_kept, text_slices, word_hashes, written
@@ -150,10 +150,20 @@ def maybe_repeated(bits_set: np.ndarray, anchors: np.ndarray, bits: int) -> np.n
 # ---- groups ----------------------------------------------------------------------------------------
 
 
-def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(o, x, text): doc_id with null as the least, a digest of the text, which together name a document, and the text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("o"), F.unhex(F.md5(text.cast("binary"))).alias("x"), text.alias("text"))
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The columns (o, x) that together name a document: doc_id with null as the least, and a digest of the text.
+
+    Each window carries both through the shuffles. Where no doc_id comes twice, which one count tells, the digest is empty.
+    """
+    o = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
+    if not docs.select(o.alias("o")).groupBy("o").count().where("count > 1").take(1):
+        return o, F.lit(b"")
+    return o, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def _own(docs: DataFrame, name: tuple[Column, Column], text_col: str) -> DataFrame:
+    """(o, x, text): what names a document (see _named), and the text."""
+    return docs.select(name[0].alias("o"), name[1].alias("x"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def candidates(own: DataFrame, window: int, path: str, bits: int, key_bits: int = 64) -> DataFrame:
@@ -207,6 +217,43 @@ def _runs(hits: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "o long, x binary, start int, n int, fo long, fx binary, fpos int")
 
 
+def marks(own: DataFrame) -> tuple[str, int]:
+    """The folder of a written table (part, marks) with a bit set for each (o, x) in own, by its hash, and the bits of that hash: 16 bits a row, at most 2**MOST_BITS."""
+    bits = min(MOST_BITS, max(_PART_BITS, (16 * own.count()).bit_length()))
+    cell = F.shiftrightunsigned(F.xxhash64("o", "x"), 64 - bits) + 1
+    paths: list[str] = []
+    written(own.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("marks")), "marks", paths)
+    return paths[0], bits
+
+
+def load_marks(path: str, bits: int) -> np.ndarray:
+    out = np.zeros((1 << (bits - _PART_BITS), 1 << (_PART_BITS - 3)), np.uint8)
+    fs, at = _file_system(path)
+    for f in fs.get_file_info(pa.fs.FileSelector(at)):
+        if f.path.endswith(".parquet"):
+            t = pa.parquet.read_table(f.path, filesystem=fs)
+            for part, own in zip(t["part"].to_pylist(), t["marks"].to_pylist(), strict=True):
+                out[part - 1] = np.frombuffer(own, np.uint8)
+    return out.reshape(-1)
+
+
+def marked(own: DataFrame, path: str, bits: int) -> DataFrame:
+    """The rows of own (o, x, text) whose (o, x) marks may have been given; all that were given are among them. Texts that no one asks for aren't shuffled."""
+
+    def run(batches):
+        for b in batches:
+            known = kept_in_worker(("marks", path), lambda: load_marks(path, bits))
+            cell = np.asarray(b.column(3)).view(np.uint64) >> np.uint64(64 - bits)
+            some = known[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1 > 0
+            yield b.filter(pa.array(some)).select(["o", "x", "text"])
+
+    return own.withColumn("h", F.xxhash64("o", "x")).mapInArrow(run, "o long, x binary, text string")
+
+
+#: Bits of the places in one of Spark's bitmaps.
+_PART_BITS = 15
+
+
 def words_of(text: str) -> list[str]:
     return [w.decode() for w in text.encode().translate(_GAPS).split(b" ") if w]
 
@@ -226,7 +273,8 @@ def _wrong(own: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     blocks = F.explode(F.sequence(F.expr(f"fpos div {BLOCK}").cast("int"), (end / BLOCK).cast("int"))).alias("block")
     kept = runs.groupBy("fo", "fx", "fpos").agg(F.max("n").alias("n")).select(F.col("fo").alias("o"), F.col("fx").alias("x"), blocks).distinct()
     wanted = theirs.unionByName(kept.select("o", "x", F.lit(None).cast(kind).alias("run"), "block")).groupBy(F.col("o").alias("its_o"), F.col("x").alias("its_x")).agg(F.collect_list("run").alias("runs"), F.collect_list("block").alias("blocks"))
-    its = own.join(wanted.hint("merge"), (F.col("o") == F.col("its_o")) & (F.col("x") == F.col("its_x"))).select("o", "x", "text", "runs", "blocks")
+    its = marked(own, *marks(runs.select("o", "x").unionByName(runs.select(F.col("fo").alias("o"), F.col("fx").alias("x"))).distinct()))
+    its = its.join(wanted.hint("merge"), (F.col("o") == F.col("its_o")) & (F.col("x") == F.col("its_x"))).select("o", "x", "text", "runs", "blocks")
 
     def said(batches):
         names = ["o", "x", "block", "lo", "hi", "words", "of_o", "of_x", "start", "n"]
@@ -272,13 +320,13 @@ def _window_words(own: DataFrame, found: DataFrame, window: int) -> DataFrame:
     return its.mapInArrow(say, "o long, x binary, pos int, key long, words string").distinct()
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_bits: int = MOST_BITS, key_bits: int = 64) -> DataFrame:
-    """(o, x, start, words): for each document the runs of words that repeat those of documents with a smaller doc_id; o and x as in _own.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_bits: int = MOST_BITS, key_bits: int = 64, name: tuple[Column, Column] | None = None) -> DataFrame:
+    """(o, x, start, words): for each document the runs of words that repeat those of documents with a smaller doc_id; o and x as in _named.
 
     The sketch of the first scan tells which windows may be repeated; the second scan gives these with a 64-bit hash, and they are grouped by it. Then the words of
     each run are compared with those at its first place. Where hashes clashed, all windows of these hashes are grouped by their words.
     """
-    own = _own(docs, id_col, text_col)
+    own = _own(docs, name or _named(docs, id_col, text_col), text_col)
     n_bytes = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     bits = sketch_bits(n_bytes, most_bits)
     path = sketch(own.select("text"), window, bits)
@@ -308,11 +356,11 @@ def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     alike. An empty table gives an empty one. Columns of docs named kept, n_words or n_removed are replaced.
     """
     o_, x_, id_, of_, runs_ = fresh(docs, "_o", "_x", "_id", "_of", "_runs")
-    spans = repeated_spans(docs, id_col, text_col, window, most_bits, key_bits)
+    name = _named(docs, id_col, text_col)
+    spans = repeated_spans(docs, id_col, text_col, window, most_bits, key_bits, name)
     lists = spans.distinct().groupBy(F.col("o").alias(id_), F.col("x").alias(of_)).agg(F.collect_list(F.struct("start", "words")).alias(runs_))
-    text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.drop("kept", "n_words", "n_removed") if text_col not in ("kept", "n_words", "n_removed") else docs
-    named = named.withColumn(o_, F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))).withColumn(x_, F.unhex(F.md5(text.cast("binary"))))
+    named = named.withColumn(o_, name[0]).withColumn(x_, name[1])
     both = named.join(lists.hint("merge"), (F.col(o_) == F.col(id_)) & (F.col(x_) == F.col(of_)), "left").drop(o_, x_, id_, of_)
     names = [c for c in both.columns if c != runs_]
     k = names.index(text_col)

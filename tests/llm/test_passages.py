@@ -101,3 +101,24 @@ def test_windows_and_anchors():
 
 def test_sizes_of_the_sketch():
     assert passages.sketch_bits(0) == 20 and passages.sketch_bits(1 << 30) == 27 and passages.sketch_bits(1 << 50) == passages.MOST_BITS
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_windows_carry_a_digest_only_where_an_id_comes_twice(spark, twice):
+    rows = [(None if k == 16 else k, t) for k, (_, t) in enumerate(made(5))]
+    rows += [(3, "other text")] * twice
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    digests = {bytes(r["x"]) for r in passages._own(df, passages._named(df, "doc_id", "text"), "text").select("x").collect()}
+    assert (digests == {b""}) != twice
+    out = passages.without_repeated_passages(df, window=5)
+    assert sorted(((r["doc_id"], r["text"], r["n_words"], r["n_removed"], r["kept"]) for r in out.collect()), key=str) == brute(rows, 5)
+
+
+def test_marks_keep_all_that_were_given_and_few_others(spark):
+    own = spark.range(0, 20000, numPartitions=4).selectExpr("id AS o", "unhex(md5(cast(id AS string))) AS x", "cast(id AS string) AS text")
+    kept = passages.marked(own, *passages.marks(own.where("o % 10 = 3").select("o", "x")))
+    got = {r["o"] for r in kept.collect() if r["text"] == str(r["o"])}
+    assert {o for o in range(20000) if o % 10 == 3} <= got
+    assert len(got) < 4000
+    none = passages.marked(own, *passages.marks(own.where("o < 0").select("o", "x")))
+    assert none.count() == 0
