@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 #: A term of these characters stands between other characters than ASCII letters and digits; any other stands anywhere.
 SIMPLE = re.compile(r"[A-Za-z0-9_-]+")
+#: In lower case, a term of these characters alone is found just where it is a whole word of a text.
+WORD = re.compile(r"[a-z0-9]+")
 _PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 #: Automata of glossaries that a task keeps while texts of their documents come.
 KEPT = 64
+#: Rows of a batch that are Python objects at once.
+ROWS = 128
 
 
 def folded(text: str) -> str:
@@ -77,6 +81,12 @@ class Automaton:
         return found
 
 
+def _mapped(f: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """The array of f of each row, made ROWS rows at a time: a batch's texts are never all Python objects."""
+    parts = [pa.array([f(*row) for row in zip(*(c.slice(k, ROWS).to_pylist() for c in columns), strict=True)], kind) for k in range(0, len(columns[0]), ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _automata() -> Callable[[tuple, bool], Automaton]:
     kept: OrderedDict[tuple, Automaton] = OrderedDict()
 
@@ -98,7 +108,7 @@ def used_of_row(text: Column, terms: Column, ignore_case: bool = False) -> Colum
     def used(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         automaton = _automata()
         for texts, lists in batches:
-            yield pa.array([sorted(automaton(tuple(own or ()), ignore_case).used(t)) for t, own in zip(texts.to_pylist(), lists.to_pylist(), strict=True)], pa.list_(pa.int32()))
+            yield _mapped(lambda t, own: sorted(automaton(tuple(own or ()), ignore_case).used(t)), pa.list_(pa.int32()), texts, lists)
 
     return used(text, terms)
 
@@ -110,6 +120,28 @@ def used_of_all(text: Column, terms: list[str], order: list[int], most: int, ign
     def used(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = Automaton(terms, ignore_case)
         for texts in batches:
-            yield pa.array([sorted(automaton.used(t), key=order.__getitem__)[:most] for t in texts.to_pylist()], pa.list_(pa.int32()))
+            yield _mapped(lambda t: sorted(automaton.used(t), key=order.__getitem__)[:most], pa.list_(pa.int32()), texts)
 
     return used(text)
+
+
+def word_of(term: Column) -> Column:
+    """The word that a text has just where it has a term, case ignored: the term in lower case, if it is of ASCII letters and digits; else null."""
+
+    @F.arrow_udf("string")
+    def word(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for own in batches:
+            yield _mapped(lambda t: low if WORD.fullmatch(low := folded((t or "").strip())) else None, pa.string(), own)
+
+    return word(term)
+
+
+def words_of(text: Column) -> Column:
+    """array<string>: the distinct words of a text, case ignored, among which word_of() a term is looked for."""
+
+    @F.arrow_udf("array<string>")
+    def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield _mapped(lambda t: list(set(WORD.findall(folded(t or "")))), pa.list_(pa.string()), texts)
+
+    return words(text)
