@@ -116,6 +116,37 @@ def pieces_of(units: Column, sizes: Column, size: int) -> Column:
     return cut(units, sizes)
 
 
+def fitted_units(units: Column, size: int) -> Column:
+    """struct(pieces, measures) of an array of texts: with those of more than size tokens cut by cut_by_tokens, null if there are none; and scan.unit_counts of what results."""
+    kind = pa.list_(pa.string())
+
+    @F.arrow_udf("struct<pieces:array<string>,measures:array<struct<tokens:int,chars:int,fixed:int,rest:int>>>")
+    def fit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            parts = []
+            for k in range(0, len(lists), _ROWS):
+                own = lists.slice(k, _ROWS).cast(kind)
+                measured = scan.counted(own)
+                tokens = np.asarray(measured.flatten().field("tokens"))
+                per = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(own), 0))
+                ends = np.append(0, np.cumsum(per))
+                cut: list[list[str] | None] = [None] * len(own)
+                for i in np.unique(np.searchsorted(ends, np.flatnonzero(tokens > size), "right") - 1).tolist():
+                    sizes = tokens[ends[i] : ends[i + 1]].tolist()
+                    cut[i] = [p for u, n in zip(own[i].as_py(), sizes, strict=True) for p in (cut_by_tokens(u, size) if n > size else [u])]
+                pieces = pa.array(cut, kind)
+                if pieces.null_count < len(own):
+                    measured = scan.counted(pa.compute.coalesce(pieces, own))
+                parts.append(pa.StructArray.from_arrays([pieces, measured], names=["pieces", "measures"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("pieces", kind), ("measures", scan.counted(pa.array([], kind)).type)]))
+
+    return fit(units)
+
+
+#: Rows that are measured and cut at once.
+_ROWS = 512
+
+
 def borders(text: str) -> list[int]:
     """The lengths of the beginnings of text that it ends with, itself left out, longest first; by the prefix function."""
     fail, k = [0] * len(text), 0

@@ -169,19 +169,26 @@ def text_counts(text: Column) -> Column:
     return of_batches(F.coalesce(text, F.lit("")))
 
 
+def counted(lists: pa.Array) -> pa.Array:
+    """list<struct(tokens, chars, fixed, rest)> of lists of texts, null for null."""
+    found = scanned(lists.flatten())
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+    offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    rows = pa.StructArray.from_arrays([pa.array(found[c].astype(np.int32)) for c in _UNIT], names=list(_UNIT))
+    out = pa.ListArray.from_arrays(offsets, rows)
+    return pa.compute.if_else(pa.compute.is_valid(lists), out, pa.scalar(None, out.type)) if lists.null_count else out
+
+
+_UNIT = ("tokens", "chars", "fixed", "rest")
+
+
 def unit_counts(units: Column) -> Column:
     """array<struct(tokens, chars, fixed, rest)> of an array of texts, null for null."""
-    names = ("tokens", "chars", "fixed", "rest")
 
-    @F.arrow_udf(f"array<struct<{', '.join(f'{c}: int' for c in names)}>>")
+    @F.arrow_udf(f"array<struct<{', '.join(f'{c}: int' for c in _UNIT)}>>")
     def of_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            found = scanned(lists.flatten())
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
-            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-            rows = pa.StructArray.from_arrays([pa.array(found[c].astype(np.int32)) for c in names], names=list(names))
-            out = pa.ListArray.from_arrays(offsets, rows)
-            yield pa.compute.if_else(pa.compute.is_valid(lists), out, pa.scalar(None, out.type)) if lists.null_count else out
+            yield counted(lists)
 
     return of_batches(units)
 

@@ -38,22 +38,26 @@ def count(x: Column, pattern: str) -> Column:
     return F.regexp_count(x, F.lit(pattern))
 
 
+#: What (?U)\s is: white space, Unicode's too.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Without white space, Unicode's too, at both ends."""
-    return sub(x, r"(?U)\A\s+|\s+\z")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def rstrip(x: Column) -> Column:
-    return sub(x, r"(?U)\s+\z")
+    return F.rtrim(x, F.lit(SPACES))
 
 
 def lstrip(x: Column) -> Column:
-    return sub(x, r"(?U)\A\s+")
+    return F.ltrim(x, F.lit(SPACES))
 
 
 def collapse(x: Column) -> Column:
     """Each run of white space as one space, none at the ends."""
-    return strip(sub(x, r"(?U)\s+", " "))
+    return F.trim(sub(x, rf"[{SPACES}]+", " "))
 
 
 # ---- cleaning ----------------------------------------------------------------------------------
@@ -192,9 +196,10 @@ def estimate_tokens(x: Column | str, mode: str = "tokens") -> Column:
     return F.when(t == "", F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), family + words + quarter_up(rest))).cast("long")
 
 
-#: Ends of sentences: CJK and Latin marks; full stops but in ellipses, decimals, initials, acronyms and titles.
+#: Ends of sentences: CJK and Latin marks; full stops but in ellipses, decimals, initials, acronyms and titles. What stands
+#: before a full stop is only looked at where there is one.
 _END = (
-    r"(?:[。！？!?]|(?<!\d(?=\.\d))(?<!\p{L}(?=\.\p{L}\.))\.(?!\.)"
+    r"(?:[。！？!?]|(?=\.)(?<!\d(?=\.\d))(?<!\p{L}(?=\.\p{L}\.))\.(?!\.)"
     r"(?!(?<=\b[A-Za-z]\.[A-Za-z]\.)\s?\p{Ll})"
     r"(?!(?<=(?i:(?<![A-Za-z])(?:mr|mrs|ms|dr|prof|sr|jr|st)\.))\s?\p{Lu}))"
     r"[”\"'’」)\]}]*"
@@ -204,7 +209,7 @@ _END = (
 def split_sentences(x: Column | str) -> Column:
     """Array of the sentences of a text, stripped, white space collapsed."""
     marked = sub(collapse(text_of(x)), _END, "$0\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")  # collapsed: no other white space is left
 
 
 def hard_split(x: Column | str, size: int) -> Column:

@@ -84,20 +84,13 @@ def pack(units: Column, target: int, cap: int, mode: str = "tokens", fresh: Colu
 
 
 def fitted(docs: DataFrame, units: Column, cap: int, mode: str, out: str = "f") -> DataFrame:
-    """docs with out: struct(u, m), units and their measures (scan.unit_counts), those larger than cap cut into pieces that are not. Only documents with
-    such units are measured again."""
+    """docs with out: struct(u, m), units and their measures (scan.unit_counts), those larger than cap cut into pieces that are not. Tokens are
+    measured, cut and measured again by one function (folds.fitted_units), so that the units are made and passed on once."""
     if mode == "chars":
         cut = F.flatten(F.transform(units, lambda u: F.when(F.length(u) > cap, T.hard_split(u, cap)).otherwise(F.array(u))))
         return docs.withColumn("_u", cut).withColumn(out, F.struct(F.col("_u").alias("u"), scan.unit_counts(F.col("_u")).alias("m"))).drop("_u")
-    made = docs.withColumn("_u", units).withColumn("_m", scan.unit_counts(F.col("_u")))
-    sizes = F.col("_m")["tokens"]
-    many = F.coalesce(F.exists(sizes, lambda n: n > cap), F.lit(False))
-    crowded = made.where(many).withColumn("_p", folds.pieces_of(F.col("_u"), sizes, cap))
-    zipped = F.arrays_zip(F.col("_u").alias("u"), sizes.alias("n"), F.col("_p").alias("p"))
-    cut = F.flatten(F.transform(zipped, lambda z: F.when(z["n"] > cap, z["p"]).otherwise(F.array(z["u"]))))
-    crowded = crowded.withColumn("_u", cut).drop("_p").withColumn("_m", scan.unit_counts(F.col("_u")))
-    whole = made.where(~many).unionByName(crowded)
-    return whole.withColumn(out, F.struct(F.col("_u").alias("u"), F.col("_m").alias("m"))).drop("_u", "_m")
+    made = docs.withColumn("_u", units).withColumn("_f", folds.fitted_units(F.col("_u"), cap))
+    return made.withColumn(out, F.struct(F.coalesce("_f.pieces", "_u").alias("u"), F.col("_f.measures").alias("m"))).drop("_u", "_f")
 
 
 def chunk_text(docs: DataFrame, target: int = 1200, cap: int = 1596, mode: str = "tokens") -> DataFrame:
