@@ -219,7 +219,7 @@ def manifest(chunks: DataFrame, plan_id: str, tail: int = 2) -> DataFrame:
         F.concat(F.lit("processed_"), number, F.lit(".md")).alias("processed_path"),
         F.lit("pending").alias("status"),
         F.length("content").alias("char_count"),
-        T.estimate_tokens("content").alias("estimated_input_tokens"),
+        scan.text_counts(F.col("content"))["tokens"].alias("estimated_input_tokens"),
         T.tail_sentences("content", tail).alias("tail_context_text"),
         F.lit(0).alias("attempts"),
     )

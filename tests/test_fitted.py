@@ -26,3 +26,11 @@ def test_white_space(spark):
     same = (T.strip(F.col("s")) == old(both, F.col("s"))) & (T.collapse(F.col("s")) == old(both, old(r"(?U)\s+", F.col("s"), " ")))
     same = same & (T.lstrip(F.col("s")) == old(r"(?U)\A\s+", F.col("s"))) & (T.rstrip(F.col("s")) == old(r"(?U)\s+\z", F.col("s")))
     assert df.where(~same).count() == 0
+
+
+def test_manifest_measures_by_one_scan(spark):
+    rows = [(1, 0, "It's a well-known 甲乙 test. Two!"), (1, 1, ""), (2, 0, "a　b…")]
+    m = chunking.manifest(spark.createDataFrame(rows, "doc_id int, chunk_id int, content string"), "p")
+    assert "regexp_extract_all" not in m.select("estimated_input_tokens")._jdf.queryExecution().optimizedPlan().toString()
+    want = spark.createDataFrame(rows, "doc_id int, id int, content string").select("doc_id", "id", T.estimate_tokens("content").alias("n"))
+    assert m.join(want, ["doc_id", "id"]).where("estimated_input_tokens = n").count() == 3
