@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chars as C
@@ -26,6 +26,15 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def exploded(df: DataFrame, array: str, pos: str, value: str) -> DataFrame:
+    """df with a row for each element of array: its place and itself. Rows whose array is null or empty go.
+
+    posexplode brings a filter on the array's size, which moves below what makes the array and runs its Python functions a second time;
+    posexplode_outer brings none.
+    """
+    return df.select("*", F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def sub(x: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(x, F.lit(pattern), F.lit(to))
 

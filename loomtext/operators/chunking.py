@@ -67,14 +67,19 @@ def _gap(mode: str) -> int:
     return len(SEPARATOR) if mode == "chars" else 1
 
 
-def pack(units: Column, target: int, cap: int, mode: str = "tokens", fresh: Column | None = None, measures: Column | None = None) -> Column:
+def pack(units: Column, target: int, cap: int, mode: str = "tokens", fresh: Column | None = None, measures: Column | None = None, tokens: bool = True) -> Column:
     """Array of chunks, each struct(content, units, first, chars, tokens), of an array of texts in order, greedily.
 
     fresh: an array of booleans beside units; a unit with true begins a chunk. measures: scan.unit_counts of the units, if known. One scan
-    measures the units; only sizes go through the fold, a chunk is a slice of the units, and its tokens are sums.
+    measures the units; only sizes go through the fold, a chunk is a slice of the units, and its tokens are sums. With mode ``chars`` and
+    without tokens (0 then) no text goes to Python.
     """
-    measures = scan.unit_counts(units) if measures is None else measures
-    ranges = folds.chunk_ranges(measures["chars" if mode == "chars" else "tokens"], fresh, min(target, cap), _gap(mode), measures)
+    if mode == "chars" and not tokens and measures is None:
+        sizes = F.transform(units, lambda u: F.coalesce(F.length(u), F.lit(0)))
+    else:
+        measures = scan.unit_counts(units) if measures is None else measures
+        sizes = measures["chars" if mode == "chars" else "tokens"]
+    ranges = folds.chunk_ranges(sizes, fresh, min(target, cap), _gap(mode), measures)
 
     def chunk(u: Column, r: Column) -> Column:
         content = F.array_join(F.slice(u, r["first"] + 1, r["units"]), SEPARATOR)

@@ -159,8 +159,8 @@ def hard_split(spark, d):
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS chunk_id, CAST(length(s[i]) AS BIGINT) AS chars, md5(s[i]) AS content FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM chunks)""")
 def pack_lines(spark, d):
     lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.btrim(s)), lambda s: s != "")
-    packed = table(spark, d, "documents").select("doc_id", chunking.pack(lines, 2000, 2000, "chars").alias("c"))
-    return packed.select("doc_id", F.posexplode("c").alias("chunk_id", "p")).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("p.chars").cast("long").alias("chars"), F.md5(F.col("p.content").cast("binary")).alias("content"))
+    packed = table(spark, d, "documents").select("doc_id", chunking.pack(lines, 2000, 2000, "chars", tokens=False).alias("c"))
+    return T.exploded(packed, "c", "chunk_id", "p").select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("p.chars").cast("long").alias("chars"), F.md5(F.col("p.content").cast("binary")).alias("content"))
 
 
 @query("""WITH RECURSIVE lines AS (SELECT source, doc_id, unnest(u) AS s, unnest(range(len(u))) AS k FROM (
