@@ -109,7 +109,7 @@ def _numbered(listed: DataFrame, units: str, limit: int, gap: int) -> DataFrame:
     """A row for each of the array column units (struct with size and fresh): its fields, k, its place, and chunk_id."""
     u = F.col(units)
     ranged = listed.withColumn("_r", folds.chunk_ranges(u["size"], u["fresh"], limit, gap))
-    each = ranged.select("*", F.posexplode("_r").alias("chunk_id", "_c"))
+    each = T.exploded(ranged, "_r", "chunk_id", "_c")
     parts = F.transform(F.slice(u, F.col("_c.first") + 1, F.col("_c.units")), lambda v, i: F.struct((F.col("_c.first") + i).alias("k"), v.alias("v")))
     rest = [c for c in listed.columns if c != units]
     return each.select(*rest, "chunk_id", F.inline(parts)).select(*rest, "chunk_id", "k", "v.*")

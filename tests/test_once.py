@@ -18,6 +18,11 @@ def test_pack_lines_sends_sizes_once(spark):
     assert nodes == 1 and "of_batches" not in plan
 
 
+def test_replan_remaining_measures_and_packs_once(spark):
+    nodes, plan = python_nodes(catalogue.queries()["replan_remaining"](spark, SMALL))
+    assert nodes == 2 and plan.count("fit(") == plan.count("ranges(") == 1
+
+
 def test_packing_by_characters_without_texts_in_python(spark):
     units = [["ab", "c" * 9, "甲乙", "", None, "😀" * 4, "d"], [], None, ["x" * 30], [None], ["e", "f"] * 20]
     df = spark.createDataFrame(list(enumerate(units)), "k int, u array<string>")
