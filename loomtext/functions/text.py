@@ -64,9 +64,12 @@ def lstrip(x: Column) -> Column:
     return F.ltrim(x, F.lit(SPACES))
 
 
+_OTHER_SPACES = SPACES.replace(" ", "")
+
+
 def collapse(x: Column) -> Column:
-    """Each run of white space as one space, none at the ends."""
-    return F.trim(sub(x, rf"[{SPACES}]+", " "))
+    """Each run of white space as one space, none at the ends. Single spaces, nearly all of it, aren't replaced."""
+    return F.trim(sub(x, rf"[{_OTHER_SPACES}][{SPACES}]*| [{SPACES}]+", " "))
 
 
 # ---- cleaning ----------------------------------------------------------------------------------
@@ -361,6 +364,11 @@ def family_length(x: Column | str) -> Column:
     return F.length(sub(text_of(x), rf"[^{C.FAMILY}]"))
 
 
+def has_family(x: Column | str, least: int) -> Column:
+    """Whether a text has so many CJK characters; the rest of it isn't copied, as family_length does."""
+    return text_of(x).rlike(rf"(?:[{C.FAMILY}][^{C.FAMILY}]*+){{{least}}}")
+
+
 def punctuation_length(x: Column | str) -> Column:
     return F.length(sub(text_of(x), f"[^{C.QUALITY_PUNCTUATION}]"))
 

@@ -48,7 +48,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def with_readability(df: DataFrame, body: str) -> DataFrame:
     """df with ``cjk``: readability signals of the array of paragraphs in body, advisory unless there is enough CJK text."""
-    df = df.withColumn("_c", F.filter(F.col(body), lambda b: T.family_length(b) >= 4))
+    df = df.withColumn("_c", F.filter(F.col(body), lambda b: T.has_family(b, 4)))
     df = df.withColumn("_t", F.array_join("_c", "\n\n"))
     df = df.withColumn("_m", ngram_metrics(F.col("_c")))
     n, m = F.size("_c"), T.family_length("_t")
@@ -80,9 +80,19 @@ def with_readability(df: DataFrame, body: str) -> DataFrame:
     return df.withColumn("cjk", cjk).drop("_c", "_t", "_m", "_n")
 
 
+def flat_blocks(blocks: Column) -> Column:
+    """Blocks as seam_count compares them: white space collapsed, none empty. One block alone has no seam and isn't looked at."""
+    none = F.array().cast("array<string>")
+    return F.when(F.size(blocks) > 1, F.filter(F.transform(blocks, T.collapse), lambda b: b != "")).when(F.size(blocks) >= 0, none)
+
+
 def seam_count(blocks: Column) -> Column:
-    """Adjacent blocks that are equal, or overlap strongly. Overlaps are found in one pass; what they mean is tested where there are any."""
-    flat = F.filter(F.transform(blocks, T.collapse), lambda b: b != "")
+    """Adjacent blocks that are equal, or overlap strongly."""
+    return flat_seam_count(flat_blocks(blocks))
+
+
+def flat_seam_count(flat: Column) -> Column:
+    """seam_count of flat_blocks, as a column of its own best: it is used twice. Overlaps are found in one pass; what they mean is tested where there are any."""
 
     def faulty(f: Column, lengths: Column, i: Column) -> Column:
         b = F.get(f, i + 1)
@@ -156,7 +166,7 @@ def verify(docs: DataFrame, bilingual: bool = False, raw: str | None = None, emp
     chars = F.aggregate("_body", F.lit(0), lambda a, b: a + F.length(b))
     d = d.withColumn("total_chars", F.length("_text")).withColumn("total_lines", F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1)
     d = d.withColumn("paragraph_count", n).withColumn("no_truncation", F.coalesce(~T.looks_truncated("_last"), F.lit(False)) & F.col("_last").isNotNull())
-    d = d.withColumn("chunk_seam_warning_count", seam_count(F.col("_body")))
+    d = d.withColumn("_flat", flat_blocks(F.col("_body"))).withColumn("chunk_seam_warning_count", flat_seam_count(F.col("_flat"))).drop("_flat")
     density, per = F.when(n > 0, s / n).otherwise(s.cast("double")), F.when(s > 0, chars / s).otherwise(chars.cast("double"))
     d = d.withColumn("header_density", F.round(density, 3)).withColumn("avg_chars_per_section", F.round(per, 1))
     d = d.withColumn("header_fragment_balance_ok", ~((s >= 4) & (n >= 4) & (density > 0.6) & (per < 220)))

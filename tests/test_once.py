@@ -1,7 +1,9 @@
 """Python functions run once for each row, on no more than they need."""
 
+import random
+
 from loomtext.functions import text as T
-from loomtext.operators import chunking
+from loomtext.operators import chunking, quality
 from loomtext.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -32,3 +34,22 @@ def test_packing_by_characters_without_texts_in_python(spark):
         assert plain(r["a"]) == plain(r["b"])
     out = [(r["k"], r["i"], r["c"]["units"]) for r in T.exploded(packed, "b", "i", "c").orderBy("k", "i").collect()]
     assert {k for k, *_ in out} == {0, 3, 4, 5} and [i for k, i, _ in out if k == 0] == [0, 1, 2, 3] and sum(n for k, _, n in out if k == 5) == 40
+
+
+def test_quality_report_flattens_once(spark):
+    plan = python_nodes(catalogue.queries()["quality_report"](spark, SMALL))[1]
+    assert plan.count(T._OTHER_SPACES) == 1
+
+
+def test_white_space_in_runs(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice([" ", " ", "  ", "\n", "\u3000", "\t", "\xa0", "a", "b.", "甲"]) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert df.where(T.collapse(F.col("s")) != F.trim(F.regexp_replace("s", rf"[{T.SPACES}]+", " "))).count() == 0
+    assert df.where(T.has_family("s", 4) != (T.family_length("s") >= 4)).count() == 0
+
+
+def test_seams_of_few_blocks(spark):
+    blocks = [None, [], ["a b c"], [" ", "x"], ["one two three four.", "one  two three four."], ["a", "", "a"], ["the end of it all here", "end of it all here we go"]]
+    df = spark.createDataFrame(list(enumerate(blocks)), "k int, b array<string>")
+    assert [r["n"] for r in df.select("k", quality.seam_count(F.col("b")).alias("n")).orderBy("k").collect()][1:] == [0, 0, 0, 1, 1, 1]
