@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,87 +116,115 @@ def _numbered(listed: DataFrame, units: str, limit: int, gap: int) -> DataFrame:
     return each.select(*rest, "chunk_id", F.inline(parts)).select(*rest, "chunk_id", "k", "v.*")
 
 
-def _coalesced(mode: str, target: int, cap: int):
+def joined_starts(chunks: list[dict], target: int, cap: int, mode: str) -> list[int]:
+    """The places of the chunks (size_, segments, fresh) of one document at which joined chunks begin. Sizes of joined chunks are sums, with the separator between.
+
+    The cursor moves back after a merge, which no fold over an array does.
+    """
     floor = max(60, min(120, max(1, target // 6))) if mode == "tokens" else max(40, min(80, max(1, target // 6)))
     slack, gap = max(10, floor // 2), _gap(mode)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Which chunk each goes to. Sizes of joined chunks are sums, with the separator between."""
-        rows = rows.sort_values("chunk_id")
-        specs = [{"ids": [r.chunk_id], "size": r.size_, "segments": r.segments, "fresh": bool(r.fresh)} for r in rows.itertuples()]
-        k = 0
-        while len(specs) >= 2 and k < len(specs) and len(rows) >= 3:
-            now = specs[k]
-            if now["size"] >= floor or (now["segments"] > 1 and now["size"] > max(20, floor // 2)):
-                k += 1
-                continue
-            ways = []
-            if k + 1 < len(specs):
-                total = now["size"] + specs[k + 1]["size"] + gap
-                ways.append((total > cap, 0 if now["fresh"] else 1, total, 1))
-            if k and not now["fresh"]:
-                total = now["size"] + specs[k - 1]["size"] + gap
-                ways.append((total > cap, 0, total, -1))
-            if not ways or (min(ways)[0] and min(ways)[2] > cap + slack):
-                k += 1
-                continue
-            side = min(ways)[3]
-            at = k + min(0, side)
-            left, right = specs[at], specs.pop(at + 1)
-            specs[at] = {"ids": left["ids"] + right["ids"], "size": left["size"] + right["size"] + gap, "segments": left["segments"] + right["segments"], "fresh": left["fresh"]}
-            k = at
-        out = [(rows.doc_id.iloc[0], i, n) for n, s in enumerate(specs) for i in s["ids"]]
-        return pd.DataFrame(out, columns=["doc_id", "chunk_id", "merged_id"])
-
-    return run
+    specs = [{"at": i, "size": c["size_"], "segments": c["segments"], "fresh": bool(c["fresh"])} for i, c in enumerate(chunks)]
+    k = 0
+    while len(specs) >= 2 and k < len(specs) and len(chunks) >= 3:
+        now = specs[k]
+        if now["size"] >= floor or (now["segments"] > 1 and now["size"] > max(20, floor // 2)):
+            k += 1
+            continue
+        ways = []
+        if k + 1 < len(specs):
+            total = now["size"] + specs[k + 1]["size"] + gap
+            ways.append((total > cap, 0 if now["fresh"] else 1, total, 1))
+        if k and not now["fresh"]:
+            total = now["size"] + specs[k - 1]["size"] + gap
+            ways.append((total > cap, 0, total, -1))
+        if not ways or (min(ways)[0] and min(ways)[2] > cap + slack):
+            k += 1
+            continue
+        side = min(ways)[3]
+        at = k + min(0, side)
+        left, right = specs[at], specs.pop(at + 1)
+        specs[at] = {"at": left["at"], "size": left["size"] + right["size"] + gap, "segments": left["segments"] + right["segments"], "fresh": left["fresh"]}
+        k = at
+    return [s["at"] for s in specs]
+
+
+def _starts(chunks: Column, target: int, cap: int, mode: str) -> Column:
+    """array<int>: joined_starts of an array of struct(size_, segments, fresh); no texts."""
+
+    @F.arrow_udf("array<int>")
+    def starts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield pa.array([None if own is None else joined_starts(own, target, cap, mode) for own in lists.to_pylist()], pa.list_(pa.int32()))
+
+    return starts(chunks)
 
 
 def coalesce_small(chunks: DataFrame, target: int, cap: int, mode: str = "tokens") -> DataFrame:
     """(doc_id, chunk_id, merged_id): undersized chunks (doc_id, chunk_id, size_, segments, fresh) joined to a neighbour.
 
-    The cursor moves back after a merge, which no fold over an array does, so each document's sizes (no texts)
-    go through Python.
+    A document's chunks are one array of sizes, and go through Python with those of other documents.
     """
-    kind = chunks.schema["doc_id"].dataType.simpleString()
-    return chunks.select("doc_id", "chunk_id", "size_", "segments", "fresh").groupBy("doc_id").applyInPandas(_coalesced(mode, target, cap), f"doc_id {kind}, chunk_id int, merged_id int")
+    whole = F.array_sort(F.collect_list(F.struct(F.col("chunk_id").cast("int").alias("chunk_id"), "size_", "segments", "fresh")))
+    listed = chunks.groupBy("doc_id").agg(whole.alias("c"))
+    sizes = F.transform("c", lambda c: F.struct(c["size_"].cast("long").alias("size_"), c["segments"].cast("long").alias("segments"), c["fresh"].alias("fresh")))
+    begun = listed.withColumn("_s", _starts(sizes, target, cap, mode))
+    to = F.flatten(F.transform("_s", lambda s, j: F.array_repeat(j, F.coalesce(F.get("_s", j + 1), F.size("c")) - s)))
+    return begun.select("doc_id", F.inline(F.arrays_zip(F.col("c.chunk_id").alias("chunk_id"), to.alias("merged_id")))).select("doc_id", "chunk_id", F.col("merged_id").cast("int").alias("merged_id"))
 
 
 def chunk_segments(segments: DataFrame, target: int, cap: int, mode: str = "tokens", breaks: DataFrame | None = None, join_small: bool = True) -> DataFrame:
     """(doc_id, chunk_id, content, start_time, end_time, duration_sec, first_segment, last_segment, n_segments, starts_chapter).
 
     Segments (doc_id, id, text, start_time, end_time) longer than cap are cut, then packed in order; a segment of
-    breaks (doc_id, id) begins a chunk. Undersized chunks are joined to a neighbour if the document has three.
+    breaks (doc_id, id) begins a chunk. Undersized chunks are joined to a neighbour if the document has three. A document's parts are
+    brought together once; its chunks are stretches of that array.
     """
-    parts = S.split_timed(segments, cap, mode).withColumn("part_index", F.coalesce("part_index", F.lit(0)))
+    parts = S.split_timed(segments, cap, mode, "size").withColumn("part_index", F.coalesce("part_index", F.lit(0)))
     if breaks is None:
         parts = parts.withColumn("fresh", F.lit(False))
     else:
         parts = parts.join(breaks.select("doc_id", "id", F.lit(True).alias("_b")), ["doc_id", "id"], "left").withColumn("fresh", F.coalesce("_b", F.lit(False)) & (F.col("part_index") == 0)).drop("_b")
-    listed = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "part_index", "text", "start_time", "end_time", "fresh", T.estimate_tokens("text", mode).alias("size")))).alias("p"))
-    rows = _numbered(listed, "p", min(target, cap), _gap(mode))
+    listed = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "part_index", "text", "start_time", "end_time", "fresh", "size"))).alias("p"))
+    ranged = listed.withColumn("_r", folds.chunk_ranges(F.col("p.size"), F.col("p.fresh"), min(target, cap), _gap(mode)))
     if join_small:
-        sizes = rows.groupBy("doc_id", "chunk_id").agg((F.sum("size") + _gap(mode) * (F.count(F.lit(1)) - 1)).cast("long").alias("size_"), F.countDistinct("id").cast("int").alias("segments"), F.min_by("fresh", "k").alias("fresh"))
-        rows = rows.join(coalesce_small(sizes, target, cap, mode), ["doc_id", "chunk_id"]).withColumn("chunk_id", F.col("merged_id"))
-    return chunk_table(rows)
-
-
-def chunk_table(rows: DataFrame) -> DataFrame:
-    """Chunks of rows (doc_id, chunk_id, k, id, text, start_time, end_time, fresh) in the order of k."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda s: s["text"])
-    first = F.min_by("start_time", F.when(F.col("start_time").isNotNull(), F.col("k")))
-    last = F.max_by("end_time", F.when(F.col("end_time").isNotNull(), F.col("k")))
-    out = rows.groupBy("doc_id", "chunk_id").agg(
-        F.array_join(texts, SEPARATOR).alias("content"),
-        first.alias("start_time"),
-        last.alias("end_time"),
-        F.min_by("id", "k").alias("first_segment"),
-        F.max_by("id", "k").alias("last_segment"),
-        F.countDistinct("id").alias("n_segments"),
-        F.min_by("fresh", "k").alias("starts_chapter"),
-    )
+        ranged = ranged.withColumn("_s", _starts(F.transform("_r", lambda r: _size_of(F.slice("p", r["first"] + 1, r["units"]), mode)), target, cap, mode))
+        ranged = ranged.withColumn("_at", F.transform("_s", lambda s: F.get("_r", s)["first"]))
+    else:
+        ranged = ranged.withColumn("_at", F.col("_r.first"))
+    stretch = lambda a, i: F.slice("p", a + 1, F.coalesce(F.get("_at", i + 1), F.size("p")) - a)
+    chunks = ranged.select("doc_id", F.transform("_at", lambda a, i: T.let(stretch(a, i), _chunk_of)).alias("_c"))
+    out = T.exploded(chunks, "_c", "chunk_id", "c").select("doc_id", "chunk_id", "c.*")
     return out.withColumn("duration_sec", F.round(F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time")), 3))
 
 
+def _size_of(parts: Column, mode: str) -> Column:
+    """struct(size_, segments, fresh) of a chunk's parts."""
+
+    def whole(v: Column) -> Column:
+        size = F.aggregate(v["size"], F.lit(0).cast("long"), lambda a, n: a + n) + _gap(mode) * (F.size(v) - 1)
+        return F.struct(size.cast("long").alias("size_"), _distinct(v["id"]).alias("segments"), F.get(v["fresh"], F.lit(0)).alias("fresh"))
+
+    return T.let(parts, whole)
+
+
+def _distinct(ids: Column) -> Column:
+    return F.size(F.array_distinct(F.array_compact(ids))).cast("long")
+
+
+def _chunk_of(v: Column) -> Column:
+    """A chunk as a struct, of its parts (id, text, start_time, end_time, fresh) in order; missing times are passed over."""
+    known = lambda c, k: F.try_element_at(F.array_compact(v[c]), F.lit(k))
+    return F.struct(
+        F.array_join(v["text"], SEPARATOR).alias("content"),
+        known("start_time", 1).alias("start_time"),
+        known("end_time", -1).alias("end_time"),
+        F.get(v["id"], F.lit(0)).alias("first_segment"),
+        F.try_element_at(v["id"], F.lit(-1)).alias("last_segment"),
+        _distinct(v["id"]).alias("n_segments"),
+        F.get(v["fresh"], F.lit(0)).alias("starts_chapter"),
+    )
+
+
 def chunk_documents(docs: DataFrame, target: int, cap: int, mode: str = "tokens", chapters: DataFrame | None = None) -> DataFrame:
     """(doc_id, chunk_id, source_kind, content, start_time, end_time, chars, tokens): each document chunked from the source it prefers.
 

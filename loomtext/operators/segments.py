@@ -89,19 +89,27 @@ def remap_chapters(plan: DataFrame, old_to_new: DataFrame) -> DataFrame:
     return both.withColumn("original_start_chunk", F.col("start_chunk")).withColumn("start_chunk", F.coalesce("new_id", "start_chunk")).drop("new_id")
 
 
-def split_timed(segments: DataFrame, size: int, mode: str = "chars") -> DataFrame:
-    """Segments longer than size cut into parts (part_index from 0); times are shared out by characters and rounded to 3 places."""
-    sized = segments.withColumn("_size", T.estimate_tokens("text", mode))
-    longer = F.col("_size") > size
-    cut = T.hard_split("text", size) if mode == "chars" else F.get(folds.pieces_of(F.array(T.text_of("text")), F.array("_size"), size), F.lit(0))
-    rows = sized.withColumn("_parts", F.when(longer, cut).otherwise(F.array("text"))).select("*", F.posexplode("_parts").alias("part_index", "_part"))
+def split_timed(segments: DataFrame, size: int, mode: str = "chars", measured: str | None = None) -> DataFrame:
+    """Segments longer than size cut into parts (part_index from 0); times are shared out by characters and rounded to 3 places.
+
+    measured: a column with the size of each part, in the units of mode. Tokens are measured and cut by one function.
+    """
+    if mode == "chars":
+        sized = segments.withColumn("_longer", F.length(T.text_of("text")) > size).withColumn("_parts", F.when(F.col("_longer"), T.hard_split("text", size)).otherwise(F.array("text")))
+    else:
+        fitted = segments.withColumn("_f", folds.fitted_units(F.array(T.text_of("text")), size))
+        sized = fitted.withColumn("_longer", F.col("_f.pieces").isNotNull()).withColumn("_parts", F.coalesce("_f.pieces", F.array("text")))
+    rows = T.exploded(sized, "_parts", "part_index", "_part")
     before = F.aggregate(F.slice("_parts", F.lit(1), F.col("part_index")), F.lit(0), lambda a, p: a + F.length(p))
     total = F.aggregate("_parts", F.lit(0), lambda a, p: a + F.length(p))
     span = F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time"))
-    at = lambda n: F.when(longer & span.isNotNull(), F.round(F.col("start_time") + n / total * span, 3))
+    at = lambda n: F.when(F.col("_longer") & span.isNotNull(), F.round(F.col("start_time") + n / total * span, 3))
     rows = rows.withColumn("_s", F.coalesce(at(before), F.col("start_time"))).withColumn("_e", F.coalesce(at(before + F.length("_part")), F.col("end_time")))
+    if measured:
+        own = F.length(T.text_of("_part")) if mode == "chars" else F.get("_f.measures", F.col("part_index"))["tokens"]
+        rows = rows.withColumn(measured, own.cast("long"))
     index = F.when(F.size("_parts") > 1, F.col("part_index"))
-    return rows.withColumn("part_index", index).withColumn("text", F.col("_part")).withColumn("start_time", F.col("_s")).withColumn("end_time", F.col("_e")).drop("_parts", "_part", "_s", "_e", "_size")
+    return rows.withColumn("part_index", index).withColumn("text", F.col("_part")).withColumn("start_time", F.col("_s")).withColumn("end_time", F.col("_e")).drop("_parts", "_part", "_s", "_e", "_longer", "_f")
 
 
 def bilingual_pairs(blocks: DataFrame) -> DataFrame:

@@ -53,3 +53,27 @@ def test_seams_of_few_blocks(spark):
     blocks = [None, [], ["a b c"], [" ", "x"], ["one two three four.", "one  two three four."], ["a", "", "a"], ["the end of it all here", "end of it all here we go"]]
     df = spark.createDataFrame(list(enumerate(blocks)), "k int, b array<string>")
     assert [r["n"] for r in df.select("k", quality.seam_count(F.col("b")).alias("n")).orderBy("k").collect()][1:] == [0, 0, 0, 1, 1, 1]
+
+
+def test_chunk_segments_brings_a_documents_parts_together_once(spark):
+    nodes, plan = python_nodes(catalogue.queries()["chunk_segments"](spark, SMALL))
+    assert nodes == 3 and plan.count("fit(") == plan.count("ranges(") == 1 and "FlatMapGroupsInPandas" not in plan
+    assert "FlatMapGroupsInPandas" not in python_nodes(catalogue.queries()["small_chunks"](spark, SMALL))[1]
+
+
+def test_joined_chunks_keep_all_parts(spark):
+    rnd = random.Random(2)
+    rows = [(d, i, rnd.choice([None, "", "word " * rnd.choice([1, 9, 40, 200]), "甲" * 50]), rnd.choice([None, i * 5.0]), rnd.choice([None, i * 5.0 + 4])) for d in range(40) for i in rnd.sample(range(40), d % 14)]
+    df = spark.createDataFrame(rows, "doc_id int, id int, text string, start_time double, end_time double")
+    breaks = df.where("id % 6 = 0").select("doc_id", "id")
+    made = lambda join: chunking.chunk_segments(df, 60, 80, "tokens", breaks, join).orderBy("doc_id", "chunk_id").collect()
+    joined, apart = made(True), made(False)
+    assert len(joined) < len(apart)
+    for d in {r["doc_id"] for r in apart}:
+        own, single = ([r for r in x if r["doc_id"] == d] for x in (joined, apart))
+        assert [r["chunk_id"] for r in own] == list(range(len(own)))
+        text = lambda x: "".join("".join(r["content"] for r in x).split())
+        assert text(own) == text(single)
+        assert {r["first_segment"] for r in own} <= {r["first_segment"] for r in single}
+        begun = lambda x: [r["first_segment"] for r in x if r["starts_chapter"]]
+        assert set(begun(own)) <= set(begun(single))
