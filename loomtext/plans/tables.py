@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+#: The columns of a glossary that a query is given.
+KNOWN = StructType([StructField("term", StringType()), StructField("score", IntegerType()), StructField("count", IntegerType())])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import anchors as A
 from ..operators import chunking, glossary, merge, quality
 from ..operators import segments as S
-from .tables import TURNS, table, turns
+from .tables import KNOWN, TURNS, table, turns
 
 Q: dict = {}
 
@@ -115,7 +115,7 @@ TERMS = ("the", "and", "was", "of", "to", "ING", "THE", "EN", "leeux", "ander",
 
 
 def _known(spark):
-    return spark.createDataFrame([(t, len(TERMS) - k, k % 3) for k, t in enumerate(TERMS)], "term string, score int, count int")
+    return glossary.listed(spark, [(t, len(TERMS) - k, k % 3) for k, t in enumerate(TERMS)], KNOWN)
 
 
 def _term_sql(text: str, ignore: bool) -> str:
