@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import chars as C
 from ..functions import text as T
-from ..operators import chunking, merge, packing, processing, quality, runtime
+from ..operators import chunking, glossary, merge, packing, processing, quality, runtime
 from ..operators import plans as plan_versions
 from ..operators import segments as S
 from ..sources import records, speech, subtitles
-from .tables import TURNS, table, turns
+from .tables import KNOWN, TURNS, table, turns
 
 Q: dict = {}
 CJK = r"\x{3400}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}"
@@ -312,6 +312,6 @@ SELECT doc_id, count(*) FILTER (chosen) AS selected, count(*) FILTER (chosen AND
 def glossary_report(spark, d):
     """The report on documents a third of which have lost all their text."""
     t = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("text"), F.col("text").alias("raw"))
-    g = spark.createDataFrame([(x, 3 - k, 1) for k, x in enumerate(_TERMS)], "term string, score int, count int")
+    g = glossary.listed(spark, [(x, 3 - k, 1) for k, x in enumerate(_TERMS)], KNOWN)
     r = quality.verify_with_glossary(t, g, by=None)
     return r.select("doc_id", F.col("glossary_selected_term_count").cast("long").alias("selected"), F.col("glossary_drift_count").cast("long").alias("lost"), F.col("glossary_drift_ok").alias("ok"))

@@ -3,7 +3,7 @@
 import random
 
 from loomtext.functions import text as T
-from loomtext.operators import chunking, quality
+from loomtext.operators import chunking, glossary, quality
 from loomtext.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -77,3 +77,12 @@ def test_joined_chunks_keep_all_parts(spark):
         assert {r["first_segment"] for r in own} <= {r["first_segment"] for r in single}
         begun = lambda x: [r["first_segment"] for r in x if r["starts_chapter"]]
         assert set(begun(own)) <= set(begun(single))
+
+
+def test_glossaries_are_read_without_python_workers(spark):
+    for name in ("glossary_select", "glossary_report", "glossary_drift"):
+        assert "Scan ExistingRDD" not in python_nodes(catalogue.queries()[name](spark, SMALL))[1]
+    schema = spark.createDataFrame([], "_k int, term string, score long").schema
+    rows = [(0, "a", None), (1, None, 7)]
+    assert [tuple(r) for r in glossary.listed(spark, rows, schema).collect()] == rows
+    assert glossary.listed(spark, [], schema).count() == 0 and glossary.listed(spark, [], schema).schema == schema
